@@ -75,25 +75,23 @@ def foci_at(focus_obs: DataFrame, *, label: int, t: int, key: str = "focus_id")
     return focus_obs.join(hit, key, "left_semi")
 
 
-def _centre(df: DataFrame, center: str, cols: Sequence[str]) -> dict[str, Column]:
+def filter_by_stat(cells: DataFrame, *, center: str = "mean", k: float = 3,
+                   cols: Sequence[str] = STAT_COLUMNS) -> DataFrame:
+    """Cells with all six statistics strictly inside centre ± k sample standard deviations."""
+    spread = {f"s_{c}": F.stddev_samp(c) for c in cols}
     if center == "mean":
-        row = one_row(df, **{c: F.avg(c) for c in cols})
+        row = one_row(cells, **spread, **{c: F.avg(c) for c in cols})
+        mid = row
     elif center == "50%":
-        q = quantiles(df, cols, {"q": 0.5})
-        row = one_row(q, **{c: F.max(F.when(F.col("name") == c, F.col("q"))) for c in cols})
+        row = one_row(cells, **spread)
+        q = quantiles(cells, cols, {"q": 0.5})
+        mid = one_row(q, **{c: F.max(F.when(F.col("name") == c, F.col("q"))) for c in cols})
     else:
         raise ValueError(f"unknown center {center!r}")
-    return {c: row[c] for c in cols}
-
-
-def filter_by_stat(cells: DataFrame, *, center: str = "mean", k: float = 3,
-                   cols: Sequence[str] = STAT_COLUMNS) -> DataFrame:
-    """Cells with all six statistics strictly inside centre ± k sample standard deviations."""
-    mid = _centre(cells, center, cols)
-    std = one_row(cells, **{c: F.stddev_samp(c) for c in cols})
+    # one-sided form of both strict bounds, so that each statistic is looked up once
     keep = F.lit(True)
     for c in cols:
-        keep = keep & (F.col(c) > mid[c] - k * std[c]) & (F.col(c) < mid[c] + k * std[c])
+        keep = keep & (F.abs(F.col(c) - mid[c]) < k * row[f"s_{c}"])
     return cells.where(keep)
 
 

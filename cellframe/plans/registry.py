@@ -42,11 +42,11 @@ def _shape_sql(sql: str, cols: str, uses: str) -> str:
     out = []
     for name, kind in _parse(cols):
         if kind == "l":
-            out.append(f"CAST({name} AS BIGINT) AS {name}")
+            out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
         elif kind == "d":
-            out.append(f"round(CAST({name} AS DOUBLE), {DIGITS}) + CAST(0 AS DOUBLE) AS {name}")
+            out.append(f'round(CAST("{name}" AS DOUBLE), {DIGITS}) + CAST(0 AS DOUBLE) AS "{name}"')
         else:
-            out.append(f"CAST({name} AS VARCHAR) AS {name}")
+            out.append(f'CAST("{name}" AS VARCHAR) AS "{name}"')
     ctes = view_sql(*uses.split())
     # extra CTEs of the query itself come before a line '----'
     if "----" in sql:
