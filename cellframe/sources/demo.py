@@ -119,6 +119,10 @@ class Demo:
             "fov", "peak", "t", "y", "x",
             (1 + 2 * F.floor(F.col("y") / 4) + F.floor(F.col("x") / 4)).cast("int").alias("label"))
 
+    @cached_property
+    def masks(self) -> DataFrame:
+        return self.stacks.withColumn("px", F.transform("px", lambda v: F.when(v > 1000, 1).otherwise(0)))
+
     @cached_property
     def regions(self) -> DataFrame:
         from ..operators.regions import region_props
@@ -198,7 +202,8 @@ FROM embeddings, unnest(range(1, 65)) r(i)"""),
     "labels": ("pixels", """
 SELECT fov, peak, t, y, x, 1 + 2*(y // 4) + x // 4 AS label FROM pixels WHERE v > 1000"""),
     "regions": ("labels", """
-SELECT *, 4*sqrt((vy+vx)/2 + sqrt((vy-vx)*(vy-vx)/4 + c*c)) AS major,
+SELECT *, atan2(round(2*c, 9) + 0.0, round(vx - vy, 9) + 0.0)/-2 AS orientation,
+  4*sqrt((vy+vx)/2 + sqrt((vy-vx)*(vy-vx)/4 + c*c)) AS major,
   4*sqrt(greatest((vy+vx)/2 - sqrt((vy-vx)*(vy-vx)/4 + c*c), 0)) AS minor
 FROM (SELECT fov, peak, t, label, count(*) AS area, avg(y) AS y, avg(x) AS x, min(y) AS min_y, min(x) AS min_x,
   max(y)+1 AS max_y, max(x)+1 AS max_x, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS c
