@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import channels as c
+from .image_queries import best_place_sql
 from .registry import query
 
 IMG = "fov:l peak:l t:l "
@@ -182,7 +183,14 @@ def _(d):
     return c.crop_channels(frames, masks, height=8, tile=16)
 
 
-@query("g18_channel_correlation", IMG + "score:d")
+@query("g18_channel_correlation", IMG + "score:d", f"""
+smp AS (SELECT fov, peak, t FROM (SELECT *, row_number() OVER (PARTITION BY fov, peak ORDER BY t) - 1 AS k,
+  count(*) OVER (PARTITION BY fov, peak) AS n FROM (SELECT DISTINCT fov, peak, t FROM pixels) o) q
+  WHERE k % greatest(n // 20, 1) = 0 AND k // greatest(n // 20, 1) < 20),
+tem AS (SELECT p.* FROM pixels p JOIN smp USING (fov, peak, t)),
+ref AS (SELECT s.fov, s.peak, s.t, p.y, p.x, p.v FROM smp s JOIN (SELECT fov, peak, min(t) AS t0 FROM smp GROUP BY fov, peak) f USING (fov, peak)
+  JOIN pixels p ON p.fov = s.fov AND p.peak = s.peak AND p.t = f.t0),
+{best_place_sql('ref', 'tem')} ---- SELECT fov, peak, t, s AS score FROM best""", uses="pixels")
 def _(d):
     return c.channel_xcorr(d.stacks, pad=2)
 

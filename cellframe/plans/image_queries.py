@@ -16,6 +16,23 @@ _EMPTY = """em AS (SELECT fov, t, y, x, CAST(floor(avg(v)) AS INT) AS empty FROM
   WHERE (fov, peak) IN (SELECT (fov, peak) FROM specs WHERE spec = 0) GROUP BY fov, t, y, x)"""
 
 
+
+
+def best_place_sql(image, template):
+    """Best offset of a template in the reflected image, both given as (fov, peak, t, y, x, v) tables."""
+    back = lambda e: f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > 7 THEN 14 - ({e}) ELSE {e} END"
+    return f"""win AS (SELECT q.fov, q.peak, q.t, o.a, o.b, q.v AS tv, p.v AS pv FROM {template} q
+  JOIN (SELECT a, b FROM (SELECT unnest(range(-2, 3)) AS a) r1, (SELECT unnest(range(-2, 3)) AS b) r2) o ON true
+  JOIN {image} p ON p.fov = q.fov AND p.peak = q.peak AND p.t = q.t AND p.y = {back('q.y + o.a')} AND p.x = {back('q.x + o.b')}),
+place AS (SELECT fov, peak, t, a, b, (sum(pv*tv) - sum(pv)*sum(tv)/64.0E0)/sqrt((sum(pv*pv) - sum(pv)*sum(pv)/64.0E0)*(sum(tv*tv) - sum(tv)*sum(tv)/64.0E0)) AS s
+  FROM win GROUP BY fov, peak, t, a, b),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fov, peak, t ORDER BY round(s, 12) DESC, a, b) AS k FROM place) q WHERE k = 1)"""
+
+
+def mirrored(e):
+    return f"(CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > 7 THEN 14 - ({e}) ELSE {e} END)"
+
+
 def _empties(d):
     return b.average_empties(d.pixels, d.specs)
 
@@ -32,7 +49,15 @@ def _(d):
     return b.average_empties(d.pixels, d.specs.withColumn("spec", 1 - F.col("spec")))
 
 
-@query("b2_average_empties_aligned", "fov:l t:l y:l x:l empty:l")
+@query("b2_average_empties_aligned", "fov:l t:l y:l x:l empty:l", f"""
+ep AS (SELECT * FROM pixels WHERE (fov, peak) IN (SELECT (fov, peak) FROM specs WHERE spec = 1)),
+ref AS (SELECT e.fov, e.peak, e.t, p.y, p.x, p.v FROM (SELECT DISTINCT fov, peak, t FROM ep) e
+  JOIN (SELECT fov, t, min(peak) AS first FROM ep GROUP BY fov, t) f USING (fov, t)
+  JOIN ep p ON p.fov = f.fov AND p.t = f.t AND p.peak = f.first),
+{best_place_sql('ref', 'ep')} ----
+SELECT g.fov, g.t, g.y, g.x, CAST(floor(avg(p.v)) AS INT) AS empty FROM (SELECT fov, peak, t, y, x FROM ep) g JOIN best k USING (fov, peak, t)
+JOIN ep p ON p.fov = g.fov AND p.peak = g.peak AND p.t = g.t AND p.y = {mirrored('g.y - k.a')} AND p.x = {mirrored('g.x - k.b')}
+GROUP BY g.fov, g.t, g.y, g.x""", uses="pixels specs")
 def _(d):
     return b.average_empties_aligned(d.stacks, d.specs.withColumn("spec", 1 - F.col("spec")), pad=2)
 
@@ -51,7 +76,11 @@ def _(d):
     return b.subtract_fluor(d.pixels, _empties(d), size=(8, 8), empty_size=(6, 5))
 
 
-@query("b5_subtract_phase", PX + "v:l")
+@query("b5_subtract_phase", PX + "v:l", f"""{_EMPTY},
+tem AS (SELECT i.fov, i.peak, i.t, e.y, e.x, e.empty AS v FROM (SELECT DISTINCT fov, peak, t FROM pixels) i JOIN em e USING (fov, t)),
+{best_place_sql('pixels', 'tem')} ----
+SELECT g.fov, g.peak, g.t, g.y, g.x, greatest(e.v - g.v, 0) AS v FROM pixels g JOIN best k USING (fov, peak, t)
+JOIN tem e ON e.fov = g.fov AND e.peak = g.peak AND e.t = g.t AND e.y = {mirrored('g.y - k.a')} AND e.x = {mirrored('g.x - k.b')}""", uses="pixels specs")
 def _(d):
     return b.explode_pixels(b.subtract_phase(d.stacks, _empties(d), pad=2))
 
@@ -192,7 +221,7 @@ def _(d):
 
 @query("m6_segment", PX + "label:l")
 def _(d):
-    return s.segment(d.stacks, s.otsu(d.pixels, scale=0.9), open1=1, distance=1, open2=1, min_size=2)
+    return s.segment(d.stacks, s.otsu(d.pixels, scale=1.12), open1=0, distance=1, open2=0, min_size=2)
 
 
 _TWO = """a AS (SELECT fov, peak, t, y, x FROM pixels WHERE v > 1000), bb AS (SELECT fov, peak, t, y, x FROM pixels WHERE v > 1050),
