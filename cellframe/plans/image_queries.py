@@ -219,7 +219,16 @@ def _(d):
     return s.clear_border(s.label_components(d.masks), height=8, width=8)
 
 
-@query("m6_segment", PX + "label:l")
+# without openings a segment is a component of at least two pixels away from the border
+@query("m6_segment", PX + "label:l", f"""{_otsu_sql(_HIST)},
+hi AS (SELECT p.fov, p.peak, p.t, p.y, p.x, p.y*8 + p.x AS i FROM pixels p JOIN otsu USING (fov, peak, t) WHERE p.v > threshold*1.12E0),
+wide AS (SELECT fov, peak, t, i, i AS j FROM hi UNION SELECT r.fov, r.peak, r.t, r.i, h.i FROM wide r JOIN hi h ON h.fov = r.fov AND h.peak = r.peak AND h.t = r.t
+  AND abs(h.y - r.j // 8) <= 1 AND abs(h.x - r.j % 8) <= 1),
+inner_ AS (SELECT * FROM hi WHERE (fov, peak, t, i) NOT IN (SELECT (fov, peak, t, i) FROM wide WHERE j // 8 IN (0, 7) OR j % 8 IN (0, 7))),
+near AS (SELECT fov, peak, t, i, i AS j FROM inner_ UNION SELECT r.fov, r.peak, r.t, r.i, h.i FROM near r JOIN inner_ h ON h.fov = r.fov AND h.peak = r.peak AND h.t = r.t
+  AND abs(h.y - r.j // 8) + abs(h.x - r.j % 8) = 1),
+root AS (SELECT fov, peak, t, i, min(j) AS r, count(*) AS n FROM near GROUP BY fov, peak, t, i) ----
+SELECT fov, peak, t, i // 8 AS y, i % 8 AS x, dense_rank() OVER (PARTITION BY fov, peak, t ORDER BY r) AS label FROM root WHERE n >= 2""", uses="pixels")
 def _(d):
     return s.segment(d.stacks, s.otsu(d.pixels, scale=1.12), open1=0, distance=1, open2=0, min_size=2)
 
