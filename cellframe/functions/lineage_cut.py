@@ -1,7 +1,7 @@
-"""Cutting long lineages with reliable checkpoints.
+"""Cutting long lineages with tables in the shared checkpoint folder.
 
-Iterative jobs write every round to the checkpoint folder, so that losing an
-executor costs a re-read and not the whole loop.
+Iterative jobs write every round there, so that losing an executor costs a re-read
+and not the whole loop. The tables are left for the folder's owner to clear.
 """
 
 from __future__ import annotations
@@ -30,14 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "cellframe-checkpoints")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and read it back from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, for tables written and read back."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it from there.
+
+    Unlike a row checkpoint this runs the plan once, keeps the columns prunable, and
+    tells the next plan how large the table is.
+    """
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,20 +48,24 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: di
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, index: str | None = None,
             sums: dict[str, str] | None = None, tops: dict[str, str] | None = None,
-            span: int = SPAN) -> DataFrame:
-    """Add a 1-based row index, running sums and running maxima (current row included)."""
+            totals: bool = False, span: int = SPAN) -> DataFrame:
+    """Add a 1-based row index, running sums and running maxima (current row included).
+
+    ``totals`` also adds the whole group's sums, as ``<name>_all``.
+    """
     keys, order = list(keys), list(order)
     sums, tops = dict(sums or {}), dict(tops or {})
     sliced = df.withColumn("_s", _slice(order[0], span))
     inside = Window.partitionBy(*keys, "_s").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    totals = sliced.groupBy(*keys, "_s").agg(
+    per_slice = sliced.groupBy(*keys, "_s").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_sum_{n}") for c, n in sums.items()],
         *[F.max(c).alias(f"_max_{n}") for c, n in tops.items()])
     before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *keys, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+    group = Window.partitionBy(*keys)
+    per_slice = per_slice.select(
+        *keys, "_s", *[F.sum(f"_sum_{n}").over(group).alias(f"{n}_all") for n in sums.values() if totals], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_sum0_{n}") for n in sums.values()],
         *[F.max(f"_max_{n}").over(before).alias(f"_max0_{n}") for n in tops.values()])
     local = sliced
@@ -77,13 +81,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, index:
     out += [(F.col(f"_l_{n}") + F.col(f"_sum0_{n}")).alias(n) for n in sums.values()]
     # greatest skips nulls
     out += [F.greatest(F.col(f"_m_{n}"), F.col(f"_max0_{n}")).alias(n) for n in tops.values()]
-    return local.join(totals, [*keys, "_s"]).select(*out)
+    out += [F.col(f"{n}_all") for n in sums.values() if totals]
+    return local.join(per_slice, [*keys, "_s"]).select(*out)
 
 
 def ranged(df: DataFrame, *cols: str) -> DataFrame:
     """Range-partition by ``cols`` and store the partition number in ``_part``.
 
-    The result is checkpointed, so the numbers cannot move between two reads.
+    The result is written out, so the numbers cannot move between two reads.
     """
     return cut(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
 

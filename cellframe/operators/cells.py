@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, volume
+from ..functions.lineage_cut import cut
 from ..functions.ordered import one_row, running
 
 FLAT = 1e-9  # a series of ln(length) with a smaller spread is constant up to rounding
@@ -133,19 +134,16 @@ def bilinear_fit(obs: DataFrame) -> DataFrame:
     Every observation time is tried as the breakpoint. Running sums give the left and
     right moments of each candidate, so the search is linear in the observations.
     """
-    pts = obs.select("cell_id", "t", F.log("length").alias("y"))
+    # read three times below
+    pts = cut(obs.select("cell_id", "t", F.log("length").alias("y")))
     start = pts.groupBy("cell_id").agg(
-        F.min("t").alias("t0"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"),
-        F.when(F.max("y") - F.min("y") >= FLAT, F.var_pop("y")).alias("vy"))
-    pts = pts.join(start.select("cell_id", "t0"), "cell_id").withColumn("x", (F.col("t") - F.col("t0")).cast("double"))
-    whole = pts.groupBy("cell_id").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-                                       F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    pts = (pts.withColumn("one", F.lit(1.0)).withColumn("xx", F.col("x") * F.col("x"))
-           .withColumn("xy", F.col("x") * F.col("y")))
-    left = running(pts, ["cell_id"], ["t"],
-                   sums={"one": "l1", "x": "lx", "xx": "lxx", "y": "ly", "xy": "lxy"})
-    m = left.join(start.select("cell_id", "n", "sy", "syy", "vy"), "cell_id").join(whole, "cell_id")
+        F.min("t").alias("t0"), F.when(F.max("y") - F.min("y") >= FLAT, F.var_pop("y")).alias("vy"))
+    pts = pts.join(start, "cell_id").withColumn("x", (F.col("t") - F.col("t0")).cast("double"))
+    x, y = F.col("x"), F.col("y")
+    pts = pts.withColumns({"one": F.lit(1.0), "xx": x * x, "xy": x * y, "yy": y * y})
+    m = running(pts, ["cell_id"], ["t"], totals=True,
+                sums={"one": "l1", "x": "lx", "xx": "lxx", "y": "ly", "xy": "lxy", "yy": "lyy"})
+    m = m.withColumnsRenamed({"l1_all": "n", "lx_all": "sx", "lxx_all": "sxx", "ly_all": "sy", "lxy_all": "sxy", "lyy_all": "syy"})
     k, c = F.col("x"), F.col
     su, suu, suy = c("lx") - k * c("l1"), c("lxx") - 2 * k * c("lx") + k * k * c("l1"), c("lxy") - k * c("ly")
     r1, rx, rxx = c("n") - c("l1"), c("sx") - c("lx"), c("sxx") - c("lxx")

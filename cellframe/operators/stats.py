@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
+from ..functions.lineage_cut import cut
 from ..functions.ordered import neighbour, one_row, positions, quantiles, running, union_all
 from .cells import RESCALED, rescale
 from .lineage import CHANNEL, connectors
@@ -174,7 +175,9 @@ def trend_derivative(df: DataFrame, *, y: str, x: str = "birth_time", window: fl
 
 def instant_rate(obs: DataFrame, *, n: int = 1, t_int: float = 1.0, t_shift: float | None = None) -> DataFrame:
     """Mean instantaneous elongation rate per hour by time, from every n-th observation of each cell."""
-    pts = running(obs.select("cell_id", "t", "length"), ["cell_id"], ["t"], index="i").where(F.col("i") % n == (1 % n))
+    pts = obs.select("cell_id", "t", "length")
+    if n > 1:
+        pts = cut(running(pts, ["cell_id"], ["t"], index="i").where(F.col("i") % n == 1).drop("i"))
     prev = neighbour(pts, ["cell_id"], ["t"], {"length": "_l0"}).where("_l0 IS NOT NULL")
     rate = F.log(F.col("length") / F.col("_l0")) * 60 / n / t_int
     minutes = F.col("t") * t_int - (0.0 if t_shift is None else t_shift * t_int)

@@ -2,7 +2,7 @@
 
 A tracker needs a channel's frames in order, but never a whole channel at once: the
 frames are processed in blocks, and only the open cells travel from block to block
-(through the checkpoint folder). A task holds one block of one channel, which the
+(through a table in the checkpoint folder). A task holds one block of one channel, which the
 block length and the 255 labels of a frame bound; ordinary channels fit one block.
 """
 
@@ -28,21 +28,24 @@ LIMITS = dict(lost_time=3, new_y=150.0, new_label=4, max_len=1.3, min_len=0.8, m
 
 
 def in_blocks(df: DataFrame, step: Callable[[tuple, pd.DataFrame, str | None], tuple[pd.DataFrame, str]], schema: str, *,
-              block: int = BLOCK) -> DataFrame:
-    """Run ``step(key, rows, state) -> (output, state)`` over the channels, block of frames by block of frames."""
+              block: int = BLOCK, times: DataFrame | None = None) -> DataFrame:
+    """Run ``step(key, rows, state) -> (output, state)`` over the channels, block of frames by block of frames.
+
+    ``times`` may name a smaller table with the same range of frames.
+    """
     names = [f.split()[0] for f in schema.split(", ")]
     full = f"{schema}, _state string"
-    lo, hi = df.agg(F.min("t"), F.max("t")).first()
+    lo, hi = (df if times is None else times).agg(F.min("t"), F.max("t")).first()
     if lo is None:
         return df.sparkSession.createDataFrame([], schema)
 
-    def alone(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return step(key, rows, None)[0]
 
     if lo // block == hi // block:
         return df.groupBy(*CHANNEL).applyInPandas(alone, schema)
 
-    def carried(key, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def carried(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         before = state["_state"].iloc[0] if len(state) else None
         if len(rows) == 0:
             out, after = rows.iloc[0:0], before
@@ -306,4 +309,4 @@ def greedy_tracks(nodes: DataFrame, edges: DataFrame, *, min_score: float | None
             walks.frame(int(t), labels, known)
         return as_rows(walks.rows), walks.state()
 
-    return in_blocks(rows, step, TRACK, block=block)
+    return in_blocks(rows, step, TRACK, block=block, times=nodes)
