@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
 from ..functions.kernels import blurred, laplace_peaks
+from ..functions.lineage_cut import cut
 from .cells import order_daughters
 from .lineage import resolve
 from .regions import IMAGE, REGION, make_id
@@ -127,7 +128,7 @@ def link_foci(label_images: DataFrame, valid: DataFrame, *, sigma: float = 1.0,
     best = s.groupBy(*REGION).agg(
         F.min(F.struct(F.round(-F.col("score"), 9).alias("s"), "prev_label"))["prev_label"].alias("prev_label"),
         (F.max("score") - F.min("score")).alias("spread")).where("spread > 1e-9")
-    nodes = make_id(valid.select(*REGION).distinct(), prefix=prefix, name="id")
+    nodes = cut(make_id(valid.select(*REGION).distinct(), prefix=prefix, name="id"))
     back = nodes.select("fov", "peak", (F.col("t") + 1).alias("t"), F.col("label").alias("prev_label"), F.col("id").alias("to"))
     edges = nodes.join(best, REGION).join(back, [*IMAGE, "prev_label"]).select("id", "to")
     chain = resolve(nodes.select(F.col("id").alias("cell_id")), edges)

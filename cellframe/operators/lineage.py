@@ -78,9 +78,8 @@ def ancestors(cells: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return reach.where("steps > 0")
 
 
-def mark_ancestors(cells: DataFrame, of: DataFrame) -> DataFrame:
-    """The distinct ancestors of the cells in ``of`` (``cell_id``); never more rows than cells."""
-    edges = cut(parent_edges(cells))
+def mark_ancestors(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """The distinct ancestors of the cells in ``of`` (``cell_id``) along parent edges; never more rows than cells."""
     marks = cut(edges.join(of.select(F.col("cell_id").alias("id")), "id", "left_semi")
                 .select(F.col("to").alias("cell_id")).distinct())
     jump = edges
@@ -108,11 +107,12 @@ def lineages_of_length(cells: DataFrame, *, n_gens: int = 5, remove_ends: bool =
     """
     # a cell is a last daughter exactly if its own first daughter is absent
     ends = _ids(cells).join(first_child_edges(cells).select(F.col("id").alias("cell_id")), "cell_id", "left_anti")
-    long_enough = generation_gap(cells).where(F.col("generations") >= n_gens).join(ends, "cell_id", "left_semi")
+    edges = cut(parent_edges(cells))
+    long_enough = resolve(_ids(cells), edges).where(F.col("steps") >= n_gens).join(ends, "cell_id", "left_semi")
     long_enough = cut(long_enough.select("cell_id"))
-    kept = mark_ancestors(cells, long_enough)
+    kept = mark_ancestors(edges, long_enough)
     if remove_ends:
-        kept = kept.join(parent_edges(cells).select(F.col("id").alias("cell_id")), "cell_id", "left_semi")
+        kept = kept.join(edges.select(F.col("id").alias("cell_id")), "cell_id", "left_semi")
     else:
         kept = kept.unionByName(long_enough).distinct()
     return cells.join(kept, "cell_id", "left_semi")

@@ -18,7 +18,7 @@ OBS = "cells cell_obs"
 
 
 def wdiv(d):
-    return c.obs_with_division(d.cells, d.cell_obs)
+    return c.obs_with_division(d.cells, d.obs)
 
 
 @query("c1_order_daughters", "parent_id:l child1_id:l child2_id:l", _FIRST + """ ---- 
@@ -38,7 +38,7 @@ SELECT c.cell_id, f.l*0.11E0 AS sb, (a.l + b.l)*0.11E0 AS sd, (a.l + b.l)*0.11E0
 FROM cells c JOIN first f ON f.cell_id = c.cell_id JOIN first a ON a.cell_id = c.child1_id
 JOIN first b ON b.cell_id = c.child2_id""", uses=OBS)
 def _(d):
-    return c.division_summary(d.cells, d.cell_obs, px2um=0.11)
+    return c.division_summary(d.cells, d.obs, px2um=0.11)
 
 
 @query("c3_obs_with_division", "cell_id:l t:l seconds:l length:d width:d volume:d", _WDIV + f""" ----

@@ -23,7 +23,7 @@ _TERM = f"""term AS (SELECT c.cell_id, o.length AS l, {_VOL.format(l='o.length',
 
 
 def _init(d):
-    return y.initiation_cell(d.cells, d.cell_obs, d.cell_cycle)
+    return y.initiation_cell(d.cells, d.obs, d.cell_cycle)
 
 
 @query("y1_initiation_cell", "cell_id:l initiation_time:l termination_time:l n_oc:l init_cell_id:l",
@@ -65,14 +65,14 @@ SELECT c.cell_id, s.s AS segregation_time, s.l AS segregation_length, s.v AS seg
 FROM cells c JOIN seg s ON s.cell_id = c.cell_id LEFT JOIN init i ON i.cell_id = c.cell_id
 LEFT JOIN seg d ON d.cell_id = c.child1_id LEFT JOIN seg m ON m.cell_id = c.parent_id""", uses=USES)
 def _(d):
-    return y.segregation(d.cells, d.cell_obs, d.cell_cycle, _init(d), time_int=3)
+    return y.segregation(d.cells, d.obs, d.cell_cycle, _init(d), time_int=3)
 
 
 @query("y6_termination", "cell_id:l termination_length:d termination_volume:d termination_delta:d", f"""{_INIT}, {_TERM} ----
 SELECT c.cell_id, t.l AS termination_length, t.v AS termination_volume, 2*d.l - t.l AS termination_delta
 FROM cells c JOIN term t ON t.cell_id = c.cell_id LEFT JOIN term d ON d.cell_id = c.child1_id""", uses=USES)
 def _(d):
-    return y.termination(d.cells, d.cell_obs, _init(d))
+    return y.termination(d.cells, d.obs, _init(d))
 
 
 @query("y7_attach_attributes", "cell_id:l sb:d initiation:l", """

@@ -119,7 +119,7 @@ def _(d):
 # ---- profiles ----
 
 def _obs(d):
-    return d.regions.withColumns({"length": F.col("major"), "width": F.col("minor") + 1})
+    return d.stored_regions.withColumns({"length": F.col("major"), "width": F.col("minor") + 1})
 
 
 _AXIS = """ax AS (SELECT l.fov, l.peak, l.t, l.label, p.v, r.major AS len, r.minor + 1 AS wid,
@@ -185,12 +185,12 @@ OPTS = dict(px2um=0.11, time_int=3, fl_int=2, fl_start=1, cell_min=8)
 
 
 def _cell_profiles(d):
-    return d.profiles.join(d.cell_obs.select("cell_id", "t"), "cell_id").select("cell_id", "t", "profile")
+    return d.profiles.join(d.obs.select("cell_id", "t"), "cell_id").select("cell_id", "t", "profile")
 
 
 @query("p12_ensemble_profiles", "size_bin:l pos:l value:d n:l", f"{_ENS} ---- SELECT * FROM mean_", uses="cells cell_obs profiles")
 def _(d):
-    return p.ensemble_profiles(d.cells, d.cell_obs, _cell_profiles(d), **OPTS)
+    return p.ensemble_profiles(d.cells, d.obs, _cell_profiles(d), **OPTS)
 
 
 @query("p12_size_ensemble", "size_bin:l n:l fl_sum:d fl_max:d fl_amp:d volume:d foci_avg:d foci_diff:d", f"""{_ENS},
@@ -199,12 +199,12 @@ fa AS (SELECT b.*, q.k/CAST(b.n AS DOUBLE) AS foci_avg FROM bins b JOIN (SELECT
 SELECT *, CASE WHEN (row_number() OVER (ORDER BY size_bin) - 1) % 2 = 0 THEN lead(foci_avg, 2) OVER (ORDER BY size_bin) - foci_avg END AS foci_diff FROM fa""",
        uses="cells cell_obs profiles focus_obs")
 def _(d):
-    return p.size_ensemble(d.cells, d.cell_obs, _cell_profiles(d), d.focus_obs.where("focus_label <= 4"), **OPTS)
+    return p.size_ensemble(d.cells, d.obs, _cell_profiles(d), d.foci_of(d.obs).where("focus_label <= 4"), **OPTS)
 
 
 @query("p13_nucleoid_ensemble", "size_bin:l n:l fl_sum:d fl_max:d fl_amp:d volume:d", f"{_ENS} ---- SELECT * FROM bins", uses="cells cell_obs profiles")
 def _(d):
-    return p.nucleoid_ensemble(d.cells, d.cell_obs, _cell_profiles(d), **OPTS)
+    return p.nucleoid_ensemble(d.cells, d.obs, _cell_profiles(d), **OPTS)
 
 
 @query("p14_trace_points", "fov:l peak:l cell_id:l part:s hours:d y:d value:d scaled:d", """
@@ -215,4 +215,4 @@ UNION ALL SELECT o.cell_id, 'focus', o.t*3/60.0E0, (f.disp_l + o.length/2)*0.11E
 UNION ALL SELECT cell_id, 'concentration', t*3/60.0E0, NULL, fl_total/((length - width)*pi()*width*width/4 + pi()/6*width*width*width), NULL FROM cell_obs) ----
 SELECT c.fov, c.peak, u.* FROM u JOIN cells c USING (cell_id)""", uses="cells cell_obs profiles focus_obs")
 def _(d):
-    return p.trace_points(d.cells, d.cell_obs, _cell_profiles(d), d.focus_obs, time_int=3, px2um=0.11)
+    return p.trace_points(d.cells, d.obs, _cell_profiles(d), d.foci_of(d.obs), time_int=3, px2um=0.11)

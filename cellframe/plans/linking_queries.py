@@ -24,7 +24,7 @@ LIMITS = dict(max_len=1.5, min_len=0.7, max_area=1.5, min_area=0.7)
 
 
 def _regions(d):
-    return d.regions.withColumn("length", F.col("major"))
+    return d.stored_regions.withColumn("length", F.col("major"))
 
 
 def _leaves(d):
@@ -102,7 +102,7 @@ UNION ALL SELECT fov, peak, t, {_id('t', 'label')}, {_id('t + 1', 'next_label')}
 
 
 def _edges(d):
-    return k.track_edges(d.stacks, d.regions, d.probs, d.region_probs)
+    return k.track_edges(d.stacks, d.stored_regions, d.probs, d.region_probs)
 
 
 @query("k7_candidate_edges", IMG + "src:s dst:s type:s weight:d score:d", f"{_EDGES} ---- SELECT *, ln(weight) AS score FROM e",
@@ -126,19 +126,19 @@ def _(d):
 
 @query("k9_greedy_tracks", TRACK)
 def _(d):
-    return tr.greedy_tracks(d.regions, _edges(d))
+    return tr.greedy_tracks(d.stored_regions, _edges(d))
 
 
 @query("k10_greedy_tracks_without_limits", TRACK)
 def _(d):
-    return tr.greedy_tracks(d.regions, _edges(d), min_score=None, second=None)
+    return tr.greedy_tracks(d.stored_regions, _edges(d), min_score=None, second=None)
 
 
 @query("k11_unvisited_nodes", "fov:l peak:l n:l", f"""{_RG} ----
 SELECT a.fov, a.peak, sum(CASE WHEN EXISTS (SELECT 1 FROM rg b WHERE b.fov = a.fov AND b.peak = a.peak AND b.t = a.t + 1 AND {_grow('a', 'b')}) THEN 0 ELSE 1 END) AS n
 FROM rg a GROUP BY a.fov, a.peak""", uses="regions")
 def _(d):
-    return k.unvisited(d.regions, k.growing_pairs(_regions(d), **LIMITS))
+    return k.unvisited(d.stored_regions, k.growing_pairs(_regions(d), **LIMITS))
 
 
 # ---- event tables ----
@@ -168,7 +168,7 @@ def _family(d):
 
 
 def _gapped(d):
-    return d.cell_obs.where("length < 5.8")
+    return d.obs.where("length < 5.8")
 
 
 _EV = "migrate:l divide:l die:l born:l appear:l disappear:l false_join:l one_cell:l two_cells:l three_cells:l zero_cells:l no_data:l"
@@ -184,21 +184,21 @@ FROM reg r LEFT JOIN seen s USING (fov, peak, t, label) GROUP BY r.fov, r.peak,
 @query("k12_region_events", REG + _EV, f"{_FAMILY}, {_REGS}, {_GAPPED}, {_SEEN.format(t='go', gap='z - a + 1 <= n')} ---- {_EVENTS_SQL}",
        uses="cells cell_obs")
 def _(d):
-    return k.region_events(d.cell_obs, _family(d), _gapped(d))
+    return k.region_events(d.obs, _family(d), _gapped(d))
 
 
 @query("k13_region_links", REG + "next_label:l", f"{_FAMILY}, {_REGS}, {_GAPPED}, {_SEEN.format(t='go', gap='z - a + 1 <= n')} ---- SELECT * FROM links",
        uses="cells cell_obs")
 def _(d):
-    return k.region_links(d.cell_obs, _family(d), _gapped(d))
+    return k.region_links(d.obs, _family(d), _gapped(d))
 
 
 @query("k14_apply_overrides", REG + "next_label:l", f"""{_FAMILY}, {_REGS}, {_GAPPED}, {_SEEN.format(t='go', gap='z - a + 1 <= n')},
 nw AS (SELECT fov, peak, t, label, 0 AS next_label FROM reg WHERE label = 2) ----
 SELECT * FROM links WHERE (fov, peak, t, label) NOT IN (SELECT (fov, peak, t, label) FROM nw) UNION ALL SELECT * FROM nw""", uses="cells cell_obs")
 def _(d):
-    links = k.region_links(d.cell_obs, _family(d), _gapped(d))
-    new = d.cell_obs.where("label = 2").select(*k.REGION).distinct().withColumn("next_label", F.lit(0))
+    links = k.region_links(d.obs, _family(d), _gapped(d))
+    new = d.obs.where("label = 2").select(*k.REGION).distinct().withColumn("next_label", F.lit(0))
     return k.apply_overrides(links, new)
 
 
@@ -216,7 +216,7 @@ reg AS (SELECT DISTINCT fov, peak, t // 2 AS t, label FROM cell_obs)"""
 
 
 def _foci(d):
-    half = d.cell_obs.select(F.col("cell_id").alias("focus_id"), "fov", "peak", F.floor(F.col("t") / 2).alias("t"), "label",
+    half = d.obs.select(F.col("cell_id").alias("focus_id"), "fov", "peak", F.floor(F.col("t") / 2).alias("t"), "label",
                              F.col("t").alias("seq"))
     return half, _family(d).withColumnRenamed("cell_id", "focus_id"), k.distinct_times(half, order="seq")
 

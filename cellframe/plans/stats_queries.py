@@ -256,7 +256,7 @@ pts AS (SELECT c.fov, c.peak, c.cell_id, 'trace' AS part, w.t*3/60.0E0 AS hours,
   UNION ALL SELECT fov, peak, cell_id, 'to', birth_time*3/60.0E0, sb FROM con) ----
 SELECT p.*, t.max_sd FROM pts p JOIN top t USING (fov, peak)""", uses="cells cell_obs")
 def _(d):
-    return s.saw_tooth(d.cells, obs_with_division(d.cells, d.cell_obs), t_int=3)
+    return s.saw_tooth(d.cells, obs_with_division(d.cells, d.obs), t_int=3)
 
 
 @query("a16_rescale", "cell_id:l sb:d tau:d", """

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage_cut import cut
+
 SIDE = 8  # the embedding vectors are read as 8x8 images
 
 
@@ -62,6 +64,11 @@ class Demo:
             "cell_id", "fov", "peak", (F.col("birth_time") + F.col("i")).alias("t"), "label", "length", "width",
             "area", "fl_total", ((F.col("birth_time") + F.col("i")) * 180).alias("seconds"))
 
+    @cached_property
+    def obs(self) -> DataFrame:
+        """The observations as a written table, for queries that read them several times."""
+        return cut(self.cell_obs)
+
     @cached_property
     def cell_cycle(self) -> DataFrame:
         return self.cells.select(
@@ -75,8 +82,11 @@ class Demo:
 
     @cached_property
     def focus_obs(self) -> DataFrame:
-        o = self.cell_obs
-        return o.select("cell_id", "fov", "peak", "t", F.col("label").alias("focus_label"),
+        return self.foci_of(self.cell_obs)
+
+    @staticmethod
+    def foci_of(obs: DataFrame) -> DataFrame:
+        return obs.select("cell_id", "fov", "peak", "t", F.col("label").alias("focus_label"),
                         ((F.col("length") - 3) * 2).alias("disp_l"), ((F.col("width") - 0.84) * 10).alias("disp_w"),
                         F.col("fl_total").alias("foci_h"))
 
@@ -128,11 +138,16 @@ class Demo:
         from ..operators.regions import region_props
         return region_props(self.labels)
 
+    @cached_property
+    def stored_regions(self) -> DataFrame:
+        """The regions as a written table, for queries that read them several times."""
+        return cut(self.regions)
+
     @cached_property
     def probs(self) -> DataFrame:
         """Class probabilities of every region pair of consecutive frames, from the region sizes."""
-        a = self.regions.select("fov", "peak", "t", "label", F.col("area").alias("a"))
-        b = self.regions.select("fov", "peak", (F.col("t") - 1).alias("t"), F.col("label").alias("next_label"),
+        a = self.stored_regions.select("fov", "peak", "t", "label", F.col("area").alias("a"))
+        b = self.stored_regions.select("fov", "peak", (F.col("t") - 1).alias("t"), F.col("label").alias("next_label"),
                                 F.col("area").alias("b"))
         least, most = F.least("a", "b").cast("double"), F.greatest("a", "b").cast("double")
         return a.join(b, ["fov", "peak", "t"]).select(
@@ -144,7 +159,7 @@ class Demo:
     def region_probs(self) -> DataFrame:
         """Class probabilities of single regions."""
         a = F.col("area")
-        return self.regions.select("fov", "peak", "t", "label", (1 / (1 + a)).alias("p_appear"),
+        return self.stored_regions.select("fov", "peak", "t", "label", (1 / (1 + a)).alias("p_appear"),
                                    (a / (a + 10.0)).alias("p_born"), (1 / (2 + a)).alias("p_disappear"),
                                    (1 / (3.0 + a)).alias("p_die"))
 
