@@ -232,9 +232,13 @@ def corr_matrix(df: DataFrame, *, cols: Sequence[str], method: str = "pearson",
     """
     data = average_ranks(df, key=key, cols=cols) if method == "spearman" else df
     named = [(a, b) for i, a in enumerate(cols) for b in list(cols)[i:]]
-    row = data.agg(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(a, b).alias("r"),
-                              F.count(F.col(a) + F.col(b)).alias("n")).alias(f"_{i}") for i, (a, b) in enumerate(named)])
-    return row.select(F.explode(F.array(*[f"_{i}" for i in range(len(named))])).alias("_v")).select("_v.*")
+    # pairs as rows: partial sums shrink them to one row per pair before the shuffle, and
+    # the generated code stays small however many columns there are
+    both = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+        for a, b in named])).alias("_e")
+    return data.select(both).select("_e.*").groupBy("x", "y").agg(
+        F.corr("a", "b").alias("r"), F.count(F.col("a") + F.col("b")).alias("n"))
 
 
 def corr_list(df: DataFrame, *, pairs: Sequence[tuple[str, str]]) -> DataFrame:

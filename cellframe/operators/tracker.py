@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,8 +43,11 @@ def in_blocks(df: DataFrame, step: Callable[[tuple, pd.DataFrame, str | None], t
     def alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return step(key, rows, None)[0]
 
+    # a fixed number of partitions: the rows are few but the work on them is not, so
+    # small partitions must not be merged
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if lo // block == hi // block:
-        return df.groupBy(*CHANNEL).applyInPandas(alone, schema)
+        return df.repartition(tasks, *CHANNEL).groupBy(*CHANNEL).applyInPandas(alone, schema)
 
     def carried(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         before = state["_state"].iloc[0] if len(state) else None
@@ -57,7 +61,7 @@ def in_blocks(df: DataFrame, step: Callable[[tuple, pd.DataFrame, str | None], t
     state = df.sparkSession.createDataFrame([], "fov int, peak int, _state string")
     done = []
     for b in range(lo // block, hi // block + 1):
-        part = df.where((F.col("t") >= b * block) & (F.col("t") < (b + 1) * block))
+        part = df.where((F.col("t") >= b * block) & (F.col("t") < (b + 1) * block)).repartition(tasks, *CHANNEL)
         both = part.groupBy(*CHANNEL).cogroup(state.groupBy(*CHANNEL)).applyInPandas(carried, full)
         both = cut(both)
         done.append(both.where("_state IS NULL").select(*names))
@@ -168,11 +172,11 @@ class OpenCells:
 
 def by_frame(rows: pd.DataFrame) -> Iterable[tuple[int, list[dict]]]:
     """Frames in order, each with its regions in label order."""
-    rows = rows.sort_values(["t", "label"])
-    for t, part in rows.groupby("t", sort=True):
-        yield int(t), [
-            {"label": int(r.label), "y": float(r.y), "min_y": float(r.min_y), "max_y": float(r.max_y), "area": float(r.area),
-             "length": float(r.length)} for r in part.itertuples(index=False)]
+    shape = ["y", "min_y", "max_y", "area", "length"]
+    ordered = rows.sort_values(["t", "label"])
+    values = zip(ordered["t"].tolist(), ordered["label"].tolist(), ordered[shape].astype(float).values.tolist())
+    for t, part in groupby(values, key=lambda v: v[0]):
+        yield int(t), [{"label": int(label), **dict(zip(shape, v))} for _, label, v in part]
 
 
 def as_rows(rows: list[tuple]) -> pd.DataFrame:
@@ -300,13 +304,17 @@ def greedy_tracks(nodes: DataFrame, edges: DataFrame, *, min_score: float | None
 
     def step(key, pdf, state):
         walks = OpenTracks(int(key[0]), int(key[1]), min_score, second, prefix, state)
-        for t, part in pdf.groupby("t", sort=True):
-            labels = sorted(int(x) for x in part.loc[part["type"].isna(), "label"].unique())
-            known: dict[int, list] = {}
-            for r in part[part["type"].notna()].itertuples(index=False):
-                to = None if pd.isna(r.dst_label) else int(r.dst_label)
-                known.setdefault(int(r.label), []).append((float(r.score), r.type, to))
-            walks.frame(int(t), labels, known)
+        kinds = pdf["type"].where(pdf["type"].notna(), "").tolist()
+        to = pdf["dst_label"].fillna(-1).astype(int).tolist()
+        rows_at = sorted(zip(pdf["t"].tolist(), pdf["label"].tolist(), kinds, to, pdf["score"].tolist()), key=lambda r: r[0])
+        for t, part in groupby(rows_at, key=lambda r: r[0]):
+            labels, known = set(), {}
+            for _, label, kind, dst, score in part:
+                if kind:
+                    known.setdefault(label, []).append((score, kind, None if dst < 0 else dst))
+                else:
+                    labels.add(label)
+            walks.frame(t, sorted(labels), known)
         return as_rows(walks.rows), walks.state()
 
     return in_blocks(rows, step, TRACK, block=block, times=nodes)
