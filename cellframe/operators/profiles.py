@@ -12,6 +12,11 @@ from .filters import fl_frames
 from .regions import REGION
 
 
+def _edge(limit: Column) -> Column:
+    """A band limit, rounded like the positions, so that pixels on it fall the same way everywhere."""
+    return F.round(limit, 9)
+
+
 def _on_axes(pixels: DataFrame, labels: DataFrame, obs: DataFrame) -> DataFrame:
     """Region pixels with their position along (``u``, growing with y) and across (``w``) the region's long axis.
 
@@ -26,7 +31,7 @@ def _on_axes(pixels: DataFrame, labels: DataFrame, obs: DataFrame) -> DataFrame:
 
 def _dense(rows: DataFrame, ends: DataFrame, keys: list[str], half: Column) -> DataFrame:
     """Profile rows ``keys, pos, value`` from -half to half, zero where no pixel falls."""
-    grid = ends.withColumn("_h", F.floor(half)).withColumn("_k", F.explode(F.sequence(-F.col("_h"), F.col("_h"))))
+    grid = ends.withColumn("_h", F.floor(_edge(half))).withColumn("_k", F.explode(F.sequence(-F.col("_h"), F.col("_h"))))
     return grid.join(rows, [*keys, "_k"], "left").select(
         *keys, (F.col("_k") + F.col("_h")).alias("pos"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
@@ -38,7 +43,7 @@ def axis_profile(pixels: DataFrame, labels: DataFrame, obs: DataFrame, *, pad: f
     """
     at = _on_axes(pixels, labels, obs)
     half = (F.col("length") + pad) / 2
-    rows = at.where((F.abs("w") <= F.col("width") * band / 2) & (F.abs("u") <= half)).groupBy(*REGION, F.rint("u").cast("long").alias("_k")) \
+    rows = at.where((F.abs("w") <= _edge(F.col("width") * band / 2)) & (F.abs("u") <= _edge(half))).groupBy(*REGION, F.rint("u").cast("long").alias("_k")) \
         .agg(F.avg("v").alias("value"))
     return _dense(rows, obs.select(*REGION, "length"), REGION, half)
 
@@ -72,7 +77,7 @@ def cross_profiles(pixels: DataFrame, labels: DataFrame, obs: DataFrame, *, band
     places = lambda: F.explode(F.array(*[F.struct(F.lit(n).alias("place"), (F.col("length") * s).alias("_u0"))
                                          for n, s in (("mid", 0.0), ("quarter1", -0.25), ("quarter2", 0.25))])).alias("_e")
     half = (F.col("width") + pad) / 2
-    rows = at.select("*", places()).where((F.abs(F.col("u") - F.col("_e._u0")) <= band / 2) & (F.abs("w") <= half))
+    rows = at.select("*", places()).where((_edge(F.abs(F.col("u") - F.col("_e._u0"))) <= band / 2) & (F.abs("w") <= _edge(half)))
     rows = rows.groupBy(*REGION, F.col("_e.place").alias("place"), F.rint("w").cast("long").alias("_k")).agg(F.avg("v").alias("value"))
     ends = obs.select(*REGION, "length", "width").select("*", places()).select(*REGION, "width", F.col("_e.place").alias("place"))
     return _dense(rows, ends, [*REGION, "place"], half)

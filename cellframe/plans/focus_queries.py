@@ -128,9 +128,9 @@ _AXIS = """ax AS (SELECT l.fov, l.peak, l.t, l.label, p.v, r.major AS len, r.min
   FROM labels l JOIN pixels p USING (fov, peak, t, y, x) JOIN regions r USING (fov, peak, t, label)),
 hs AS (SELECT unnest(range(-40, 41)) AS k)"""
 _PROF = _AXIS + """,
-pv AS (SELECT fov, peak, t, label, round_even(u, 0) AS k, avg(v) AS value FROM ax WHERE abs(w) <= wid*1.25/2 AND abs(u) <= (len + 4)/2 GROUP BY ALL),
-prof AS (SELECT r.fov, r.peak, r.t, r.label, hs.k + floor((r.major + 4)/2) AS pos, coalesce(pv.value, 0) AS value FROM regions r
-  JOIN hs ON abs(hs.k) <= floor((r.major + 4)/2) LEFT JOIN pv ON pv.fov = r.fov AND pv.peak = r.peak AND pv.t = r.t AND pv.label = r.label AND pv.k = hs.k)"""
+pv AS (SELECT fov, peak, t, label, round_even(u, 0) AS k, avg(v) AS value FROM ax WHERE abs(w) <= round(wid*1.25/2, 9) AND abs(u) <= round((len + 4)/2, 9) GROUP BY ALL),
+prof AS (SELECT r.fov, r.peak, r.t, r.label, hs.k + floor(round((r.major + 4)/2, 9)) AS pos, coalesce(pv.value, 0) AS value FROM regions r
+  JOIN hs ON abs(hs.k) <= floor(round((r.major + 4)/2, 9)) LEFT JOIN pv ON pv.fov = r.fov AND pv.peak = r.peak AND pv.t = r.t AND pv.label = r.label AND pv.k = hs.k)"""
 
 
 def _profile(d):
@@ -153,9 +153,9 @@ def _(d):
 
 @query("p10_cross_profiles", REG + "place:s pos:l value:d", f"""{_AXIS},
 pl AS (SELECT 'mid' AS place, 0.0E0 AS s UNION ALL SELECT 'quarter1', -0.25E0 UNION ALL SELECT 'quarter2', 0.25E0),
-cv AS (SELECT fov, peak, t, label, place, round_even(w, 0) AS k, avg(v) AS value FROM ax, pl WHERE abs(u - len*s) <= 1 AND abs(w) <= (wid + 4)/2 GROUP BY ALL) ----
-SELECT r.fov, r.peak, r.t, r.label, pl.place, hs.k + floor((r.minor + 5)/2) AS pos, coalesce(cv.value, 0) AS value FROM regions r JOIN pl ON true
-JOIN hs ON abs(hs.k) <= floor((r.minor + 5)/2)
+cv AS (SELECT fov, peak, t, label, place, round_even(w, 0) AS k, avg(v) AS value FROM ax, pl WHERE round(abs(u - len*s), 9) <= 1 AND abs(w) <= round((wid + 4)/2, 9) GROUP BY ALL) ----
+SELECT r.fov, r.peak, r.t, r.label, pl.place, hs.k + floor(round((r.minor + 5)/2, 9)) AS pos, coalesce(cv.value, 0) AS value FROM regions r JOIN pl ON true
+JOIN hs ON abs(hs.k) <= floor(round((r.minor + 5)/2, 9))
 LEFT JOIN cv ON cv.fov = r.fov AND cv.peak = r.peak AND cv.t = r.t AND cv.label = r.label AND cv.place = pl.place AND cv.k = hs.k""", uses="regions")
 def _(d):
     return p.cross_profiles(d.pixels, d.labels, _obs(d), band=2, pad=4)
