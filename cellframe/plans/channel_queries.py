@@ -101,7 +101,7 @@ def _(d):
 
 
 def _label_shifts(d):
-    # one moving reference per field of view: the drift of the first label's row sum
+    # a drift per field of view and frame, from the mean position of the bright pixels
     return d.labels.groupBy("fov", "t").agg(F.floor(F.avg("y") * 4 - 12).alias("dy"), F.floor(F.avg("x") * 4 - 12).alias("dx"))
 
 
