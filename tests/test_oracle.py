@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cellframe.plans import all_oracles as oracle_sql, all_queries as queries
 from check import compare, connect
 from conftest import SF
 
