@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, secrets
+from . import bpe, decontaminate, linededup, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,34 @@ def op3_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secrets.listed(F.col("spans"), True), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans"), False).alias("spans"), number("guess"))
+
+
+@query
+def op2_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return cleaned.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"),
+                          F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
+
+
+ORACLES["op2_line_hashing"] = rf"""
+WITH cuts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{linededup.UNIT}') AS parts FROM documents),
+units AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cuts),
+placed AS (
+  SELECT doc_id, i, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop,
+    trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS norm
+  FROM units),
+ranked AS (
+  SELECT *, len(string_split(norm, ' ')) >= {linededup.LEAST} AND norm <> ''
+    AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, stop) > 1 AS gone
+  FROM placed),
+summed AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg((stop - length(part))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop) FILTER (gone), '') AS removed,
+    coalesce(string_agg(part, '' ORDER BY stop) FILTER (NOT gone), '') AS kept
+  FROM ranked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CAST(length(coalesce(kept, '')) AS BIGINT) AS n_chars_left,
+  sha256(coalesce(kept, '')) AS left_sha256
+FROM cuts LEFT JOIN summed USING (doc_id)
+"""
