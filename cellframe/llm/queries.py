@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, neardup, quality, secrets
+from . import bpe, decontaminate, fingerprint, linededup, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS rem
   sha256(coalesce(kept, '')) AS left_sha256
 FROM cuts LEFT JOIN summed USING (doc_id)
 """
+
+
+@query
+def op1_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
