@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, linededup, neardup, quality, secrets
+from . import bpe, decontaminate, fingerprint, fixity, linededup, maintext, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,44 @@ FROM cuts LEFT JOIN summed USING (doc_id)
 @query
 def op1_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = maintext.extract(pages.select("page_id", "url", "html"), *maintext.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+# damage of the second copy: a changed character, a blanked page, and files that lack their end
+_DAMAGE = """CASE WHEN page_id % 97 = 5 THEN concat(left(html, 9), '#', substring(html, 11, length(html) - 10))
+  WHEN page_id % 101 = 7 THEN repeat(' ', CAST({size}(html) AS INT)) ELSE html END"""
+_LOST = "page_id % 512 >= 480 AND floor(page_id / 512e0) % 7 = 3"
+
+
+@query
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    copy = pages.where(F.expr(f"NOT coalesce({_LOST}, false)")).withColumn("html", F.expr(_DAMAGE.format(size="octet_length")))
+    found = fixity.audit(fixity.manifest(pages), fixity.manifest(copy))
+    return found.select("file", "place", F.col("id").alias("page_id"), "start", "stop", "sha256", "replica_sha256", "state")
+
+
+def _manifest_sql(name: str, rows: str) -> str:
+    line = "chr(13) || chr(10)"
+    return rf"""{name} AS (
+  SELECT CAST(floor(page_id / 512e0) AS BIGINT) AS file, row_number() OVER w - 1 AS place, page_id, CAST(sum(strlen(body)) OVER w AS BIGINT) AS stop,
+    strlen(body) AS size, sha256(body) AS sha256
+  FROM (SELECT page_id, url, 'WARC/1.0' || {line} || 'WARC-Type: resource' || {line} || 'WARC-Target-URI: ' || coalesce(url, '') || {line}
+      || 'Content-Length: ' || strlen(coalesce(html, '')) || {line} || {line} || coalesce(html, '') || {line} || {line} AS body FROM {rows})
+  WINDOW w AS (PARTITION BY floor(page_id / 512e0) ORDER BY page_id ROWS UNBOUNDED PRECEDING))"""
+
+
+ORACLES["op7_merkle_audit"] = f"""
+WITH copy_pages AS (SELECT page_id, url, {_DAMAGE.format(size="strlen")} AS html FROM pages WHERE NOT coalesce({_LOST}, false)),
+{_manifest_sql("a", "pages")}, {_manifest_sql("b", "copy_pages")}
+SELECT a.file, a.place, a.page_id, a.stop - a.size AS start, a.stop, a.sha256, b.sha256 AS replica_sha256,
+  CASE WHEN b.sha256 IS NULL THEN 'missing' ELSE 'changed' END AS state
+FROM a LEFT JOIN b ON a.file = b.file AND a.place = b.place
+WHERE b.sha256 IS NULL OR a.sha256 <> b.sha256 OR a.stop <> b.stop OR a.size <> b.size
+"""
