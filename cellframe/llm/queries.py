@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, fixity, linededup, maintext, neardup, quality, secrets
+from . import bpe, decontaminate, fingerprint, fixity, linededup, lm, maintext, neardup, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,8 @@ SELECT a.file, a.place, a.page_id, a.stop - a.size AS start, a.stop, a.sha256, b
 FROM a LEFT JOIN b ON a.file = b.file AND a.place = b.place
 WHERE b.sha256 IS NULL OR a.sha256 <> b.sha256 OR a.stop <> b.stop OR a.size <> b.size
 """
+
+
+@query
+def op6_recurrent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10) == 0)
