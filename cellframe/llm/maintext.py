@@ -5,8 +5,8 @@ weight, which grows with how often tags of its name and side (opening or closing
 the main element of labelled pages: pages that have exactly one ``article`` or ``main`` element
 label themselves, and every such page is counted. One factor for all weights is chosen on a
 bounded sample of these pages (``SAMPLE``, those of smallest id hash) so that regions agree best with
-the labels. A linear scan then finds the contiguous region of largest score, and what the
-region holds of menus, adverts, forms and the like is left out.
+the labels. A linear scan then finds the contiguous region of largest score. What stands in menus, adverts,
+forms and the like scores nothing, but for their own tags, and is left out of the text.
 
 Scripts, styles, comments and the head are never text. Character references are decoded, white
 space inside a block becomes one space, and blocks are joined by one space. A null or empty
@@ -91,14 +91,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def scores(parts: list[tuple[str, str, bool, bool]], weights: dict[str, float], factor: float) -> list[float]:
-    out = []
-    for tag, text, _, aside in parts:
-        if tag:
-            out.append(-factor * weights.get(tag, UNSEEN))
-        else:
-            words = len(text.split())
-            out.append(float(-words if aside else words))
-    return out
+    """Scores of the sequence; what is put aside counts for nothing but its first and last tag."""
+    return [0.0 if aside else -factor * weights.get(tag, UNSEEN) if tag else float(len(text.split())) for tag, text, _, aside in parts]
 
 
 def best_region(values: list[float]) -> tuple[int, int]:
