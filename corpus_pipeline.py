@@ -31,9 +31,9 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8), the document of smallest id stays, once."""
+    """Of each group of near duplicates (five words, similarity 0.8), the document of smallest id stays, once; null ids come last."""
     found = neardup.near_duplicates(docs, n=5, percent=80)
-    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("row"))
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")).alias("row"))
     first = cut(first.select(F.col("row.h1").alias("_h1"), F.col("row.h2").alias("_h2")).distinct())
     worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     kept = _named(docs.where(worded)).join(first, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
@@ -54,11 +54,15 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its byte-level BPE ids; a document whose ids do not decode to its text is an error."""
+    """Each document with its byte-level BPE ids; a document whose ids do not decode to its text is an error.
+
+    Columns ``ids`` and ``n_tokens`` of the documents are replaced.
+    """
+    columns = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     coded = bpe.encode(docs, *vocabulary(spark), ids="_ids", decoded="_decoded")
     same = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("_decoded")
     ids = F.when(same, F.col("_ids")).otherwise(F.raise_error(F.lit("ids do not decode to their text")).cast("array<int>"))
-    return coded.select(*docs.columns, F.size("_ids").cast("long").alias("n_tokens"), ids.alias("ids"))
+    return coded.select(*columns, F.size("_ids").cast("long").alias("n_tokens"), ids.alias("ids"))
 
 
 STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicate_filter), ("decontamination", decontamination),
