@@ -24,6 +24,15 @@ def _slice(at: str, span: int) -> Column:
     return F.floor(F.col(at) / F.lit(span))
 
 
+def _sliced(df: DataFrame, keys: Sequence[str], at: str, span: int) -> DataFrame:
+    """Rows with their slice ``_s`` and one key ``_g`` of group and slice.
+
+    The key is a struct, which is equal where its fields are equal or both null: rows with a
+    null key or a null order value form groups and slices of their own, as in a plain window.
+    """
+    return df.withColumn("_s", _slice(at, span)).withColumn("_g", F.struct(*keys, "_s"))
+
+
 def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str],
               *, back: bool = True, span: int = SPAN) -> DataFrame:
     """Add the previous (or next) row's columns: ``cols`` maps column to new name.
@@ -31,18 +40,18 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: di
     ``order[0]`` must be numeric (a time); the order must be total within ``keys``.
     """
     keys, order = list(keys), list(order)
-    sliced = df.withColumn("_s", _slice(order[0], span))
-    inside = Window.partitionBy(*keys, "_s").orderBy(*order)
+    sliced = _sliced(df, keys, order[0], span)
+    inside = Window.partitionBy("_g").orderBy(*order)
     pick = F.lag if back else F.lead
     payload = F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
     # the slice's row nearest to the neighbouring slice
     edge = F.max_by if back else F.min_by
-    edges = sliced.groupBy(*keys, "_s").agg(edge(payload, F.struct(*order)).alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy("_s")
-    edges = edges.select(*keys, "_s", pick("_edge").over(across).alias("_carry"))
+    edges = sliced.groupBy("_g").agg(edge(payload, F.struct(*order)).alias("_edge"))
+    across = Window.partitionBy(*[F.col("_g")[k] for k in keys]).orderBy(F.col("_g._s"))
+    edges = edges.select("_g", pick("_edge").over(across).alias("_carry"))
     local = sliced.withColumn("_local", pick(payload).over(inside))
     near = F.coalesce("_local", "_carry")
-    joined = local.join(edges, [*keys, "_s"])
+    joined = local.join(edges, "_g")
     return joined.select(*df.columns, *[near[n].alias(n) for n in cols.values()])
 
 
@@ -55,17 +64,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, index:
     """
     keys, order = list(keys), list(order)
     sums, tops = dict(sums or {}), dict(tops or {})
-    sliced = df.withColumn("_s", _slice(order[0], span))
-    inside = Window.partitionBy(*keys, "_s").orderBy(*order)
+    sliced = _sliced(df, keys, order[0], span)
+    inside = Window.partitionBy("_g").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    per_slice = sliced.groupBy(*keys, "_s").agg(
+    per_slice = sliced.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_sum_{n}") for c, n in sums.items()],
         *[F.max(c).alias(f"_max_{n}") for c, n in tops.items()])
-    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy(*[F.col("_g")[k] for k in keys])
+    before = group.orderBy(F.col("_g._s")).rowsBetween(Window.unboundedPreceding, -1)
     per_slice = per_slice.select(
-        *keys, "_s", *[F.sum(f"_sum_{n}").over(group).alias(f"{n}_all") for n in sums.values() if totals], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
+        "_g", *[F.sum(f"_sum_{n}").over(group).alias(f"{n}_all") for n in sums.values() if totals], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_sum0_{n}") for n in sums.values()],
         *[F.max(f"_max_{n}").over(before).alias(f"_max0_{n}") for n in tops.values()])
     local = sliced
@@ -82,7 +91,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, index:
     # greatest skips nulls
     out += [F.greatest(F.col(f"_m_{n}"), F.col(f"_max0_{n}")).alias(n) for n in tops.values()]
     out += [F.col(f"{n}_all") for n in sums.values() if totals]
-    return local.join(per_slice, [*keys, "_s"]).select(*out)
+    return local.join(per_slice, "_g").select(*out)
 
 
 def ranged(df: DataFrame, *cols: str) -> DataFrame:
@@ -100,16 +109,16 @@ def positions(df: DataFrame, by: Sequence[str], value: str, weight: str) -> Data
     slices are range partitions, not fixed widths.
     """
     by = list(by)
-    placed = ranged(df, *by, value)
-    per_part = placed.groupBy(*by, "_part").agg(F.sum(weight).alias("_w"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged(df, *by, value).withColumn("_g", F.struct(*by, "_part"))
+    per_part = placed.groupBy("_g").agg(F.sum(weight).alias("_w"))
+    group = Window.partitionBy(*[F.col("_g")[b] for b in by]) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy(F.col("_g._part")).rowsBetween(Window.unboundedPreceding, -1)
     # one row per group and range partition
-    per_part = per_part.select(*by, "_part", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"),
+    per_part = per_part.select("_g", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_off"),
                                F.sum("_w").over(group).alias("_total"))
-    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_g").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    return (local.join(per_part, [*by, "_part"])
+    return (local.join(per_part, "_g")
             .select(*by, value, weight, (F.col("_in") + F.col("_off")).alias("_before"), "_total"))
 
 

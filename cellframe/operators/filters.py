@@ -105,27 +105,57 @@ def cutoffs(df: DataFrame, *, col: str, method: str = "mean", plo: float = 1, ph
         mu, d = F.avg(x), F.stddev_pop(x)
         return df.agg(F.exp(mu - plo * d).alias("lo"), F.exp(mu + phi * d).alias("hi"))
     if method == "median":
-        q = quantiles(df, [col], {"a": 0.25, "m": 0.5, "b": 0.75})
+        q = quantiles(df, [col], {"a": 0.25, "m": 0.5, "b": 0.75}).agg(*[F.max(c).alias(c) for c in "amb"])
         return q.select((F.col("m") - plo * (F.col("b") - F.col("a"))).alias("lo"),
                         (F.col("m") + phi * (F.col("b") - F.col("a"))).alias("hi"))
     if method == "median-min":
         mid = quantiles(df, [col], {"m": 0.5})
         m = one_row(mid, m=F.max("m"))["m"]
-        spread = quantiles(df.select(F.abs(F.col(col) - m).alias("_dev")), ["_dev"], {"mad": 0.5})
+        spread = quantiles(df.select(F.abs(F.col(col) - m).alias("_dev")), ["_dev"], {"mad": 0.5}).agg(F.max("mad").alias("mad"))
         return spread.select((m + plo * F.col("mad")).alias("lo"), F.lit(None).cast("double").alias("hi"))
     raise ValueError(f"unknown method {method!r}")
 
 
+def _bounds(df: DataFrame, asked: Mapping[str, Mapping]) -> dict[str, tuple[Column, Column]]:
+    """Bounds of many attributes as :func:`cutoffs` gives them: one aggregation, and one or two quantile passes for all."""
+    def of(*methods):
+        return [c for c, p in asked.items() if p["method"] in methods]
+
+    unknown = set(asked) - set(of("mean", "logmean", "median", "median-min"))
+    if unknown:
+        raise ValueError(f"unknown method {asked[unknown.pop()]['method']!r}")
+    none, out, sums = F.lit(None).cast("double"), {}, {}
+    for c in of("mean", "logmean"):
+        x = F.col(c) if asked[c]["method"] == "mean" else F.when(F.col(c) > 0, F.log(c))
+        sums |= {f"m_{c}": F.avg(x), f"d_{c}": F.stddev_pop(x)}
+    row = one_row(df, **sums) if sums else None
+    for c in of("mean", "logmean"):
+        lo, hi = row[f"m_{c}"] - asked[c]["plo"] * row[f"d_{c}"], row[f"m_{c}"] + asked[c]["phi"] * row[f"d_{c}"]
+        out[c] = (lo, hi) if asked[c]["method"] == "mean" else (F.exp(lo), F.exp(hi))
+    if ranked := of("median", "median-min"):
+        q = quantiles(df, ranked, {"a": 0.25, "m": 0.5, "b": 0.75})
+        row = one_row(q, **{f"{k}_{c}": F.max(F.when(F.col("name") == c, F.col(k))) for c in ranked for k in "amb"})
+        for c in of("median"):
+            spread = row[f"b_{c}"] - row[f"a_{c}"]
+            out[c] = (row[f"m_{c}"] - asked[c]["plo"] * spread, row[f"m_{c}"] + asked[c]["phi"] * spread)
+    if least := of("median-min"):
+        apart = quantiles(df.select(*[F.abs(F.col(c) - row[f"m_{c}"]).alias(c) for c in least]), least, {"mad": 0.5})
+        mad = one_row(apart, **{c: F.max(F.when(F.col("name") == c, F.col("mad"))) for c in least})
+        out |= {c: (row[f"m_{c}"] + asked[c]["plo"] * mad[c], none) for c in least}
+    return out
+
+
 def filter_by_cutoffs(cells: DataFrame, *, spec: Mapping[str, Mapping]) -> DataFrame:
     """Keep cells that are not below ``lo`` and not above ``hi`` of any attribute (missing values stay).
 
     Each entry gives ``xlo``/``xhi`` directly, or ``method``/``plo``/``phi`` for :func:`cutoffs`.
     """
+    asked = {c: {"plo": 1, "phi": 1, **p} for c, p in spec.items() if "method" in p}
+    bounds = _bounds(cells, asked) if asked else {}
     keep = F.lit(True)
     for col, par in spec.items():
         if "method" in par:
-            row = one_row(cutoffs(cells, col=col, **par), lo=F.max("lo"), hi=F.max("hi"))
-            lo, hi = row["lo"], row["hi"]
+            lo, hi = bounds[col]
         else:
             lo = F.lit(par.get("xlo")).cast("double")
             hi = F.lit(par.get("xhi")).cast("double")
@@ -137,7 +167,7 @@ def cutoff_summary(cells: DataFrame, *, cols: Sequence[str]) -> DataFrame:
     """Median, interquartile range and population standard deviation: one row per attribute."""
     q = quantiles(cells, cols, {"a": 0.25, "median": 0.5, "b": 0.75})
     std = cells.agg(*[F.stddev_pop(c).alias(c) for c in cols]).unpivot([], list(cols), "name", "std")
-    return q.join(std, "name").select("name", "median", (F.col("b") - F.col("a")).alias("iqr"), "std")
+    return std.join(q, "name", "left").select("name", "median", (F.col("b") - F.col("a")).alias("iqr"), "std")
 
 
 def has_cycle(cells: DataFrame) -> DataFrame:

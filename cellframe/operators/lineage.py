@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage_cut import cut
+from ..functions.lineage_cut import Rounds, cut, doublings
 from ..functions.ordered import neighbour, running
 from .filters import analysed
 
@@ -40,13 +40,15 @@ def first_child_edges(cells: DataFrame) -> DataFrame:
 def resolve(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """Follow ``edges(id, to)`` to the end: ``cell_id, end, steps``, for every cell of ``ids``.
 
-    Rows that have arrived leave the loop, so the many cells below one root do not
-    meet at that root's key again and again.
+    ``ids`` must hold every node on the way. Rows that have arrived leave the loop, so the
+    many cells below one root do not meet at that root's key again and again. Ids that form
+    a cycle are an error.
     """
-    state = cut(ids.join(edges, F.col("cell_id") == F.col("id"), "left").select(
+    first = cut(ids.join(edges, F.col("cell_id") == F.col("id"), "left").select(
         "cell_id", F.coalesce("to", "cell_id").alias("end"),
         F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"),
         F.col("to").isNull().alias("done")))
+    rounds, state = Rounds(doublings(first.count())), first
     while True:
         open_rows = state.where(~F.col("done"))
         if open_rows.isEmpty():
@@ -56,13 +58,13 @@ def resolve(ids: DataFrame, edges: DataFrame) -> DataFrame:
         moved = open_rows.join(ahead, "end").select(
             "cell_id", F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"),
             F.col("_done").alias("done"))
-        state = cut(state.where("done").unionByName(moved))
+        state = rounds.put(state.where("done").unionByName(moved))
 
 
 def _doubled(jump: DataFrame) -> DataFrame:
     """Compose a jump table with itself."""
     on = jump.select(F.col("id").alias("to"), F.col("to").alias("_to"))
-    return cut(jump.join(on, "to").select("id", F.col("_to").alias("to")))
+    return jump.join(on, "to").select("id", F.col("_to").alias("to"))
 
 
 def ancestors(cells: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -70,11 +72,13 @@ def ancestors(cells: DataFrame, of: DataFrame | None = None) -> DataFrame:
     start = _ids(cells) if of is None else of.select("cell_id")
     reach = start.select("cell_id", F.col("cell_id").alias("ancestor_id"), F.lit(0).cast("long").alias("steps"))
     jump, width = cut(parent_edges(cells)), 1
+    limit = doublings(jump.count())
+    jumps, reached = Rounds(limit), Rounds(limit)
     while not jump.isEmpty():
         further = reach.join(jump, F.col("ancestor_id") == F.col("id")).select(
             "cell_id", F.col("to").alias("ancestor_id"), (F.col("steps") + width).alias("steps"))
-        reach = cut(reach.unionByName(further))
-        jump, width = _doubled(jump), 2 * width
+        reach = reached.put(reach.unionByName(further))
+        jump, width = jumps.put(_doubled(jump)), 2 * width
     return reach.where("steps > 0")
 
 
@@ -82,11 +86,12 @@ def mark_ancestors(edges: DataFrame, of: DataFrame) -> DataFrame:
     """The distinct ancestors of the cells in ``of`` (``cell_id``) along parent edges; never more rows than cells."""
     marks = cut(edges.join(of.select(F.col("cell_id").alias("id")), "id", "left_semi")
                 .select(F.col("to").alias("cell_id")).distinct())
-    jump = edges
+    jump, limit = edges, doublings(edges.count())
+    jumps, marked = Rounds(limit), Rounds(limit)
     while not jump.isEmpty():
         found = jump.join(marks.select(F.col("cell_id").alias("id")), "id", "left_semi").select(F.col("to").alias("cell_id"))
-        marks = cut(marks.unionByName(found).distinct())
-        jump = _doubled(jump)
+        marks = marked.put(marks.unionByName(found).distinct())
+        jump = jumps.put(_doubled(jump))
     return marks
 
 

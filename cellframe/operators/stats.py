@@ -6,23 +6,25 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
 from ..functions.lineage_cut import cut
-from ..functions.ordered import neighbour, one_row, positions, quantiles, running, union_all
+from ..functions.ordered import one_row, positions, quantiles, union_all
 from .cells import RESCALED, rescale
 from .lineage import CHANNEL, connectors
 
 
 def stats_table(df: DataFrame, *, cols: Sequence[str] = RESCALED) -> DataFrame:
     """Mean, sample deviation, coefficient of variation, median, minimum and maximum: one row per column."""
+    df = cut(df.select(*cols))  # the input is read twice but evaluated once
     q = quantiles(df, cols, {"median": 0.5})
     row = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
                             F.max(c).cast("double").alias("max")).alias(c) for c in cols])
     rest = row.unpivot([], list(cols), "name", "_v").select("name", "_v.*")
-    return rest.join(q, "name").withColumn("cv", safe_div(F.col("std"), F.col("mean")))
+    # a column of nulls only has no quantile
+    return rest.join(q, "name", "left").withColumn("cv", safe_div(F.col("std"), F.col("mean")))
 
 
 def group_stats(df: DataFrame, *, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -34,7 +36,8 @@ def group_stats(df: DataFrame, *, by: Sequence[str], cols: Sequence[str]) -> Dat
     rest = long.select(*by, "_e.*").groupBy(*by, "name").agg(
         F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"))
-    return rest.join(q, [*by, "name"])
+    group = F.struct(*by, "name")  # equal where both are null, too
+    return rest.withColumn("_g", group).join(q.withColumn("_g", group).drop(*by, "name"), "_g", "left").drop("_g")
 
 
 class Bins(NamedTuple):
@@ -176,9 +179,11 @@ def trend_derivative(df: DataFrame, *, y: str, x: str = "birth_time", window: fl
 def instant_rate(obs: DataFrame, *, n: int = 1, t_int: float = 1.0, t_shift: float | None = None) -> DataFrame:
     """Mean instantaneous elongation rate per hour by time, from every n-th observation of each cell."""
     pts = obs.select("cell_id", "t", "length")
+    # a cell's frames from birth to division bound its window
+    w = Window.partitionBy("cell_id").orderBy("t")
     if n > 1:
-        pts = cut(running(pts, ["cell_id"], ["t"], index="i").where(F.col("i") % n == 1).drop("i"))
-    prev = neighbour(pts, ["cell_id"], ["t"], {"length": "_l0"}).where("_l0 IS NOT NULL")
+        pts = pts.withColumn("_i", F.row_number().over(w)).where(F.col("_i") % n == 1).drop("_i")
+    prev = pts.withColumn("_l0", F.lag("length").over(w)).where("_l0 IS NOT NULL")
     rate = F.log(F.col("length") / F.col("_l0")) * 60 / n / t_int
     minutes = F.col("t") * t_int - (0.0 if t_shift is None else t_shift * t_int)
     return prev.select(minutes.alias("minutes"), rate.alias("rate")).groupBy("minutes").agg(
@@ -220,8 +225,12 @@ def average_ranks(df: DataFrame, *, key: str, cols: Sequence[str]) -> DataFrame:
     long = long.select(key, "_e.*").where("v IS NOT NULL")
     counts = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
     rank = positions(counts, ["name"], "v", "n").select(
-        "name", "v", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
-    return long.join(rank, ["name", "v"]).groupBy(key).agg(*[
+        "name", "v", (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"), (F.col("n") * 1000 > F.col("_total")).alias("hot"))
+    # values that hold over a thousandth of a column's rows are fewer than a thousand for each
+    # column: they are broadcast, so the shuffled join has no hot key
+    hot = long.join(F.broadcast(rank.where("hot").drop("hot")), ["name", "v"], "left")
+    cold = hot.where("rank IS NULL").drop("rank").join(rank.where("NOT hot").drop("hot"), ["name", "v"])
+    return hot.where("rank IS NOT NULL").unionByName(cold).groupBy(key).agg(*[
         F.max(F.when(F.col("name") == c, F.col("rank"))).alias(c) for c in cols])
 
 

@@ -102,3 +102,20 @@ def test_one_long_line(spark):
     assert chain.count() == n and chain.agg(F.max("length")).first()[0] == n
     # every birth in the channel follows a division
     assert l.connectors(df).count() == n - 1
+
+
+def test_cycles_are_an_error(spark):
+    """Two cells that are each other's parent; superseded rounds are removed."""
+    rows = [(1, 2, 2, None, 1, 0, 1, 1, 0, 1.0, 2.0), (2, 1, 1, None, 1, 1, 2, 1, 0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for walk in (l.generation_gap, l.last_daughter, l.ancestors, lambda c: l.lineages_of_length(c, n_gens=0)):
+        with pytest.raises(ValueError, match="cycle"):
+            walk(df).count()
+
+
+def test_superseded_rounds_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("cellframe.functions.lineage_cut.shared_dir", lambda spark: str(tmp_path))
+    n = 300
+    df = spark.createDataFrame([(i, i - 1 if i else None, i + 1, 10_000 + i, 1, i, i + 1, 1, 0, 1.0, 2.0) for i in range(n)], SCHEMA)
+    assert l.generation_gap(df).count() == n
+    assert len(list(tmp_path.glob("round-*"))) == 1

@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.ordered import neighbour, positions, quantiles, quantiles_long, running
+from cellframe.operators import filters, stats
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +38,27 @@ def test_running(hot):
     np.testing.assert_allclose(got["s_all"].to_numpy(), by.transform("sum").sort_index().to_numpy(), atol=1e-9)
 
 
+def test_null_keys_and_times_stay(spark):
+    """Rows with a null key or a null time are kept and ordered as by a plain window."""
+    rows = [(None, 1, 1.0), (None, 2, 2.0), (1, None, 3.0), (1, 4, 4.0), (1, 1500, 5.0), (None, None, 6.0), (2, 7, None)]
+    df = spark.createDataFrame(rows, "k int, t int, v double")
+    plain = Window.partitionBy("k").orderBy("t")
+    want = df.select("*", F.lag("v").over(plain).alias("near"), F.row_number().over(plain).alias("n"),
+                     F.sum("v").over(plain.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    got = running(neighbour(df, ["k"], ["t"], {"v": "near"}), ["k"], ["t"], index="n", sums={"v": "s"})
+    assert sorted(((r.k, r.t, r.v, r.near, r.n) for r in got.collect()), key=str) == sorted(((r.k, r.t, r.v, r.near, r.n) for r in want.collect()), key=str)
+    placed = positions(df.groupBy("k", "v").agg(F.count("*").alias("w")), ["k"], "v", "w").collect()
+    assert len(placed) == len(rows) and {r["_total"] for r in placed if r.k is None} == {3}
+
+
+def test_columns_of_nulls_keep_their_row(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    got = {r.name: r for r in stats.stats_table(df, cols=("a", "b")).collect()}
+    assert got["a"].median == 1.5 and got["b"].median is None and got["b"].mean is None
+    assert {r.name for r in filters.cutoff_summary(df, cols=("a", "b")).collect()} == {"a", "b"}
+    assert [tuple(r) for r in filters.cutoffs(df, col="b", method="median").collect()] == [(None, None)]
+
+
 def test_quantiles_by_group(hot):
     pdf, df = hot
     got = quantiles(df, ["v", "t"], {"a": 0.1, "m": 0.5, "z": 1.0}, by=["k"]).toPandas()
