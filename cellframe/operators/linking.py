@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import neighbour, union_all
+from ..functions.ordered import union_all
 from .regions import make_id
 
 IMAGE = ["fov", "peak", "t"]
@@ -91,16 +91,15 @@ def divisions(leaves: DataFrame, regions: DataFrame, links: DataFrame, **limits)
 
 # ---- candidate edges ----
 
-EDGE = "struct<t: bigint, src: string, dst: string, src_label: int, dst_label: int, type: string, weight: double>"
-
-
-def track_edges(frames: DataFrame, regions: DataFrame, pairs: DataFrame, single: DataFrame, *, max_cells: int = 6,
+def track_edges(frames: DataFrame, regions: DataFrame, pairs: DataFrame, single: DataFrame, *,
                 born: float = 0.75, appear: float = 0.75, prefix: str = "") -> DataFrame:
     """Typed, scored edges between detections, state nodes, start A and end B.
 
     ``pairs(region keys, next_label, p_migrate, p_child)`` and ``single(region keys,
     p_appear, p_born, p_disappear, p_die)`` carry the class probabilities; ``frames``
-    lists the frames of each channel. The score is the logarithm of the weight.
+    lists the frames of each channel. The score is the logarithm of the weight. Every
+    region is a node; to keep only some of a frame, pass :func:`first_regions` of them here
+    and to the tracker.
     """
     ends = frames.groupBy(*CHANNEL).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     state = lambda name, t: F.format_string(f"{name}_%04d", t)
@@ -120,7 +119,7 @@ def track_edges(frames: DataFrame, regions: DataFrame, pairs: DataFrame, single:
         chain("dies", "die", 1.1), chain("disappear", "disappear", 1.1), chain("born", "born", born), chain("appear", "appear", appear),
         *[edge(state(n, t), end, "end", one, when=last) for n in ("appear", "disappear", "born", "dies")]))).alias("e"))
 
-    named = make_id(regions.where(F.col("label") <= max_cells).select(*REGION), prefix=prefix, name="node")
+    named = make_id(regions.select(*REGION), prefix=prefix, name="node")
     me, lab = F.col("node"), F.col("label")
     # a detection keeps its start and end edges where no class probabilities are given
     alone = named.join(single, REGION, "left").join(ends, CHANNEL)
@@ -166,9 +165,11 @@ FOCUS_EVENTS = ("migrate", "split", "appear", "disappear", "no_data")
 
 def _placed(obs: DataFrame, key: str) -> DataFrame:
     """Observations with the next label of the same object and flags for its first and last one."""
-    out = neighbour(obs.select(key, *REGION), [key], ["t"], {"label": "next_label"}, back=False)
-    first = obs.groupBy(key).agg(F.min("t").alias("_a"), F.max("t").alias("_b"), F.count(F.lit(1)).alias("_n"))
-    return out.join(first, key).withColumns({"first": F.col("t") == F.col("_a"), "last": F.col("t") == F.col("_b")})
+    # an object's frames bound its window; one shuffle by object serves all columns
+    whole = Window.partitionBy(key)
+    out = obs.select(key, *REGION).where(F.col(key).isNotNull()).withColumns({
+        "next_label": F.lead("label").over(whole.orderBy("t")), "_a": F.min("t").over(whole), "_b": F.max("t").over(whole), "_n": F.count(F.lit(1)).over(whole)})
+    return out.withColumns({"first": F.col("t") == F.col("_a"), "last": F.col("t") == F.col("_b")})
 
 
 def _without_gaps(placed: DataFrame) -> DataFrame:

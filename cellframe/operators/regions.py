@@ -113,9 +113,17 @@ def region_pairs(regions: DataFrame) -> DataFrame:
     return a.join(b, IMAGE)
 
 
-def context_window(regions: DataFrame, frames: DataFrame, *, radius: int = 2, top: int = 6,
+def first_regions(regions: DataFrame, *, n: int) -> DataFrame:
+    """The ``n`` regions of each frame with the smallest labels, whatever their values are."""
+    w = Window.partitionBy(*IMAGE).orderBy("label")
+    return regions.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_i")
+
+
+def context_window(regions: DataFrame, frames: DataFrame, *, top: int, radius: int = 2,
                    features: Sequence[str] = ("area", "y", "x", "min_y", "min_x", "max_y", "max_x", "orientation", "major")) -> DataFrame:
-    """Features of the first ``top`` labels in the frames around each frame, zero where there is none.
+    """Features of the labels 1 to ``top`` in the frames around each frame, zero where there is none.
+
+    A row of slots has a fixed length, which the caller names; larger labels have no slot.
 
     One row per frame, offset and label slot: ``fov, peak, t, offset, label, features``.
     """

@@ -1,72 +1,70 @@
-"""Sequential trackers, run per channel over blocks of frames.
+"""Sequential trackers, run over the sorted frames of each channel.
 
-A tracker needs a channel's frames in order, but never a whole channel at once: the
-frames are processed in blocks, and only the open cells travel from block to block
-(through a table in the checkpoint folder). A task holds one block of one channel, which the
-block length and the 255 labels of a frame bound; ordinary channels fit one block.
+A tracker needs a channel's frames in order, but never a whole channel at once: channels are
+dealt to tasks once, rows are sorted by channel and frame, and a task streams over them with
+only the open cells of one channel and one frame (at most 255 labels) in memory.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage_cut import cut
-from ..functions.ordered import union_all
-
 CHANNEL = ["fov", "peak"]
-BLOCK = 2000  # frames per task
 TRACK = "fov int, peak int, cell_id string, parent_id string, t int, label int, event string"
+FLUSH = 10_000  # output rows of a batch
 
 # fixed values: default limits of the tracker
 LIMITS = dict(lost_time=3, new_y=150.0, new_label=4, max_len=1.3, min_len=0.8, max_area=1.3, min_area=0.8)
 
 
-def in_blocks(df: DataFrame, step: Callable[[tuple, pd.DataFrame, str | None], tuple[pd.DataFrame, str]], schema: str, *,
-              block: int = BLOCK, times: DataFrame | None = None) -> DataFrame:
-    """Run ``step(key, rows, state) -> (output, state)`` over the channels, block of frames by block of frames.
+def frames(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((fov, peak, t), rows) of sorted batches; a frame that ends in a later batch comes out whole."""
+    key, held = None, []
+    for pdf in batches:
+        rows = zip(*[pdf[c].tolist() for c in pdf.columns])
+        for k, part in groupby(rows, key=lambda r: r[:3]):
+            if k != key:
+                if held:
+                    yield key, held
+                key, held = k, []
+            held.extend(part)
+    if held:
+        yield key, held
 
-    ``times`` may name a smaller table with the same range of frames.
-    """
-    names = [f.split()[0] for f in schema.split(", ")]
-    full = f"{schema}, _state string"
-    lo, hi = (df if times is None else times).agg(F.min("t"), F.max("t")).first()
-    if lo is None:
-        return df.sparkSession.createDataFrame([], schema)
 
-    def alone(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return step(key, rows, None)[0]
+def in_order(df: DataFrame, start: Callable[[int, int], object], step: Callable[[object, int, list[tuple]], None]) -> DataFrame:
+    """Walk over the frames of every channel: ``start(fov, peak)`` makes a walker, ``step(walker, t, rows)`` takes it one frame on.
 
+    ``df`` begins with fov, peak and t; a walker collects its output in ``rows``. Rows without
+    a channel, time or label have no place in an order and are left out.
+    """
     # a fixed number of partitions: the rows are few but the work on them is not, so
     # small partitions must not be merged
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if lo // block == hi // block:
-        return df.repartition(tasks, *CHANNEL).groupBy(*CHANNEL).applyInPandas(alone, schema)
-
-    def carried(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        before = state["_state"].iloc[0] if len(state) else None
-        if len(rows) == 0:
-            out, after = rows.iloc[0:0], before
-        else:
-            out, after = step(key, rows, before)
-        tail = pd.DataFrame([{"fov": key[0], "peak": key[1], "_state": after}])
-        return pd.concat([out, tail], ignore_index=True).reindex(columns=[*names, "_state"])
-
-    state = df.sparkSession.createDataFrame([], "fov int, peak int, _state string")
-    done = []
-    for b in range(lo // block, hi // block + 1):
-        part = df.where((F.col("t") >= b * block) & (F.col("t") < (b + 1) * block)).repartition(tasks, *CHANNEL)
-        both = part.groupBy(*CHANNEL).cogroup(state.groupBy(*CHANNEL)).applyInPandas(carried, full)
-        both = cut(both)
-        done.append(both.where("_state IS NULL").select(*names))
-        state = both.where("_state IS NOT NULL").select(*CHANNEL, "_state")
-    return union_all(done)
+    whole = df.where("fov IS NOT NULL AND peak IS NOT NULL AND t IS NOT NULL AND label IS NOT NULL")
+    placed = whole.repartition(tasks, *CHANNEL).sortWithinPartitions(*CHANNEL, "t", "label")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walker, channel, out = None, None, []
+        for (fov, peak, t), rows in frames(batches):
+            if (fov, peak) != channel:
+                channel, walker = (fov, peak), start(int(fov), int(peak))
+            step(walker, int(t), rows)
+            out += walker.rows
+            walker.rows = []
+            if len(out) >= FLUSH:
+                yield as_rows(out)
+                out = []
+        yield as_rows(out)
+
+    return placed.mapInPandas(run, TRACK)
 
 
 def cell_name(fov: int, peak: int, t: int, label: int, prefix: str = "") -> str:
@@ -183,10 +181,11 @@ def as_rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["fov", "peak", "cell_id", "parent_id", "t", "label", "event"])
 
 
-REGION_COLUMNS = ("fov", "peak", "t", "label", "y", "min_y", "max_y", "area", "length")
+SHAPE = ("label", "y", "min_y", "max_y", "area", "length")
+REGION_COLUMNS = ("fov", "peak", "t", *SHAPE)
 
 
-def track(regions: DataFrame, *, block: int = BLOCK, **limits) -> DataFrame:
+def track(regions: DataFrame, **limits) -> DataFrame:
     """Standard lineage tracker: one row per region taken up by a cell.
 
     ``event`` is start (new cell), grow or daughter (with its ``parent_id``). Regions that fit
@@ -194,13 +193,10 @@ def track(regions: DataFrame, *, block: int = BLOCK, **limits) -> DataFrame:
     """
     p = {**LIMITS, **limits}
 
-    def step(key, rows, state):
-        cells = OpenCells(int(key[0]), int(key[1]), p, state)
-        for t, regions_at in by_frame(rows):
-            cells.frame(t, regions_at)
-        return as_rows(cells.rows), cells.state()
+    def step(cells, t, rows):
+        cells.frame(t, [dict(zip(SHAPE, (int(r[3]), *map(float, r[4:])))) for r in rows])
 
-    return in_blocks(regions.select(*REGION_COLUMNS), step, TRACK, block=block)
+    return in_order(regions.select(*REGION_COLUMNS), lambda fov, peak: OpenCells(fov, peak, p), step)
 
 
 def tracked_cells(tracks: DataFrame) -> DataFrame:
@@ -224,15 +220,11 @@ class OpenTracks:
     after the other.
     """
 
-    def __init__(self, fov: int, peak: int, min_score: float | None, second: float | None, prefix: str, state: str | None):
+    def __init__(self, fov: int, peak: int, min_score: float | None, second: float | None, prefix: str):
         self.fov, self.peak, self.min_score, self.second, self.prefix = fov, peak, min_score, second, prefix
-        saved = json.loads(state) if state else {"t": None, "walks": [], "made": {}}
-        self.t, self.walks, self.made = saved["t"], saved["walks"], {int(k): v for k, v in saved["made"].items()}
+        self.t, self.walks, self.made = None, [], {}
         self.rows: list[tuple] = []
 
-    def state(self) -> str:
-        return json.dumps({"t": self.t, "walks": self.walks, "made": self.made})
-
     def _name(self, t: int, label: int) -> str:
         return cell_name(self.fov, self.peak, t, label, self.prefix)
 
@@ -289,7 +281,7 @@ class OpenTracks:
 
 
 def greedy_tracks(nodes: DataFrame, edges: DataFrame, *, min_score: float | None = math.log(0.1),
-                  second: float | None = math.log(0.5), prefix: str = "", block: int = BLOCK) -> DataFrame:
+                  second: float | None = math.log(0.5), prefix: str = "") -> DataFrame:
     """Extract tracks from candidate edges by always following the best unclaimed successor.
 
     An edge below ``min_score`` ends the track as a disappearance; a second daughter needs
@@ -302,19 +294,13 @@ def greedy_tracks(nodes: DataFrame, edges: DataFrame, *, min_score: float | None
         {"type": F.lit(None).cast("string"), "dst_label": F.lit(None).cast("int"), "score": F.lit(None).cast("double")}).unionByName(
         out.select("fov", "peak", F.col("t").cast("int").alias("t"), F.col("src_label").alias("label"), "type", "dst_label", "score"))
 
-    def step(key, pdf, state):
-        walks = OpenTracks(int(key[0]), int(key[1]), min_score, second, prefix, state)
-        kinds = pdf["type"].where(pdf["type"].notna(), "").tolist()
-        to = pdf["dst_label"].fillna(-1).astype(int).tolist()
-        rows_at = sorted(zip(pdf["t"].tolist(), pdf["label"].tolist(), kinds, to, pdf["score"].tolist()), key=lambda r: r[0])
-        for t, part in groupby(rows_at, key=lambda r: r[0]):
-            labels, known = set(), {}
-            for _, label, kind, dst, score in part:
-                if kind:
-                    known.setdefault(label, []).append((score, kind, None if dst < 0 else dst))
-                else:
-                    labels.add(label)
-            walks.frame(t, sorted(labels), known)
-        return as_rows(walks.rows), walks.state()
-
-    return in_blocks(rows, step, TRACK, block=block, times=nodes)
+    def step(walks, t, found):
+        labels, known = set(), {}
+        for _, _, _, label, kind, dst, score in found:
+            if kind:
+                known.setdefault(int(label), []).append((score, kind, None if dst is None or dst != dst else int(dst)))
+            else:
+                labels.add(int(label))
+        walks.frame(t, sorted(labels), known)
+
+    return in_order(rows, lambda fov, peak: OpenTracks(fov, peak, min_score, second, prefix), step)

@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellframe.operators.linking import track_edges
+from cellframe.operators.regions import first_regions
 from cellframe.operators.tracker import REGION_COLUMNS, greedy_tracks, track, tracked_cells
 from cellframe.streaming.tracking import track_stream
 from cellframe.streaming.trends import run_to_table
@@ -149,9 +151,42 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows) == want
 
 
-def test_blocks_change_nothing(spark):
-    rows = movie(7)
-    assert run(spark, rows, block=9) == run(spark, rows)
+@pytest.fixture
+def small_batches(spark):
+    """Frames that end in a later batch, and all channels in one task."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_batches_and_partitions_change_nothing(spark, small_batches):
+    for rows in (movie(7), movie(8) + movie(9)[:0]):
+        want = sorted((x for p in {r[1] for r in rows} for x in brute_track([r for r in rows if r[1] == p])), key=str)
+        assert run(spark, rows) == want
+
+
+def test_rows_without_a_time_are_left_out(spark):
+    rows = movie(3)
+    odd = [(1, 0, None, 1, 5.0, 1.0, 9.0, 4.0, 3.0), (1, 0, 2, None, 5.0, 1.0, 9.0, 4.0, 3.0)]
+    assert run(spark, rows + odd) == run(spark, rows)
+
+
+def test_eight_regions_that_migrate(spark):
+    """More regions than a small model's slots: every one keeps its track."""
+    frames = spark.createDataFrame([(1, 0, t) for t in (1, 2)], "fov int, peak int, t int")
+    regions = spark.createDataFrame([(1, 0, t, a) for t in (1, 2) for a in range(1, 9)], "fov int, peak int, t int, label int")
+    pairs = spark.createDataFrame([(1, 0, 1, a, b, 0.99 if a == b else 0.01, 0.001) for a in range(1, 9) for b in range(1, 9)],
+                                  "fov int, peak int, t int, label int, next_label int, p_migrate double, p_child double")
+    single = spark.createDataFrame([(1, 0, t, a, 0.01, 0.01, 0.01, 0.01) for t in (1, 2) for a in range(1, 9)],
+                                   "fov int, peak int, t int, label int, p_appear double, p_born double, p_disappear double, p_die double")
+    got = greedy_tracks(regions, track_edges(frames, regions, pairs, single)).toPandas()
+    assert sorted(got["event"]) == ["grow"] * 8 + ["start"] * 8 and got["cell_id"].nunique() == 8
+    few = first_regions(regions, n=3)
+    got = greedy_tracks(few, track_edges(frames, few, pairs, single)).toPandas()
+    assert sorted(got["event"]) == ["grow"] * 3 + ["start"] * 3
 
 
 def test_tracks_partition_regions(spark):
@@ -249,8 +284,10 @@ def test_greedy_equals_sequential_walks(spark, seed, limits):
     nodes, edges = graph(seed)
     n = spark.createDataFrame(nodes, "fov int, peak int, t int, label int")
     e = spark.createDataFrame(edges, "fov int, peak int, t int, src_label int, dst_label int, type string, score double")
-    for block in (2000, 3):
-        got = greedy_tracks(n, e, min_score=limits[0], second=limits[1], block=block).toPandas()
+    for rows in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = greedy_tracks(n, e, min_score=limits[0], second=limits[1]).toPandas()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         cells = {}
         for r in got.itertuples():
             if r.event in ("start", "daughter", "grow"):
