@@ -132,7 +132,17 @@ def background_correct(stacks: DataFrame, *, sigma: float = 10) -> DataFrame:
 
 
 def region_pixels(pixels: DataFrame, labels: DataFrame) -> DataFrame:
-    return pixels.join(labels, [*IMAGE, "y", "x"])
+    """Pixels of labelled regions: ``fov, peak, t, y, x, label, v``.
+
+    Tables of whole images (``px``) and label images (``lab``) are joined image by image and
+    spread afterwards, so no pixel is shuffled; tables of pixels are joined pixel by pixel.
+    """
+    if "lab" not in labels.columns:
+        return pixels.join(labels, [*IMAGE, "y", "x"])
+    both = pixels.select(*IMAGE, "width", "px").join(labels.select(*IMAGE, "lab"), IMAGE)
+    flat = both.select(*IMAGE, "width", F.posexplode(F.arrays_zip("px", "lab")).alias("_i", "_e")).where("_e.lab > 0")
+    return flat.select(*IMAGE, F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), (F.col("_i") % F.col("width")).alias("x"),
+                       F.col("_e.lab").alias("label"), F.col("_e.px").alias("v"))
 
 
 def region_intensity(pixels: DataFrame, labels: DataFrame, obs: DataFrame) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, volume
-from ..functions.lineage_cut import cut
-from ..functions.ordered import one_row, running
+from ..functions.ordered import one_row
 
 FLAT = 1e-9  # a series of ln(length) with a smaller spread is constant up to rounding
 
@@ -132,18 +131,18 @@ def bilinear_fit(obs: DataFrame) -> DataFrame:
     """Best two-slope fit of ln(length): shift time, length there, both slopes and r².
 
     Every observation time is tried as the breakpoint. Running sums give the left and
-    right moments of each candidate, so the search is linear in the observations.
+    right moments of each candidate, so the search is linear in the observations. A cell's
+    frames from birth to division bound its window: one shuffle by cell serves all sums.
     """
-    # read three times below
-    pts = cut(obs.select("cell_id", "t", F.log("length").alias("y")))
-    start = pts.groupBy("cell_id").agg(
-        F.min("t").alias("t0"), F.when(F.max("y") - F.min("y") >= FLAT, F.var_pop("y")).alias("vy"))
-    pts = pts.join(start, "cell_id").withColumn("x", (F.col("t") - F.col("t0")).cast("double"))
+    cell = Window.partitionBy("cell_id")
+    upto = cell.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    pts = obs.select("cell_id", "t", F.log("length").alias("y")).withColumns({
+        "t0": F.min("t").over(cell), "vy": F.when(F.max("y").over(cell) - F.min("y").over(cell) >= FLAT, F.var_pop("y").over(cell))})
+    pts = pts.withColumn("x", (F.col("t") - F.col("t0")).cast("double"))
     x, y = F.col("x"), F.col("y")
-    pts = pts.withColumns({"one": F.lit(1.0), "xx": x * x, "xy": x * y, "yy": y * y})
-    m = running(pts, ["cell_id"], ["t"], totals=True,
-                sums={"one": "l1", "x": "lx", "xx": "lxx", "y": "ly", "xy": "lxy", "yy": "lyy"})
-    m = m.withColumnsRenamed({"l1_all": "n", "lx_all": "sx", "lxx_all": "sxx", "ly_all": "sy", "lxy_all": "sxy", "lyy_all": "syy"})
+    terms = {"1": F.lit(1.0), "x": x, "xx": x * x, "y": y, "xy": x * y}
+    m = pts.withColumns({**{f"l{n}": F.sum(e).over(upto) for n, e in terms.items()}, "n": F.sum(F.lit(1.0)).over(cell),
+                         **{f"s{n}": F.sum(e).over(cell) for n, e in {**terms, "yy": y * y}.items() if n != "1"}})
     k, c = F.col("x"), F.col
     su, suu, suy = c("lx") - k * c("l1"), c("lxx") - 2 * k * c("lx") + k * k * c("l1"), c("lxy") - k * c("ly")
     r1, rx, rxx = c("n") - c("l1"), c("sx") - c("lx"), c("sxx") - c("lxx")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import safe_div
+from ..functions.expr import safe_div, volume
 from ..functions.kernels import blurred, laplace_peaks
 from ..functions.lineage_cut import cut
 from .cells import order_daughters
@@ -135,8 +135,19 @@ def link_foci(label_images: DataFrame, valid: DataFrame, *, sigma: float = 1.0,
     return nodes.join(chain, nodes["id"] == chain["cell_id"]).select(*REGION, F.col("end").alias("focus_id"), "steps")
 
 
-def focus_tables(foci: DataFrame, focus_obs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Wide table (one row per focus: first appearance, split, children in order of y) and long table (one row per focus and time).
+def focus_long_table(focus_obs: DataFrame, *, key: str = "cell_id") -> DataFrame:
+    """One row per focus and time with its size, its fluorescence by area and volume, and its place in the cell.
+
+    ``focus_obs``: key, t, length, width, area, seconds, total_fl, median_fl, sd_fl, disp_l, disp_w.
+    """
+    total, size = F.col("total_fl"), volume("length", "width")
+    return focus_obs.select(
+        F.col(key).alias("focus_id"), "t", "length", size.alias("volume"), "area", "seconds", safe_div(total, F.col("area")).alias("area_mean"),
+        safe_div(total, size).alias("volume_mean"), total.alias("total"), F.col("median_fl").alias("median"), F.col("sd_fl").alias("sd"), "disp_l", "disp_w")
+
+
+def focus_tables(foci: DataFrame, focus_obs: DataFrame) -> DataFrame:
+    """Wide table: one row per focus with its first appearance, split and children in order of y.
 
     ``foci(cell_id, parent_id)`` names each focus by ``cell_id``; ``focus_obs`` has ``cell_id, t, label, y``.
     """
@@ -147,4 +158,4 @@ def focus_tables(foci: DataFrame, focus_obs: DataFrame) -> tuple[DataFrame, Data
         .groupBy(F.col("parent_id").alias("cell_id")).agg(F.min("appear_time").alias("split_time"))
     wide = foci.select("cell_id", "parent_id").join(seen, "cell_id").join(kids, "cell_id", "left").join(split, "cell_id", "left")
     wide = wide.withColumn("disappear", F.when(F.col("split_time").isNull(), F.col("last_time")))
-    return wide.withColumnRenamed("cell_id", "focus_id"), focus_obs.withColumnRenamed("cell_id", "focus_id")
+    return wide.withColumnRenamed("cell_id", "focus_id")

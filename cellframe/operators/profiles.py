@@ -71,9 +71,21 @@ def ring(profile: DataFrame) -> DataFrame:
     return both.select(*REGION, "location", "height", "median", F.when(F.col("s") > 0, F.sqrt(spread)).alias("width"))
 
 
-def cross_profiles(pixels: DataFrame, labels: DataFrame, obs: DataFrame, *, band: float = 6, pad: float = 8) -> DataFrame:
-    """Mean intensity across the cell at its middle and both quarters: region keys, ``place, pos, value``."""
-    at = _on_axes(pixels, labels, obs)
+def cross_profiles(pixels: DataFrame, obs: DataFrame, *, band: float = 6, pad: float = 8) -> DataFrame:
+    """Mean intensity across the cell at its middle and both quarters: region keys, ``place, pos, value``.
+
+    The image is read unmasked, so that the margin shows what lies beside the cell; a line
+    starts at its end of smaller x. ``quarter1`` lies towards the smaller y.
+    """
+    axes = obs.select(*REGION, F.col("y").alias("cy"), F.col("x").alias("cx"), "orientation", "length", "width")
+    along, across = axis_distance()
+    seen = pixels.join(axes, REGION[:3])
+    if "px" in pixels.columns:  # whole images: spread after the join
+        seen = pixels.withColumnRenamed("width", "_w").join(axes, REGION[:3]).select("*", F.posexplode("px").alias("_i", "v"))
+        seen = seen.withColumns({"y": F.floor(F.col("_i") / F.col("_w")), "x": F.col("_i") % F.col("_w")})
+    at = seen.select(
+        *REGION, "v", "length", "width", F.round(along * F.when(F.col("orientation") > 0, -1).otherwise(1), 9).alias("u"),
+        F.round(across * F.when(F.sin("orientation") < 0, -1).otherwise(1), 9).alias("w"))
     places = lambda: F.explode(F.array(*[F.struct(F.lit(n).alias("place"), (F.col("length") * s).alias("_u0"))
                                          for n, s in (("mid", 0.0), ("quarter1", -0.25), ("quarter2", 0.25))])).alias("_e")
     half = (F.col("width") + pad) / 2
@@ -83,16 +95,20 @@ def cross_profiles(pixels: DataFrame, labels: DataFrame, obs: DataFrame, *, band
     return _dense(rows, ends, [*REGION, "place"], half)
 
 
-def constriction_time(pixels: DataFrame, labels: DataFrame, obs: DataFrame, *, slice_l: int = 3, slice_w: int = 3) -> DataFrame:
+def constriction_time(pixels: DataFrame, labels: DataFrame, obs: DataFrame, *, margin: int = 3) -> DataFrame:
     """Time at which each cell last bends inwards at its middle, or its last time: ``cell_id, constriction_time``.
 
+    The window reaches half the observation's width and ``margin`` from the centroid, both ways.
+
     The mid-cell intensity by position is fitted by a parabola; on the symmetric grid of
     positions its leading coefficient has the sign of the sum of s·(x² − mean x²).
     """
-    at = _on_axes(pixels, labels, obs).where((F.abs("u") <= slice_l + 0.5) & (F.abs("w") <= slice_w + 0.5))
-    x = F.least(F.greatest(F.rint("u"), F.lit(-slice_l)), F.lit(slice_l))
-    mean = sum(i * i for i in range(-slice_l, slice_l + 1)) / (2 * slice_l + 1)
-    bend = at.groupBy(*REGION).agg(F.round(F.sum(F.col("v") * (x * x - mean)), 6).alias("bend"))
+    at = _on_axes(pixels, labels, obs).withColumn("h", F.rint(_edge(F.col("width") / 2)) + margin)
+    h = F.col("h")
+    at = at.where((F.abs("u") <= h + 0.5) & (F.abs("w") <= h + 0.5))
+    x = F.least(F.greatest(F.rint("u"), -h), h)
+    # the mean of x² over the whole positions from -h to h
+    bend = at.groupBy(*REGION).agg(F.round(F.sum(F.col("v") * (x * x - h * (h + 1) / 3)), 6).alias("bend"))
     seen = obs.select("cell_id", *REGION).join(bend, REGION, "left")
     return seen.groupBy("cell_id").agg(
         F.coalesce(F.max(F.when(F.col("bend") < 0, F.col("t"))), F.max("t")).alias("constriction_time"))

@@ -126,7 +126,7 @@ def _(d):
 
 
 @query("g14_fill_missing_frames", IMG + "source_t:l label:l area:l", """
-f AS (SELECT DISTINCT fov, peak, t FROM pixels), det AS (SELECT * FROM regions WHERE area >= 11),
+f AS (SELECT DISTINCT fov, peak, 3*t + k AS t FROM pixels, (SELECT unnest([-1, 0, 1]) AS k) s), det AS (SELECT * REPLACE (3*t AS t) FROM regions),
 dt AS (SELECT DISTINCT fov, peak, t FROM det),
 src AS (SELECT f.fov, f.peak, f.t, coalesce((SELECT max(t) FROM dt WHERE dt.fov = f.fov AND dt.peak = f.peak AND dt.t <= f.t),
   CASE WHEN f.t = (SELECT min(g.t) FROM f g WHERE g.fov = f.fov AND g.peak = f.peak) THEN
@@ -134,7 +134,9 @@ src AS (SELECT f.fov, f.peak, f.t, coalesce((SELECT max(t) FROM dt WHERE dt.fov
 SELECT s.fov, s.peak, s.t, s.s AS source_t, d.label, d.area FROM src s JOIN det d ON d.fov = s.fov AND d.peak = s.peak AND d.t = s.s""",
        uses="pixels regions")
 def _(d):
-    return c.fill_missing_frames(d.stacks, d.regions.where("area >= 11"))
+    # a detection in every third frame only
+    frames = d.stacks.select("fov", "peak", F.explode(F.array(*[3 * F.col("t") + k for k in (-1, 0, 1)])).alias("t"))
+    return c.fill_missing_frames(frames, d.regions.withColumn("t", 3 * F.col("t")))
 
 
 _FIRST = "arg_max(y, (s, -y))"

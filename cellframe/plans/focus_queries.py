@@ -14,7 +14,7 @@ _SPOT = """spot AS (SELECT fov, peak, t, label, arg_max(y, (v, -y, -x)) AS fy, a
 
 def _spots(d):
     from ..operators.background import region_pixels
-    top = region_pixels(d.pixels, d.labels).groupBy("fov", "peak", "t", "label").agg(
+    top = region_pixels(d.stacks, d.label_images).groupBy("fov", "peak", "t", "label").agg(
         F.max(F.struct("v", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("m"))
     return top.select("fov", "peak", "t", "label", (-F.col("m.y")).alias("fy"), (-F.col("m.x")).alias("fx"), F.col("m.v").alias("height"))
 
@@ -32,7 +32,7 @@ SELECT s.* FROM spot s JOIN regions r USING (fov, peak, t, label)
 JOIN (SELECT fov, peak, t, label, median(v) AS m FROM labels JOIN pixels USING (fov, peak, t, y, x) GROUP BY ALL) k USING (fov, peak, t, label)
 WHERE s.fy > r.min_y AND s.fy < r.max_y AND s.fx > r.min_x AND s.fx < r.max_x AND s.height/k.m >= 1.15""", uses="regions")
 def _(d):
-    return f.focus_filter(_spots(d), d.regions, region_intensity_spread(d.pixels, d.labels), ratio=1.15)
+    return f.focus_filter(_spots(d), d.regions, region_intensity_spread(d.stacks, d.label_images), ratio=1.15)
 
 
 def _label_images(d):
@@ -53,7 +53,7 @@ w AS (SELECT fov, peak, t, label, sqrt(sum(abs((y - cx)*(y - cx)*v))/sum(v)) AS
 SELECT m.*, w.width FROM m LEFT JOIN w USING (fov, peak, t, label)""", uses="labels")
 def _(d):
     from ..operators.background import region_pixels
-    return f.moments(region_pixels(d.pixels, d.labels), ["fov", "peak", "t", "label"])
+    return f.moments(region_pixels(d.stacks, d.label_images), ["fov", "peak", "t", "label"])
 
 
 # focus regions: bright pixels in three bands of rows; cells are the quadrants
@@ -113,7 +113,19 @@ kd AS (SELECT parent_id, max(CASE WHEN k = 1 THEN cell_id END) AS c1, max(CASE W
 SELECT c.cell_id AS focus_id, c.parent_id, s.a AS appear_time, s.al AS appear_label, s.z AS last_time, kd.c1 AS child1_id, kd.c2 AS child2_id, kd.sp AS split_time,
   CASE WHEN kd.sp IS NULL THEN s.z END AS disappear FROM cells c JOIN seen s USING (cell_id) LEFT JOIN kd ON kd.parent_id = c.cell_id""", uses="cells cell_obs")
 def _(d):
-    return f.focus_tables(d.cells.select("cell_id", "parent_id"), d.cell_obs.withColumn("y", F.col("length")))[0]
+    return f.focus_tables(d.cells.select("cell_id", "parent_id"), d.cell_obs.withColumn("y", F.col("length")))
+
+
+@query("p7_focus_long_table", "focus_id:l t:l length:d volume:d area:d seconds:l area_mean:d volume_mean:d total:d median:d sd:d disp_l:d disp_w:d", """
+fo AS (SELECT o.* REPLACE (o.area*pi() AS area), f.disp_l, f.disp_w, (o.length - o.width)*pi()*o.width*o.width/4 + pi()/6*o.width*o.width*o.width AS volume
+  FROM cell_obs o JOIN focus_obs f ON f.cell_id = o.cell_id AND f.t = o.t) ----
+SELECT cell_id AS focus_id, t, length, volume, area, seconds, CASE WHEN area <> 0 THEN fl_total/area END AS area_mean, CASE WHEN volume <> 0 THEN fl_total/volume END AS volume_mean,
+  fl_total AS total, length*10 AS median, width*10 AS sd, disp_l, disp_w FROM fo""", uses="cell_obs focus_obs")
+def _(d):
+    o = d.obs
+    foci = o.join(d.foci_of(o).select("cell_id", "t", "disp_l", "disp_w"), ["cell_id", "t"])
+    foci = foci.withColumns({"area": F.col("area") * F.pi(), "total_fl": F.col("fl_total"), "median_fl": F.col("length") * 10, "sd_fl": F.col("width") * 10})
+    return f.focus_long_table(foci)
 
 
 # ---- profiles ----
@@ -134,7 +146,7 @@ prof AS (SELECT r.fov, r.peak, r.t, r.label, hs.k + floor(round((r.major + 4)/2,
 
 
 def _profile(d):
-    return p.axis_profile(d.pixels, d.labels, _obs(d))
+    return p.axis_profile(d.stacks, d.label_images, _obs(d))
 
 
 @query("p8_axis_profile", REG + "pos:l value:d", f"{_PROF} ---- SELECT * FROM prof", uses="regions")
@@ -153,22 +165,27 @@ def _(d):
 
 @query("p10_cross_profiles", REG + "place:s pos:l value:d", f"""{_AXIS},
 pl AS (SELECT 'mid' AS place, 0.0E0 AS s UNION ALL SELECT 'quarter1', -0.25E0 UNION ALL SELECT 'quarter2', 0.25E0),
-cv AS (SELECT fov, peak, t, label, place, round_even(w, 0) AS k, avg(v) AS value FROM ax, pl WHERE round(abs(u - len*s), 9) <= 1 AND abs(w) <= round((wid + 4)/2, 9) GROUP BY ALL) ----
-SELECT r.fov, r.peak, r.t, r.label, pl.place, hs.k + floor(round((r.minor + 5)/2, 9)) AS pos, coalesce(cv.value, 0) AS value FROM regions r JOIN pl ON true
-JOIN hs ON abs(hs.k) <= floor(round((r.minor + 5)/2, 9))
+img AS (SELECT p.fov, p.peak, p.t, r.label, p.v, r.major AS len, r.minor + 1 AS wid,
+  round(((p.x - r.x)*cos(r.orientation) - (p.y - r.y)*sin(r.orientation))*CASE WHEN r.orientation > 0 THEN -1 ELSE 1 END, 9) AS u,
+  round(((p.x - r.x)*sin(r.orientation) + (p.y - r.y)*cos(r.orientation))*CASE WHEN sin(r.orientation) < 0 THEN -1 ELSE 1 END, 9) AS w
+  FROM pixels p JOIN regions r USING (fov, peak, t)),
+cv AS (SELECT fov, peak, t, label, place, round_even(w, 0) AS k, avg(v) AS value FROM img, pl WHERE round(abs(u - len*s), 9) <= 3 AND abs(w) <= round((wid + 8)/2, 9) GROUP BY ALL) ----
+SELECT r.fov, r.peak, r.t, r.label, pl.place, hs.k + floor(round((r.minor + 9)/2, 9)) AS pos, coalesce(cv.value, 0) AS value FROM regions r JOIN pl ON true
+JOIN hs ON abs(hs.k) <= floor(round((r.minor + 9)/2, 9))
 LEFT JOIN cv ON cv.fov = r.fov AND cv.peak = r.peak AND cv.t = r.t AND cv.label = r.label AND cv.place = pl.place AND cv.k = hs.k""", uses="regions")
 def _(d):
-    return p.cross_profiles(d.pixels, d.labels, _obs(d), band=2, pad=4)
+    return p.cross_profiles(d.stacks, _obs(d))
 
 
 @query("p11_constriction_time", "cell_id:l constriction_time:l", f"""{_AXIS},
-bn AS (SELECT fov, peak, t, label, round(sum(v*(greatest(least(round_even(u, 0), 2), -2)*greatest(least(round_even(u, 0), 2), -2) - 2)), 6) AS b FROM ax
-  WHERE abs(u) <= 2.5 AND abs(w) <= 2.5 GROUP BY ALL) ----
+ah AS (SELECT *, round_even(round(wid/2, 9), 0) + 3 AS h FROM ax),
+bn AS (SELECT fov, peak, t, label, round(sum(v*(power(greatest(least(round_even(u, 0), h), -h), 2) - h*(h + 1)/3)), 6) AS b FROM ah
+  WHERE abs(u) <= h + 0.5 AND abs(w) <= h + 0.5 GROUP BY ALL) ----
 SELECT r.fov*1000 + r.peak*10 + r.label AS cell_id, coalesce(max(CASE WHEN b < 0 THEN r.t END), max(r.t)) AS constriction_time
 FROM regions r LEFT JOIN bn USING (fov, peak, t, label) GROUP BY 1""", uses="regions")
 def _(d):
     obs = _obs(d).withColumn("cell_id", F.col("fov") * 1000 + F.col("peak") * 10 + F.col("label"))
-    return p.constriction_time(d.pixels, d.labels, obs, slice_l=2, slice_w=2)
+    return p.constriction_time(d.stacks, d.label_images, obs)
 
 
 _ENS = """ml AS (SELECT o.cell_id, o.t, c.sb*exp(ln(c.sd/c.sb)/c.tau*(o.t - min(o.t) OVER (PARTITION BY o.cell_id))*3) AS l FROM cell_obs o JOIN cells c USING (cell_id)),
@@ -194,12 +211,14 @@ def _(d):
 
 
 @query("p12_size_ensemble", "size_bin:l n:l fl_sum:d fl_max:d fl_amp:d volume:d foci_avg:d foci_diff:d", f"""{_ENS},
-fc AS (SELECT cell_id, t, count(*) AS k FROM focus_obs WHERE focus_label <= 4 GROUP BY cell_id, t),
+fc AS (SELECT cell_id, t + focus_label % 2 AS t, count(*) AS k FROM focus_obs GROUP BY cell_id, t + focus_label % 2),
 fa AS (SELECT b.*, q.k/CAST(b.n AS DOUBLE) AS foci_avg FROM bins b JOIN (SELECT size_bin, sum(coalesce(k, 0)) AS k FROM sl LEFT JOIN fc USING (cell_id, t) GROUP BY size_bin) q USING (size_bin)) ----
 SELECT *, CASE WHEN (row_number() OVER (ORDER BY size_bin) - 1) % 2 = 0 THEN lead(foci_avg, 2) OVER (ORDER BY size_bin) - foci_avg END AS foci_diff FROM fa""",
        uses="cells cell_obs profiles focus_obs")
 def _(d):
-    return p.size_ensemble(d.cells, d.obs, _cell_profiles(d), d.foci_of(d.obs).where("focus_label <= 4"), **OPTS)
+    # foci of some labels lie a frame later, so that frames have none, one or two
+    foci = d.foci_of(d.obs).withColumn("t", F.col("t") + F.col("focus_label") % 2)
+    return p.size_ensemble(d.cells, d.obs, _cell_profiles(d), foci, **OPTS)
 
 
 @query("p13_nucleoid_ensemble", "size_bin:l n:l fl_sum:d fl_max:d fl_amp:d volume:d", f"{_ENS} ---- SELECT * FROM bins", uses="cells cell_obs profiles")

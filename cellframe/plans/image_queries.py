@@ -63,10 +63,10 @@ def _(d):
 
 
 @query("b3_borrow_empties", "fov:l t:l y:l x:l empty:l", f"""{_EMPTY} ----
-SELECT * FROM em WHERE fov <> 4 UNION ALL SELECT 4, t, y, x, empty FROM em WHERE fov = 2""", uses="pixels specs")
+SELECT * FROM em UNION ALL SELECT 6, t, y, x, empty FROM em WHERE fov = 2""", uses="pixels specs")
 def _(d):
-    mapping = d.spark.createDataFrame([(2, 4), (3, 1)], "from_fov int, to_fov int")
-    return b.borrow_empties(_empties(d).where("fov <> 4"), mapping)
+    mapping = d.spark.createDataFrame([(2, 6), (3, 1)], "from_fov int, to_fov int")
+    return b.borrow_empties(_empties(d), mapping)
 
 
 @query("b4_subtract_fluor", PX + "v:l", f"""{_EMPTY} ----
@@ -123,14 +123,14 @@ SELECT r.fov, r.peak, r.t, r.label, i.total, i.total/CAST(r.area AS DOUBLE) AS p
 FROM regions r JOIN (SELECT fov, peak, t, label, sum(v) AS total FROM labels JOIN pixels USING (fov, peak, t, y, x) GROUP BY ALL) i
 USING (fov, peak, t, label)""", uses="regions")
 def _(d):
-    return b.region_intensity(d.pixels, d.labels, _obs(d))
+    return b.region_intensity(d.stacks, d.label_images, _obs(d))
 
 
 @query("b10_region_intensity_spread", REG + "median:d std:d", """
 SELECT fov, peak, t, label, median(v) AS median, stddev_pop(v) AS std FROM labels JOIN pixels USING (fov, peak, t, y, x)
 GROUP BY fov, peak, t, label""", uses="labels")
 def _(d):
-    return b.region_intensity_spread(d.pixels, d.labels)
+    return b.region_intensity_spread(d.stacks, d.label_images)
 
 
 @query("b11_fluorescence_per_volume", "cell_id:l t:l fl_per_volume:d", """
@@ -146,7 +146,7 @@ SELECT r.fov, r.peak, r.t, r.label, coalesce(avg(CASE WHEN round(abs((l.x - r.x)
 FROM regions r JOIN labels l USING (fov, peak, t, label) JOIN pixels p ON p.fov = r.fov AND p.peak = r.peak AND p.t = r.t AND p.y = l.y AND p.x = l.x
 GROUP BY r.fov, r.peak, r.t, r.label""", uses="regions")
 def _(d):
-    return b.midline_intensity(d.pixels, d.labels, d.regions)
+    return b.midline_intensity(d.stacks, d.label_images, d.regions)
 
 
 # ---- segmentation ----
@@ -349,7 +349,7 @@ SELECT f.fov, f.peak, f.t, o.o AS "offset", s.l AS label, coalesce(r.area, 0) AS
 FROM (SELECT DISTINCT fov, peak, t FROM pixels) f JOIN (SELECT unnest(range(-2, 3)) AS o) o ON true JOIN (SELECT unnest(range(1, 7)) AS l) s ON true
 LEFT JOIN regions r ON r.fov = f.fov AND r.peak = f.peak AND r.t = f.t + o.o AND r.label = s.l""", uses="pixels regions")
 def _(d):
-    return r.context_window(d.regions, d.stacks)
+    return r.context_window(d.regions, d.stacks, top=6)
 
 
 @query("r9_classify_pairs", REG + "next_label:l interaction:s", """

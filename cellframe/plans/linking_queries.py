@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage_cut import cut
 from ..operators import linking as k
 from ..operators import tracker as tr
 from .registry import query
@@ -154,8 +155,9 @@ links AS (SELECT fov, peak, t, label, nl AS next_label FROM seen WHERE t < z
   UNION SELECT s.fov, s.peak, s.t, s.label, y.label FROM seen s JOIN st x ON x.cell_id = s.c1 JOIN st y ON y.cell_id = s.c2 WHERE s.t = s.z
   UNION SELECT fov, peak, t, label, 0 FROM seen WHERE t = z AND c1 IS NULL
   UNION SELECT fov, peak, t, label, 0 FROM reg WHERE (fov, peak, t, label) NOT IN (SELECT (fov, peak, t, label) FROM seen))"""
-_GAPPED = "go AS (SELECT * FROM cell_obs WHERE length < 5.8)"
-_REGS = "reg AS (SELECT DISTINCT fov, peak, t, label FROM cell_obs)"
+# long observations lie in later frames, so that many cells have gaps
+_GAPPED = "go AS (SELECT * REPLACE (t + CASE WHEN length >= 5.8 THEN 100000 ELSE 0 END AS t) FROM cell_obs)"
+_REGS = "reg AS (SELECT DISTINCT fov, peak, t, label FROM go)"
 
 
 def _family(d):
@@ -168,7 +170,7 @@ def _family(d):
 
 
 def _gapped(d):
-    return d.obs.where("length < 5.8")
+    return cut(d.cell_obs.withColumn("t", F.col("t") + F.when(F.col("length") >= 5.8, 100000).otherwise(0)))
 
 
 _EV = "migrate:l divide:l die:l born:l appear:l disappear:l false_join:l one_cell:l two_cells:l three_cells:l zero_cells:l no_data:l"
@@ -181,24 +183,27 @@ _EVENTS_SQL = """SELECT r.fov, r.peak, r.t, r.label, coalesce(max(CASE WHEN s.t
 FROM reg r LEFT JOIN seen s USING (fov, peak, t, label) GROUP BY r.fov, r.peak, r.t, r.label"""
 
 
-@query("k12_region_events", REG + _EV, f"{_FAMILY}, {_REGS}, {_GAPPED}, {_SEEN.format(t='go', gap='z - a + 1 <= n')} ---- {_EVENTS_SQL}",
+@query("k12_region_events", REG + _EV, f"{_FAMILY}, {_GAPPED}, {_REGS}, {_SEEN.format(t='go', gap='z - a + 1 <= n')} ---- {_EVENTS_SQL}",
        uses="cells cell_obs")
 def _(d):
-    return k.region_events(d.obs, _family(d), _gapped(d))
+    obs = _gapped(d)
+    return k.region_events(obs, _family(d), obs)
 
 
-@query("k13_region_links", REG + "next_label:l", f"{_FAMILY}, {_REGS}, {_GAPPED}, {_SEEN.format(t='go', gap='z - a + 1 <= n')} ---- SELECT * FROM links",
+@query("k13_region_links", REG + "next_label:l", f"{_FAMILY}, {_GAPPED}, {_REGS}, {_SEEN.format(t='go', gap='z - a + 1 <= n')} ---- SELECT * FROM links",
        uses="cells cell_obs")
 def _(d):
-    return k.region_links(d.obs, _family(d), _gapped(d))
+    obs = _gapped(d)
+    return k.region_links(obs, _family(d), obs)
 
 
-@query("k14_apply_overrides", REG + "next_label:l", f"""{_FAMILY}, {_REGS}, {_GAPPED}, {_SEEN.format(t='go', gap='z - a + 1 <= n')},
+@query("k14_apply_overrides", REG + "next_label:l", f"""{_FAMILY}, {_GAPPED}, {_REGS}, {_SEEN.format(t='go', gap='z - a + 1 <= n')},
 nw AS (SELECT fov, peak, t, label, 0 AS next_label FROM reg WHERE label = 2) ----
 SELECT * FROM links WHERE (fov, peak, t, label) NOT IN (SELECT (fov, peak, t, label) FROM nw) UNION ALL SELECT * FROM nw""", uses="cells cell_obs")
 def _(d):
-    links = k.region_links(d.obs, _family(d), _gapped(d))
-    new = d.obs.where("label = 2").select(*k.REGION).distinct().withColumn("next_label", F.lit(0))
+    obs = _gapped(d)
+    links = k.region_links(obs, _family(d), obs)
+    new = obs.where("label = 2").select(*k.REGION).distinct().withColumn("next_label", F.lit(0))
     return k.apply_overrides(links, new)
 
 

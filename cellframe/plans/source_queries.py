@@ -80,10 +80,12 @@ def _(d):
 
 
 @query("s9_registry_add", "file_path:s include:l", """
-SELECT path AS file_path, CASE WHEN fov = 1 THEN 0 ELSE 1 END AS include FROM frames WHERE fov <= 3
+SELECT CASE WHEN fov <= 3 THEN path ELSE 'old/' || path END AS file_path, CASE WHEN fov = 1 THEN 0 ELSE 1 END AS include FROM frames
 UNION ALL SELECT path, 1 FROM frames WHERE fov > 3""", uses="frames")
 def _(d):
-    reg = d.frames.where("fov <= 3").select(F.col("path").alias("file_path"), F.when(F.col("fov") == 1, 0).otherwise(1).alias("include"))
+    # the registry knows some of the new paths under another name
+    named = F.when(F.col("fov") <= 3, F.col("path")).otherwise(F.concat(F.lit("old/"), "path"))
+    reg = d.frames.select(named.alias("file_path"), F.when(F.col("fov") == 1, 0).otherwise(1).alias("include"))
     return c.registry_add(reg, d.frames.select(F.col("path").alias("file_path")))
 
 
@@ -109,16 +111,16 @@ def _(d):
 
 
 @query("s12_cells_json", "cell_id:l sb:d n:l first_t:l last_length:d", """
-SELECT c.cell_id, c.sb, coalesce(o.n, 0) AS n, o.a AS first_t, o.l AS last_length FROM cells c LEFT JOIN
+SELECT c.cell_id, c.sb, coalesce(o.n, 0) AS n, o.a + 995 AS first_t, o.l AS last_length FROM cells c LEFT JOIN
   (SELECT cell_id, count(*) AS n, min(t) AS a, arg_max(length, t) AS l FROM cell_obs GROUP BY cell_id) o USING (cell_id)""",
        uses="cells cell_obs")
 def _(d):
     path = fresh_path(d.spark, "cells-json")
-    sinks.write_cells_json(d.cells, d.cell_obs, path)
-    back = d.spark.read.schema("cell_id LONG, sb DOUBLE, part LONG, obs ARRAY<STRUCT<t: LONG, length: DOUBLE>>").json(path)
-    return back.groupBy("cell_id").agg(
-        F.first("sb").alias("sb"), F.sum(F.coalesce(F.size("obs"), F.lit(0))).alias("n"),
-        F.min(F.get("obs", F.lit(0))["t"]).alias("first_t"), F.max_by(F.element_at("obs", -1)["length"], "part").alias("last_length"))
+    # times that pass a round number within many cells
+    sinks.write_cells_json(d.cells, d.cell_obs.withColumn("t", F.col("t") + 995), path)
+    back = d.spark.read.schema("cell_id LONG, sb DOUBLE, obs ARRAY<STRUCT<t: LONG, length: DOUBLE>>").json(path)
+    return back.select("cell_id", "sb", F.coalesce(F.size("obs"), F.lit(0)).alias("n"), F.get("obs", F.lit(0))["t"].alias("first_t"),
+                       F.element_at("obs", -1)["length"].alias("last_length"))
 
 
 @query("s13_cells_parquet", "cell_id:l fov:l peak:l sb:d", "SELECT * FROM cells", uses="cells")
@@ -140,7 +142,8 @@ SELECT 'images/' || path AS path, CASE WHEN fov <= 4 THEN 'masks/' || replace(pa
        uses="frames")
 def _(d):
     images = d.frames.select(F.concat(F.lit("images/"), "path").alias("path"))
-    masks = d.frames.where("fov <= 4").select(F.concat(F.lit("masks/"), F.replace("path", F.lit(".tif"), F.lit(".png"))).alias("path"))
+    folder = F.when(F.col("fov") <= 4, "masks/").otherwise("spare/")
+    masks = d.frames.select(F.concat(folder, F.replace("path", F.lit(".tif"), F.lit(".png"))).alias("path"))
     return c.pair_masks(images, masks, image_part="images/", mask_part="masks/", mask_suffix=".png")
 
 

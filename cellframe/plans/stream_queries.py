@@ -4,22 +4,22 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage_cut import fresh_path
 from ..streaming.tracking import track_stream
-from ..streaming.trends import run_to_table, trend_stream
+from ..streaming.trends import run_to_latest, run_to_table, trend_stream
 from .linking_queries import LIMITS, TRACK
 from .registry import query
 
 
 @query("a6_streaming_trend", "start_s:l end_s:l mean:d se:d n:l", """
-b AS (SELECT floor(epoch(ts)/21600) AS k, value, max(epoch(ts)) OVER () AS top FROM events) ----
+b AS (SELECT floor(epoch(ts)/21600) AS k, value FROM events) ----
 SELECT k*21600 AS start_s, k*21600 + 21600 AS end_s, avg(value) AS mean, stddev_pop(value)/sqrt(count(*)) AS se, count(*) AS n
-FROM b GROUP BY k HAVING k*21600 + 21600 <= any_value(top) - 86400""")
+FROM b GROUP BY k""")
 def _(d):
     schema = d.raw("events").schema
     rows = d.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.dir)
     # the source has no time zone: read its clock as UTC, whatever the session's zone
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     clock = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")))
-    out = run_to_table(trend_stream(rows.select(clock.alias("ts"), "value"), y="value"), "trend")
+    out = run_to_latest(trend_stream(rows.select(clock.alias("ts"), "value"), y="value"), "trend", "start", "end")
     return out.select("*", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"))
 
 

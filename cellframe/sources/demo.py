@@ -71,9 +71,11 @@ class Demo:
 
     @cached_property
     def cell_cycle(self) -> DataFrame:
+        """Annotations; a third of the cells lacks the initiation and another third the termination."""
+        third = F.col("cell_id") % 3
         return self.cells.select(
-            "cell_id", (F.col("birth_time") - 20 * (F.col("cell_id") % 5)).alias("initiation_time"),
-            (F.col("division_time") - 10).alias("termination_time"), (F.col("birth_time") + 1).alias("seg_time"))
+            "cell_id", F.when(third != 1, F.col("birth_time") - 20 * (F.col("cell_id") % 5)).alias("initiation_time"),
+            F.when(third != 2, F.col("division_time") - 10).alias("termination_time"), (F.col("birth_time") + 1).alias("seg_time"))
 
     @cached_property
     def specs(self) -> DataFrame:
@@ -129,6 +131,12 @@ class Demo:
             "fov", "peak", "t", "y", "x",
             (1 + 2 * F.floor(F.col("y") / 4) + F.floor(F.col("x") / 4)).cast("int").alias("label"))
 
+    @cached_property
+    def label_images(self) -> DataFrame:
+        """The labels as one image per row, zero between regions."""
+        label = lambda v, i: F.when(v > 1000, (1 + 2 * F.floor(i / 32) + F.floor(i % SIDE / 4)).cast("int")).otherwise(0)
+        return self.stacks.select("fov", "peak", "t", "height", "width", F.transform("px", label).alias("lab"))
+
     @cached_property
     def masks(self) -> DataFrame:
         return self.stacks.withColumn("px", F.transform("px", lambda v: F.when(v > 1000, 1).otherwise(0)))
@@ -197,8 +205,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem) l
 JOIN cells c ON c.cell_id = l.l_orderkey"""),
     "cell_cycle": ("cells", """
-SELECT cell_id, birth_time - 20*(cell_id % 5) AS initiation_time,
-  division_time - 10 AS termination_time, birth_time + 1 AS seg_time FROM cells"""),
+SELECT cell_id, CASE WHEN cell_id % 3 <> 1 THEN birth_time - 20*(cell_id % 5) END AS initiation_time,
+  CASE WHEN cell_id % 3 <> 2 THEN division_time - 10 END AS termination_time, birth_time + 1 AS seg_time FROM cells"""),
     "specs": ("cells", """
 SELECT DISTINCT fov, peak, CASE WHEN peak = 9 THEN 0 WHEN peak = 8 THEN -1 ELSE 1 END AS spec FROM cells"""),
     "focus_obs": ("cell_obs", """

@@ -12,7 +12,6 @@ from ..functions.ordered import union_all
 
 CSV_COLUMNS = ("cell_id", "fov", "peak", "birth_label", "parent_id", "daughter1_id", "daughter2_id", "birth_time",
                "division_time", "sb", "sd", "delta", "tau", "elong_rate", "width", "septum_position")
-OBS_CHUNK = 1000  # observations per nested record
 
 
 def _four_digits(df: DataFrame) -> DataFrame:
@@ -35,14 +34,13 @@ def write_lineages(lineages: DataFrame, path: str) -> None:
 
 
 def nested_cells(cells: DataFrame, obs: DataFrame) -> DataFrame:
-    """Cells with their observations as an array of structs.
+    """Cells with their observations as an array of structs: one record per cell.
 
-    A very long-lived cell is split into numbered parts, so that no array grows without bound.
+    A cell's frames from birth to division bound its array.
     """
     item = F.struct(*[c for c in obs.columns if c not in ("cell_id", "fov", "peak")])
-    parts = obs.groupBy("cell_id", F.floor(F.col("t") / OBS_CHUNK).alias("part")).agg(
-        F.sort_array(F.collect_list(item)).alias("obs"))
-    return cells.join(parts, "cell_id", "left")
+    nested = obs.groupBy("cell_id").agg(F.sort_array(F.collect_list(item)).alias("obs"))
+    return cells.join(nested, "cell_id", "left")
 
 
 def write_cells_json(cells: DataFrame, obs: DataFrame, path: str) -> None:
