@@ -6,6 +6,7 @@ from ..functions.lineage_cut import cut
 from ..operators import linking as k
 from ..operators import tracker as tr
 from .registry import query
+from .track_sql import GREEDY_ROWS, STANDARD, STANDARD_CELLS, STANDARD_ROWS, greedy
 
 IMG = "fov:l peak:l t:l "
 REG = IMG + "label:l "
@@ -67,12 +68,13 @@ def _(d):
 TRACK = "fov:l peak:l cell_id:s parent_id:s t:l label:l event:s"
 
 
-@query("k5_lineage_tracker", TRACK)
+@query("k5_lineage_tracker", TRACK, f"{STANDARD} ---- {STANDARD_ROWS}", uses="regions")
 def _(d):
     return tr.track(_regions(d), **LIMITS)
 
 
-@query("k5_tracked_cells", "fov:l peak:l cell_id:s parent_id:s birth_time:l last_time:l n_obs:l child1_id:s child2_id:s")
+@query("k5_tracked_cells", "fov:l peak:l cell_id:s parent_id:s birth_time:l last_time:l n_obs:l child1_id:s child2_id:s", f"""{STANDARD}, {STANDARD_CELLS} ----
+SELECT c.*, k.child1_id, k.child2_id FROM cells_ c LEFT JOIN kids k USING (cell_id)""", uses="regions")
 def _(d):
     return tr.tracked_cells(tr.track(_regions(d), **LIMITS))
 
@@ -125,12 +127,12 @@ def _(d):
     return k.edges_of_type(_edges(d), kind="child")
 
 
-@query("k9_greedy_tracks", TRACK)
+@query("k9_greedy_tracks", TRACK, f"{greedy('ln(0.1)', 'ln(0.5)')} ---- {GREEDY_ROWS}", uses="probs region_probs")
 def _(d):
     return tr.greedy_tracks(d.stored_regions, _edges(d))
 
 
-@query("k10_greedy_tracks_without_limits", TRACK)
+@query("k10_greedy_tracks_without_limits", TRACK, f"{greedy(None, None)} ---- {GREEDY_ROWS}", uses="probs region_probs")
 def _(d):
     return tr.greedy_tracks(d.stored_regions, _edges(d), min_score=None, second=None)
 

@@ -7,6 +7,7 @@ from ..streaming.tracking import track_stream
 from ..streaming.trends import run_to_latest, run_to_table, trend_stream
 from .linking_queries import LIMITS, TRACK
 from .registry import query
+from .track_sql import STANDARD, STANDARD_ROWS
 
 
 @query("a6_streaming_trend", "start_s:l end_s:l mean:d se:d n:l", """
@@ -23,7 +24,7 @@ def _(d):
     return out.select("*", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"))
 
 
-@query("k6_streaming_tracker", TRACK)
+@query("k6_streaming_tracker", TRACK, f"{STANDARD} ---- {STANDARD_ROWS}", uses="regions")
 def _(d):
     path = fresh_path(d.spark, "regions")
     regions = d.regions.withColumn("length", F.col("major"))
