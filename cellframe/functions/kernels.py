@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -32,6 +34,7 @@ def moved(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return padded[p - dy:p - dy + h, p - dx:p - dx + w]
 
 
+@lru_cache(maxsize=256)
 def blur_matrix(n: int, sigma: float) -> np.ndarray:
     """Gaussian smoothing of n pixels in a row (cut at four sigma, edges repeated) as a matrix."""
     reach = int(4 * sigma + 0.5)
@@ -128,7 +131,8 @@ def laplace_peaks(image: np.ndarray, sigmas, threshold: float) -> list[tuple[int
     for s in sigmas:
         b = blurred(image, s)
         ring = _neighbours(np.pad(b, 1, mode="edge"), 0, False)[:, 1:-1, 1:-1].sum(axis=0)
-        levels.append(s * s * (4 * b - ring))
+        # rounding keeps equal neighbours apart from rounding noise
+        levels.append(np.round(s * s * (4 * b - ring), 9))
     cube = np.pad(np.stack(levels), 1, constant_values=-np.inf)
     view = np.lib.stride_tricks.sliding_window_view(cube, (3, 3, 3))
     top = view.max(axis=(3, 4, 5))

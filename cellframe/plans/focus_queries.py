@@ -40,7 +40,31 @@ def _label_images(d):
     return d.stacks.select("fov", "peak", "t", "height", "width", F.transform("px", quadrant).alias("lab"))
 
 
-@query("p3_detect_foci", REG + "fy:d fx:d sigma:d height:d width:d total:d")
+_LAPLACE = """g AS (SELECT s, o, exp(-0.5E0*(o/CAST(s AS DOUBLE))*(o/CAST(s AS DOUBLE))) AS w FROM (SELECT 1 AS s, unnest(range(-4, 5)) AS o UNION ALL SELECT 2, unnest(range(-8, 9))) r),
+kn AS (SELECT g.s, i, greatest(least(i + o, 7), 0) AS j, sum(w)/any_value(n) AS w FROM g JOIN (SELECT s, sum(w) AS n FROM g GROUP BY s) t USING (s),
+  (SELECT unnest(range(0, 8)) AS i) r GROUP BY g.s, i, greatest(least(i + o, 7), 0)),
+hz AS (SELECT l.fov, l.peak, l.t, l.label, kn.s, l.y, kn.i AS x, sum(kn.w*p.v) AS b FROM labels l JOIN pixels p USING (fov, peak, t, y, x) JOIN kn ON kn.j = l.x
+  GROUP BY l.fov, l.peak, l.t, l.label, kn.s, l.y, kn.i),
+bl AS (SELECT h.fov, h.peak, h.t, h.label, h.s, kn.i AS y, h.x, sum(kn.w*h.b) AS b FROM hz h JOIN kn ON kn.j = h.y AND kn.s = h.s GROUP BY h.fov, h.peak, h.t, h.label, h.s, kn.i, h.x),
+st AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(dy, dx)),
+lp AS (SELECT a.fov, a.peak, a.t, a.label, a.s, a.y, a.x, round(a.s*a.s*(4*any_value(a.b) - sum(n.b)), 9) AS v FROM bl a, st
+  JOIN bl n ON n.fov = a.fov AND n.peak = a.peak AND n.t = a.t AND n.label = a.label AND n.s = a.s AND n.y = greatest(least(a.y + dy, 7), 0) AND n.x = greatest(least(a.x + dx, 7), 0)
+  GROUP BY a.fov, a.peak, a.t, a.label, a.s, a.y, a.x),
+pk AS (SELECT a.* FROM lp a WHERE a.v > 10 AND NOT EXISTS (SELECT 1 FROM lp n WHERE n.fov = a.fov AND n.peak = a.peak AND n.t = a.t AND n.label = a.label
+  AND abs(n.s - a.s) <= 1 AND abs(n.y - a.y) <= 1 AND abs(n.x - a.x) <= 1 AND n.v > a.v)),
+sp AS (SELECT k.fov, k.peak, k.t, k.label, k.s, k.y, k.x, sum(p.y*p.v)/CAST(sum(p.v) AS DOUBLE) AS fy, sum(p.x*p.v)/CAST(sum(p.v) AS DOUBLE) AS fx, max(p.v) AS height
+  FROM pk k JOIN pixels p ON p.fov = k.fov AND p.peak = k.peak AND p.t = k.t AND p.y >= k.y - (k.s + 1) AND p.y < k.y + k.s + 1 AND p.x >= k.x - (k.s + 1) AND p.x < k.x + k.s + 1
+  GROUP BY ALL HAVING sum(p.v) > 0),
+wd AS (SELECT k.fov, k.peak, k.t, k.label, k.s, k.y, k.x, sqrt(sum(((p.y - k.fy)*(p.y - k.fy) + (p.x - k.fx)*(p.x - k.fx))*p.v)/CAST(sum(p.v) AS DOUBLE)/2) AS width
+  FROM sp k JOIN pixels p ON p.fov = k.fov AND p.peak = k.peak AND p.t = k.t AND p.y >= k.y - (k.s + 1) AND p.y < k.y + k.s + 1 AND p.x >= k.x - (k.s + 1) AND p.x < k.x + k.s + 1
+  GROUP BY ALL),
+tt AS (SELECT k.fov, k.peak, k.t, k.label, k.s, k.y, k.x, sum(p.v) AS total FROM sp k JOIN pixels p ON p.fov = k.fov AND p.peak = k.peak AND p.t = k.t
+  AND p.y >= k.y - 2 AND p.y < k.y + 2 AND p.x >= k.x - 2 AND p.x < k.x + 2 GROUP BY k.fov, k.peak, k.t, k.label, k.s, k.y, k.x)"""
+
+
+@query("p3_detect_foci", REG + "fy:d fx:d sigma:d height:d width:d total:d", f"""{_LAPLACE} ----
+SELECT fov, peak, t, label, sp.fy, sp.fx, s AS sigma, sp.height, wd.width, tt.total FROM sp JOIN wd USING (fov, peak, t, label, s, y, x) JOIN tt USING (fov, peak, t, label, s, y, x)""",
+       uses="labels")
 def _(d):
     return f.detect_foci(d.stacks, _label_images(d), min_sigma=1, max_sigma=2, threshold=10)
 
