@@ -1,11 +1,13 @@
 """Substring dedup by hashing lines and sentences.
 
-A text is cut into units that tile it: a unit ends after a line break or after full stops,
-calls and question marks with the blanks behind them. Units are normalised (A to Z in lower
+A text is cut into pieces that tile it: a piece ends after a line break or after full stops,
+calls and question marks with the blanks behind them. A piece of fewer than ``least`` words
+belongs to the piece that follows it in its line, so that a repeated passage falls into the same
+units wherever it stands, from its first longer sentence on. Units are normalised (A to Z in lower
 case, blanks collapsed) and hashed to 128 bits. Of all units of equal digest, over all
 documents, the one of smallest rank (document id, row hashes, offset) stays and the others are
 removed; what stays keeps its offsets in the original text. Units of fewer than ``least``
-words are never removed.
+words (the short end of a line) are never removed.
 
 Digests are counted first; only those that occur again matter. They set bits of a bitmap of
 fixed size that is broadcast, so the second reading of the texts emits little more than the
@@ -33,18 +35,21 @@ from .shipping import ship, unpack
 LEAST = 5
 #: bits of the bitmap of repeated digests, as a power of two
 BITS = 26
-#: units of a text
+#: pieces of a text
 UNIT = r"[^\n.!?]*(?:[.!?]+[ \t]*\n?|\n)|[^\n.!?]+"
 
 
 def digests(text: str, least: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units with at least ``least`` words."""
     import xxhash
-    out = []
+    out, start, unit = [], 0, []
     for m in re.finditer(UNIT, text):
         words = m[0].encode().lower().split()
-        if len(words) >= least:
-            out.append((m.start(), m.end(), xxhash.xxh3_128_digest(b" ".join(words))))
+        unit += words
+        if len(words) >= least or m[0][-1] == "\n" or m.end() == len(text):
+            if len(unit) >= least:
+                out.append((start, m.end(), xxhash.xxh3_128_digest(b" ".join(unit))))
+            start, unit = m.end(), []
     return out
 
 

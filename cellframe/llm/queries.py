@@ -79,11 +79,15 @@ def op2_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_line_hashing"] = rf"""
 WITH cuts AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{linededup.UNIT}') AS parts FROM documents),
-units AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cuts),
-placed AS (
-  SELECT doc_id, i, part, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop,
-    trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS norm
-  FROM units),
+pieces AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cuts),
+plain AS (
+  SELECT *, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS norm FROM pieces),
+joined AS (
+  SELECT *, coalesce(sum(CASE WHEN (len(string_split(norm, ' ')) >= {linededup.LEAST} AND norm <> '') OR ends_with(part, chr(10)) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM plain),
+units AS (
+  SELECT doc_id, u, string_agg(part, '' ORDER BY i) AS part, coalesce(string_agg(norm, ' ' ORDER BY i) FILTER (norm <> ''), '') AS norm FROM joined GROUP BY doc_id, u),
+placed AS (SELECT doc_id, part, norm, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY u) AS stop FROM units),
 ranked AS (
   SELECT *, len(string_split(norm, ' ')) >= {linededup.LEAST} AND norm <> ''
     AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, stop) > 1 AS gone
