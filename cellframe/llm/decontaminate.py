@@ -3,7 +3,7 @@
 Words are compared with A to Z in lower case. A *seed* is a run of ``least`` words that a
 document and a benchmark item share.
 
-1. The items' seeds set bits of a bitmap of fixed size (``BITS``), which is broadcast. A task
+1. The items' seeds set bits of a bitmap of fixed size, which is broadcast. A task
    reads whole texts, keeps the runs of words whose seeds hit the bitmap, and forgets the rest.
 2. Seeds of documents and items are joined by hash. A pair goes on if its shared seeds could
    cover ``share`` of the item's words.
@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bitmap import hits, of_hashes
 from .shipping import ship, unpack
 from .words import window_hash, words
 
 #: words of the shortest tile, and the share of an item's words that tiles must cover
 LEAST, SHARE = 5, 0.5
-#: bits of the bitmap of seeds, as a power of two
-BITS = 26
 
 
 def _windows(tokens: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +98,6 @@ def tile(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]]
     return tiles
 
 
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Bits of the seeds' hashes; the driver gets at most 2 ** (BITS - 6) numbers."""
-    place = F.shiftrightunsigned("seed", 64 - BITS)
-    word = seeds.select(F.shiftrightunsigned(place, 6).cast("int").alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
-    rows = word.groupBy("word").agg(F.collect_set("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for w, bits in zip(rows.column("word").to_pylist(), rows.column("bits").to_pylist()):
-        for b in bits:
-            out[(w << 6 | b) >> 3] |= 1 << (b & 7)
-    return out
-
-
 _ITEM = "item long, item_id {}, item_words array<long>, seeds array<long>"
 
 
@@ -144,8 +131,7 @@ def _doc_rows(docs: DataFrame, bitmap: np.ndarray, key: str, text: str, least: i
         for batch in batches:
             for w in words(batch.column("text")):
                 seeds, at = w.ngrams(least)
-                place = seeds >> np.uint64(64 - BITS)
-                hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                hit = hits(bits, seeds)
                 seeds, at = seeds[hit], at[hit]
                 if not len(at):
                     continue
@@ -177,7 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, least: int = LEAST, share
     """
     known = _item_rows(items, item_key, item_text, least)
     seeds = known.select("item", F.size("item_words").alias("n_words"), F.explode("seeds").alias("seed"))
-    found = _doc_rows(docs, _bitmap(seeds.select("seed").distinct()), key, text, least)
+    found = _doc_rows(docs, of_hashes(seeds, "seed"), key, text, least)
     shared = found.select("h1", "h2", F.explode(F.array_distinct("seeds")).alias("seed")).join(
         seeds.groupBy("item", "seed").agg(F.count("*").alias("times"), F.first("n_words").alias("n_words")), "seed")
     pairs = shared.groupBy("h1", "h2", "item").agg(F.sum("times").alias("times"), F.first("n_words").alias("n_words"))

@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage_cut import cut
+from .bitmap import hits, of_hashes
 from .shipping import ship, unpack
 
 #: words of the shortest unit that can be removed
 LEAST = 5
-#: bits of the bitmap of repeated digests, as a power of two
-BITS = 26
 #: pieces of a text
 UNIT = r"[^\n.!?]*(?:[.!?]+[ \t]*\n?|\n)|[^\n.!?]+"
 
@@ -72,16 +71,6 @@ def _counted(docs: DataFrame, text: str, least: int) -> DataFrame:
     return docs.select(text).mapInArrow(run, "d1 long, d2 long, n long")
 
 
-def _bitmap(repeated: DataFrame) -> np.ndarray:
-    """Bits of repeated digests; the driver gets at most 2 ** (BITS - 6) numbers."""
-    place = F.shiftrightunsigned("d1", 64 - BITS)
-    words = repeated.select(F.shiftrightunsigned(place, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out.view(np.uint8)
-
-
 def _repeats(docs: DataFrame, bitmap: np.ndarray, key: str, text: str, least: int) -> DataFrame:
     """(d1, d2, doc, h1, h2, start, end) of units whose digest is in the bitmap."""
     named = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text)).alias("h1"), F.hash(F.col(text)).alias("h2"), F.col(text).alias("text"))
@@ -100,8 +89,7 @@ def _repeats(docs: DataFrame, bitmap: np.ndarray, key: str, text: str, least: in
                     end.append(b)
                     raw.append(d)
             d1, d2 = _halves(raw)
-            place = d1.view(np.uint64) >> np.uint64(64 - BITS)
-            hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            hit = np.flatnonzero(hits(bits, d1))
             rows = pa.array(np.array(row, np.int64)[hit])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d1[hit]), pa.array(d2[hit]), *(batch.column(c).take(rows) for c in ("doc", "h1", "h2")),
@@ -129,7 +117,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     names = rows.columns
     counts = _counted(rows, text, least).groupBy("d1", "d2").agg(F.sum("n").alias("n"))
     repeated = cut(counts.where("n > 1").select("d1", "d2"))
-    units = cut(_repeats(rows, _bitmap(repeated), key, text, least).join(repeated, ["d1", "d2"], "left_semi"))
+    units = cut(_repeats(rows, of_hashes(repeated, "d1"), key, text, least).join(repeated, ["d1", "d2"], "left_semi"))
     rank = F.struct("doc", "h1", "h2", "start")
     first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
     later = units.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first"))).select("h1", "h2", "start", "end").distinct()

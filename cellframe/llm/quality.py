@@ -10,7 +10,8 @@ logistic curve that turns a margin into a score from 0 to 1.
 Labels are learned from a bounded sample (``SAMPLE`` labelled rows, those of smallest id
 hash). Every text is scored whole, in the task that reads it. An empty or null text has no
 feature and gets the score of the bias alone. Labels that are null or whose document is
-missing are not used; a document with several labels counts once for each.
+missing are not used; a document with several labels counts once for each, and of rows that share an id
+the one of smallest text is learned from.
 """
 
 from __future__ import annotations
@@ -163,6 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", learn: Co
     chosen = chosen.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)
     joined = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_key")
+    # rows that share an id count as one, so the sample's bound holds whatever repeats
+    joined = joined.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
 
     def run(batches):
         for batch in batches:
