@@ -197,22 +197,22 @@ def phase_plane(pixels: DataFrame, *, keys: Sequence[str] = IMAGE) -> DataFrame:
     return mean.groupBy(*keys).agg(F.min(F.struct((-F.col("m")).alias("m"), "plane"))["plane"].alias("plane"))
 
 
-def crop_channels(pixels: DataFrame, masks: DataFrame, *, height: int, tile: int = 64) -> DataFrame:
-    """Cut the channels out of full frames ``fov, t, y, x, v``: ``fov, peak, t, y, x, v`` in channel coordinates.
+def crop_channels(frames: DataFrame, masks: DataFrame) -> DataFrame:
+    """Cut the channels out of full frames ``fov, t, height, width, px``: one image per row, ``fov, peak, t, height, width, left, px``.
 
-    Masks are listed per image tile they touch, so pixels meet them by equality and not
-    by a range comparison alone. A mask that passes the bottom repeats the last row.
+    A frame meets the masks of its field of view and its rows are sliced, so no pixel is
+    shuffled. A mask that passes the bottom repeats the last row; one that passes a side is cut
+    there, and ``left`` is the channel column of its first pixel.
     """
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(b) - 1) / tile))
-    listed = masks.where("max_row > min_row AND max_col > min_col").withColumn("_ty", F.explode(span("min_row", "max_row"))) \
-        .withColumn("_tx", F.explode(span("min_col", "max_col")))
-    placed = pixels.withColumns({"_ty": F.floor(F.col("y") / tile), "_tx": F.floor(F.col("x") / tile)})
-    y, x = F.col("y"), F.col("x")
-    hit = placed.join(listed, ["fov", "_ty", "_tx"]).where(
-        (y >= F.col("min_row")) & (y < F.col("max_row")) & (x >= F.col("min_col")) & (x < F.col("max_col")))
-    rows = F.when((y == height - 1) & (F.col("max_row") > height), F.sequence(y, F.col("max_row") - 1)).otherwise(F.array(y))
-    return hit.withColumn("_y", F.explode(rows)).select(
-        "fov", "peak", "t", (F.col("_y") - F.col("min_row")).alias("y"), (x - F.col("min_col")).alias("x"), "v")
+    kept = masks.where("max_row > min_row AND max_col > min_col")
+    both = frames.join(kept, "fov").withColumns({
+        "_a": F.greatest(F.col("min_col"), F.lit(0)), "_w": F.least(F.col("max_col"), F.col("width")) - F.greatest(F.col("min_col"), F.lit(0))})
+    line = lambda r: F.slice("px", F.greatest(F.least(r, F.col("height") - 1), F.lit(0)) * F.col("width") + F.col("_a") + 1, F.col("_w"))
+    rows = F.transform(F.sequence("min_row", F.col("max_row") - 1), line)
+    # the crop comes first: beside new columns named height and width, the old ones could not be told apart
+    cropped = both.where("_w > 0").withColumn("_px", F.flatten(rows))
+    return cropped.select("fov", "peak", "t", (F.col("max_row") - F.col("min_row")).alias("height"), F.col("_w").alias("width"),
+                          (F.col("_a") - F.col("min_col")).alias("left"), F.col("_px").alias("px"))
 
 
 def channel_xcorr(stacks: DataFrame, *, pad: int = 10, n: int = 20) -> DataFrame:

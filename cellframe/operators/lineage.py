@@ -154,9 +154,9 @@ def mother_lineages(cells: DataFrame) -> DataFrame:
     for child in ("child1_id", "child2_id"):
         leaf = leaf.join(here.withColumnRenamed("cell_id", child), child, "left_anti")
     leaf = cut(leaf.select("cell_id"))
-    chain = ancestors(cells, leaf).unionByName(
-        leaf.select("cell_id", F.col("cell_id").alias("ancestor_id"), F.lit(0).cast("long").alias("steps")))
-    sizes = generation_gap(cells).join(leaf, "cell_id", "left_semi")
+    chain = cut(ancestors(cells, leaf).unionByName(
+        leaf.select("cell_id", F.col("cell_id").alias("ancestor_id"), F.lit(0).cast("long").alias("steps"))))
+    sizes = chain.groupBy("cell_id").agg(F.max("steps").alias("generations"))
     return chain.join(sizes, "cell_id").select(
         F.col("cell_id").alias("lineage_id"), (F.col("generations") - F.col("steps")).alias("position"),
         (F.col("generations") + 1).alias("length"), F.col("ancestor_id").alias("cell_id"))

@@ -178,11 +178,18 @@ SELECT m.fov, m.peak, f.t, r.i - m.min_row AS y, f.x - m.min_col AS x, f.v FROM
 JOIN fr f ON f.fov = m.fov AND f.y = least(r.i, 7) AND f.x >= m.min_col AND f.x < m.max_col WHERE r.i >= m.min_row AND r.i < m.max_row""",
        uses="pixels specs")
 def _(d):
-    p = F.col("peak")
-    frames = d.pixels.select("fov", "t", "y", (p * 8 + F.col("x")).alias("x"), "v")
+    p = F.col("peak").cast("int")
+    # full frames: the ten channels of a field of view side by side
+    side = F.map_from_entries(F.collect_list(F.struct("peak", "px")))
+    none = F.array_repeat(F.lit(None).cast("int"), 8)
+    line = lambda y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.coalesce(F.slice(F.col("m")[k], y * 8 + 1, F.lit(8)), none)))
+    frames = d.stacks.groupBy("fov", "t").agg(side.alias("m")).select(
+        "fov", "t", F.lit(8).alias("height"), F.lit(80).alias("width"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), line)).alias("px"))
     masks = d.specs.select("fov", "peak", F.lit(1).alias("min_row"), F.lit(10).alias("max_row"),
                            (p * 8 + 1).alias("min_col"), (p * 8 + 6).alias("max_col"))
-    return c.crop_channels(frames, masks, height=8, tile=16)
+    cut_out = c.crop_channels(frames, masks).select("*", F.posexplode("px").alias("i", "v")).where("v IS NOT NULL")
+    i, w = F.col("i"), F.col("width")
+    return cut_out.select("fov", "peak", "t", F.floor(i / w).alias("y"), (i % w + F.col("left")).alias("x"), "v")
 
 
 @query("g18_channel_correlation", IMG + "score:d", f"""
