@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 
@@ -34,9 +32,14 @@ def moved(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return padded[p - dy:p - dy + h, p - dx:p - dx + w]
 
 
-@lru_cache(maxsize=256)
+#: matrices of the task; there are as many as image sides and scales
+_MATRICES: dict[tuple[int, float], np.ndarray] = {}
+
+
 def blur_matrix(n: int, sigma: float) -> np.ndarray:
     """Gaussian smoothing of n pixels in a row (cut at four sigma, edges repeated) as a matrix."""
+    if (n, sigma) in _MATRICES:
+        return _MATRICES[n, sigma]
     reach = int(4 * sigma + 0.5)
     offset = np.arange(-reach, reach + 1)
     weight = np.exp(-0.5 * (offset / sigma) ** 2)
@@ -44,6 +47,7 @@ def blur_matrix(n: int, sigma: float) -> np.ndarray:
     m = np.zeros((n, n))
     for i in range(n):
         np.add.at(m[i], np.clip(i + offset, 0, n - 1), weight)
+    _MATRICES[n, sigma] = m
     return m
 
 
