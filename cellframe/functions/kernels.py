@@ -56,6 +56,30 @@ def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
     return blur_matrix(h, sigma) @ image @ blur_matrix(w, sigma).T
 
 
+def soft_masks(labels: np.ndarray, sigma: float) -> dict[int, tuple[int, int, np.ndarray]]:
+    """The blurred mask of every label where it is not zero: row and column of its first pixel, and values."""
+    h, w = labels.shape
+    down, across, reach = blur_matrix(h, sigma), blur_matrix(w, sigma), int(4 * sigma + 0.5)
+    out = {}
+    for k in np.unique(labels[labels > 0]):
+        ys, xs = np.nonzero(labels == k)
+        y0, y1, x0, x1 = ys.min(), ys.max() + 1, xs.min(), xs.max() + 1
+        ya, yb, xa, xb = max(y0 - reach, 0), min(y1 + reach, h), max(x0 - reach, 0), min(x1 + reach, w)
+        mask = (labels[y0:y1, x0:x1] == k).astype(float)
+        out[int(k)] = (int(ya), int(xa), down[ya:yb, y0:y1] @ mask @ across[xa:xb, x0:x1].T)
+    return out
+
+
+def best_product(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
+    """Largest product of two placed patches; zero where they do not meet."""
+    y0, x0 = max(a[0], b[0]), max(a[1], b[1])
+    y1, x1 = min(a[0] + a[2].shape[0], b[0] + b[2].shape[0]), min(a[1] + a[2].shape[1], b[1] + b[2].shape[1])
+    if y1 <= y0 or x1 <= x0:
+        return 0.0
+    inside = lambda p: p[2][y0 - p[0]:y1 - p[0], x0 - p[1]:x1 - p[1]]
+    return float((inside(a) * inside(b)).max())
+
+
 def _neighbours(a: np.ndarray, fill, diagonal: bool) -> np.ndarray:
     """The shifted copies of an array, stacked: 4 or 8 neighbours."""
     p = np.pad(a, 1, constant_values=fill)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, volume
-from ..functions.kernels import blurred, laplace_peaks
+from ..functions.kernels import best_product, laplace_peaks, soft_masks
 from ..functions.lineage_cut import cut
 from .cells import order_daughters
 from .lineage import resolve
@@ -97,10 +97,11 @@ def assign_foci(focus_px: DataFrame, cell_px: DataFrame, *, overlap: float = 0.5
 
 
 def focus_scores(label_images: DataFrame, *, sigma: float = 1.0) -> DataFrame:
-    """Largest product of the blurred masks of every focus and every focus of the previous frame.
+    """Largest product of the blurred masks of every focus and every focus of the previous frame that it meets.
 
     ``label_images(fov, peak, t, height, width, lab)``. Returns region keys, ``prev_label,
-    score``; the label images of two neighbouring frames meet in one row.
+    score`` and ``n_prev``, the largest label of the previous frame; foci that do not meet have
+    no row (their score is zero). The label images of two neighbouring frames meet in one row.
     """
     now = label_images.select(*IMAGE, "height", "width", "lab")
     before = label_images.select("fov", "peak", (F.col("t") + 1).alias("t"), F.col("lab").alias("prev"))
@@ -110,12 +111,12 @@ def focus_scores(label_images: DataFrame, *, sigma: float = 1.0) -> DataFrame:
             rows = []
             for r in b.itertuples(index=False):
                 shape = (r.height, r.width)
-                soft = [{k: blurred((img == k).astype(float), sigma) for k in range(1, int(img.max()) + 1)}
-                        for img in (np.reshape(r.prev, shape), np.reshape(r.lab, shape))]
-                rows += [(r.fov, r.peak, r.t, n, p, float((a * c).max())) for n, c in soft[1].items() for p, a in soft[0].items()]
-            yield pd.DataFrame(rows, columns=["fov", "peak", "t", "label", "prev_label", "score"])
+                old, new = (soft_masks(np.reshape(img, shape), sigma) for img in (r.prev, r.lab))
+                n = int(np.max(r.prev))
+                rows += [(r.fov, r.peak, r.t, k, p, score, n) for k, c in new.items() for p, a in old.items() if (score := best_product(a, c)) > 0]
+            yield pd.DataFrame(rows, columns=["fov", "peak", "t", "label", "prev_label", "score", "n_prev"])
 
-    return now.join(before, IMAGE).mapInPandas(run, "fov int, peak int, t int, label int, prev_label int, score double")
+    return now.join(before, IMAGE).mapInPandas(run, "fov int, peak int, t int, label int, prev_label int, score double, n_prev int")
 
 
 def link_foci(label_images: DataFrame, valid: DataFrame, *, sigma: float = 1.0, prefix: str = "") -> DataFrame:
@@ -127,7 +128,8 @@ def link_foci(label_images: DataFrame, valid: DataFrame, *, sigma: float = 1.0,
     s = focus_scores(label_images, sigma=sigma)
     best = s.groupBy(*REGION).agg(
         F.min(F.struct(F.round(-F.col("score"), 9).alias("s"), "prev_label"))["prev_label"].alias("prev_label"),
-        (F.max("score") - F.min("score")).alias("spread")).where("spread > 1e-9")
+        # a previous focus that is not met has the score zero
+        (F.max("score") - F.when(F.count("*") < F.max("n_prev"), 0.0).otherwise(F.min("score"))).alias("spread")).where("spread > 1e-9")
     nodes = cut(make_id(valid.select(*REGION).distinct(), prefix=prefix, name="id"))
     back = nodes.select("fov", "peak", (F.col("t") + 1).alias("t"), F.col("label").alias("prev_label"), F.col("id").alias("to"))
     edges = nodes.join(best, REGION).join(back, [*IMAGE, "prev_label"]).select("id", "to")

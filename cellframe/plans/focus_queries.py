@@ -112,7 +112,7 @@ sc AS (SELECT pr.*, coalesce(x.s, 0) AS score FROM pr LEFT JOIN (SELECT a.fov, a
   JOIN soft b ON b.fov = a.fov AND b.peak = a.peak AND b.t = a.t - 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL) x USING (fov, peak, t, label, prev_label))"""
 
 
-@query("p5_focus_scores", REG + "prev_label:l score:d", f"{_SOFT} ---- SELECT * FROM sc", uses="labels")
+@query("p5_focus_scores", REG + "prev_label:l score:d", f"{_SOFT} ---- SELECT * FROM sc WHERE score > 0", uses="labels")
 def _(d):
     return f.focus_scores(_focus_images(d))
 

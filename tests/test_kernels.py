@@ -88,3 +88,19 @@ def test_peak_is_found_at_its_place():
     assert (11, 14) in {(a, b) for a, b, _ in found}
     best = max(found, key=lambda f: img[f[0], f[1]])
     assert best == (11, 14, 2.0)
+
+
+def test_soft_masks_equal_whole_blurs():
+    from cellframe.functions.kernels import best_product, blurred, soft_masks
+    rng = np.random.default_rng(4)
+    a, b = np.zeros((40, 30), int), np.zeros((40, 30), int)
+    for img in (a, b):
+        for k in (1, 2, 5):
+            y, x = rng.integers(0, 34), rng.integers(0, 24)
+            img[y:y + 5, x:x + 5] = k
+    soft_a, soft_b = soft_masks(a, 1.0), soft_masks(b, 1.0)
+    assert set(soft_a) == set(np.unique(a[a > 0]))
+    for i, p in soft_a.items():
+        for j, q in soft_b.items():
+            want = (blurred((a == i).astype(float), 1.0) * blurred((b == j).astype(float), 1.0)).max()
+            assert np.isclose(best_product(p, q), want, atol=1e-15)
