@@ -74,11 +74,12 @@ def detect_foci(stacks: DataFrame, labels: DataFrame, *, min_sigma: int = 2, max
                         spot = img[y0:y + reach, x0:x + reach]
                         if spot.sum() <= 0:
                             continue
-                        iy, ix = np.indices(spot.shape)
+                        # image coordinates: sums of whole numbers and one division
+                        iy, ix = np.indices(spot.shape) + np.array([y0, x0])[:, None, None]
                         cy, cx = (iy * spot).sum() / spot.sum(), (ix * spot).sum() / spot.sum()
                         wide = np.sqrt((((iy - cy) ** 2 + (ix - cx) ** 2) * spot).sum() / spot.sum() / 2)
                         near = img[max(y - max_sigma, 0):y + max_sigma, max(x - max_sigma, 0):x + max_sigma]
-                        rows.append((r.fov, r.peak, r.t, int(one), y0 + cy, x0 + cx, s, spot.max(), wide, near.sum()))
+                        rows.append((r.fov, r.peak, r.t, int(one), cy, cx, s, spot.max(), wide, near.sum()))
             yield pd.DataFrame(rows, columns=["fov", "peak", "t", "label", "fy", "fx", "sigma", "height", "width", "total"])
 
     both = stacks.select(*IMAGE, "height", "width", "px").join(labels.select(*IMAGE, "lab"), IMAGE)
