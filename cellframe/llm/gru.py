@@ -10,7 +10,9 @@ later id is a class by itself (its members are told apart outside of the network
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
@@ -159,23 +161,52 @@ def _backward(net: Network, h0: np.ndarray, x: np.ndarray, y: np.ndarray, live:
     return [dG, dU, dWc, dbc, dWo, dbo], hs[-1]
 
 
-def train(net: Network, spans: np.ndarray, lengths: np.ndarray, *, window: int = 16, batch: int = 128, rate: float = 0.1) -> None:
-    """One pass of Adagrad over spans (rows of ids; column 0 is the word before the first target), the state carried from window to window."""
+def train(net: Network, texts: Iterable[np.ndarray], start: int, *, window: int = 16, batch: int = 128, rate: float = 0.1) -> int:
+    """One pass of Adagrad over every id of every text; the number of ids.
+
+    ``batch`` texts go side by side, and each that ends makes room for the next. The state is
+    carried from window to window through the whole text, from zero and after ``start``. Windows with
+    few running texts add up their gradients until an update has as many ids as a full window.
+    """
     past = [np.full_like(p, 1e-2) for p in net.parameters()]
-    for at in range(0, len(spans), batch):
-        rows, n = spans[at: at + batch], lengths[at: at + batch]
-        h = np.zeros((len(rows), net.hidden), np.float32)
-        for t in range(0, rows.shape[1] - 1, window):
-            x, y = rows[:, t: t + window].T[: rows.shape[1] - 1 - t], rows[:, t + 1: t + 1 + window].T
-            x = x[: len(y)]
-            live = np.arange(t, t + len(y))[:, None] < n[None, :]
-            if not live.any():
-                break
-            grads, h = _backward(net, h, np.ascontiguousarray(x), np.ascontiguousarray(y), live)
-            for p, g, s in zip(net.parameters(), grads, past):
-                g = np.clip(g / np.float32(live.sum() / 32), -1, 1)
-                s += g * g
-                p -= np.float32(rate) * g / np.sqrt(s)
+    source, running, total, due = iter(texts), [], 0, 0
+    sums = [np.zeros_like(p) for p in net.parameters()]
+
+    def update():
+        for p, g, s in zip(net.parameters(), sums, past):
+            step = np.clip(g / np.float32(due / 32), -1, 1)
+            s += step * step
+            p -= np.float32(rate) * step / np.sqrt(s)
+            g[...] = 0
+
+    at, h, last = np.zeros(0, np.int64), np.zeros((0, net.hidden), np.float32), np.zeros(0, np.int64)
+    while True:
+        new = list(islice((t for t in source if len(t)), batch - len(running)))
+        running += new
+        if not running:
+            if due:
+                update()
+            return total
+        at = np.append(at, np.zeros(len(new), np.int64))
+        h = np.concatenate([h, np.zeros((len(new), net.hidden), np.float32)])
+        last = np.append(last, np.full(len(new), start))
+        pieces = [t[a: a + window] for t, a in zip(running, at.tolist())]
+        n = np.array([len(p) for p in pieces])
+        live = np.arange(n.max())[:, None] < n
+        x, y = np.zeros(live.shape, np.int64), np.zeros(live.shape, np.int64)
+        y.T[live.T] = np.concatenate(pieces)
+        x[0], x[1:] = last, y[:-1]
+        grads, h = _backward(net, h, x, y, live)
+        for total_g, g in zip(sums, grads):
+            total_g += g
+        total, due = total + int(n.sum()), due + int(n.sum())
+        if due >= batch * window:
+            update()
+            due = 0
+        at += n
+        last = y[n - 1, np.arange(len(n))]
+        on = np.array([len(t) for t in running]) > at
+        running, at, h, last = [t for t, o in zip(running, on) if o], at[on], h[on], last[on]
 
 
 def score(net: Network, ids: list[np.ndarray], start: int, *, window: int = 32, width: int = 1024) -> np.ndarray:

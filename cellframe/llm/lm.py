@@ -4,13 +4,13 @@ Tokens are words (A to Z in lower case) and one end for each document. Words are
 64-bit hashes.
 
 1. Every training text is counted whole, in its task first; counts and their number of words
-   grow with the corpus and stay a distributed table. Every training text also gives spans of
-   ``SPAN`` tokens, one for each ``EVERY`` tokens begun, that train the network.
+   grow with the corpus and stay a distributed table.
 2. The ``OWN`` most frequent words have ids of their own, in classes of about equal counts. The
    others fall into ``FORMS`` classes by their first and last letters; in such a class a word
    has the probability that its count gives, unknown words sharing a tenth of a count.
-3. Tasks train copies of the network on their spans by truncated backpropagation with the state
-   carried along; the copies are averaged in Spark, ``ROUNDS`` times.
+3. Tasks train copies of the network on all tokens of their training texts, by backpropagation in
+   consecutive windows with the state carried from one to the next through each whole text; the
+   copies are averaged in Spark by their tokens, ``ROUNDS`` times. Texts are read again each round.
 4. Scoring carries the state across windows through each whole text. Counts of the ``HEAD`` most
    frequent words are broadcast; the other words of a document are joined with the counts by
    hash, where no word can be hot.
@@ -34,7 +34,7 @@ from .words import Words, _lower_table, mix, words
 
 OWN, FORMS, HEAD = 2048, 61, 1 << 16
 CLASSES, HIDDEN = 24, 16
-SPAN, EVERY, ROUNDS = 48, 2048, 2
+ROUNDS = 2
 #: hash of the end token, and what a count is raised by
 END, ALPHA = 0x7E57ED0F7E57ED0F, 0.1
 #: numbers of a block of parameters
@@ -60,38 +60,23 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return edges, h, form
 
 
-def _gathered(docs: DataFrame) -> DataFrame:
-    """Counts of words in one batch of rows (h, form, n), and spans of tokens (span, forms; the first is the token before)."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """Counts of words in one batch of rows (h, form, n)."""
     def run(batches):
         for batch in batches:
-            parts, spans, span_forms = [], [], []
+            parts = []
             for w in words(batch.column("text")):
-                edges, h, form = _tokens(w)
+                _, h, form = _tokens(w)
                 values, at, n = np.unique(h, return_index=True, return_counts=True)
                 parts.append((values, form[at], n))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    pieces = 1 + (b - a) // EVERY
-                    for i in range(pieces):
-                        room = max((b - a) // pieces - SPAN, 0)
-                        first = a + i * ((b - a) // pieces) + (int(h[a] % np.uint64(room + 1)) if room else 0)
-                        piece = h[first: min(first + SPAN, b)]
-                        spans.append(np.append(h[first - 1] if first > a else np.uint64(END), piece))
-                        span_forms.append(np.append(form[first - 1] if first > a else 0, form[first: min(first + SPAN, b)]))
             if not parts:
                 continue
             values, at, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
             form = np.concatenate([p[1] for p in parts])[at]
-            m, k = len(values), len(spans)
-            edges = np.append(0, np.cumsum([len(s) for s in spans]))
-            padded = np.concatenate([np.zeros(m, np.int64), edges])
-            longs, ints = pa.array(np.concatenate(spans).view(np.int64)), pa.array(np.concatenate(span_forms).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(values.view(np.int64), np.zeros(k, np.int64))), pa.array(np.append(form, np.zeros(k, np.int32)).astype(np.int32)),
-                 pa.array(np.append(n, np.zeros(k, np.int64))), pa.ListArray.from_arrays(pa.array(padded, pa.int32()), longs),
-                 pa.ListArray.from_arrays(pa.array(padded, pa.int32()), ints)], names=["h", "form", "n", "span", "forms"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(form, pa.int32()), pa.array(n)], names=["h", "form", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, form int, n long, span array<long>, forms array<int>")
+    return docs.select("text").mapInArrow(run, "h long, form int, n long")
 
 
 class Head:
@@ -119,41 +104,44 @@ class Head:
         return np.where(own >= 0, own, self.own + form)
 
 
-def _trained(spans: DataFrame, head: Head, net: gru.Network) -> None:
-    """One round: copies trained in tasks, weighted by their spans and averaged in Spark."""
-    made = ship(spans.sparkSession, (head, net))
+def _start(head: Head) -> int:
+    """Id of the end token, which stands before each text."""
+    return int(head.ids(head.find(np.array([END], np.uint64)), np.zeros(1, np.int64))[0])
+
+
+def _sequences(batches, head: Head):
+    """Ids of the tokens of each text, one text after the other."""
+    for batch in batches:
+        for w in words(batch.column("text")):
+            edges, h, form = _tokens(w)
+            ids = head.ids(head.find(h), form)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield ids[a:b].astype(np.int32)
+
+
+def _trained(docs: DataFrame, head: Head, net: gru.Network) -> None:
+    """One round over whole texts: copies trained in tasks, weighted by their tokens and averaged in Spark."""
+    made = ship(docs.sparkSession, (head, net))
 
     def run(batches):
         from pyspark import TaskContext
         table, model = unpack(made)
         vector = model.vector()
-        rows, lengths = [], []
-        for batch in batches:
-            lists = batch.column("span")
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            ids = table.ids(table.find(flat), batch.column("forms").flatten().to_numpy())
-            n = np.diff(lists.offsets.to_numpy())
-            block = np.zeros((len(n), SPAN + 1), np.int64)
-            block[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = ids
-            rows.append(block)
-            lengths.append(n - 1)
-        if rows:
-            all_rows, all_lengths = np.concatenate(rows), np.concatenate(lengths)
-            order = np.random.default_rng(3).permutation(len(all_rows))
-            gru.train(model, all_rows[order], all_lengths[order])
+        tokens = gru.train(model, _sequences(batches, table), _start(table))
+        if tokens:
             trained = model.vector()
             model.load(vector)  # the worker keeps the shipped copy for its later tasks
-            blocks = [trained[i: i + BLOCK].astype(np.float64) * len(all_rows) for i in range(0, len(trained), BLOCK)]
+            blocks = [trained[i: i + BLOCK].astype(np.float64) * tokens for i in range(0, len(trained), BLOCK)]
             k = len(blocks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * k, pa.int32()), pa.array([float(len(all_rows))] * k),
+                [pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * k, pa.int32()), pa.array([float(tokens)] * k),
                  pa.array(blocks, pa.list_(pa.float64()))], names=["block", "bucket", "weight", "sums"])
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "bucket": [0], "weight": [rows["weight"].sum()], "sums": [np.sum(np.stack(rows["sums"].tolist()), axis=0)]})
 
     shape = "block int, bucket int, weight double, sums array<double>"
-    parts = spans.mapInArrow(run, shape).groupBy("block", "bucket").applyInPandas(added, shape).groupBy("block").applyInPandas(added, shape)
+    parts = docs.select("text").mapInArrow(run, shape).groupBy("block", "bucket").applyInPandas(added, shape).groupBy("block").applyInPandas(added, shape)
     got = parts.toPandas().sort_values("block")
     if len(got):
         net.load(np.concatenate([np.array(s) / w for s, w in zip(got["sums"], got["weight"])]).astype(np.float32))
@@ -172,7 +160,7 @@ def _scored(docs: DataFrame, head: Head, net: gru.Network, total: float, distinc
         row = TaskContext.get().partitionId() << 33
         below = np.log10(total + ALPHA * (distinct + 1))
         known_log = np.log10(table.count + ALPHA)
-        start = int(table.ids(table.find(np.array([END], np.uint64)), np.zeros(1, np.int64))[0])
+        start = _start(table)
         for batch in batches:
             ids, columns = [], []
             for w in words(batch.column("text")):
@@ -216,8 +204,8 @@ def log_likelihood(docs: DataFrame, held_out: Column, *, key: str = "doc_id", te
     ``base_score`` is the unigram log10 probability from the counts of rows that are not held out, ``score`` the model's.
     """
     named = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    gathered = cut(_gathered(named.where(~F.col("held_out"))))
-    counts = cut(gathered.where("n > 0").groupBy("h").agg(F.sum("n").alias("c"), F.max("form").alias("form")))
+    learned = named.where(~F.col("held_out"))
+    counts = cut(_counted(learned).groupBy("h").agg(F.sum("n").alias("c"), F.max("form").alias("form")))
     top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
     hashes, count, form = (top.column(c).to_numpy() for c in ("h", "c", "form"))
     order = np.lexsort((hashes, -count))
@@ -231,9 +219,8 @@ def log_likelihood(docs: DataFrame, held_out: Column, *, key: str = "doc_id", te
 
     head = Head(hashes, count, OWN)
     net = gru.build(count[:OWN], mass, CLASSES, HIDDEN)
-    spans = gathered.where("n = 0").select("span", "forms")
     for _ in range(ROUNDS):
-        _trained(spans, head, net)
+        _trained(learned, head, net)
     scored = cut(_scored(named, head, net, total, distinct, np.log10(mass + ALPHA * (kinds + 1))))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     joined = rare.join(counts.select("h", "c"), "h", "left")

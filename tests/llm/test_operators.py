@@ -440,6 +440,33 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
     assert gru.score(net, ids, 0, window=7, width=2) == pytest.approx(gru.score(net, ids, 0, window=64, width=10), abs=1e-3)
 
 
+def test_training_reads_every_token_and_carries_the_state(monkeypatch):
+    seen, real, texts = collections.Counter(), gru._backward, [np.arange(n) + 100 * i for i, n in enumerate((1, 70, 16, 33, 0, 100, 2))]
+    states = {}
+
+    def noted(net, h0, x, y, live):
+        grads, h = real(net, h0, x, y, live)
+        for j in range(x.shape[1]):
+            k = int(live[:, j].sum())
+            seen.update(zip(x[:k, j].tolist(), y[:k, j].tolist()))
+            assert np.array_equal(h0[j], states[int(x[0, j])] if x[0, j] else np.zeros(4))
+            states[int(y[k - 1, j])] = h[j]
+        return grads, h
+
+    monkeypatch.setattr(gru, "_backward", noted)
+    texts[0] += 600
+    net = gru.build(np.full(700, 1.0), np.array([1.0]), 4, 4)
+    assert gru.train(net, texts, 0, window=8, batch=3) == sum(map(len, texts))
+    assert seen == collections.Counter((a, b) for t in texts for a, b in zip([0, *t.tolist()], t.tolist()))
+
+
+def test_order_of_words_is_learned_from_whole_texts(docs_of):
+    """Texts of under 2048 tokens: a few tokens of each would not do."""
+    rows = [(i, " ".join("abcdefgh"[(i + k) % 8] for k in range(2000))) for i in range(202)]
+    got = lm.log_likelihood(docs_of(rows), queries.F.col("doc_id") >= 200).where("held_out").collect()
+    assert len(got) == 2 and all(r.score > 0.05 * r.base_score for r in got)
+
+
 def test_scores_of_a_given_table(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: split(r.text) + [""] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
