@@ -31,9 +31,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "guess")
 
-#: names of credentials; their presence is looked for before any pattern is tried
+#: looked for before a pattern is tried: each name in ASSIGN, and each in PLACE, holds one of these
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
-MORE_NAMES = ("pwd", "passphrase", "passcode", "credential", "api-key", "access_key", "private_key", "auth_key", "client_key")
+PLACE_NAMES = ("pass", "pwd", "credential", "secret", "token", "key")
 PLACE = re.compile(r"""(?:passwords?|passwd|pwd|passphrase|passcode|credentials?|secret(?:[_-]?key)?|(?:auth|access|bearer)?[_-]?token|(?:api|access|private|auth|client)[_-]?key)["']?(?:[ \t]*(?:[:=]|=>|->)|[ \t]+(?:is|was)[ \t])[ \t]*["'`]?([^\s"'`<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 
 # Words of frequent passwords, most frequent first.
@@ -153,13 +153,12 @@ def find(text: str, ranks: dict[str, int], strong: float = STRONG) -> list[tuple
     """Spans of a text by start, then kind: (kind number, start, end, power of ten of the guesses)."""
     low = text.lower()
     out = []
-    named = any(n in low for n in NAMES)
-    if named:
+    if any(n in low for n in NAMES):
         out += [(0, m.start(), m.end(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
         out += [(1, m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     out += [(2, m.start(), m.end(), None) for m in HEX.finditer(text)]
-    if named or any(n in low for n in MORE_NAMES):
+    if any(n in low for n in PLACE_NAMES):
         base = sorted((a, b) for _, a, b, _ in out)
         for m in PLACE.finditer(text):
             a, b = m.span(1)

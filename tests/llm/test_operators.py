@@ -283,6 +283,17 @@ def test_guess_spans_and_masks(docs_of, odd):
     assert secrets.scan(odd).count() == odd.count()
 
 
+def test_every_name_of_a_place_is_looked_for():
+    names = [p + s for p in ("secret", "api", "access", "private", "auth", "client") for s in ("key", "_key", "-key")]
+    names += [p + s + "token" for p in ("", "auth", "access", "bearer") for s in ("", "_", "-")]
+    names += ["password", "passwords", "passwd", "pwd", "passphrase", "passcode", "credential", "credentials", "secret"]
+    for name in names:
+        for cased in (name, name.upper(), name.title()):
+            text = f"{cased} -> x7Kp9#mQ2vLz"
+            assert secrets.PLACE.search(text)
+            assert [(k, text[a:b]) for k, a, b, _ in secrets.find(text, RANKS)] == [(3, "x7Kp9#mQ2vLz")]
+
+
 # substring dedup
 
 def test_line_hashing_keeps_the_first_of_equal_units(docs_of, odd):
