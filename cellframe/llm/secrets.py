@@ -5,7 +5,10 @@ name, a sign and a value of eight characters or more; the span is the whole matc
 (access key ids) and ``hex`` (long hexadecimal runs). The method adds the kind ``guess``: a
 value that stands in a credential's place but that no base span touches is cut into words,
 dates, repeats, keyboard walks and brute-force spans so that the number of guesses is least;
-from ``STRONG`` on (as a power of ten) it is a secret, below it is a word or a stand-in.
+from ``STRONG`` on (as a power of ten) it is a secret, below it is a word or a stand-in. Values
+of letters alone are judged like all others. After "is" or "was", where ordinary sentences go
+on, one whose letters follow each other as in words is also a guess from a large word list
+(``LISTED``), as is one of ``PROSE`` after any sign; so a made-up word that can be spoken is not found there.
 
 Spans count code points, ends are exclusive. A null or empty text has no span. Every text is
 scanned whole in the task that reads it; there is no shuffle. Columns pass through.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +38,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: looked for before a pattern is tried: each name in ASSIGN, and each in PLACE, holds one of these
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
 PLACE_NAMES = ("pass", "pwd", "credential", "secret", "token", "key")
-PLACE = re.compile(r"""(?:passwords?|passwd|pwd|passphrase|passcode|credentials?|secret(?:[_-]?key)?|(?:auth|access|bearer)?[_-]?token|(?:api|access|private|auth|client)[_-]?key)["']?(?:[ \t]*(?:[:=]|=>|->)|[ \t]+(?:is|was)[ \t])[ \t]*["'`]?([^\s"'`<>,;]{6,})""", re.IGNORECASE | re.ASCII)
+PLACE = re.compile(r"""(?:passwords?|passwd|pwd|passphrase|passcode|credentials?|secret(?:[_-]?key)?|(?:auth|access|bearer)?[_-]?token|(?:api|access|private|auth|client)[_-]?key)["']?(?:[ \t]*(?:[:=]|=>|->)|[ \t]+(?P<said>is|was)[ \t])[ \t]*["'`]?(?P<value>[^\s"'`<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 
 # Words of frequent passwords, most frequent first.
 WORDS = """password qwerty dragon monkey letmein football iloveyou baseball welcome admin master login sunshine princess shadow
@@ -44,9 +48,33 @@ root default changeme example sample token value none null true false here your
 string key pass love money computer internet server data system backup private public company office mustang cheese
 whatever orange banana purple flower winter spring autumn january february march april june july august september october
 november december monday friday sunday""".split()
+# Words of sentences about credentials; with WORDS they show which letters follow each other.
+PROSE = """required incorrect invalid expired missing wrong correct valid empty unknown optional mandatory necessary important confidential
+sensitive protected encrypted decrypted hashed stored saved shared changed created updated deleted removed replaced rejected accepted accidentally
+generated issued assigned requested returned received verified validated checked compared compromised exposed leaked stolen disclosed revealed
+published printed displayed visible available unavailable accessible configured provided supplied entered forgotten remembered reused rotated
+revoked refreshed renewed reset restored recovered registered authenticated authentication authorization authorized unauthorized
+information documentation configuration application environment administrator organization description identification registration
+something nothing anything everything someone somewhere sometimes always never already usually probably certainly actually
+automatically immediately temporarily permanently successfully currently previously obviously definitely absolutely basically
+considered believed supposed intended expected allowed forbidden denied granted blocked locked disabled enabled active inactive
+different identical similar equal longer shorter stronger weaker simple complex complicated difficult impossible possible sufficient
+insufficient following followed included excluded contained embedded attached located hardcoded written readable recorded
+working broken failing passing testing missing pending waiting sending getting setting using being having making taking giving
+between without within through because before after during against another several together whether although
+question answer problem solution reason result purpose meaning message request response number character letter symbol
+username account customer employee manager developer engineer operator service software hardware network database
+patience knowledge kindness friendship happiness discipline practice preparation consistency simplicity persistence quality
+understanding relationship responsibility opportunity community development management government education experience
+necessarily particularly especially generally completely entirely slightly relatively frequently occasionally
+geheim falsch richtig erforderlich notwendig abgelaufen gespeichert vergessen sicherheit verschieden nicht wurde werden
+incorrecto requerido necesario olvidado caducado seguridad siempre nunca cambiado guardado importante diferente
+incorrect requis obligatoire nouveau toujours oubli sauvegarde changement maintenant quelque chose personne""".split()
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("4@31!0$57", "aaeiiosst")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+#: power of ten of a large word list, and the power of ten a letter after which a run of letters is no word
+LISTED, WORDLIKE = 6.0, 1.35
 #: cost of one more segment: attackers try the orders of segments
 JOIN = math.log10(2)
 
@@ -100,6 +128,28 @@ def _repeats(value: str):
             i += max(1, j - i - size * times) if j > i else 1
 
 
+def _pairs() -> list[list[float]]:
+    """Power of ten of one in how many letters b follows a in words; place 0 is a word's end."""
+    n = [[0.25] * 27 for _ in range(27)]
+    for word in {w for w in WORDS + PROSE if w.isalpha()}:
+        places = [0, *(ord(c) - 96 for c in word), 0]
+        for a, b in zip(places, places[1:]):
+            n[a][b] += 1
+    return [[math.log10(sum(row) / x) for x in row] for row in n]
+
+
+PAIRS, SAID = _pairs(), frozenset(PROSE)
+
+
+def wordlike(value: str) -> bool:
+    """Are these letters, in the case of a word, that follow each other as in words?"""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
+    if not (plain.isascii() and plain.isalpha() and (value.islower() or value.isupper() or value[1:].islower())):
+        return False
+    places = [0, *(ord(c) - 96 for c in plain), 0]
+    return sum(PAIRS[a][b] for a, b in zip(places, places[1:])) <= WORDLIKE * (len(plain) + 1)
+
+
 def segments(value: str, ranks: dict[str, int], deep: bool = True) -> list[tuple[int, int, str, float]]:
     """Spans of the value that a pattern guesses: (start, end, kind, power of ten of the guesses)."""
     low = value.lower() if len(value.lower()) == len(value) else value
@@ -161,12 +211,13 @@ def find(text: str, ranks: dict[str, int], strong: float = STRONG) -> list[tuple
     if any(n in low for n in PLACE_NAMES):
         base = sorted((a, b) for _, a, b, _ in out)
         for m in PLACE.finditer(text):
-            a, b = m.span(1)
-            value = m[1].rstrip(".!?)")
+            a, value = m.start("value"), m["value"].rstrip(".!?)")
             b = a + len(value)
-            if any(x < b and a < y for x, y in base) or value.isalpha():
+            if any(x < b and a < y for x, y in base):
                 continue
             cost = guesses(value, ranks)[0]
+            if cost >= strong and (value.lower() in SAID or m["said"] and wordlike(value)):
+                cost = min(cost, LISTED)
             if cost >= strong:
                 out.append((3, a, b, cost))
     return sorted(out, key=lambda s: (s[1], s[0]))

@@ -294,6 +294,21 @@ def test_every_name_of_a_place_is_looked_for():
             assert [(k, text[a:b]) for k, a, b, _ in secrets.find(text, RANKS)] == [(3, "x7Kp9#mQ2vLz")]
 
 
+def test_passwords_of_letters_are_found_and_sentences_left():
+    rng = random.Random(6)
+    draws = [("".join(rng.choice(letters) for _ in range(14))) for letters in (string.ascii_lowercase, string.ascii_letters) for _ in range(100)]
+    spoken = 0
+    for value in (*draws, "KxQvTzRmWbLpHs", "qzjxkwvtbnlmpq"):
+        for text in (f"pwd={value}", f"access-key -> {value}", f"my password is {value}.", f"the passphrase was {value}"):
+            found = [(k, text[a:b]) for k, a, b, _ in secrets.find(text, RANKS)]
+            spoken += not found
+            assert found == [(3, value)] or not found and secrets.wordlike(value) and " -> " not in text and "=" not in text
+    assert spoken <= 8  # of 404: letters that happen to follow each other as in words
+    for text in ("the password is incorrect.", "My token was compromised yesterday", "the secret is understanding people", "his password is ridiculous!", "a credential is something else",
+                 "that passphrase was unencrypted", "the api key is transmitted twice", "an auth token is concatenated with it", "pwd: changeme", "passcode: required", "the password is verschl\u00fcsselt"):
+        assert not secrets.find(text, RANKS)
+
+
 # substring dedup
 
 def test_line_hashing_keeps_the_first_of_equal_units(docs_of, odd):
