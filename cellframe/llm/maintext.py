@@ -8,6 +8,9 @@ bounded sample of these pages (``SAMPLE``, those of smallest id hash) so that re
 the labels. A linear scan then finds the contiguous region of largest score. What stands in menus, adverts,
 forms and the like scores nothing, but for their own tags, and is left out of the text.
 
+Paragraphs, list items, terms, table cells and rows, and options without an end tag end where HTML implies
+it. The page, its body and main elements are never put aside for their class, id or role.
+
 Scripts, styles, comments and the head are never text. Character references are decoded, white
 space inside a block becomes one space, and blocks are joined by one space. A null or empty
 page, or one without a region of positive score, has the text "". Pages stay in their tasks.
@@ -34,8 +37,21 @@ LEAST_WEIGHT, UNSEEN = 0.01, 0.5
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe".split())
-ASIDE = frozenset("nav aside form footer header menu dialog button select figcaption".split())
+ASIDE = frozenset("nav aside form footer header menu dialog button select".split())
 MAIN = frozenset(("article", "main"))
+WHOLE = MAIN | {"html", "body"}
+# Elements whose end tag may be left out, and the opening tags before which they end.
+_BLOCKS = frozenset("""address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+header hgroup hr main menu nav ol p pre search section table ul""".split())
+_ROWS = frozenset("tbody thead tfoot".split())
+ENDS = {"p": _BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": _ROWS | {"tr"},
+        "td": _ROWS | {"td", "th", "tr"}, "th": _ROWS | {"td", "th", "tr"}, "option": frozenset(("option", "optgroup", "hr")),
+        **dict.fromkeys(_ROWS, _ROWS)}
+STARTS = frozenset().union(*ENDS.values())
+#: an open element is not ended from inside of these
+WALLS = {"p": frozenset("button object table td th caption marquee".split()), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)),
+         "tr": frozenset(("table",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "option": frozenset(("select", "datalist")),
+         **dict.fromkeys(_ROWS, frozenset(("table",)))}
 NAMED = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notice|banner|"
                    r"alert|popup|modal|newsletter|subscribe|share|social|related|comments?|respond|disqus\w*)(?:[-_].*)?", re.IGNORECASE)
 
@@ -46,9 +62,24 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 def _put_aside(name: str, attributes: str, in_main: bool) -> bool:
     if name in ASIDE and not (in_main and name == "header"):
         return True
+    if name in WHOLE:
+        return False
     return any(NAMED.fullmatch(word) for m in NAMES.findall(attributes) for part in m for word in part.split()) if "=" in attributes else False
 
 
+def _implied(open_: list[tuple[str, bool]], name: str) -> int:
+    """Place of the outermost open element that this opening tag ends; the number of open ones if there is none."""
+    at, walls = len(open_), set()
+    for i in range(len(open_) - 1, -1, -1):
+        last = open_[i][0]
+        if last in ENDS and last not in walls and name in ENDS[last]:
+            at = i
+        walls.update(k for k, v in WALLS.items() if last in v)
+        if len(walls) == len(WALLS) or last in WHOLE:
+            break
+    return at
+
+
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(tag or "", text, inside the main element, in something put aside) of the body's tags and texts.
 
@@ -81,6 +112,11 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if name in STARTS:
+            for last, was_aside in open_[(end := _implied(open_, name)):]:
+                aside -= was_aside
+                main -= last in MAIN
+            del open_[end:]
         out.append((name, "", main > 0, aside > 0))
         if name not in VOID and not m[3].rstrip().endswith("/"):
             away = _put_aside(name, m[3], main > 0)

@@ -389,6 +389,24 @@ def test_main_text_is_the_article_alone(spark):
     assert maintext.extract(pages.limit(0), *maintext.fit(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article>one two<figure><img><figcaption>a caption</figcaption></figure>three</article>", "one two a caption three"),
+    ('<html class="nav-fixed"><body id="menu"><main role="alert"><article class="post comment-enabled"><p>one two</article></main>', "one two"),
+    ('<article><p class="promo">buy<p>one two<p>three</article>', "one two three"),
+    ('<article><p class="promo">buy <b>now<div>one two</div>three</article>', "one two three"),
+    ('<article><p class="promo">buy</p>one<p>two</p></p>three</article>', "one two three"),
+    ('<article><ul><li class="share">mail<li>one<ul><li>two<li class="share">post</ul>three</ul>four</article>', "one two three four"),
+    ('<article><li class="share">mail<ul><li>send</ul>all<li>one</article>', "one"),
+    ('<article><dl><dt class="ad">x<dd>one<dd class="ad">y<dt>two</dl></article>', "one two"),
+    ('<article><table><tr class="ad"><td>x<tr><td class="ad">y<td>one<th class="ad">z<tbody><tr><td>two</table></article>', "one two"),
+    ('<article><datalist><option class="ad">x<option>one</datalist></article>', "one"),
+    ('<article><div class="ad"><p>x<p>y</div>one</article>', "one"),
+])
+def test_nothing_of_the_article_is_put_aside_with_an_advert(page, text):
+    parts = maintext.tokens(page)
+    assert maintext.region_text(parts) == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=25))
 def test_best_region_is_the_best_of_all(values):
