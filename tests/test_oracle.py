@@ -5,7 +5,6 @@ import pytest
 from __spark_entry__ import entry
 from cellframe.plans import all_oracles as oracle_sql, all_queries as queries
 from check import compare, connect
-from conftest import SF
 
 ORACLES = oracle_sql()
 # image kernels and sequential trackers; everything else stays in Spark SQL
@@ -13,13 +12,13 @@ PYTHON = ("g18_", "b2_", "b5_", "b8_", "m3_", "m4_", "m5_", "m6_", "k5_", "k9_",
 
 
 @pytest.fixture(scope="module")
-def con():
-    return connect(SF)
+def con(sf):
+    return connect(sf)
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_query(spark, con, name):
-    df = queries()[name](spark, SF)
+def test_query(spark, sf, con, name):
+    df = queries()[name](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if not name.startswith(PYTHON):
