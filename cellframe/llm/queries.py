@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, fixity, linededup, lm, maintext, neardup, quality, secrets
+from . import bpe, decontaminate, fingerprint, fixity, linededup, lm, maintext, manifest, neardup, prefixtrie, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +153,92 @@ WHERE b.sha256 IS NULL OR a.sha256 <> b.sha256 OR a.stop <> b.stop OR a.size <>
 @query
 def op6_recurrent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.log_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10) == 0)
+
+
+@query
+def op12_time_forward_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    claim = F.when(remainder("doc_id", 5) == 0, manifest.leaf_hash(*before, lowered))
+    return manifest.prove(docs.select("doc_id", "source", manifest.leaf_hash(*before, F.col("text")).alias("leaf"), claim.alias("claim")))
+
+
+def _tree_sql(name: str, rows: str) -> str:
+    """Recursive levels (g, level, pos, n, h) over rows (g, pos, n, h)."""
+    return f"""{name} AS (
+  SELECT g, 0 AS level, pos, n, h FROM {rows}
+  UNION ALL
+  SELECT g, max(level) + 1, pos // 16, max((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, pos // 16)"""
+
+
+def _siblings_sql(name: str, tree: str) -> str:
+    """What stands to the left and to the right of each node in its run."""
+    run = "PARTITION BY g, level, pos // 16 ORDER BY pos ROWS BETWEEN"
+    return f"""{name} AS (
+  SELECT g, level, pos, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tree} WHERE n > 1)"""
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+# DuckDB has no crc32 of strings: the remainders of its polynomial, digit by digit and bit by bit
+_CRC = """xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda c, d:
+    list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, d)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+ORACLES["op12_time_forward_manifest"] = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '-') AS g, {_leaf_sql("text")} AS h,
+    CASE WHEN {_CRC.format("doc_id")} % 5 = 0
+      THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_tree_sql("low", "placed")},
+subroots AS MATERIALIZED (SELECT g AS part, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, 0 AS g FROM low WHERE n = 1),
+{_tree_sql("high", "subroots")},
+{_siblings_sql("low_sides", "low")}, {_siblings_sql("high_sides", "high")},
+steps AS MATERIALIZED (
+  SELECT p.g, p.pos, s.level, s.l, s.r FROM placed p JOIN low_sides s ON s.g = p.g AND s.pos = p.pos // CAST(power(16, s.level) AS BIGINT)
+  UNION ALL
+  SELECT p.g, p.pos, 1000 + s.level, s.l, s.r FROM placed p JOIN subroots t ON t.part = p.g JOIN high_sides s ON s.pos = t.pos // CAST(power(16, s.level) AS BIGINT)),
+listed AS (SELECT g, pos, sha256(string_agg(l || r, '' ORDER BY level)) AS proof, list({{'l': l, 'r': r}} ORDER BY level) AS sides FROM steps GROUP BY g, pos),
+folding AS (
+  SELECT p.g, p.pos, 1 AS k, coalesce(p.claim, p.h) AS h, coalesce(sides, []) AS sides FROM placed p LEFT JOIN listed USING (g, pos)
+  UNION ALL
+  SELECT g, pos, k + 1, sha256(sides[k].l || h || sides[k].r), sides FROM folding WHERE k <= len(sides)),
+whole AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, p.h AS leaf, t.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p JOIN subroots t ON t.part = p.g LEFT JOIN listed ON listed.g = p.g AND listed.pos = p.pos
+JOIN folding f ON f.g = p.g AND f.pos = p.pos AND f.k = len(f.sides) + 1 CROSS JOIN whole
+"""
+
+
+@query
+def op13_prefix_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op13_prefix_slots"] = f"""
+WITH turns AS MATERIALIZED (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j FROM conversations WHERE conv_id IS NOT NULL),
+ids AS MATERIALIZED (SELECT c, c - c % 100 AS base, {_CRC.format("c")} % 6 AS h FROM (SELECT DISTINCT c FROM turns)),
+given AS (SELECT ids.c, j AS i, role, text FROM ids JOIN turns ON turns.c = base AND j <= h),
+kept AS (SELECT turns.c, j - h + coalesce(k, 0) AS i, role, text FROM turns JOIN ids ON ids.c = turns.c LEFT JOIN (SELECT c, count(*) AS k FROM given GROUP BY c) g ON g.c = turns.c WHERE j > h),
+rows AS MATERIALIZED (
+  SELECT c, i, length(text) AS size, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY i) AS key FROM (FROM given UNION ALL FROM kept)
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+nodes AS MATERIALIZED (
+  SELECT key, i AS depth, any_value(size) AS size, count(*) AS n, min(c) AS c, left(key, greatest(length(key) - 64, 0)) AS above FROM rows GROUP BY key, i),
+children AS MATERIALIZED (SELECT above AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+sums AS (
+  SELECT r.key, sum((n - 1) * nodes.size) AS saved, count(*) FILTER (n_children IS NULL) AS leaves
+  FROM nodes LEFT JOIN children USING (key) JOIN rows r ON r.c = nodes.c AND r.i <= nodes.depth GROUP BY r.key),
+ends AS (
+  SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, max_by(key, i) AS key FROM rows GROUP BY c) GROUP BY key)
+SELECT a.c AS conv_id, CAST(a.depth AS BIGINT) AS depth, b.c AS parent_conv_id, a.n AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes a LEFT JOIN nodes b ON a.depth > 0 AND b.key = a.above LEFT JOIN children ON children.key = a.key JOIN sums ON sums.key = a.key LEFT JOIN ends ON ends.key = a.key
+"""
