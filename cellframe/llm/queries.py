@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, fixity, linededup, lm, maintext, manifest, neardup, prefixtrie, quality, secrets
+from . import bpe, decontaminate, fingerprint, fixity, linededup, lm, maintext, manifest, neardup, prefixtrie, quality, runindex, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,6 +155,34 @@ def op6_recurrent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.log_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 10) == 0)
 
 
+@query
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = runindex.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cleaned.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), gone.alias("n_removed"),
+                          F.size("removed").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
+
+
+ORACLES["op11_run_index"] = f"""
+WITH texts AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, greatest(len(x) // 2 - {runindex.LEAST - 1}, 0), 256)) AS s, x FROM texts),
+blocks AS MATERIALIZED (SELECT doc_id, s, substring(x, 2 * s + 1, {2 * (256 + runindex.LEAST - 1)}) AS y FROM starts),
+windows AS (SELECT doc_id, s, y, unnest(range(len(y) // 2 - {runindex.LEAST - 1})) AS p FROM blocks),
+cuts AS MATERIALIZED (SELECT doc_id, s + p AS p, substring(y, 2 * p + 1, {2 * runindex.LEAST}) AS bytes FROM windows),
+named AS (SELECT doc_id, p, least FROM cuts JOIN (SELECT bytes, min(doc_id) AS least FROM cuts GROUP BY bytes) USING (bytes)),
+hits AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {runindex.LEAST} THEN 0 ELSE 1 END AS opens FROM named WHERE least < doc_id),
+runs AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hits),
+spans AS (SELECT doc_id, k, min(p) AS a, max(p) + {runindex.LEAST} AS b FROM runs GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+summed AS (
+  SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS stop, string_agg(substring(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN summed USING (doc_id)
+"""
+
+
 @query
 def op12_time_forward_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -223,24 +223,17 @@ class RunIndex:
             lost = off[:0]
             if len(off):
                 place = np.searchsorted(self.key, char[off] * len(self.start) + run[off])
-                best = np.full(len(off), -1)
+                best, to = np.full(len(off), -1), np.zeros(len(off), np.int64)
                 for side, sample, edge in ((place - 1, self.last, self.end), (place, self.first, self.start)):
                     near = self.order[np.clip(side, 0, len(self.order) - 1)]
-                    there = (side >= 0) & (side < len(self.order)) & (self.char[near] == char[off])
-                    x = np.flatnonzero(there)
-                    reach = self.common(at[off[x]], sample[near[x]], length[off[x]]) if side is not place or True else None
+                    x = np.flatnonzero((side >= 0) & (side < len(self.order)) & (self.char[near] == char[off]))
+                    reach = self.common(at[off[x]], sample[near[x]], length[off[x]])
                     better = reach > best[x]
                     x, reach = x[better], reach[better]
-                    best[x] = reach
+                    best[x], to[x] = reach, sample[near[x]]
                     run[off[x]], row[off[x]] = near[x], edge[near[x]]
-                    place_of = sample[near[x]]
-                    if side is place:
-                        target[x] = place_of
-                    else:
-                        target = np.zeros(len(off), np.int64)
-                        target[x] = place_of
                 found = best >= 0
-                at[off[found]], length[off[found]] = target[found], best[found]
+                at[off[found]], length[off[found]] = to[found], best[found]
                 lost = off[~found]
             row[:n] = self.step[run] + row[:n] - self.start[run]
             at[:n] -= 1
