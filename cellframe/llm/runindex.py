@@ -3,17 +3,20 @@
 A byte goes if a string of ``least`` bytes that covers it also starts in a document of smaller
 id. Strings are judged on the input, and never reach across documents.
 
-Every window of ``least`` bytes is named by the smallest hash of the ``GRAM`` byte strings in it,
-so equal windows have equal names wherever they stand. Neighbouring windows of one name make a
-piece of a text. Names are counted over all documents first; a bitmap of fixed size of the
-repeated ones keeps the second reading small, and whatever it lets pass is decided exactly.
-Equal pieces are brought together with the smallest and the largest id that has them, so copies
-meet once. Pieces are dealt by name to shards of some ``TARGET`` bytes. A task sorts a shard's suffixes,
-keeps the Burrows-Wheeler transform as runs with the suffixes at both ends of each run, and
-streams the pieces backwards through it: matching statistics, all pieces abreast. A window
-whose match is ``least`` long lies in one range of suffixes, whose smallest id is known; it is
-marked for every document of larger id. A name whose pieces hold over ``TARGET`` bytes is too
-hot for a task, its windows are grouped by their bytes instead, which gives the same marks.
+Copies of whole texts go by their hashes; of each text, the row of smallest id is read. Every
+window of ``least`` bytes is named by the smallest hash of the ``GRAM`` byte strings in it, so
+equal windows have equal names wherever they stand. Neighbouring windows of one name make a
+piece of a text. Names are counted over all texts first; a bitmap of fixed size of the repeated
+ones keeps the second reading small, and whatever it lets pass is decided exactly. Pieces are
+dealt by name to shards of some ``TARGET`` bytes; before that each task joins its equal ones,
+with the smallest and the largest id that has them, and packs them. A shard sorts its suffixes, keeps the
+Burrows-Wheeler transform as runs with the suffixes at both ends of each run, and streams the
+pieces backwards through it: matching statistics, all pieces abreast. A window whose match is
+``least`` long lies in one range of suffixes, whose smallest id is known; it is marked for every
+document of larger id. (A name of a single piece needs no index: its windows have the piece's
+smallest id.) Pieces of frequent names are grouped by their bytes before they are dealt; if those
+that differ hold over ``TARGET`` bytes, the name is too hot for a task, and its windows are
+grouped by their bytes instead, which gives the same marks.
 
 Offsets count UTF-8 bytes. A null or empty text has no window. A null id is neither smaller nor
 larger than another: such rows lose nothing and take nothing. Rows of equal id do not take from
@@ -33,7 +36,9 @@ from .bitmap import hits, of_hashes
 from .shipping import ship, unpack
 
 #: bytes of a window, of the strings that name it, of a shard's pieces; windows of a piece, and of a stretch of text read at once
-LEAST, GRAM, TARGET, PIECE, STRETCH = 50, 16, 1 << 20, 64, 1 << 20
+LEAST, GRAM, TARGET, PIECE, STRETCH = 50, 16, 1 << 19, 64, 1 << 16
+#: pieces that a task joins and packs at once
+PACK = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,16 +91,16 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def _counted(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(name, n): in how many texts of a batch a name occurs."""
+def _counted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None) -> DataFrame:
+    """(name, n, pieces): in how many texts of a batch a name occurs, and how often; texts in the bitmap of copies are left out."""
+    shipped = ship(docs.sparkSession, copies)
+
     def run(batches):
+        known = unpack(shipped)
         for batch in batches:
-            data, offsets = _texts(batch.column(0))
-            names_, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for name, start, _ in pieces(data, offsets, least, gram):
-                names_.append(name)
-                rows.append(np.searchsorted(offsets, start, "right"))
-            name, row = np.concatenate(names_), np.concatenate(rows)
+            data, offsets = _texts(_without(batch, known).column("text"))
+            found = [(name, np.searchsorted(offsets, start, "right")) for name, start, _ in pieces(data, offsets, least, gram)]
+            name, row = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             order = np.lexsort((row, name))
             name, row = name[order], row[order]
             new = np.ones(len(name), bool)
@@ -104,19 +109,27 @@ def _counted(docs: DataFrame, least: int, gram: int) -> DataFrame:
             other[1:] |= row[1:] != row[:-1]
             at = np.flatnonzero(new)
             n = np.add.reduceat(other.astype(np.int64), at) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(name[new]), pa.array(n)], names=["name", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(n), pa.array(np.diff(np.append(at, len(name))))], names=["name", "n", "pieces"])
 
-    return docs.select("text").mapInArrow(run, "name long, n long")
+    return docs.select("own", "text").mapInArrow(run, "name long, n long, pieces long")
 
 
-def _emitted(docs: DataFrame, bits: np.ndarray, least: int, gram: int) -> DataFrame:
-    """(name, piece, doc, hash, at) of the pieces whose name is in the bitmap."""
-    shipped = ship(docs.sparkSession, bits)
-    schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("piece", T.BinaryType()), docs.schema["doc"], docs.schema["hash"], T.StructField("at", T.LongType())])
+def _without(batch: pa.RecordBatch, copies: np.ndarray | None) -> pa.RecordBatch:
+    if copies is None or not batch.num_rows:
+        return batch
+    return batch.filter(pa.array(~hits(copies, batch.column("own").to_numpy())))
+
+
+def _emitted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None, repeated: np.ndarray, often: np.ndarray) -> DataFrame:
+    """(name, piece, doc, hash, at, often) of the pieces whose name is in the bitmap of repeated ones."""
+    shipped = ship(docs.sparkSession, (copies, repeated, often))
+    schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("piece", T.BinaryType()), docs.schema["doc"], docs.schema["hash"],
+                           T.StructField("at", T.LongType()), T.StructField("often", T.BooleanType())])
 
     def run(batches):
-        known = unpack(shipped)
+        skipped, known, hot = unpack(shipped)
         for batch in batches:
+            batch = _without(batch, skipped)
             data, offsets = _texts(batch.column("text"))
             for name, start, count in pieces(data, offsets, least, gram):
                 hit = np.flatnonzero(hits(known, name))
@@ -126,8 +139,8 @@ def _emitted(docs: DataFrame, bits: np.ndarray, least: int, gram: int) -> DataFr
                 piece = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 row = np.searchsorted(offsets, start, "right") - 1
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(name), piece, batch.column("doc").take(rows), batch.column("hash").take(rows), pa.array(start - offsets[row])],
-                                                 names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(name), piece, batch.column("doc").take(rows), batch.column("hash").take(rows), pa.array(start - offsets[row]),
+                                                  pa.array(hits(hot, name))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -145,15 +158,29 @@ class RunIndex:
         self.text = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.uint8)
         inside = np.ones(len(self.text), bool)
         inside[ends] = False
-        self.text[inside] = data[offsets[0]: offsets[-1]] + np.uint8(1)
+        own = data[offsets[0]: offsets[-1]]
+        used = np.flatnonzero(np.bincount(own, minlength=1))
+        self.code = np.full(256, -1)
+        self.code[used] = np.arange(len(used)) + 1
+        self.text[inside] = self.code[own]
         self.rest = np.repeat(ends, sizes + 1) - np.arange(len(self.text))
-        padded = np.append(self.text, np.zeros(8, np.uint8)).astype(np.uint64)
-        self.word = np.zeros(len(self.text), np.uint64)
-        for j in range(8):
-            self.word |= np.where(self.rest >= j, padded[j: j + len(self.text)], 0) << np.uint64(56 - 8 * j)
-        suffixes = self._sorted(int(sizes.max(initial=0)) + 1)
+        self.bits = max(len(used).bit_length(), 1)
+        self.width = 62 // self.bits
+        self.ones = 1 << (self.bits * np.arange(self.width))
+        padded = np.append(self.text, np.zeros(self.width, np.uint8)).astype(np.int64)
+        self.word = np.zeros(len(self.text), np.int64)
+        for j in range(self.width):
+            self.word |= np.where(self.rest >= j, padded[j: j + len(self.text)], 0) << (self.bits * (self.width - 1 - j))
+        suffixes, k, rank = self._sorted(int(sizes.max(initial=0)) + 1)
         # ranges of suffixes that share their first cap bytes
-        equal = self.common(suffixes[:-1], suffixes[1:], np.full(max(len(suffixes) - 1, 0), cap)) >= cap
+        a, b = suffixes[:-1], suffixes[1:]
+        if 0 < k <= cap:
+            equal = (self.rest[a] >= cap) & (self.rest[b] >= cap)
+            for off in [*range(0, cap - k, k), cap - k]:
+                later = np.append(rank[off:], np.zeros(off, np.int64))
+                equal &= later[a] == later[b]
+        else:
+            equal = self.common(a, b, np.full(len(a), cap)) >= cap
         edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
         self.low, self.high = edges[::2], edges[1::2] + 1
         self.members = suffixes
@@ -165,29 +192,39 @@ class RunIndex:
         length = np.diff(np.append(self.start, len(before)))
         self.first, self.last = suffixes[self.start], suffixes[self.start + length - 1]
         self.end = self.start + length - 1
+        self.run = np.repeat(np.arange(len(self.start), dtype=np.int32), length)
         self.order = np.argsort(self.char, kind="stable")
         self.key = self.char[self.order] * len(self.start) + self.order
         self.step = np.empty(len(self.start), np.int64)
         self.step[self.order] = np.cumsum(length[self.order]) - length[self.order]
 
-    def _sorted(self, longest: int) -> np.ndarray:
-        """Suffixes in order, by doubling; equal ones in the order of their strings."""
+    def _sorted(self, longest: int) -> tuple[np.ndarray, int, np.ndarray]:
+        """Suffixes in order, equal ones in the order of their strings; and their ranks by a prefix of at most ``cap`` bytes, with its length."""
         def ranks(key):
             order = np.argsort(key)
             new = np.zeros(len(key), np.int64)
-            new[1:] = key[order][1:] != key[order][:-1]
+            new[1:] = np.diff(key[order]) != 0
             out = np.empty(len(key), np.int64)
             out[order] = np.cumsum(new)
             return out, int(new.sum()) + 1
 
-        rank, distinct = ranks(self.word)
-        k = 8
-        while k < longest and distinct < len(rank):
-            after = np.zeros(len(rank), np.int64)
-            after[:-k] = np.where(self.rest[:-k] >= k, rank[k:] + 1, 0)
-            rank, distinct = ranks(rank * (len(rank) + 1) + after)
-            k *= 2
-        return np.argsort(rank, kind="stable")
+        k, key, bits = self.width, self.word, (len(self.text) + 1).bit_length()
+        held = 0, self.word
+        while True:
+            if k >= longest:
+                return np.argsort(key, kind="stable"), *held
+            rank, distinct = ranks(key)
+            if k <= self.cap:
+                held = k, rank
+            if distinct == len(key):
+                return np.argsort(rank), *held
+            key = rank + 1  # as many ranks of following places as a word holds
+            for j in range(1, 63 // bits):
+                after = np.zeros(len(rank), np.int64)
+                if j * k < len(rank):
+                    after[:-j * k] = np.where(self.rest[:-j * k] >= j * k, rank[j * k:] + 1, 0)
+                key = key << bits | after
+            k *= max(63 // bits, 1)
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of two suffixes each, at most ``most``."""
@@ -197,10 +234,7 @@ class RunIndex:
             at = out[left]
             left, at = left[at < most[left]], at[at < most[left]]
             differ = self.word[a[left] + at] ^ self.word[b[left] + at]
-            same = np.full(len(left), 8)
-            for j in range(8):
-                same -= differ >= np.uint64(1 << (8 * j))
-            out[left] += same
+            out[left] += self.width - np.searchsorted(self.ones, differ, "right")
             left = left[differ == 0]
         return np.minimum(out, most)
 
@@ -217,8 +251,8 @@ class RunIndex:
         for t in range(1, int(sizes.max(initial=0)) + 1):
             n = int(np.searchsorted(rising, -t, "right"))
             who = by[:n]
-            char = data[offsets[who + 1] - t].astype(np.int64) + 1
-            run = np.searchsorted(self.start, row[:n], "right") - 1
+            char = self.code[data[offsets[who + 1] - t]]
+            run = self.run[row[:n]]
             off = np.flatnonzero(self.char[run] != char)
             lost = off[:0]
             if len(off):
@@ -242,34 +276,71 @@ class RunIndex:
             yield who, sizes[who] - t, length[:n], row[:n]
 
 
+def _joined(rows: pa.Table) -> pa.Table:
+    """Equal pieces as one row, with the smallest and the largest id."""
+    return rows.group_by(["name", "key"]).aggregate([("piece", "min"), ("lo", "min"), ("hi", "max")]).rename_columns(["name", "key", "piece", "lo", "hi"])
+
+
+def _packed(pieces_: DataFrame, shards: int) -> DataFrame:
+    """(shard, rows): pieces in parcels, equal ones of a parcel joined; a parcel has the pieces of one shard that a task has met."""
+    def parcels(tables):
+        table = _joined(pa.Table.from_batches(tables))
+        shard = table.column("name").to_numpy().view(np.uint64) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        table, shard = table.take(pa.array(order)), shard[order]
+        start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        out = []
+        for a, b in zip(start, np.append(start[1:], len(shard))):
+            sink = pa.BufferOutputStream()
+            part = table.slice(a, b - a).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(part)
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(shard[start].astype(np.int64)), pa.array(out, pa.binary())], names=["shard", "rows"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK:
+                yield parcels(held)
+                held, n = [], 0
+        if n:
+            yield parcels(held)
+
+    return pieces_.mapInArrow(run, "shard long, rows binary")
+
+
 def _marks(rows: pa.Table, least: int) -> pa.Table:
-    """(name, hash, first, last, least): windows of the pieces of a shard with the smallest id that has them, where that is below the piece's largest."""
+    """(name, key, first, last, least): windows of a shard's pieces with the smallest id that has them, where that is below the piece's largest."""
     rows = rows.combine_chunks()
     name = rows.column("name").to_numpy()
     lo, hi = rows.column("lo").to_pylist(), rows.column("hi").to_pylist()
     ids = {d: i for i, d in enumerate(sorted({*lo, *hi}))}
     low, high = np.array([ids[d] for d in lo], np.int64), np.array([ids[d] for d in hi], np.int64)
-    _, group = np.unique(name, return_inverse=True)
+    _, group, number = np.unique(name, return_inverse=True, return_counts=True)
     small, large = np.full(len(name), len(ids)), np.full(len(name), -1)
     np.minimum.at(small, group, low)
     np.maximum.at(large, group, high)
-    kept = np.flatnonzero(small[group] < large[group])  # names of one id take nothing
+    # names of one id take nothing; those of several pieces go through the index, and first
+    kept = np.flatnonzero(small[group] < large[group])
+    kept = kept[np.argsort(number[group[kept]] == 1, kind="stable")]
+    several = int((number[group[kept]] > 1).sum())
     rows, low, high = rows.take(pa.array(kept)), low[kept], high[kept]
-    column = rows.column("piece").combine_chunks().cast(pa.large_binary())
+    column = pa.chunked_array(rows.column("piece").chunks, pa.binary()).combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
     windows = np.diff(offsets) - least + 1
     base = np.append(0, np.cumsum(windows))
     best = np.repeat(low, windows)
-    if len(kept):
-        index = RunIndex(data, offsets, least)
-        owner = np.repeat(low, np.diff(offsets) + 1)[index.members]
+    if several:
+        index = RunIndex(data, offsets[:several + 1], least)
+        owner = np.repeat(low[:several], np.diff(offsets[:several + 1]) + 1)[index.members]
         smallest = np.minimum.reduceat(np.append(owner, 0), np.stack([index.low, index.high], 1).ravel())[::2] if len(index.low) else index.low
-        for who, place, length, row in index.match(data, offsets):
+        for who, place, length, row in index.match(data, offsets[:several + 1]) if len(index.low) else ():
             long = np.flatnonzero(length >= least)
             who, place, row = who[long], place[long], row[long]
-            if not len(index.low):
-                break
             at = np.searchsorted(index.low, row, "right") - 1
             inside = (at >= 0) & (row < index.high[at])
             to = base[who[inside]] + place[inside]
@@ -296,20 +367,22 @@ def _by_windows(strings: DataFrame, least: int) -> DataFrame:
     return windows.join(smallest, "window").where("least < hi").select("name", "key", place.alias("first"), place.alias("last"), "least")
 
 
-def marks(strings: DataFrame, *, least: int = LEAST, target: int = TARGET) -> DataFrame:
-    """(name, key, first, last, least) of pieces (name, key, piece, lo, hi)."""
-    sizes = cut(strings.groupBy("name").agg(F.sum(F.length("piece")).alias("bytes")))
-    total, hot = sizes.agg(F.sum("bytes"), F.count_if(F.col("bytes") > target)).first()
-    few = strings
-    out = None
-    if hot:
-        names_ = sizes.where(F.col("bytes") > target).select("name")
-        out = _by_windows(strings.join(names_, "name", "left_semi"), least)
-        few = strings.join(names_, "name", "left_anti")
-    shards = max(-(-(total or 0) // target), 2 * int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("name", "key", "first", "last")] + [T.StructField("least", strings.schema["lo"].dataType)])
-    indexed = few.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards))).groupBy("shard").applyInArrow(lambda rows: _marks(rows, least), schema)
-    return indexed if out is None else indexed.union(out)
+def marks(emitted: DataFrame, *, least: int = LEAST, target: int = TARGET, shards: int = 1) -> DataFrame:
+    """(name, key, first, last, least) of pieces (name, key, piece, doc, often)."""
+    kind = emitted.schema["doc"].dataType
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("name", "key", "first", "last")] + [T.StructField("least", kind)])
+
+    def shard(parcels: pa.Table) -> pa.Table:
+        tables = [pa.ipc.open_stream(x).read_all() for x in parcels.column("rows").to_pylist()]
+        return _marks(_joined(pa.concat_tables(tables)), least)
+
+    columns = ["name", "key", "piece", "lo", "hi"]
+    often = cut(emitted.where("often").groupBy("name", "key", "piece").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+    hot = cut(often.groupBy("name").agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > target).select("name"))
+    few = emitted.where("NOT often").select("name", "key", "piece", F.col("doc").alias("lo"), F.col("doc").alias("hi"))
+    few = few.union(often.join(hot, "name", "left_anti").select(columns))
+    indexed = _packed(few, shards).groupBy("shard").applyInArrow(shard, schema)
+    return indexed.union(_by_windows(often.join(hot, "name", "left_semi").select(columns), least))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -329,39 +402,76 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     Columns of these names are replaced; all others stay, whatever their names.
     """
     rows = docs.drop(removed, kept)
-    narrow = rows.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    counts = _counted(narrow, least, gram).groupBy("name").agg(F.sum("n").alias("n"))
-    bits = of_hashes(cut(counts.where("n > 1").select("name")), "name")
-    path = fresh_path(docs.sparkSession, "step")
-    emitted = _emitted(narrow, bits, least, gram)
+    spark = docs.sparkSession
+    words = F.col(text)
+    narrow = rows.select(F.col(key).alias("doc"), F.xxhash64(words).alias("hash"), F.xxhash64(F.lit(1), words).alias("twin"),
+                         F.octet_length(words).cast("long").alias("size"), words.alias("text")).where(F.col("doc").isNotNull() & (F.col("size") >= least))
+    narrow = narrow.withColumn("own", F.xxhash64("doc", "hash"))
+    named = narrow.drop("text")
+    first = named.groupBy("hash", "twin").agg(F.min("doc").alias("first"))
+    copies = cut(named.join(first, ["hash", "twin"]).where("doc > first").select("doc", "hash", "own", "size").distinct())
+    skip = of_hashes(copies, "own")
+    # rows that the bitmap takes for copies, and that are none
+    spared = cut(_maybe(narrow.select("doc", "hash", "own", "text"), skip).join(copies, ["doc", "hash"], "left_anti"))
+    narrow = narrow.select("doc", "hash", "own", "text")
+    counts = _counted(narrow, least, gram, skip).union(_counted(spared, least, gram, None)).groupBy("name").agg(F.sum("n").alias("n"), F.sum("pieces").alias("pieces"))
+    repeated = cut(counts.where("n > 1").select("name", "pieces"))
+    bits = of_hashes(repeated, "name"), of_hashes(repeated.where(F.col("pieces") > target // (PIECE + least - 1)), "name")
+    total = repeated.agg(F.sum("pieces")).first()[0] or 0
+    path = fresh_path(spark, "step")
+    emitted = _emitted(narrow, least, gram, skip, *bits).union(_emitted(spared, least, gram, None, *bits))
     emitted.write.option("compression", "zstd").parquet(path)  # neighbouring pieces overlap
-    emitted = docs.sparkSession.read.schema(emitted.schema).parquet(path)
-    strings = emitted.groupBy("name", "piece").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    strings = cut(strings.withColumn("key", F.xxhash64("piece")))
-    places = emitted.select("name", F.xxhash64("piece").alias("key"), "doc", "hash", "at")
-    covered = places.join(marks(strings, least=least, target=target), ["name", "key"]).where("least < doc").select(
+    emitted = spark.read.schema(emitted.schema).parquet(path).withColumn("key", F.xxhash64("piece"))
+    shards = max(total * 3 * least // 2 // target, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    covered = emitted.select("name", "key", "doc", "hash", "at").join(marks(emitted, least=least, target=target, shards=shards), ["name", "key"]).where("least < doc").select(
         "doc", "hash", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + least).alias("end"))
+    covered = covered.union(copies.select("doc", "hash", F.lit(0).cast("long"), "size"))
     spans = covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    whole = rows.select(F.struct("*").alias("row")).withColumns({"doc": F.col("row")[key], "hash": F.xxhash64(F.col("row")[text])})
-    joined = whole.join(spans, ["doc", "hash"], "left").select("row", "spans")
+    return _cut_out(rows, cut(spans), key, text, removed, kept)
+
+
+def _maybe(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows that are in the bitmap."""
+    shipped = ship(docs.sparkSession, bits)
+
+    def run(batches):
+        known = unpack(shipped)
+        for batch in batches:
+            yield batch.filter(pa.array(hits(known, batch.column("own").to_numpy()))) if batch.num_rows else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_out(rows: DataFrame, spans: DataFrame, key: str, text: str, removed: str, kept: str) -> DataFrame:
+    """``rows`` with what is removed and what is left; texts travel compressed to their spans."""
+    others = rows.select(F.struct(*[F.col(c) for c in rows.columns if c != text]).alias("row"), F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("hash"),
+                         F.col(text).alias("text"))
+    closed = T.StructType([*others.schema.fields[:3], T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType())])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches):
+    def pack(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
-            row, out, left = batch.column("row"), [], []
-            texts = row.field(row.type.get_field_index(text))
-            for t, spans in zip(texts, batch.column("spans").to_pylist()):
-                raw = t.as_buffer() if t.is_valid else None
-                gone = _merged(spans or [])
-                at, parts = 0, []
-                for a, b in [*gone, (len(memoryview(raw)) if raw is not None else 0,) * 2]:
-                    if raw is not None:
-                        parts.append(memoryview(raw)[at:a])
-                    at = b
-                out.append([{"start": a, "end": b} for a, b in gone])
-                left.append(b"".join(parts) if raw is not None else None)
-            yield pa.RecordBatch.from_arrays([row, pa.array(out, arrow), pa.array(left, pa.binary())], names=["row", "removed", "kept"])
+            raw = [t.as_buffer() if t.is_valid else None for t in batch.column("text")]
+            packed = [None if r is None else codec.compress(r, asbytes=True) for r in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([None if r is None else r.size for r in raw], pa.int64()), pa.array(packed, pa.binary())], names=closed.names)
 
-    cleaned = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("removed", span), T.StructField("kept", T.BinaryType())]))
-    return cleaned.select("row.*", F.col("removed").alias(removed), F.col("kept").alias(kept))
+    def unpack_(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            texts, out, left = [], [], []
+            for size, packed, spans_ in zip(*(batch.column(c).to_pylist() for c in ("size", "packed", "spans"))):
+                raw = None if packed is None else codec.decompress(packed, size, asbytes=True) if size else b""
+                gone = _merged(spans_ or [])
+                ends = [0, *(b for _, b in gone)]
+                texts.append(raw)
+                out.append([{"start": a, "end": b} for a, b in gone])
+                left.append(None if raw is None else b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in gone), size])))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(out, arrow), pa.array(left, pa.binary())],
+                                             names=["row", "text", "removed", "kept"])
+
+    joined = others.mapInArrow(pack, closed).join(spans, ["doc", "hash"], "left").select("row", "size", "packed", "spans")
+    opened = joined.mapInArrow(unpack_, T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())]))
+    columns = [F.col("text").alias(text) if c == text else F.col("row")[c].alias(c) for c in rows.columns]
+    return opened.select(*columns, F.col("removed").alias(removed), F.col("kept").alias(kept))
