@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.lineage_cut import fresh_path
-from ..streaming.tracking import track_stream
+from ..streaming.tracking import closing, streaming_session, track_stream
 from ..streaming.trends import run_to_latest, run_to_table, trend_stream
 from .linking_queries import LIMITS, TRACK
 from .registry import query
@@ -24,9 +24,23 @@ def _(d):
     return out.select("*", F.unix_timestamp("start").alias("start_s"), F.unix_timestamp("end").alias("end_s"))
 
 
-@query("k6_streaming_tracker", TRACK, f"{STANDARD} ---- {STANDARD_ROWS}", uses="regions")
-def _(d):
+def _tracked(d, files: int):
+    """The tracker on files that hold frames in no order, so many a micro-batch, and a closing row."""
     path = fresh_path(d.spark, "regions")
     regions = d.regions.withColumn("length", F.col("major"))
-    regions.write.parquet(path)
-    return run_to_table(track_stream(d.spark.readStream.schema(regions.schema).parquet(path), **LIMITS), "tracks")
+    regions.repartition(6, "t").write.parquet(path)
+    last = d.spark.read.schema(regions.schema).parquet(path).agg(F.max("t")).first()[0] or 0
+    closing(regions, last, late=last).coalesce(1).write.mode("append").parquet(path)
+    streaming_session(d.spark)
+    stream = d.spark.readStream.schema(regions.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return run_to_table(track_stream(stream, late=last, **LIMITS), "tracks")
+
+
+@query("k6_streaming_tracker", TRACK, f"{STANDARD} ---- {STANDARD_ROWS}", uses="regions")
+def _(d):
+    return _tracked(d, 100)
+
+
+@query("k6_streaming_tracker_small_batches", TRACK, f"{STANDARD} ---- {STANDARD_ROWS}", uses="regions")
+def _(d):
+    return _tracked(d, 2)

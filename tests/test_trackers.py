@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellframe.operators.linking import track_edges
 from cellframe.operators.regions import first_regions
 from cellframe.operators.tracker import REGION_COLUMNS, greedy_tracks, track, tracked_cells
-from cellframe.streaming.tracking import track_stream
+from cellframe.streaming.tracking import closing, streaming_session, track_stream
 from cellframe.streaming.trends import run_to_table
 
 SCHEMA = "fov int, peak int, t int, label int, y double, min_y double, max_y double, area double, length double"
@@ -196,24 +196,38 @@ def test_tracks_partition_regions(spark):
     assert (kids <= 2).all()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = movie(11, frames=40)
+@pytest.mark.parametrize("files", [1, 3, 100])
+def test_stream_equals_batch(spark, tmp_path, files):
+    """Whatever the number of files a micro-batch; frames arrive in no order, some in two parts."""
+    rows = movie(11, frames=10)
     df = spark.createDataFrame(rows, SCHEMA)
-    # frames arrive in four files, one per micro-batch
-    for i in range(4):
-        df.where((F.col("t") > i * 10) & (F.col("t") <= (i + 1) * 10)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = run_to_table(track_stream(stream), "test-tracks").toPandas()
+    path, order = str(tmp_path / "in"), [*range(11), 5, 6]
+    random.Random(files).shuffle(order)
+    for i, t in enumerate(order):
+        part = "true" if t not in (5, 6) else "label % 2 = 0" if t in order[:i] else "label % 2 = 1"
+        df.where((F.col("t") == t) & F.expr(part)).coalesce(1).write.mode("append").parquet(path)
+    closing(df, 10, late=30).coalesce(1).write.mode("append").parquet(path)
+    streaming_session(spark)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    got = run_to_table(track_stream(stream, late=30), "test-tracks").toPandas()
     got = sorted((tuple(r) for r in got[["cell_id", "parent_id", "t", "label", "event"]].itertuples(index=False)), key=str)
     assert got == run(spark, rows)
 
 
-def test_late_frame_is_reported(spark, tmp_path):
-    for t in (2, 1):
-        spark.createDataFrame([region(t, 1, 20, 20)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = run_to_table(track_stream(stream), "test-late").toPandas()
-    assert sorted(got["event"]) == ["late", "start"]
+def test_frames_later_than_the_watermark_are_left_out(spark, tmp_path):
+    """Frame 1 comes two batches after frame 9: it is linked if that is within the allowed lateness, and dropped otherwise."""
+    streaming_session(spark)
+    found = {}
+    for late in (20, 3):
+        path = str(tmp_path / f"in{late}")
+        frames = [region(t, 1, 20, 20) for t in (9, 10, 1)]
+        for r in frames:
+            spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        closing(spark.createDataFrame(frames, SCHEMA), 10, late=late).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+        got = run_to_table(track_stream(stream, late=late), "test-late").collect()
+        found[late] = sorted((r.t, r.event) for r in got)
+    assert found == {20: [(1, "start"), (9, "start"), (10, "grow")], 3: [(9, "start"), (10, "grow")]}
 
 
 def graph(seed, frames=14, top=4):
