@@ -120,13 +120,14 @@ def focus_scores(label_images: DataFrame, *, sigma: float = 1.0) -> DataFrame:
     return now.join(before, IMAGE).mapInPandas(run, "fov int, peak int, t int, label int, prev_label int, score double, n_prev int")
 
 
-def link_foci(label_images: DataFrame, valid: DataFrame, *, sigma: float = 1.0, prefix: str = "") -> DataFrame:
+def link_foci(label_images: DataFrame | None, valid: DataFrame, *, sigma: float = 1.0, prefix: str = "", scores: DataFrame | None = None) -> DataFrame:
     """Focus ids of the valid focus regions (``fov, peak, t, label``): ``focus_id, steps`` added.
 
     A focus continues the previous focus with the best score, unless all scores are
-    equal; otherwise it starts a new focus.
+    equal; otherwise it starts a new focus. ``scores`` are those of :func:`focus_scores`, where
+    they are known already.
     """
-    s = focus_scores(label_images, sigma=sigma)
+    s = focus_scores(label_images, sigma=sigma) if scores is None else scores
     best = s.groupBy(*REGION).agg(
         F.min(F.struct(F.round(-F.col("score"), 9).alias("s"), "prev_label"))["prev_label"].alias("prev_label"),
         # a previous focus that is not met has the score zero
@@ -138,6 +139,34 @@ def link_foci(label_images: DataFrame, valid: DataFrame, *, sigma: float = 1.0,
     return nodes.join(chain, nodes["id"] == chain["cell_id"]).select(*REGION, F.col("end").alias("focus_id"), "steps")
 
 
+def focus_merges(scores: DataFrame, linked: DataFrame) -> DataFrame:
+    """Foci that end by meeting another one: one row per focus with its merge attributes.
+
+    ``scores`` are those of :func:`focus_scores`, ``linked(fov, peak, t, label, focus_id)`` those of
+    :func:`link_foci`. A region that meets regions of several foci of the frame before joins them.
+    A focus whose last regions are among those, and which does not go on, is ``ended_by_merge``:
+    ``merge_partner`` is the focus of the joining region of best score (ties by label), and
+    ``merge_time`` that region's frame. Merges make a graph, in which every focus has at most one
+    way out and a partner always ends later: ``final_id`` is the focus in which a chain of
+    ``n_merges`` merges ends, and ``n_merged_in`` the number of foci that end in this one directly.
+    """
+    foci = linked.select(*REGION, "focus_id")
+    life = cut(foci.groupBy("focus_id").agg(F.min("t").alias("appear_time"), F.max("t").alias("last_time")))
+    before = foci.select("fov", "peak", (F.col("t") + 1).alias("t"), F.col("label").alias("prev_label"), F.col("focus_id").alias("from_id"))
+    met = cut(scores.where("score > 0").select(*REGION, "prev_label", "score").join(foci, REGION).join(before, [*IMAGE, "prev_label"]))
+    # several foci of the frame before in one region
+    joining = met.groupBy(*REGION).agg(F.min("from_id").alias("_a"), F.max("from_id").alias("_b")).where("_a <> _b").select(*REGION)
+    ended = met.join(joining, REGION, "left_semi").join(life.select(F.col("focus_id").alias("from_id"), (F.col("last_time") + 1).alias("t")), ["from_id", "t"], "left_semi")
+    rank = F.struct(F.round(-F.col("score"), 9), "prev_label", "label")
+    merges = cut(ended.groupBy(F.col("from_id").alias("focus_id"), F.col("t").alias("merge_time")).agg(F.min_by("focus_id", rank).alias("merge_partner")))
+    into = merges.groupBy(F.col("merge_partner").alias("focus_id")).agg(F.count(F.lit(1)).alias("n_merged_in"))
+    chain = resolve(life.select(F.col("focus_id").alias("cell_id")), merges.select(F.col("focus_id").alias("id"), F.col("merge_partner").alias("to")))
+    ends = chain.select(F.col("cell_id").alias("focus_id"), F.col("end").alias("final_id"), F.col("steps").alias("n_merges"))
+    out = life.join(merges, "focus_id", "left").join(into, "focus_id", "left").join(ends, "focus_id")
+    return out.select("focus_id", "appear_time", "last_time", "merge_partner", "merge_time", F.col("merge_partner").isNotNull().alias("ended_by_merge"),
+                      "final_id", "n_merges", F.coalesce("n_merged_in", F.lit(0)).alias("n_merged_in"))
+
+
 def focus_long_table(focus_obs: DataFrame, *, key: str = "cell_id") -> DataFrame:
     """One row per focus and time with its size, its fluorescence by area and volume, and its place in the cell.
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage_cut import cut
 from ..operators import foci as f
 from ..operators import profiles as p
 from ..operators.background import region_intensity_spread
@@ -117,18 +118,41 @@ def _(d):
     return f.focus_scores(_focus_images(d))
 
 
-@query("p5_link_foci", REG + "focus_id:s steps:l", f"""{_SOFT},
+_CHAINS = f"""{_SOFT},
 val AS (SELECT DISTINCT fov, peak, t, focus_label AS label, printf('f%02dp%04dt%04dr%02d', fov, peak, t, focus_label) AS id FROM asg),
 bst AS (SELECT fov, peak, t, label, arg_min(prev_label, (round(-score, 9), prev_label)) AS prev_label FROM sc GROUP BY ALL HAVING max(score) - min(score) > 1e-9),
 lk AS (SELECT v.id, b.id AS prev FROM val v JOIN bst USING (fov, peak, t, label) JOIN val b ON b.fov = v.fov AND b.peak = v.peak AND b.t = v.t - 1 AND b.label = bst.prev_label),
 ch AS (SELECT id, id AS root, 0 AS steps FROM val WHERE id NOT IN (SELECT id FROM lk)
-  UNION ALL SELECT l.id, c.root, c.steps + 1 FROM ch c JOIN lk l ON l.prev = c.id) ----
+  UNION ALL SELECT l.id, c.root, c.steps + 1 FROM ch c JOIN lk l ON l.prev = c.id)"""
+
+
+@query("p5_link_foci", REG + "focus_id:s steps:l", f"""{_CHAINS} ----
 SELECT v.fov, v.peak, v.t, v.label, c.root AS focus_id, c.steps FROM val v JOIN ch c USING (id)""", uses="labels")
 def _(d):
     valid = f.assign_foci(_focus_pixels(d), d.labels).select("fov", "peak", "t", F.col("focus_label").alias("label"))
     return f.link_foci(_focus_images(d), valid)
 
 
+@query("p7_focus_merges", "focus_id:s appear_time:l last_time:l merge_partner:s merge_time:l ended_by_merge:l final_id:s n_merges:l n_merged_in:l", f"""{_CHAINS},
+foc AS (SELECT v.fov, v.peak, v.t, v.label, c.root AS focus_id FROM val v JOIN ch c USING (id)),
+life AS (SELECT focus_id, min(t) AS a, max(t) AS z FROM foc GROUP BY focus_id),
+met AS (SELECT s.fov, s.peak, s.t, s.label, s.prev_label, s.score, n.focus_id AS into_id, p.focus_id AS from_id FROM sc s
+  JOIN foc n ON n.fov = s.fov AND n.peak = s.peak AND n.t = s.t AND n.label = s.label
+  JOIN foc p ON p.fov = s.fov AND p.peak = s.peak AND p.t = s.t - 1 AND p.label = s.prev_label WHERE s.score > 0),
+jn AS (SELECT fov, peak, t, label FROM met GROUP BY ALL HAVING count(DISTINCT from_id) > 1),
+mg AS (SELECT from_id AS focus_id, t, arg_min(into_id, (round(-score, 9), prev_label, label)) AS partner FROM met JOIN jn USING (fov, peak, t, label)
+  JOIN life ON life.focus_id = from_id AND z + 1 = t GROUP BY from_id, t),
+fl AS (SELECT focus_id, focus_id AS cur, 0 AS k FROM life UNION ALL SELECT fl.focus_id, mg.partner, k + 1 FROM fl JOIN mg ON mg.focus_id = fl.cur),
+fin AS (SELECT focus_id, arg_max(cur, k) AS final_id, max(k) AS k FROM fl GROUP BY focus_id),
+inn AS (SELECT partner AS focus_id, count(*) AS n FROM mg GROUP BY partner) ----
+SELECT focus_id, a AS appear_time, z AS last_time, partner AS merge_partner, mg.t AS merge_time, CASE WHEN partner IS NULL THEN 0 ELSE 1 END AS ended_by_merge,
+  final_id, k AS n_merges, coalesce(n, 0) AS n_merged_in FROM life LEFT JOIN mg USING (focus_id) JOIN fin USING (focus_id) LEFT JOIN inn USING (focus_id)""", uses="labels")
+def _(d):
+    valid = f.assign_foci(_focus_pixels(d), d.labels).select("fov", "peak", "t", F.col("focus_label").alias("label"))
+    scores = cut(f.focus_scores(_focus_images(d)))
+    return f.focus_merges(scores, f.link_foci(None, valid, scores=scores))
+
+
 @query("p7_focus_tables", "focus_id:l parent_id:l appear_time:l appear_label:l last_time:l child1_id:l child2_id:l split_time:l disappear:l", """
 seen AS (SELECT cell_id, min(t) AS a, arg_min(label, t) AS al, max(t) AS z, arg_min(length, t) AS y FROM cell_obs GROUP BY cell_id),
 kid AS (SELECT c.parent_id, c.cell_id, s.a, row_number() OVER (PARTITION BY c.parent_id ORDER BY s.y, c.cell_id) AS k FROM cells c JOIN seen s USING (cell_id)
