@@ -180,7 +180,7 @@ def rebuilt(turns: DataFrame, *, borrow: int = 5, every: int = 100) -> DataFrame
     h = F.crc32(F.col("conv").cast("string").cast("binary")) % (borrow + 1)
     heads = placed.where((F.col("conv") % every == 0) & (F.col("j") <= borrow))
     lengths = heads.where("j = 1").select(F.col("conv").alias("base"), F.col("length").alias("_have"))
-    taken = F.coalesce(F.least("h", "_have"), F.lit(0))
+    taken = F.least("h", F.coalesce("_have", F.lit(0)))
     own = placed.withColumns({"base": first, "h": h}).join(lengths, "base", "left").withColumn("k", taken)
     own = own.withColumn("total", F.col("k") + F.greatest(F.col("length") - F.col("h"), F.lit(0)))
     ids = own.where("j = 1").select("conv", "base", "h", "total")

@@ -7,7 +7,7 @@ Copies of whole texts go by their hashes; of each text, the row of smallest id i
 window of ``least`` bytes is named by the smallest hash of the ``GRAM`` byte strings in it, so
 equal windows have equal names wherever they stand. Neighbouring windows of one name make a
 piece of a text. Names are counted over all texts first; a bitmap of fixed size of the repeated
-ones keeps the second reading small, and whatever it lets pass is decided exactly. Pieces are
+ones (two, of other bits) keeps the second reading small, and whatever it lets pass is decided exactly. Pieces are
 dealt by name to shards of some ``TARGET`` bytes; before that each task joins its equal ones,
 with the smallest and the largest id that has them, and packs them. A shard sorts its suffixes, keeps the
 Burrows-Wheeler transform as runs with the suffixes at both ends of each run, and streams the
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage_cut import cut, fresh_path
-from .bitmap import hits, of_hashes
+from .bitmap import BITS, hits, of_hashes
 from .shipping import ship, unpack
 
 #: bytes of a window, of the strings that name it, of a shard's pieces; windows of a piece, and of a stretch of text read at once
-LEAST, GRAM, TARGET, PIECE, STRETCH = 50, 16, 1 << 19, 64, 1 << 16
+LEAST, GRAM, TARGET, PIECE, STRETCH = 50, 24, 1 << 19, 64, 1 << 16
 #: pieces that a task joins and packs at once
 PACK = 1 << 17
 
@@ -120,19 +120,20 @@ def _without(batch: pa.RecordBatch, copies: np.ndarray | None) -> pa.RecordBatch
     return batch.filter(pa.array(~hits(copies, batch.column("own").to_numpy())))
 
 
-def _emitted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None, repeated: np.ndarray, often: np.ndarray) -> DataFrame:
-    """(name, piece, doc, hash, at, often) of the pieces whose name is in the bitmap of repeated ones."""
+def _emitted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None, repeated: tuple[np.ndarray, np.ndarray],
+             often: np.ndarray) -> DataFrame:
+    """(name, piece, doc, hash, at, often) of the pieces whose name is in both bitmaps of repeated ones."""
     shipped = ship(docs.sparkSession, (copies, repeated, often))
     schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("piece", T.BinaryType()), docs.schema["doc"], docs.schema["hash"],
                            T.StructField("at", T.LongType()), T.StructField("often", T.BooleanType())])
 
     def run(batches):
-        skipped, known, hot = unpack(shipped)
+        skipped, (known, turned), hot = unpack(shipped)
         for batch in batches:
             batch = _without(batch, skipped)
             data, offsets = _texts(batch.column("text"))
             for name, start, count in pieces(data, offsets, least, gram):
-                hit = np.flatnonzero(hits(known, name))
+                hit = np.flatnonzero(hits(known, name) & hits(turned, name << BITS))
                 name, start, size = name[hit], start[hit], count[hit] + least - 1
                 ends = np.append(0, np.cumsum(size))
                 raw = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
@@ -416,7 +417,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     narrow = narrow.select("doc", "hash", "own", "text")
     counts = _counted(narrow, least, gram, skip).union(_counted(spared, least, gram, None)).groupBy("name").agg(F.sum("n").alias("n"), F.sum("pieces").alias("pieces"))
     repeated = cut(counts.where("n > 1").select("name", "pieces"))
-    bits = of_hashes(repeated, "name"), of_hashes(repeated.where(F.col("pieces") > target // (PIECE + least - 1)), "name")
+    turned = repeated.select(F.shiftleft("name", BITS).alias("name"))
+    bits = (of_hashes(repeated, "name"), of_hashes(turned, "name")), of_hashes(repeated.where(F.col("pieces") > target // (PIECE + least - 1)), "name")
     total = repeated.agg(F.sum("pieces")).first()[0] or 0
     path = fresh_path(spark, "step")
     emitted = _emitted(narrow, least, gram, skip, *bits).union(_emitted(spared, least, gram, None, *bits))
