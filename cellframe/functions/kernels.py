@@ -129,9 +129,31 @@ def opened(mask: np.ndarray, radius: float) -> np.ndarray:
     return _over(_over(mask, disk(radius), False), disk(radius), True)
 
 
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Exact squared distance of every pixel to the nearest background pixel of the image; infinite where there is none.
+
+    Two passes of lower envelopes: down the columns, then across the rows over the columns'
+    parabolas, which stops at the shift that cannot lower any pixel any more.
+    """
+    h, w = mask.shape
+    none = h * h + w * w
+    at = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, -none, at), axis=0)
+    below = np.minimum.accumulate(np.where(mask, none, at)[::-1], axis=0)[::-1]
+    column = np.minimum(np.minimum(at - above, below - at).astype(float) ** 2, np.inf)
+    column[column >= none] = np.inf
+    out = column.copy()
+    for k in range(1, w):
+        if k * k >= out.max(initial=0):
+            break
+        out[:, k:] = np.minimum(out[:, k:], column[:, :-k] + k * k)
+        out[:, :-k] = np.minimum(out[:, :-k], column[:, k:] + k * k)
+    return out
+
+
 def far_from_background(mask: np.ndarray, distance: float) -> np.ndarray:
     """Pixels at least ``distance`` away from every background pixel."""
-    return _over(mask, disk(distance, strict=True), False)
+    return squared_distance(mask) >= distance * distance
 
 
 def at_least(lab: np.ndarray, size: int) -> np.ndarray:
@@ -153,6 +175,36 @@ def spread(markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
         lab = new
 
 
+#: neighbours clockwise from the one above, one bit each
+_AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def _removable(*sides: int) -> np.ndarray:
+    """By neighbours' bits: pixels of a border that hold nothing together, if two triples of sides (bits) are not set whole."""
+    m = np.arange(256)
+    count = lambda x: (x[:, None] >> np.arange(8) & 1).sum(axis=1)
+    opens = count((m >> 1 | (m & 1) << 7) & ~m)  # changes from background to region on the way round
+    free = np.logical_and.reduce([m & side != side for side in sides])
+    return (count(m) >= 2) & (count(m) <= 6) & (opens == 1) & free
+
+
+# above, right, below, left are the bits 1, 4, 16, 64
+_PEELS = (_removable(1 + 4 + 16, 4 + 16 + 64), _removable(1 + 4 + 64, 1 + 16 + 64))
+
+
+def thinned(lab: np.ndarray) -> np.ndarray:
+    """The midlines of a label image: every region thinned to lines of one pixel, peeled from two sides in turn (parallel thinning of Zhang and Suen)."""
+    h, w = lab.shape
+    while True:
+        before = lab
+        for peel in _PEELS:
+            p = np.pad(lab, 1, constant_values=0)
+            bits = sum(((p[1 + i:1 + i + h, 1 + j:1 + j + w] == lab).astype(np.int64) << b for b, (i, j) in enumerate(_AROUND)))
+            lab = np.where((lab > 0) & peel[bits], 0, lab)
+        if (lab == before).all():
+            return lab
+
+
 def laplace_peaks(image: np.ndarray, sigmas, threshold: float) -> list[tuple[int, int, float]]:
     """Local maxima over space and scale of the negative, scale-normalised Laplacian of Gaussian."""
     levels = []

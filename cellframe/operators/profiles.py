@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div, volume
+from ..functions.lineage_cut import cut
 from ..functions.ordered import one_row, union_all
 from .background import axis_distance, region_pixels
 from .filters import fl_frames
@@ -132,9 +133,12 @@ def _binned_profiles(cells, obs, profiles, *, px2um, time_int, fl_int, fl_start)
 
 
 def ensemble_profiles(cells: DataFrame, obs: DataFrame, profiles: DataFrame, *, px2um: float = 1.0, time_int: float = 1.0, fl_int: int = 2,
-                      fl_start: int = 1, cell_min: int = 50) -> DataFrame:
-    """Mean profile of every size bin with more than ``cell_min`` members: ``size_bin`` (tenths of a µm), ``pos, value, n``; pos is centred."""
-    b = _binned_profiles(cells, obs, profiles, px2um=px2um, time_int=time_int, fl_int=fl_int, fl_start=fl_start)
+                      fl_start: int = 1, cell_min: int = 50, binned: DataFrame | None = None) -> DataFrame:
+    """Mean profile of every size bin with more than ``cell_min`` members: ``size_bin`` (tenths of a µm), ``pos, value, n``; pos is centred.
+
+    ``binned`` are the trimmed profiles, where they are known already.
+    """
+    b = cut(_binned_profiles(cells, obs, profiles, px2um=px2um, time_int=time_int, fl_int=fl_int, fl_start=fl_start)) if binned is None else binned
     n = b.groupBy("size_bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_min)
     total = b.select("size_bin", F.size("profile").alias("_len"), F.posexplode("profile").alias("_i", "v")).groupBy("size_bin", "_i").agg(
         F.sum("v").alias("s"), F.max("_len").alias("_len"))
@@ -154,10 +158,11 @@ def nucleoid_ensemble(cells: DataFrame, obs: DataFrame, profiles: DataFrame, **k
 
 def size_ensemble(cells: DataFrame, obs: DataFrame, profiles: DataFrame, focus_obs: DataFrame, **kwargs) -> DataFrame:
     """:func:`nucleoid_ensemble` with the mean number of foci per size bin and its change over every second bin."""
-    base = nucleoid_ensemble(cells, obs, profiles, **kwargs)
     opts = {k: v for k, v in kwargs.items() if k != "cell_min"}
     opts = {"px2um": 1.0, "time_int": 1.0, "fl_int": 2, "fl_start": 1, **opts}
-    b = _binned_profiles(cells, obs, profiles, **opts).select("cell_id", "t", "size_bin")
+    b = cut(_binned_profiles(cells, obs, profiles, **opts))
+    base = nucleoid_ensemble(cells, obs, profiles, **kwargs, binned=b)
+    b = b.select("cell_id", "t", "size_bin")
     foci = focus_obs.groupBy("cell_id", "t").agg(F.count(F.lit(1)).alias("_k"))
     count = b.join(foci, ["cell_id", "t"], "left").groupBy("size_bin").agg(F.sum(F.coalesce("_k", F.lit(0))).alias("foci"))
     out = base.join(count, "size_bin").withColumn("foci_avg", F.col("foci") / F.col("n"))

@@ -30,6 +30,7 @@ def stats_table(df: DataFrame, *, cols: Sequence[str] = RESCALED) -> DataFrame:
 def group_stats(df: DataFrame, *, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Count, extremes, quartiles, mean and sample deviation per group: rows ``by, name``."""
     by = list(by)
+    df = cut(df.select(*by, *[c for c in cols if c not in by]))  # the input is read twice but evaluated once
     q = quantiles(df, cols, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by=by)
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_e"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import volume
+from ..functions.lineage_cut import cut
 from ..operators import background as b
 from ..operators import regions as r
 from ..operators import segment as s
@@ -149,6 +150,21 @@ def _(d):
     return b.midline_intensity(d.stacks, d.label_images, d.regions)
 
 
+# bits of the eight neighbours by row and column; a step peels from two sides, and images of 8 x 8 need fewer steps than the limit
+@query("b12_medial_axis_intensity", REG + "midline:d", """
+th AS (SELECT fov, peak, t, label, y, x, 0 AS k FROM labels UNION ALL
+  SELECT fov, peak, t, label, y, x, k + 1 FROM (
+    SELECT s.fov, s.peak, s.t, s.label, s.y, s.x, s.k, CAST(coalesce(sum([128, 1, 2, 64, 0, 4, 32, 16, 8][3*(n.y - s.y) + n.x - s.x + 5]), 0) AS INT) AS m
+    FROM th s LEFT JOIN th n ON n.fov = s.fov AND n.peak = s.peak AND n.t = s.t AND n.label = s.label AND abs(n.y - s.y) <= 1 AND abs(n.x - s.x) <= 1
+    WHERE s.k < 32 GROUP BY ALL)
+  WHERE NOT (bit_count(m) BETWEEN 2 AND 6 AND bit_count(((m // 2) | ((m % 2) * 128)) & (255 - m)) = 1
+    AND CASE WHEN k % 2 = 0 THEN (m & 21) <> 21 AND (m & 84) <> 84 ELSE (m & 69) <> 69 AND (m & 81) <> 81 END)) ----
+SELECT l.fov, l.peak, l.t, l.label, coalesce(avg(p.v) FILTER (th.k IS NOT NULL), 0) AS midline FROM labels l JOIN pixels p USING (fov, peak, t, y, x)
+LEFT JOIN th ON th.fov = l.fov AND th.peak = l.peak AND th.t = l.t AND th.y = l.y AND th.x = l.x AND th.k = 32 GROUP BY ALL""", uses="labels pixels")
+def _(d):
+    return b.medial_axis_intensity(d.stacks, d.label_images)
+
+
 # ---- segmentation ----
 
 def _otsu_sql(hist):
@@ -233,6 +249,67 @@ def _(d):
     return s.segment(d.stacks, s.otsu(d.pixels, scale=1.12), open1=0, distance=1, open2=0, min_size=2)
 
 
+# ---- segmentation with all its steps, on images of 64 x 64 in which every pixel of the table is a dome of 8 x 8
+
+_BIG = """big AS (SELECT fov, peak, t, y*8 + i AS y, x*8 + j AS x, v - 2*((2*i - 7)*(2*i - 7) + (2*j - 7)*(2*j - 7)) AS v
+  FROM pixels, unnest(range(8)) a(i), unnest(range(8)) b(j))"""
+_AT = "n.fov = s.fov AND n.peak = s.peak AND n.t = s.t"
+
+
+def _connected_sql(name: str, src: str, diagonal: int) -> str:
+    """Pixels of ``src`` with the number of their component's first run of pixels in row order."""
+    return f"""{name}_g AS (SELECT *, x - row_number() OVER (PARTITION BY fov, peak, t, y ORDER BY x) AS g FROM {src}),
+{name}_r AS (SELECT fov, peak, t, y, g, min(x) AS a, max(x) AS b, row_number() OVER (PARTITION BY fov, peak, t ORDER BY y, min(x)) AS id FROM {name}_g GROUP BY fov, peak, t, y, g),
+{name}_n AS (SELECT s.fov, s.peak, s.t, s.id, n.id AS other FROM {name}_r s JOIN {name}_r n ON {_AT} AND abs(s.y - n.y) = 1 AND s.a <= n.b + {diagonal} AND n.a <= s.b + {diagonal}),
+{name}_c AS (SELECT fov, peak, t, id, id AS j FROM {name}_r UNION SELECT s.fov, s.peak, s.t, s.id, n.other FROM {name}_c s JOIN {name}_n n ON {_AT} AND n.id = s.j),
+{name} AS (SELECT p.fov, p.peak, p.t, p.y, p.x, q.root FROM {name}_g p JOIN {name}_r r USING (fov, peak, t, y, g)
+  JOIN (SELECT fov, peak, t, id, min(j) AS root FROM {name}_c GROUP BY ALL) q USING (fov, peak, t, id))"""
+
+
+def _cleared_sql(name: str, src: str) -> str:
+    """Pixels of components (8 neighbours) that keep off the border."""
+    return f"""{_connected_sql(name + "_k", src, 1)},
+{name} AS (SELECT fov, peak, t, y, x FROM (SELECT *, max(CASE WHEN y IN (0, 63) OR x IN (0, 63) THEN 1 ELSE 0 END) OVER (PARTITION BY fov, peak, t, root) AS edge FROM {name}_k) WHERE edge = 0)"""
+
+
+def _shape_sql(name: str, src: str, within: str, grow: bool) -> str:
+    """Erosion or dilation by the offsets (i, j) that satisfy ``within``; pixels outside the image never decide."""
+    offsets = f"(SELECT i, j FROM unnest(range(-3, 4)) a(i), unnest(range(-3, 4)) b(j) WHERE {within}) o"
+    moved = f"SELECT s.fov, s.peak, s.t, s.y, s.x, s.y + i AS ny, s.x + j AS nx FROM {src} s, {offsets} WHERE s.y + i BETWEEN 0 AND 63 AND s.x + j BETWEEN 0 AND 63"
+    if grow:
+        return f"{name} AS (SELECT DISTINCT fov, peak, t, ny AS y, nx AS x FROM ({moved}))"
+    return f"""{name} AS (SELECT s.fov, s.peak, s.t, s.y, s.x FROM ({moved}) s LEFT JOIN {src} n ON {_AT} AND n.y = s.ny AND n.x = s.nx
+  GROUP BY ALL HAVING count(*) = count(n.y))"""
+
+
+@query("m6_segment_defaults", PX + "label:l", f"""{_BIG}, {_otsu_sql(_HIST.replace("pixels", "big"))},
+hi AS (SELECT fov, peak, t, y, x FROM big JOIN otsu USING (fov, peak, t) WHERE v > threshold),
+{_cleared_sql("mask", "hi")},
+{_shape_sql("e1", "mask", "i*i + j*j <= 4", False)}, {_shape_sql("o1", "e1", "i*i + j*j <= 4", True)},
+{_shape_sql("far", "o1", "i*i + j*j < 4", False)},
+{_shape_sql("e2", "far", "i*i + j*j <= 1", False)}, {_shape_sql("o2", "e2", "i*i + j*j <= 1", True)},
+{_cleared_sql("core", "o2")}, {_connected_sql("part", "core", 0)},
+marker AS (SELECT fov, peak, t, y, x, dense_rank() OVER (PARTITION BY fov, peak, t ORDER BY root) AS label
+  FROM (SELECT *, count(*) OVER (PARTITION BY fov, peak, t, root) AS size FROM part) WHERE size >= 25),
+grown(fov, peak, t, y, x, label) USING KEY (fov, peak, t, y, x) AS (
+  SELECT fov, peak, t, y, x, label FROM marker
+  UNION
+  SELECT n.fov, n.peak, n.t, n.y, n.x, min(s.label) FROM grown s JOIN mask n ON {_AT} AND abs(n.y - s.y) + abs(n.x - s.x) = 1
+  LEFT JOIN recurring.grown d ON d.fov = n.fov AND d.peak = n.peak AND d.t = n.t AND d.y = n.y AND d.x = n.x WHERE d.y IS NULL GROUP BY ALL) ----
+SELECT fov, peak, t, y, x, label FROM grown""", uses="pixels")
+def _(d):
+    def dome(v, i, j):
+        return v - F.lit(2) * ((2 * i - 7) * (2 * i - 7) + (2 * j - 7) * (2 * j - 7))
+
+    def pixel(at):
+        y, x = F.floor(at / 64).cast("int"), (at % 64).cast("int")
+        return dome(F.get("px", F.floor(y / 8).cast("int") * 8 + F.floor(x / 8).cast("int")), y % 8, x % 8)
+
+    big = d.stacks.select(*s.IMAGE, F.lit(64).alias("height"), F.lit(64).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(4095)), pixel).alias("px"))
+    big = cut(big)
+    return s.segment(big, s.otsu(big.select(*s.IMAGE, F.explode("px").alias("v"))))
+
+
 _TWO = """a AS (SELECT fov, peak, t, y, x FROM pixels WHERE v > 1000), bb AS (SELECT fov, peak, t, y, x FROM pixels WHERE v > 1050),
 na AS (SELECT fov, peak, t, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT fov, peak, t, count(*) AS n FROM bb GROUP BY ALL),
 ni AS (SELECT fov, peak, t, count(*) AS n FROM a JOIN bb USING (fov, peak, t, y, x) GROUP BY ALL)"""

@@ -66,9 +66,9 @@ def test_foci_that_meet_merge_into_the_better_scored(spark):
     scores = [(1, 0, 3, 2, 1, 0.4), (1, 0, 3, 2, 2, 0.9), (1, 0, 3, 3, 3, 0.7), (1, 0, 4, 2, 2, 0.9), (1, 0, 5, 1, 2, 0.5), (1, 0, 5, 1, 3, 0.5), (1, 0, 6, 1, 1, 0.8),
               (1, 0, 2, 1, 1, 0.9), (1, 0, 2, 2, 2, 0.9), (1, 0, 2, 4, 4, 0.0)]
     image = "fov int, peak int, t int, label int, "
-    got = focus_merges(spark.createDataFrame(scores, image + "prev_label int, score double"), spark.createDataFrame(linked, image + "focus_id string"))
+    got = f.focus_merges(spark.createDataFrame(scores, image + "prev_label int, score double"), spark.createDataFrame(linked, image + "focus_id string"))
     rows = {r.focus_id: tuple(r)[3:] for r in got.collect()}
     assert rows == {"a": ("b", 3, True, "d", 2, 0), "b": ("d", 5, True, "d", 1, 1), "c": ("d", 5, True, "d", 1, 0), "d": (None, None, False, "d", 0, 2),
                     "e": (None, None, False, "e", 0, 0)}
-    empty = focus_merges(spark.createDataFrame([], image + "prev_label int, score double"), spark.createDataFrame(linked[:2], image + "focus_id string"))
+    empty = f.focus_merges(spark.createDataFrame([], image + "prev_label int, score double"), spark.createDataFrame(linked[:2], image + "focus_id string"))
     assert [tuple(r)[3:] for r in empty.collect()] == [(None, None, False, "a", 0, 0)]

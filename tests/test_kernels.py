@@ -104,3 +104,29 @@ def test_soft_masks_equal_whole_blurs():
         for j, q in soft_b.items():
             want = (blurred((a == i).astype(float), 1.0) * blurred((b == j).astype(float), 1.0)).max()
             assert np.isclose(best_product(p, q), want, atol=1e-15)
+
+
+def test_squared_distance_equals_brute_force():
+    draw = np.random.default_rng(0)
+    for _ in range(100):
+        h, w = draw.integers(1, 12, 2)
+        mask = draw.random((h, w)) < draw.choice([0.3, 0.7, 0.95, 1.0])
+        background = np.argwhere(~mask)
+        want = [[min([(y - a) ** 2 + (x - b) ** 2 for a, b in background], default=np.inf) for x in range(w)] for y in range(h)]
+        assert (k.squared_distance(mask) == np.array(want, float)).all()
+
+
+def test_midlines_follow_bent_regions_and_keep_labels_apart():
+    lab = np.zeros((20, 30), int)
+    lab[2:7, 2:25] = 1  # a bar with a second one at a right angle
+    lab[2:18, 20:25] = 1
+    lab[8:13, 2:15] = 2
+    line = k.thinned(lab)
+    assert set(np.unique(line)) == {0, 1, 2}
+    assert (line[lab == 0] == 0).all() and (line[line > 0] == lab[line > 0]).all()
+    # one connected line a region, a pixel wide, half a width from the sides, round the corner
+    for n in (1, 2):
+        assert k.components(line == n, diagonal=True).max() == 1
+    assert (line == 2).sum(axis=0).max() == 1
+    assert (line[4, 6:18] == 1).all() and (line[8:14, 22] == 1).all()
+    assert not (k.thinned(np.ones((1, 1), int)) == 0).any()

@@ -8,7 +8,7 @@ from check import compare, connect
 
 ORACLES = oracle_sql()
 # image kernels and sequential trackers; everything else stays in Spark SQL
-PYTHON = ("g18_", "b2_", "b5_", "b8_", "m3_", "m4_", "m5_", "m6_", "k5_", "k9_", "k10_", "p3_", "p5_")
+PYTHON = ("g18_", "b2_", "b5_", "b8_", "b12_medial", "m3_", "m4_", "m5_", "m6_", "k5_", "k9_", "k10_", "p3_", "p5_")
 
 
 @pytest.fixture(scope="module")
