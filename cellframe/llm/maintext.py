@@ -9,7 +9,10 @@ the labels. A linear scan then finds the contiguous region of largest score. Wha
 forms and the like scores nothing, but for their own tags, and is left out of the text.
 
 Paragraphs, list items, terms, table cells and rows, and options without an end tag end where HTML implies
-it. The page, its body and main elements are never put aside for their class, id or role.
+it. The page, its body, main elements and headings are never put aside for their class, id or role; an id puts
+aside only as a whole word. Where the first main element opens inside of a form or of something put aside by name,
+that was a wrapper and is kept; so is what is put aside by name and holds the larger part of a page without a main element. A footer inside a
+quotation names its source and stays. Tags beyond the ``TAGS`` most frequent ones of labelled pages weigh like unseen ones.
 
 Scripts, styles, comments and the head are never text. Character references are decoded, white
 space inside a block becomes one space, and blocks are joined by one space. A null or empty
@@ -19,6 +22,7 @@ page, or one without a region of positive score, has the text "". Pages stay in
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 
@@ -56,22 +60,35 @@ NAMED = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|side-bar|menu
                    r"alert|popup|modal|newsletter|subscribe|share|social|related|comments?|respond|disqus\w*)(?:[-_].*)?", re.IGNORECASE)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.DOTALL)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _put_aside(name: str, attributes: str, in_main: bool) -> bool:
-    if name in ASIDE and not (in_main and name == "header"):
-        return True
-    if name in WHOLE:
-        return False
-    return any(NAMED.fullmatch(word) for m in NAMES.findall(attributes) for part in m for word in part.split()) if "=" in attributes else False
+def _put_aside(name: str, attributes: str, in_main: bool, quoted: bool) -> str:
+    """Why an element is put aside: for its "tag" or its "name" (a form counts as one, too); empty if it is not."""
+    if name in ASIDE and not (in_main and name == "header") and not (quoted and name == "footer"):
+        return "name" if name == "form" else "tag"
+    if name in WHOLE or name in HEADINGS or "=" not in attributes:
+        return ""
+    for kind, *values in NAMES.findall(attributes):
+        for word in "".join(values).split():
+            m = NAMED.fullmatch(word)
+            if m and (kind.lower() != "id" or not re.search("[-_]", word)):
+                return "name"
+    return ""
 
 
-def _implied(open_: list[tuple[str, bool]], name: str) -> int:
-    """Place of the outermost open element that this opening tag ends; the number of open ones if there is none."""
+def _implied(open_: list[tuple[str, int, str]], name: str, loose: int) -> int:
+    """Place of the outermost open element that this opening tag ends; the number of open ones if there is none.
+
+    ``loose`` is the number of open elements whose end tag may be left out.
+    """
     at, walls = len(open_), set()
     for i in range(len(open_) - 1, -1, -1):
         last = open_[i][0]
+        if not loose:
+            break
+        loose -= last in ENDS
         if last in ENDS and last not in walls and name in ENDS[last]:
             at = i
         walls.update(k for k, v in WALLS.items() if last in v)
@@ -85,45 +102,73 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 
     A tag is its name, closing ones with a slash before it. Contents of scripts and the like are left out.
     """
-    out: list[tuple[str, str, bool, bool]] = []
-    open_, aside, main, at, head = [], 0, 0, 0, False
+    out: list[tuple[str, str, bool]] = []
+    #: open elements with the place of their first token and why they are put aside, and what was put aside
+    open_: list[tuple[str, int, str]] = []
+    spans: list[tuple[int, int, bool]] = []
+    main, mains, at, head, quotes, loose = 0, 0, 0, False, 0, 0
+    known: dict[str, int] = {}
+
+    def close(first: int, after: int) -> None:
+        """End the open elements from ``first`` on, the last ones first."""
+        nonlocal main, quotes, loose
+        for last, start, why in reversed(open_[first:]):
+            if why:
+                spans.append((start, after, why == "name"))
+            main -= last in MAIN
+            quotes -= last == "blockquote"
+            loose -= last in ENDS
+            known[last] -= 1
+        del open_[first:]
+
     while m := TOKEN.match(page, at):
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0][0] != "<" or m[0] == "<":
                 if not head:
-                    out.append(("", m[0], main > 0, aside > 0))
+                    out.append(("", m[0], main > 0))
             continue
         if name == "head" or name == "body":
             head = name == "head" and not m[1]
             continue
         if m[1]:
-            if any(name == x[0] for x in open_):
-                while True:
-                    last, was_aside = open_.pop()
-                    aside -= was_aside
-                    main -= last in MAIN
-                    if last == name:
-                        break
-            out.append(("/" + name, "", main > 0, aside > 0))
+            if known.get(name):
+                close(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), len(out))
+            out.append(("/" + name, "", main > 0))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in STARTS:
-            for last, was_aside in open_[(end := _implied(open_, name)):]:
-                aside -= was_aside
-                main -= last in MAIN
-            del open_[end:]
-        out.append((name, "", main > 0, aside > 0))
+            close(_implied(open_, name, loose), len(out))
+        out.append((name, "", main > 0))
         if name not in VOID and not m[3].rstrip().endswith("/"):
-            away = _put_aside(name, m[3], main > 0)
-            open_.append((name, away))
-            aside += away
+            if name in MAIN and not mains:
+                # what the first main element stands in by name was no more than a wrapper
+                open_ = [(x, start, "" if why == "name" else why) for x, start, why in open_]
+            open_.append((name, len(out), _put_aside(name, m[3], main > 0, quotes > 0)))
             main += name in MAIN
-    return out
+            mains += name in MAIN
+            quotes += name == "blockquote"
+            loose += name in ENDS
+            known[name] = known.get(name, 0) + 1
+    close(0, len(out))
+    return _marked(out, spans, mains > 0)
+
+
+def _marked(parts: list[tuple[str, str, bool]], spans: list[tuple[int, int, bool]], marked: bool) -> list[tuple[str, str, bool, bool]]:
+    """Tokens with what is put aside; where no main element marks the text, what is aside by name and holds the larger part of the words stays."""
+    if not spans:
+        return [(*part, False) for part in parts]
+    upto = list(itertools.accumulate((0 if tag else len(text.split()) for tag, text, _ in parts), initial=0))
+    depth = [0] * (len(parts) + 1)
+    for start, end, named in spans:
+        if marked or not named or 2 * (upto[end] - upto[start]) <= upto[-1]:
+            depth[start] += 1
+            depth[end] -= 1
+    return [(*part, d > 0) for part, d in zip(parts, itertools.accumulate(depth))]
 
 
 def scores(parts: list[tuple[str, str, bool, bool]], weights: dict[str, float], factor: float) -> list[float]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cellframe.llm import bpe, components, decontaminate, fingerprint, fixity, gru, linededup, lm, maintext, neardup, quality, queries, secrets
 from cellframe.llm.words import words
@@ -564,3 +565,36 @@ def test_quality_on_odd_rows(spark, odd):
     for model in (quality.fit(odd, labels), quality.fit(odd, labels.limit(0)), quality.fit(odd, labels.where("quality = 1"))):
         got = quality.classify(odd, model).collect()
         assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+
+
+# pages whose wrappers carry the names of what is put aside
+
+TEN = "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<body><div class="post comments-open nav-below"><p>{TEN}</p></div><nav>a b</nav>', TEN),
+    (f'<div class="content ad-free"><p>{TEN}</p></div>', TEN),
+    (f'<div id="page" class="menu-closed"><article><p>{TEN}</p></article></div>', TEN),
+    (f'<form id="aspnetForm"><div class="menu">x</div><article><p>{TEN}</p></article><nav>x y</nav></form>', TEN),
+    (f'<article><section id="related-work"><h2 id="share-prices">Share prices</h2>{TEN}</section></article>', f"Share prices {TEN}"),
+    (f'<article>{TEN}<blockquote>said<footer>Someone</footer></blockquote><footer>left out</footer></article>', f"{TEN} said Someone"),
+    (f'<article>{TEN}</article><section class="comments"><article class="comment">{TEN} {TEN} {TEN}</article></section>', TEN),
+    (f'<article>{TEN}</article><footer>{TEN} {TEN}</footer>', TEN),
+    (f'<p>{TEN}</p><div class="sidebar"><p>a b</p></div><div id="comments">c</div>', TEN),
+])
+def test_wrappers_with_telling_names_keep_their_text(page, text):
+    parts = maintext.tokens(page)
+    assert maintext.region_text(parts) == text
+    at, end = maintext.best_region(maintext.scores(parts, {"/p": 0.1, "p": 0.1, "h2": 0.1, "/h2": 0.1}, 1.0))
+    assert maintext.region_text(parts[at:end]) == text
+
+
+def test_long_pages_and_clashing_names(spark):
+    """A page of many nested elements, and columns named as the operator's own."""
+    long = "<article>" + "<div><p>word " * 20000 + "</article>"
+    table = spark.createDataFrame([(1, "u", long, "mine"), (2, None, None, "mine"), (3, "u", "", "mine")], "page_id long, url string, html string, h string")
+    table = table.withColumns({"text": F.lit("mine"), "text_score": F.lit("mine"), "k": F.lit("mine"), "t": F.lit("mine")})
+    rows = {r.page_id: r for r in maintext.extract(table, *maintext.fit(table)).collect()}
+    assert len(rows[1].text.split()) == 20000 and rows[1].h == rows[1].k == rows[1].t == "mine"
+    assert rows[2].text == rows[3].text == "" and rows[2].text_score == 0.0
