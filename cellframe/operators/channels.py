@@ -7,6 +7,7 @@ the columns of one image, which the image size bounds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
 from ..functions.kernels import best_match
+from ..functions.lineage_cut import cut
 from ..functions.ordered import one_row, running
 from ..sources.catalog import sample_frames
 
@@ -75,6 +77,69 @@ def channel_peaks(proj: DataFrame, *, width: int, separation: float, image_width
     return top.where((F.col("x") >= separation / 2) & (image_width - F.col("x") >= separation / 2)).select(*keys, "x", "s")
 
 
+def _responses(values: Column, width: int) -> Column:
+    """Response of an array to a Mexican hat of the given width at every place; outside the array it is zero."""
+    reach = 4 * width
+    hat = F.array(*[F.lit((1 - (k / width) ** 2) * math.exp(-0.5 * (k / width) ** 2) / math.sqrt(width)) for k in range(-reach, reach + 1)])
+    at = lambda i: F.aggregate(F.sequence(F.lit(-reach), F.lit(reach)), F.lit(0.0),
+                               lambda total, k: total + F.coalesce(F.get(values, i + k), F.lit(0.0)) * F.get(hat, k + reach))
+    # rounding decides ties the same way everywhere
+    return F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: F.round(at(i), 6))
+
+
+def _maxima(response: Column) -> Column:
+    """Places of the positive local maxima, the first of equal neighbours."""
+    low = F.lit(float("-inf"))
+    top = lambda i, r: (r > 0) & (r > F.coalesce(F.get(response, i - 1), low)) & (r >= F.coalesce(F.get(response, i + 1), low))
+    return F.filter(F.sequence(F.lit(0), F.size(response) - 1), lambda i: top(i, F.get(response, i)))
+
+
+def _ridge(pos: Column, length: Column, best: Column, on: bool) -> Column:
+    return F.struct(pos.alias("pos"), length.cast("int").alias("length"), best.alias("best"), F.lit(on).alias("on"))
+
+
+def ridge_peaks(proj: DataFrame, *, widths: Sequence[int], separation: float, image_width: int, snr: float = 1.0, min_length: int | None = None,
+                keys: Sequence[str] = IMAGE) -> DataFrame:
+    """Channel centres of any of the ``widths``: ``keys, x, length, best``, from a column projection (``keys, x, s``).
+
+    The projection, less its mean, is compared with Mexican hats of each width. From the widest to the
+    narrowest, local maxima are linked to the nearest ones of the next width within half that width
+    (the smaller place of equals); a maximum that nothing reaches begins a ridge, and a ridge without
+    a next maximum ends. A ridge of at least ``min_length`` widths (by default a quarter of
+    them) counts if its ``best`` response is at least ``snr`` times the tenth percentile of the
+    narrowest width's absolute responses. Peaks nearer to the border than half a separation go.
+    """
+    order = sorted(set(widths), reverse=True)
+    least = min_length or max(1, -(-len(order) // 4))
+    rows = proj.groupBy(*keys).agg(F.avg("s").alias("_mean"), F.sort_array(F.collect_list(F.struct("x", F.col("s").cast("double").alias("s")))).alias("_p"))
+    # written step by step, so that no array is computed again for each of its elements
+    rows = cut(rows.select(*keys, F.col("_p.x").alias("_x"), F.transform("_p", lambda p: p["s"] - F.col("_mean")).alias("_c")))
+    rows = cut(rows.select(*keys, "_x", *[_responses(F.col("_c"), w).alias(f"_r{w}") for w in order]))
+    rows = cut(rows.select(*rows.columns, *[_maxima(F.col(f"_r{w}")).alias(f"_m{w}") for w in order]))
+    first = order[0]
+    rows = rows.withColumn("_ridges", F.transform(f"_m{first}", lambda i: _ridge(i, F.lit(1), F.get(f"_r{first}", i), True)))
+    for w in order[1:]:
+        r, m, reach = F.col(f"_r{w}"), F.col(f"_m{w}"), max(1, w // 2)
+
+        def nearest(ridge):
+            found = F.filter(m, lambda i: F.abs(i - ridge["pos"]) <= reach)
+            return F.when(ridge["on"], F.array_min(F.transform(found, lambda i: F.struct(F.abs(i - ridge["pos"]).alias("d"), i.alias("i"))))["i"])
+
+        rows = cut(rows.withColumn("_linked", F.transform("_ridges", lambda x: F.struct(x.alias("ridge"), nearest(x).alias("next")))))
+        kept = F.transform("_linked", lambda x: F.when(x["next"].isNull(), _ridge(x["ridge"]["pos"], x["ridge"]["length"], x["ridge"]["best"], False)).otherwise(
+            _ridge(x["next"], x["ridge"]["length"] + 1, F.greatest(x["ridge"]["best"], F.get(r, x["next"])), True)))
+        fresh = F.transform(F.filter(m, lambda i: ~F.coalesce(F.exists("_linked", lambda x: x["next"] == i), F.lit(False))),
+                            lambda i: _ridge(i, F.lit(1), F.get(r, i), True))
+        rows = rows.withColumn("_ridges", F.concat(kept, fresh)).drop("_linked", f"_m{w}")
+    size = F.sort_array(F.transform(f"_r{order[-1]}", lambda v: F.abs(v)))
+    noise = F.get(size, F.floor((F.size(size) - 1) / 10).cast("int"))
+    found = rows.select(*keys, "_x", noise.alias("_noise"), F.explode("_ridges").alias("_ridge")).where(
+        (F.col("_ridge.length") >= least) & (F.col("_ridge.best") >= snr * F.col("_noise")))
+    # ridges that meet are one peak
+    peaks = found.groupBy(*keys, F.get("_x", F.col("_ridge.pos")).alias("x")).agg(F.max("_ridge.length").alias("length"), F.max("_ridge.best").alias("best"))
+    return peaks.where((F.col("x") >= separation / 2) & (image_width - F.col("x") >= separation / 2))
+
+
 def consensus_masks(boxes: DataFrame, *, crop_pad: int, length_pad: int, shape: tuple[int, int]) -> DataFrame:
     """One mask per channel and field of view from the boxes of all frames: ``fov, peak, min_row..max_col`` (inclusive).
 

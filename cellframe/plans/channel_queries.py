@@ -48,6 +48,31 @@ def _(d):
     return _peaks(d)
 
 
+def _linked_sql(w: int, wider: int) -> str:
+    """Ridges of one width from those of the next wider one."""
+    return f"""near{w} AS (SELECT g.fov, g.peak, g.t, g.x, g.length, g.best, g.live, arg_min(m.x, (abs(m.x - g.x), m.x)) AS nx, arg_min(m.r, (abs(m.x - g.x), m.x)) AS nr
+  FROM ridge{wider} g LEFT JOIN top m ON g.live AND m.w = {w} AND m.fov = g.fov AND m.peak = g.peak AND m.t = g.t AND abs(m.x - g.x) <= {max(1, w // 2)}
+  GROUP BY g.fov, g.peak, g.t, g.x, g.length, g.best, g.live),
+ridge{w} AS (SELECT fov, peak, t, coalesce(nx, x) AS x, length + CASE WHEN nx IS NULL THEN 0 ELSE 1 END AS length, greatest(best, nr) AS best, nx IS NOT NULL AS live FROM near{w}
+  UNION ALL SELECT fov, peak, t, x, 1, r, true FROM top m WHERE w = {w} AND NOT EXISTS (SELECT 1 FROM near{w} n WHERE n.fov = m.fov AND n.peak = m.peak AND n.t = m.t AND n.nx = m.x))"""
+
+
+@query("g6_ridge_peaks", IMG + "x:l length:l best:d", f"""cols_ AS (SELECT fov, peak, t, x, sum(v) AS s FROM pixels GROUP BY fov, peak, t, x),
+level AS (SELECT fov, peak, t, avg(s) AS m FROM cols_ GROUP BY fov, peak, t),
+resp AS (SELECT a.fov, a.peak, a.t, a.x, w, round(sum((b.s - m)*(1 - (b.x - a.x)*(b.x - a.x)/CAST(w*w AS DOUBLE))*exp(-(b.x - a.x)*(b.x - a.x)/(2E0*w*w))/sqrt(w)), 6) AS r
+  FROM cols_ a JOIN cols_ b USING (fov, peak, t) JOIN level USING (fov, peak, t), (VALUES (1), (2), (3)) widths(w) WHERE abs(b.x - a.x) <= 4*w GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, lag(r) OVER z AS lo, lead(r) OVER z AS hi FROM resp WINDOW z AS (PARTITION BY fov, peak, t, w ORDER BY x))
+  WHERE r > 0 AND (lo IS NULL OR r > lo) AND (hi IS NULL OR r >= hi)),
+ridge3 AS (SELECT fov, peak, t, x, 1 AS length, r AS best, true AS live FROM top WHERE w = 3),
+{_linked_sql(2, 3)}, {_linked_sql(1, 2)},
+noise AS (SELECT fov, peak, t, a AS n FROM (SELECT fov, peak, t, abs(r) AS a, row_number() OVER (PARTITION BY fov, peak, t ORDER BY abs(r)) AS k,
+  count(*) OVER (PARTITION BY fov, peak, t) AS c FROM resp WHERE w = 1) WHERE k = 1 + (c - 1) // 10) ----
+SELECT fov, peak, t, x, max(length) AS length, max(best) AS best FROM ridge1 JOIN noise USING (fov, peak, t)
+WHERE length >= 2 AND best >= 3*n AND x >= 1 AND 8 - x >= 1 GROUP BY fov, peak, t, x""", uses="pixels")
+def _(d):
+    return c.ridge_peaks(c.projections(d.pixels, axis="x"), widths=(1, 2, 3), separation=2, image_width=8, snr=3.0, min_length=2)
+
+
 _MASKS = """clip AS (SELECT fov, greatest(min_col - 3, 0) AS x1, least(max_col + 3, 1024) AS x2, greatest(min_row - 10, 0) AS y1,
   least(max_row + 10, 360) AS y2 FROM boxes),
 isl AS (SELECT *, sum(CASE WHEN x1 > r THEN 1 ELSE 0 END) OVER (PARTITION BY fov ORDER BY x1, k) AS g FROM (

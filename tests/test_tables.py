@@ -1,6 +1,7 @@
 """Sources, sinks and properties of the table operators."""
 
 import math
+import random
 import re
 
 import pytest
@@ -101,3 +102,19 @@ def test_statistics_agree_with_pandas(demo):
     got = {r.name: r for r in s.stats_table(demo.cells, cols=["sb", "tau"]).collect()}
     for n in ("sb", "tau"):
         assert math.isclose(got[n]["std"], pdf[n].std()) and math.isclose(got[n]["median"], pdf[n].median())
+
+
+def test_ridges_find_channels_of_two_widths_and_no_noise(spark):
+    """Hats of two widths on an uneven, noisy ground; the noise has maxima of its own."""
+    draw = random.Random(4)
+    centres = {40: 4, 90: 9, 140: 4, 200: 9}
+    def value(x):
+        return 1000 + 2 * draw.random() + sum(300 * math.exp(-0.5 * ((x - c) / w) ** 2) for c, w in centres.items())
+    rows = [(1, 0, 0, x, value(x)) for x in range(240)]
+    got = ch.ridge_peaks(spark.createDataFrame(rows, "fov int, peak int, t int, x int, s double"), widths=range(3, 12), separation=20, image_width=240,
+                               snr=10.0, min_length=4).collect()
+    found = sorted(r.x for r in got)
+    assert len(found) == len(centres) and all(abs(x - c) <= 2 for x, c in zip(found, sorted(centres)))
+    border = ch.ridge_peaks(spark.createDataFrame(rows, "fov int, peak int, t int, x int, s double"), widths=range(3, 12), separation=84, image_width=240,
+                                  snr=10.0, min_length=4)
+    assert sorted(r.x for r in border.collect()) == found[1:3]
