@@ -16,6 +16,11 @@ from itertools import islice
 
 import numpy as np
 
+#: steps of a window, texts side by side, Adagrad's rate and what its sums of squares start from
+WINDOW, LANES, RATE, PAST = 16, 256, 0.1, 1e-5
+#: how many times longer windows of few lanes are
+LONGER = 16
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
@@ -102,111 +107,143 @@ def build(counts: np.ndarray, single: np.ndarray, classes: int, hidden: int, see
                    np.concatenate([group, k + np.arange(len(single))]).astype(np.int32), edge)
 
 
-def _backward(net: Network, h0: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gradients of the summed loss over one window (steps by rows), and the state after it.
+def _windows(texts: Iterable[np.ndarray], start: int, lanes: int, window: int):
+    """Windows over texts laid one after the other in ``lanes``: (lanes that go on, x, y, fresh, live), steps by lanes.
 
-    The gradient stops at the window's start: truncated backpropagation.
+    ``x`` is the id before ``y``, ``start`` where a text begins, there ``fresh``. A lane that runs
+    short takes the next text, so windows are full until the texts end; then lanes drop out and
+    windows of few lanes grow longer, up to ``LONGER`` times.
     """
-    H, steps = net.hidden, len(x)
-    hs, gates, us = [h0], [], []
+    source = (np.asarray(t) for t in texts if len(t))
+    queue = []
+    for t in islice(source, lanes):
+        queue.append([t])
+    at = [0] * len(queue)
+    short = window
+    while queue:
+        window = short * min(lanes // len(queue), LONGER)
+        x, y = np.full((len(queue), window), start, np.int64), np.zeros((len(queue), window), np.int64)
+        fresh, n = np.zeros((len(queue), window), bool), np.zeros(len(queue), np.int64)
+        for k, (lane, a) in enumerate(zip(queue, at)):
+            filled = 0
+            while filled < window:
+                if a == len(lane[0]):
+                    text = next(source, None)
+                    if text is None:
+                        break
+                    lane[0], a = text, 0
+                piece = lane[0][a: a + window - filled]
+                end = filled + len(piece)
+                y[k, filled: end] = piece
+                fresh[k, filled] = a == 0
+                x[k, filled + (a == 0): end] = lane[0][max(a - 1, 0): a - 1 + len(piece) if a else len(piece) - 1]
+                a, filled = a + len(piece), end
+            at[k], n[k] = a, filled
+        on = np.flatnonzero(n)
+        if not len(on):
+            return
+        queue, at = [queue[k] for k in on], [at[k] for k in on]
+        most = n.max()
+        yield on, x[on, :most].T, y[on, :most].T, fresh[on, :most].T, (np.arange(most) < n[on, None]).T
+
+
+def _forward(net: Network, h: np.ndarray, x: np.ndarray, fresh: np.ndarray):
+    """States after each step of a window, and before it; gates z and r, candidates n and their share of the state."""
+    H, (steps, lanes) = net.hidden, x.shape
+    G = net.G[x]
+    before, after = np.empty((steps, lanes, H), np.float32), np.empty((steps, lanes, H), np.float32)
+    zr, n, share = np.empty((steps, lanes, 2 * H), np.float32), np.empty((steps, lanes, H), np.float32), np.empty((steps, lanes, H), np.float32)
     for t in range(steps):
-        h = hs[-1]
-        g, u = net.G[x[t]], h @ net.U
-        zr = _sigmoid(g[:, : 2 * H] + u[:, : 2 * H])
-        n = np.tanh(g[:, 2 * H:] + zr[:, H:] * u[:, 2 * H:])
-        new = np.where(live[t][:, None], n + zr[:, :H] * (h - n), h)
-        hs.append(new)
-        gates.append((zr, n))
-        us.append(u[:, 2 * H:])
-    # the state before step t has seen the word before y[t]; outputs of all steps at once
-    at_t, at_b = np.nonzero(live)
-    stack = np.stack(hs[1:])[at_t, at_b]
-    target = y[at_t, at_b]
-    c = net.class_of[target]
-    p = np.exp(stack @ net.Wc + net.bc)
+        np.multiply(h, ~fresh[t][:, None], out=before[t])
+        u = before[t] @ net.U
+        share[t] = u[:, 2 * H:]
+        np.add(G[t, :, : 2 * H], u[:, : 2 * H], out=zr[t])
+        _sigmoid(zr[t])
+        np.multiply(zr[t, :, H:], share[t], out=n[t])
+        n[t] += G[t, :, 2 * H:]
+        np.tanh(n[t], out=n[t])
+        h = after[t]
+        np.subtract(before[t], n[t], out=h)
+        h *= zr[t, :, :H]
+        h += n[t]
+    return before, after, zr[:, :, :H], zr[:, :, H:], n, share
+
+
+def _gradients(net: Network, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray):
+    """The state after a window, and (parameter, touched rows, gradient of the summed loss) for each part of the network.
+
+    The gradient stops at the window's start: truncated backpropagation.
+    """
+    H, (steps, lanes) = net.hidden, x.shape
+    before, after, z, r, n, share = _forward(net, h, x, fresh)
+    place = np.flatnonzero(live.ravel())
+    c = net.class_of[y.ravel()[place]]
+    # tokens in the order of their classes, so that a class is a slice
+    order = np.argsort(c, kind="stable")
+    place, c = place[order], c[order]
+    target, state = y.ravel()[place], after.reshape(-1, H)[place]
+    p = state @ net.Wc
+    p += net.bc
+    np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(c)), c] -= 1
-    dWc, dbc, dstack = stack.T @ p, p.sum(axis=0), p @ net.Wc.T
-    dWo, dbo = np.zeros_like(net.Wo), np.zeros_like(net.bo)
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(net.edge)))
+    parts = [(net.Wc, slice(None), state.T @ p), (net.bc, slice(None), p.sum(axis=0))]
+    d = p @ net.Wc.T
+    cut = np.searchsorted(c, np.arange(len(net.edge)))
     for k in range(len(net.edge) - 1):
-        a, b = net.edge[k], net.edge[k + 1]
-        rows = order[cut[k]: cut[k + 1]]
-        if b - a > 1 and len(rows):
-            q = np.exp(stack[rows] @ net.Wo[a:b].T + net.bo[a:b])
+        rows, own = slice(cut[k], cut[k + 1]), slice(net.edge[k], net.edge[k + 1])
+        if own.stop - own.start > 1 and rows.stop > rows.start:
+            q = state[rows] @ net.Wo[own].T
+            q += net.bo[own]
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(rows)), target[rows] - a] -= 1
-            dWo[a:b], dbo[a:b] = q.T @ stack[rows], q.sum(axis=0)
-            dstack[rows] += q @ net.Wo[a:b]
-    dout = np.zeros((steps, len(h0), H), np.float32)
-    dout[at_t, at_b] = dstack
-    dU, dG_rows, carry = np.zeros_like(net.U), np.zeros((steps, len(h0), 3 * H), np.float32), np.zeros_like(h0)
+            q[np.arange(len(q)), target[rows] - own.start] -= 1
+            parts += [(net.Wo, own, q.T @ state[rows]), (net.bo, own, q.sum(axis=0))]
+            d[rows] += q @ net.Wo[own]
+    out = np.zeros((steps * lanes, H), np.float32)
+    out[place] = d
+    out = out.reshape(steps, lanes, H)
+    # shares of the three gates in a state's gradient, for all steps at once
+    gate = np.empty((steps, lanes, 3, H), np.float32)
+    np.multiply(1 - z, 1 - n * n, out=gate[:, :, 2])
+    np.multiply(gate[:, :, 2], share * r * (1 - r), out=gate[:, :, 1])
+    np.multiply(before - n, z * (1 - z), out=gate[:, :, 0])
+    inner = gate.copy()
+    inner[:, :, 2] *= r
+    carry = np.zeros((lanes, H), np.float32)
     for t in range(steps - 1, -1, -1):
-        (zr, n), h = gates[t], hs[t]
-        z, r = zr[:, :H], zr[:, H:]
-        d = (carry + dout[t]) * live[t][:, None]
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (h - n) * z * (1 - z)
-        dr = dn * us[t] * r * (1 - r)
-        dG_rows[t] = np.concatenate([dz, dr, dn], axis=1)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        dU += h.T @ du
-        carry = d * z + du @ net.U.T + carry * ~live[t][:, None]
+        carry += out[t]
+        out[t] = carry
+        inner[t] *= carry[:, None]
+        carry *= z[t]
+        carry += inner[t].reshape(lanes, 3 * H) @ net.U.T
+        carry *= ~fresh[t][:, None]
+    gate *= out[:, :, None]
+    parts.append((net.U, slice(None), before.reshape(-1, H).T @ inner.reshape(-1, 3 * H)))
     ids = x.ravel()
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-    dG = np.zeros_like(net.G)
-    dG[ids[order][first]] = np.add.reduceat(dG_rows.reshape(-1, 3 * H)[order], first)
-    return [dG, dU, dWc, dbc, dWo, dbo], hs[-1]
+    parts.append((net.G, ids[order[first]], np.add.reduceat(gate.reshape(-1, 3 * H)[order], first)))
+    return after[-1], parts
 
 
-def train(net: Network, texts: Iterable[np.ndarray], start: int, *, window: int = 16, batch: int = 128, rate: float = 0.1) -> int:
-    """One pass of Adagrad over every id of every text; the number of ids.
+def train(net: Network, past: list[np.ndarray], texts: Iterable[np.ndarray], start: int, *, window: int = WINDOW, lanes: int = LANES, rate: float = RATE) -> int:
+    """One pass of Adagrad over every id of every text; the number of ids. ``past`` holds the sums of squares and goes on.
 
-    ``batch`` texts go side by side, and each that ends makes room for the next. The state is
-    carried from window to window through the whole text, from zero and after ``start``. Windows with
-    few running texts add up their gradients until an update has as many ids as a full window.
+    The state is carried from window to window through each whole text, from zero and after
+    ``start``. A window makes one step, smaller where the last texts leave lanes empty.
     """
-    past = [np.full_like(p, 1e-2) for p in net.parameters()]
-    source, running, total, due = iter(texts), [], 0, 0
-    sums = [np.zeros_like(p) for p in net.parameters()]
-
-    def update():
-        for p, g, s in zip(net.parameters(), sums, past):
-            step = np.clip(g / np.float32(due / 32), -1, 1)
-            s += step * step
-            p -= np.float32(rate) * step / np.sqrt(s)
-            g[...] = 0
-
-    at, h, last = np.zeros(0, np.int64), np.zeros((0, net.hidden), np.float32), np.zeros(0, np.int64)
-    while True:
-        new = list(islice((t for t in source if len(t)), batch - len(running)))
-        running += new
-        if not running:
-            if due:
-                update()
-            return total
-        at = np.append(at, np.zeros(len(new), np.int64))
-        h = np.concatenate([h, np.zeros((len(new), net.hidden), np.float32)])
-        last = np.append(last, np.full(len(new), start))
-        pieces = [t[a: a + window] for t, a in zip(running, at.tolist())]
-        n = np.array([len(p) for p in pieces])
-        live = np.arange(n.max())[:, None] < n
-        x, y = np.zeros(live.shape, np.int64), np.zeros(live.shape, np.int64)
-        y.T[live.T] = np.concatenate(pieces)
-        x[0], x[1:] = last, y[:-1]
-        grads, h = _backward(net, h, x, y, live)
-        for total_g, g in zip(sums, grads):
-            total_g += g
-        total, due = total + int(n.sum()), due + int(n.sum())
-        if due >= batch * window:
-            update()
-            due = 0
-        at += n
-        last = y[n - 1, np.arange(len(n))]
-        on = np.array([len(t) for t in running]) > at
-        running, at, h, last = [t for t, o in zip(running, on) if o], at[on], h[on], last[on]
+    squares = {id(p): s for p, s in zip(net.parameters(), past)}
+    scale, total, h = np.float32(1 / (window * lanes)), 0, np.zeros((lanes, net.hidden), np.float32)
+    for on, x, y, fresh, live in _windows(texts, start, lanes, window):
+        h, parts = _gradients(net, h[on], x, y, fresh, live)
+        for p, rows, g in parts:
+            g *= scale
+            s = squares[id(p)]
+            s[rows] += g * g
+            p[rows] -= np.float32(rate) * g / np.sqrt(s[rows])
+        total += int(live.sum())
+    return total
 
 
 def score(net: Network, ids: list[np.ndarray], start: int, *, window: int = 32, width: int = 1024) -> np.ndarray:

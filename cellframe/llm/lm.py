@@ -8,9 +8,11 @@ Tokens are words (A to Z in lower case) and one end for each document. Words are
 2. The ``OWN`` most frequent words have ids of their own, in classes of about equal counts. The
    others fall into ``FORMS`` classes by their first and last letters; in such a class a word
    has the probability that its count gives, unknown words sharing a tenth of a count.
-3. Tasks train copies of the network on all tokens of their training texts, by backpropagation in
-   consecutive windows with the state carried from one to the next through each whole text; the
-   copies are averaged in Spark by their tokens, ``ROUNDS`` times. Texts are read again each round.
+3. Training texts are dealt to ``ROUNDS`` rounds of shards by row hashes; the number of shards
+   follows the number of tokens, about ``SHARD`` each. A copy of the network is trained on all tokens of
+   a shard's texts, by backpropagation in consecutive windows with the state carried from one to
+   the next through each whole text; the copies of a round and their sums of squared gradients are
+   averaged in Spark by their tokens and start the next round. Each training token is learned once.
 4. Scoring carries the state across windows through each whole text. Counts of the ``HEAD`` most
    frequent words are broadcast; the other words of a document are joined with the counts by
    hash, where no word can be hot.
@@ -20,6 +22,9 @@ A null or empty text is one end. Rows with a null id are training rows; every ro
 
 from __future__ import annotations
 
+from copy import deepcopy
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,8 +38,9 @@ from .shipping import ship, unpack
 from .words import Words, _lower_table, mix, words
 
 OWN, FORMS, HEAD = 2048, 61, 1 << 16
-CLASSES, HIDDEN = 24, 16
-ROUNDS = 2
+CLASSES, HIDDEN = 32, 16
+#: rounds of training, and tokens of one copy in a round
+ROUNDS, SHARD = 4, 1 << 20
 #: hash of the end token, and what a count is raised by
 END, ALPHA = 0x7E57ED0F7E57ED0F, 0.1
 #: numbers of a block of parameters
@@ -109,42 +115,64 @@ def _start(head: Head) -> int:
     return int(head.ids(head.find(np.array([END], np.uint64)), np.zeros(1, np.int64))[0])
 
 
-def _sequences(batches, head: Head):
-    """Ids of the tokens of each text, one text after the other."""
-    for batch in batches:
-        for w in words(batch.column("text")):
-            edges, h, form = _tokens(w)
-            ids = head.ids(head.find(h), form)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                yield ids[a:b].astype(np.int32)
+def _encoded(docs: DataFrame, head: Head, parts: int) -> DataFrame:
+    """(part, h1, h2, ids): ids of each text's tokens as 16-bit numbers; texts are dealt to parts by row hashes."""
+    made = ship(docs.sparkSession, head)
+    named = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.hash("text").alias("h2"), "text")
+    dealt = named.select(F.pmod("h1", F.lit(parts)).cast("int").alias("part"), "h1", "h2", "text")
 
+    def run(batches):
+        table = unpack(made)
+        for batch in batches:
+            ids = []
+            for w in words(batch.column("text")):
+                edges, h, form = _tokens(w)
+                row = table.ids(table.find(h), form).astype(np.int16)
+                ids += [row[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "h1", "h2")), pa.array(ids, pa.binary())], names=["part", "h1", "h2", "ids"])
+
+    return dealt.mapInArrow(run, "part int, h1 long, h2 int, ids binary")
 
-def _trained(docs: DataFrame, head: Head, net: gru.Network) -> None:
-    """One round over whole texts: copies trained in tasks, weighted by their tokens and averaged in Spark."""
-    made = ship(docs.sparkSession, (head, net))
+
+def _trained(encoded: DataFrame, shards: int, head: Head, net: gru.Network, past: list[np.ndarray]) -> None:
+    """One round: a copy is trained on each shard's whole texts; copies are weighted by their tokens and averaged in Spark.
+
+    Shards and the order of their texts follow from row hashes, so they do not depend on partitions.
+    """
+    made = ship(encoded.sparkSession, (net, past, _start(head)))
+    across = int(np.ceil(np.sqrt(shards)))
+    dealt = encoded.repartition(2 * shards, "part").sortWithinPartitions("part", "h1", "h2").select("part", "ids")
+
+    def rows(batches):
+        for batch in batches:
+            yield from zip(batch.column("part").to_pylist(), batch.column("ids").to_pylist())
 
     def run(batches):
-        from pyspark import TaskContext
-        table, model = unpack(made)
-        vector = model.vector()
-        tokens = gru.train(model, _sequences(batches, table), _start(table))
-        if tokens:
-            trained = model.vector()
-            model.load(vector)  # the worker keeps the shipped copy for its later tasks
-            blocks = [trained[i: i + BLOCK].astype(np.float64) * tokens for i in range(0, len(trained), BLOCK)]
+        model, squares, start = unpack(made)
+        for part, texts in groupby(rows(batches), key=lambda row: row[0]):
+            copy, sums = deepcopy(model), deepcopy(squares)
+            tokens = gru.train(copy, sums, (np.frombuffer(ids, np.int16) for _, ids in texts), start)
+            vector = np.concatenate([copy.vector(), *(s.ravel() for s in sums)]).astype(np.float64) * tokens
+            blocks = [vector[i: i + BLOCK] for i in range(0, len(vector), BLOCK)]
             k = len(blocks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * k, pa.int32()), pa.array([float(tokens)] * k),
-                 pa.array(blocks, pa.list_(pa.float64()))], names=["block", "bucket", "weight", "sums"])
+                [pa.array(range(k), pa.int32()), pa.array([part // ROUNDS % across] * k, pa.int32()), pa.array([part] * k, pa.int32()), pa.array([float(tokens)] * k),
+                 pa.array(blocks, pa.list_(pa.float64()))], names=["block", "bucket", "part", "weight", "sums"])
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bucket": [0], "weight": [rows["weight"].sum()], "sums": [np.sum(np.stack(rows["sums"].tolist()), axis=0)]})
+        rows = rows.sort_values(["bucket", "part"])
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bucket": [rows["bucket"].iloc[0]], "part": [0], "weight": [rows["weight"].sum()],
+                             "sums": [np.sum(np.stack(rows["sums"].tolist()), axis=0)]})
 
-    shape = "block int, bucket int, weight double, sums array<double>"
-    parts = docs.select("text").mapInArrow(run, shape).groupBy("block", "bucket").applyInPandas(added, shape).groupBy("block").applyInPandas(added, shape)
-    got = parts.toPandas().sort_values("block")
+    shape = "block int, bucket int, part int, weight double, sums array<double>"
+    copies = dealt.mapInArrow(run, shape).groupBy("block", "bucket").applyInPandas(added, shape).groupBy("block").applyInPandas(added, shape)
+    got = copies.toPandas().sort_values("block")
     if len(got):
-        net.load(np.concatenate([np.array(s) / w for s, w in zip(got["sums"], got["weight"])]).astype(np.float32))
+        vector = np.concatenate([np.array(s) / w for s, w in zip(got["sums"], got["weight"])]).astype(np.float32)
+        half = len(vector) // 2
+        net.load(vector[:half])
+        for s, piece in zip(past, np.split(vector[half:], np.cumsum([s.size for s in past])[:-1])):
+            s[...] = piece.reshape(s.shape)
 
 
 def _scored(docs: DataFrame, head: Head, net: gru.Network, total: float, distinct: float, form_mass: np.ndarray) -> DataFrame:
@@ -219,8 +247,11 @@ def log_likelihood(docs: DataFrame, held_out: Column, *, key: str = "doc_id", te
 
     head = Head(hashes, count, OWN)
     net = gru.build(count[:OWN], mass, CLASSES, HIDDEN)
-    for _ in range(ROUNDS):
-        _trained(learned, head, net)
+    past = [np.full_like(p, gru.PAST) for p in net.parameters()]
+    shards = max(1, -(-int(total) // (ROUNDS * SHARD)))
+    encoded = cut(_encoded(learned, head, ROUNDS * shards))
+    for k in range(ROUNDS):
+        _trained(encoded.where(F.col("part") % ROUNDS == k), shards, head, net, past)
     scored = cut(_scored(named, head, net, total, distinct, np.log10(mass + ALPHA * (kinds + 1))))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     joined = rare.join(counts.select("h", "c"), "h", "left")

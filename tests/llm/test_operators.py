@@ -448,34 +448,6 @@ def test_audit_descends_only_where_roots_differ(spark):
 
 # language model
 
-def test_gradients_are_those_of_differences():
-    rng = np.random.default_rng(0)
-    net = gru.build(np.array([50, 30, 20, 10, 5, 3.0]), np.array([4.0, 6.0]), 3, 5)
-    for name in ("G", "U", "Wc", "bc", "Wo", "bo"):
-        setattr(net, name, getattr(net, name).astype(np.float64) + rng.normal(0, 0.3, getattr(net, name).shape))
-    x, y, h0 = rng.integers(0, 8, (4, 3)), rng.integers(0, 8, (4, 3)), rng.normal(0, 0.5, (3, 5))
-    live = np.array([[1, 1, 1], [1, 1, 1], [1, 0, 1], [1, 0, 1]], bool)
-
-    def loss():
-        h, total = h0.copy(), 0.0
-        for t in range(4):
-            h = np.where(live[t][:, None], net.step(h, x[t]), h)
-            total -= (net.log_probability(h, y[t]) * live[t]).sum()
-        return total
-
-    grads, _ = gru._backward(net, h0, x, y, live)
-    for p, g in zip(net.parameters(), grads):
-        for _ in range(5):
-            i = tuple(rng.integers(0, s) for s in p.shape)
-            old = p[i]
-            p[i] = old + 1e-5
-            up = loss()
-            p[i] = old - 1e-5
-            down = loss()
-            p[i] = old
-            assert (up - down) / 2e-5 == pytest.approx(g[i], abs=1e-6)
-
-
 def test_probabilities_sum_to_one_and_windows_do_not_matter():
     net = gru.build(np.arange(30, 0, -1).astype(float), np.array([3.0, 9.0]), 4, 8)
     h = np.random.default_rng(1).normal(0, 1, (3, 8)).astype(np.float32)
@@ -486,22 +458,23 @@ def test_probabilities_sum_to_one_and_windows_do_not_matter():
 
 
 def test_training_reads_every_token_and_carries_the_state(monkeypatch):
-    seen, real, texts = collections.Counter(), gru._backward, [np.arange(n) + 100 * i for i, n in enumerate((1, 70, 16, 33, 0, 100, 2))]
+    seen, real, texts = collections.Counter(), gru._gradients, [np.arange(n) + 100 * i for i, n in enumerate((1, 70, 16, 33, 0, 100, 2))]
     states = {}
 
-    def noted(net, h0, x, y, live):
-        grads, h = real(net, h0, x, y, live)
+    def noted(net, h0, x, y, fresh, live):
+        h, parts = real(net, h0, x, y, fresh, live)
         for j in range(x.shape[1]):
             k = int(live[:, j].sum())
             seen.update(zip(x[:k, j].tolist(), y[:k, j].tolist()))
-            assert np.array_equal(h0[j], states[int(x[0, j])] if x[0, j] else np.zeros(4))
-            states[int(y[k - 1, j])] = h[j]
-        return grads, h
+            assert fresh[0, j] or np.array_equal(h0[j], states[int(x[0, j])])
+            if k == len(x):
+                states[int(y[-1, j])] = h[j]
+        return h, parts
 
-    monkeypatch.setattr(gru, "_backward", noted)
+    monkeypatch.setattr(gru, "_gradients", noted)
     texts[0] += 600
     net = gru.build(np.full(700, 1.0), np.array([1.0]), 4, 4)
-    assert gru.train(net, texts, 0, window=8, batch=3) == sum(map(len, texts))
+    assert gru.train(net, [np.ones_like(p) for p in net.parameters()], texts, 0, window=8, lanes=3) == sum(map(len, texts))
     assert seen == collections.Counter((a, b) for t in texts for a, b in zip([0, *t.tolist()], t.tolist()))
 
 
@@ -527,6 +500,72 @@ def test_scores_of_a_given_table(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_gradients_of_the_network():
+    """Backpropagation against differences of the loss, over texts side by side and one after the other."""
+    rng = np.random.default_rng(4)
+    net = gru.build(np.array([9.0, 7, 5, 4, 3, 2, 2, 1]), np.array([3.0, 2.0]), 3, 4)
+    for name in ("G", "U", "Wc", "bc", "Wo", "bo"):
+        setattr(net, name, getattr(net, name).astype(np.float64) + rng.normal(0, 0.2, getattr(net, name).shape))
+    texts = [rng.integers(0, 10, n) for n in (3, 1, 6, 2, 4)]
+
+    def total():
+        """In double precision, one text after the other."""
+        out = 0.0
+        for text in texts:
+            h, last = np.zeros((1, 4)), 0
+            for word in text:
+                h = net.step(h, np.array([last]))
+                out -= net.log_probability(h, np.array([word]))[0]
+                last = word
+        return out
+
+    (on, x, y, fresh, live), = gru._windows(iter(texts), 0, 2, 32)
+    _, parts = gru._gradients(net, np.zeros((len(on), 4)), x, y, fresh, live)
+    for p in net.parameters():
+        got = np.zeros(p.shape)
+        for q, rows, g in parts:
+            if q is p:
+                got[rows] += g
+        for at in np.ndindex(p.shape):
+            kept, loss = p[at], []
+            for d in (1e-5, -1e-5):
+                p[at] = kept + d
+                loss.append(total())
+            p[at] = kept
+            assert got[at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-4)
+
+
+def test_windows_cover_every_token_once():
+    """Lanes of texts hold each text once, in order, after the start id or the token before."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(1, 1000, n) for n in (40, 1, 7, 16, 3, 0, 25, 300)]
+    lanes, seen = {k: k for k in range(3)}, {k: [] for k in range(3)}
+    for on, x, y, fresh, live in gru._windows(iter(texts), 0, 3, 4):
+        lanes = {k: lanes[j] for k, j in enumerate(on.tolist())}
+        for k, lane in lanes.items():
+            for a, b, f in zip(x[live[:, k], k], y[live[:, k], k], fresh[live[:, k], k]):
+                if f:
+                    assert a == 0
+                    seen[lane].append([])
+                else:
+                    assert a == seen[lane][-1][-1]
+                seen[lane][-1].append(int(b))
+    assert sorted(t for lane in seen.values() for t in lane) == sorted(t.tolist() for t in texts if len(t))
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    """Held-out texts gain a tenth a token over word counts, alike at any number of partitions."""
+    docs = queries.table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    got = []
+    for n in (1, 4, 32):
+        rows = lm.log_likelihood(docs.repartition(n), queries.remainder("doc_id", 10) == 0).collect()
+        held = [r for r in rows if r.held_out]
+        assert sum(r.score - r.base_score for r in held) > 0.1 * sum(r.n_tokens for r in held)
+        got.append({r.doc_id: r.score for r in rows})
+    for other in got[1:]:
+        assert all(other[k] == pytest.approx(v, rel=1e-4) for k, v in got[0].items())
+
+
 def test_scores_on_odd_rows(odd, docs_of):
     got = lm.log_likelihood(odd, queries.remainder("doc_id", 10) == 0).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in got)
