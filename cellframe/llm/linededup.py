@@ -122,8 +122,10 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     first = units.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
     later = units.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first"))).select("h1", "h2", "start", "end").distinct()
     spans = later.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(removed))
-    named = rows.withColumns({"h1_": F.xxhash64(F.col(key), F.col(text)), "h2_": F.hash(F.col(text))})
-    joined = named.join(spans.withColumnsRenamed({"h1": "h1_", "h2": "h2_"}), ["h1_", "h2_"], "left").select(*rows.columns, removed)
+    free = "_" * (1 + max(map(len, rows.columns)))  # longer than any column's name
+    h1, h2 = f"h1{free}", f"h2{free}"
+    named = rows.withColumns({h1: F.xxhash64(F.col(key), F.col(text)), h2: F.hash(F.col(text))})
+    joined = named.join(spans.withColumnsRenamed({"h1": h1, "h2": h2}), [h1, h2], "left").select(*rows.columns, removed)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]), False)
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

@@ -446,6 +446,14 @@ def test_audit_descends_only_where_roots_differ(spark):
     assert root.start == 0 and root.stop == own.where("file = 0").agg({"stop": "max"}).first()[0]
 
 
+def test_line_hashing_leaves_columns_of_any_name(odd):
+    """Columns named like the join's own come back as they were."""
+    rows = linededup.deduplicate(odd.withColumn("h1_", F.lit("mine")).withColumn("h2_", F.lit("yours"))).select("h1_", "h2_", "text").collect()
+    plain = linededup.deduplicate(odd).select("text").collect()
+    assert {(r["h1_"], r["h2_"]) for r in rows} == {("mine", "yours")}
+    assert sorted(str(r.text) for r in rows) == sorted(str(r.text) for r in plain)
+
+
 # language model
 
 def test_probabilities_sum_to_one_and_windows_do_not_matter():
