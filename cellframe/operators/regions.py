@@ -13,17 +13,33 @@ IMAGE = ["fov", "peak", "t"]
 REGION = [*IMAGE, "label"]
 
 
+def _moment(pixels: Column, a: str, b: str) -> Column:
+    """Population covariance of two coordinates (variance, if the same), with running means in the order of ``pixels``."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("n"), zero.alias("a"), zero.alias("b"), zero.alias("s"))
+
+    def add(m: Column, p: Column) -> Column:
+        n, da = m["n"] + 1, p[a] - m["a"]
+        mean_b = m["b"] + (p[b] - m["b"]) / n
+        return F.struct(n.alias("n"), (m["a"] + da / n).alias("a"), mean_b.alias("b"), (m["s"] + da * (p[b] - mean_b)).alias("s"))
+
+    seen = F.filter(pixels, lambda p: p[a].isNotNull() & p[b].isNotNull())
+    return F.aggregate(seen, start, add, lambda m: F.try_divide(m["s"], m["n"]))
+
+
 def region_props(labels: DataFrame) -> DataFrame:
     """Area, centroid, half-open box and second-moment axes of every labelled region.
 
     The orientation is the angle of the long axis to the column axis, counted
-    counter-clockwise as displayed (rows run downwards).
+    counter-clockwise as displayed (rows run downwards). Moments are added up from pixel to pixel,
+    row by row, so equal shapes have equal axes to the last bit, however the pixels were dealt.
     """
     y, x = F.col("y").cast("double"), F.col("x").cast("double")
     m = labels.where("label > 0").groupBy(*REGION).agg(
         F.count(F.lit(1)).alias("area"), F.avg(y).alias("cy"), F.avg(x).alias("cx"), F.min("y").alias("min_y"),
         F.min("x").alias("min_x"), (F.max("y") + 1).alias("max_y"), (F.max("x") + 1).alias("max_x"),
-        F.var_pop(y).alias("vy"), F.var_pop(x).alias("vx"), F.covar_pop(y, x).alias("c"))
+        F.sort_array(F.collect_list(F.struct(y.alias("y"), x.alias("x")))).alias("px"))
+    m = m.withColumns({"vy": _moment(F.col("px"), "y", "y"), "vx": _moment(F.col("px"), "x", "x"), "c": _moment(F.col("px"), "x", "y")})
     major, minor = population_axes(F.col("vy"), F.col("vx"), F.col("c"))
     # rounding keeps an upright region from turning over by rounding noise
     angle = F.atan2(F.round(2 * F.col("c"), 9) + F.lit(0.0), F.round(F.col("vx") - F.col("vy"), 9) + F.lit(0.0)) / -2
