@@ -61,15 +61,45 @@ def resolve(ids: DataFrame, edges: DataFrame) -> DataFrame:
         state = rounds.put(state.where("done").unionByName(moved))
 
 
+def _composed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two jump tables, one after the other."""
+    on = second.select(F.col("id").alias("to"), F.col("to").alias("_to"))
+    return first.join(on, "to").select("id", F.col("_to").alias("to"))
+
+
 def _doubled(jump: DataFrame) -> DataFrame:
     """Compose a jump table with itself."""
-    on = jump.select(F.col("id").alias("to"), F.col("to").alias("_to"))
-    return jump.join(on, "to").select("id", F.col("_to").alias("to"))
+    return _composed(jump, jump)
+
+
+def ancestor_lists(cells: DataFrame) -> DataFrame:
+    """``cell_id, up``: the ancestors of every cell, nearest first.
+
+    A row carries as many ids as its cell has ancestors. Every round appends the list of the
+    last ancestor so far; only rows whose list was full move.
+    """
+    first = cut(_ids(cells).join(parent_edges(cells), F.col("cell_id") == F.col("id"), "left").select(
+        "cell_id", F.array_compact(F.array("to")).alias("up")))
+    rounds, state, width = Rounds(doublings(first.count())), first, 1
+    while True:
+        full = F.size("up") == width
+        left = state.where(full).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_contains("up", F.col("cell_id"))).alias("again")).first()
+        if not left["n"]:
+            return state
+        if left["again"]:
+            raise ValueError("the ids form a cycle")
+        ahead = state.select(F.col("cell_id").alias("_at"), F.col("up").alias("_up")).where(F.size("_up") > 0)
+        moved = state.where(full).withColumn("_at", F.element_at("up", -1)).join(ahead, "_at", "left").select(
+            "cell_id", F.concat("up", F.coalesce("_up", F.slice("up", 1, 0))).alias("up"))
+        state, width = rounds.put(state.where(~full).unionByName(moved)), 2 * width
 
 
 def ancestors(cells: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``cell_id, ancestor_id, steps`` with the nearest ancestor at step 1; ``of`` restricts the start cells."""
-    start = _ids(cells) if of is None else of.select("cell_id")
+    if of is None:
+        return ancestor_lists(cells).select("cell_id", F.posexplode("up").alias("_i", "ancestor_id")).select(
+            "cell_id", "ancestor_id", (F.col("_i") + 1).cast("long").alias("steps"))
+    start = of.select("cell_id")
     reach = start.select("cell_id", F.col("cell_id").alias("ancestor_id"), F.lit(0).cast("long").alias("steps"))
     jump, width = cut(parent_edges(cells)), 1
     limit = doublings(jump.count())
@@ -82,8 +112,12 @@ def ancestors(cells: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return reach.where("steps > 0")
 
 
-def mark_ancestors(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """The distinct ancestors of the cells in ``of`` (``cell_id``) along parent edges; never more rows than cells."""
+def mark_ancestors(edges: DataFrame, of: DataFrame, known: Sequence[DataFrame] = ()) -> DataFrame:
+    """The distinct ancestors of the cells in ``of`` (``cell_id``) along parent edges; never more rows than cells.
+
+    ``known`` lists jump tables of 2, 4, 8, ... steps that are there already.
+    """
+    known = list(known)
     marks = cut(edges.join(of.select(F.col("cell_id").alias("id")), "id", "left_semi")
                 .select(F.col("to").alias("cell_id")).distinct())
     jump, limit = edges, doublings(edges.count())
@@ -91,10 +125,23 @@ def mark_ancestors(edges: DataFrame, of: DataFrame) -> DataFrame:
     while not jump.isEmpty():
         found = jump.join(marks.select(F.col("cell_id").alias("id")), "id", "left_semi").select(F.col("to").alias("cell_id"))
         marks = marked.put(marks.unionByName(found).distinct())
-        jump = jumps.put(_doubled(jump))
+        jump = known.pop(0) if known else jumps.put(_doubled(jump))
     return marks
 
 
+def _with_ancestors(ids: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``ids`` with at least ``n`` ancestors, and the jump tables of 2, 4, ... steps this took."""
+    at, jumps, jump = ids.select(F.col("cell_id").alias("id"), F.col("cell_id").alias("to")), [], edges
+    while n > 0:
+        if n % 2:
+            at = _composed(at, jump)
+        n //= 2
+        if n:
+            jump = cut(_doubled(jump))
+            jumps.append(jump)
+    return at.select(F.col("id").alias("cell_id")), jumps
+
+
 def generation_gap(cells: DataFrame) -> DataFrame:
     """``cell_id, generations``: the number of continuous ancestors."""
     return resolve(_ids(cells), parent_edges(cells)).select("cell_id", F.col("steps").alias("generations"))
@@ -113,9 +160,9 @@ def lineages_of_length(cells: DataFrame, *, n_gens: int = 5, remove_ends: bool =
     # a cell is a last daughter exactly if its own first daughter is absent
     ends = _ids(cells).join(first_child_edges(cells).select(F.col("id").alias("cell_id")), "cell_id", "left_anti")
     edges = cut(parent_edges(cells))
-    long_enough = resolve(_ids(cells), edges).where(F.col("steps") >= n_gens).join(ends, "cell_id", "left_semi")
-    long_enough = cut(long_enough.select("cell_id"))
-    kept = mark_ancestors(edges, long_enough)
+    long_enough, known = _with_ancestors(ends, edges, n_gens)
+    long_enough = cut(long_enough)
+    kept = mark_ancestors(edges, long_enough, known)
     if remove_ends:
         kept = kept.join(edges.select(F.col("id").alias("cell_id")), "cell_id", "left_semi")
     else:

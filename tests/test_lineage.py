@@ -119,3 +119,15 @@ def test_superseded_rounds_are_removed(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, i - 1 if i else None, i + 1, 10_000 + i, 1, i, i + 1, 1, 0, 1.0, 2.0) for i in range(n)], SCHEMA)
     assert l.generation_gap(df).count() == n
     assert len(list(tmp_path.glob("round-*"))) == 1
+
+
+def test_rounds_write_lists_not_pairs(spark, monkeypatch):
+    """Ancestors double as one row per cell; a length needs as many jumps as it has bits, not the whole depth."""
+    rows = [(i, i - 1 if i else None, i + 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "cell_id long, parent_id long, child1_id long")
+    lists = l.ancestor_lists(df)
+    assert {r.cell_id: r.up for r in lists.collect()} == {i: list(range(i - 1, -1, -1)) for i in range(40)}
+    assert l.ancestors(df).count() == 40 * 39 // 2
+    monkeypatch.setattr(l, "resolve", None)
+    for n in (5, 40):
+        assert l.lineages_of_length(df, n_gens=n).count() == (40 if n < 40 else 0)
