@@ -19,6 +19,15 @@ from ..functions.expr import safe_div
 IMAGE = ["fov", "peak", "t"]
 REGION = [*IMAGE, "label"]
 EPSILON = 1e-7  # fixed value: keeps the score ratios finite
+PIECE = 1 << 20  # pixels of the label images a task hands back at once
+
+
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of image rows of at most ``PIECE`` pixels, or one image: results of a whole batch are never held together."""
+    for b in batches:
+        if len(b):
+            step = max(PIECE // max(int((b["height"] * b["width"]).max()), 1), 1)
+            yield from (b.iloc[i:i + step] for i in range(0, len(b), step))
 
 
 def otsu(pixels: DataFrame, *, bins: int | None = None, scale: float = 1.0, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -58,9 +67,9 @@ def label_components(masks: DataFrame) -> DataFrame:
     Labels run in row order of the first pixel: ``fov, peak, t, y, x, label``.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             yield b[["fov", "peak", "t", "width"]].assign(lab=[
-                k.components(np.reshape(p, (h, w)) != 0).ravel() for p, h, w in zip(b["px"], b["height"], b["width"])])
+                k.components(np.reshape(p, (h, w)) != 0).ravel().astype(np.int32) for p, h, w in zip(b["px"], b["height"], b["width"])])
 
     lab = masks.select(*IMAGE, "height", "width", "px").mapInPandas(run, "fov int, peak int, t int, width int, lab array<int>")
     return _flat(lab)
@@ -103,14 +112,14 @@ def segment(stacks: DataFrame, thresholds: DataFrame, *, open1: float = 2, dista
     markers, small markers go, and each marker grows over the thresholded pixels it reaches.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for px, h, w, level in zip(b["px"], b["height"], b["width"], b["threshold"]):
                 mask = k.without_border(np.reshape(px, (h, w)) > level)
                 core = k.far_from_background(k.opened(mask, open1), distance)
                 core = k.without_border(k.opened(core, open2))
                 markers = k.components(k.at_least(k.components(core), min_size) > 0)
-                out.append(k.spread(markers, mask).ravel())
+                out.append(k.spread(markers, mask).ravel().astype(np.int32))
             yield b[["fov", "peak", "t", "width"]].assign(lab=out)
 
     rows = stacks.join(thresholds, IMAGE).select(*IMAGE, "height", "width", "px", "threshold")

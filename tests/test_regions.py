@@ -1,6 +1,9 @@
 import random
 
+import pandas as pd
+
 from cellframe.operators import regions as r
+from cellframe.operators import segment
 
 
 def test_equal_shapes_have_equal_axes(spark):
@@ -24,3 +27,10 @@ def test_pixels_without_a_coordinate(spark):
     p = r.region_props(spark.createDataFrame(rows, "fov int, peak int, t int, label int, y int, x int")).first()
     assert (p.area, p.y, p.x, p.min_y, p.max_x) == (4, 1.0, 1.0, 0, 4)
     assert abs((p.major ** 2 + p.minor ** 2) / 16 - (2 / 3 + 2.0)) < 1e-9
+
+
+def test_images_are_handed_back_in_pieces():
+    b = pd.DataFrame({"t": range(1000), "height": 64, "width": 64})
+    parts = list(segment.pieces([b, b[:0], b.assign(height=4000, width=4000)[:3]]))
+    assert [t for p in parts for t in p["t"]] == [*range(1000), 0, 1, 2]
+    assert all(len(p) == 1 or (p["height"] * p["width"]).sum() <= segment.PIECE for p in parts)
