@@ -6,6 +6,7 @@ only by the oracle) are written separately, so that they check each other.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage_cut import cut
 
 SIDE = 8  # the embedding vectors are read as 8x8 images
+PIECE = 250_000  # observations that a task sorts and counts at once
 
 
 class Demo:
@@ -51,11 +53,26 @@ class Demo:
             (F.log((F.col("sb") + F.col("delta")) / F.col("sb")) / F.col("tau") * 60).alias("elong_rate"),
             "death")
 
+    @cached_property
+    def n_items(self) -> int:
+        """Rows of the table of observations, from the footers of its files."""
+        return self.raw("lineitem").count()
+
+    def by_cell(self, df: DataFrame) -> DataFrame:
+        """Observations dealt by cell to pieces of about ``PIECE`` rows, however large the table is.
+
+        Windows, sums and joins by cell keep the pieces, so what a task holds does not grow with
+        the table. The session's own number of partitions would make larger ones.
+        """
+        if self.n_items <= PIECE:
+            return df
+        return df.repartition(max(math.ceil(self.n_items / PIECE), self.spark.sparkContext.defaultParallelism), "cell_id")
+
     @cached_property
     def cell_obs(self) -> DataFrame:
-        order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
-        items = self.raw("lineitem").select(
-            F.col("l_orderkey").alias("cell_id"), F.col("l_linenumber").cast("int").alias("label"),
+        order = Window.partitionBy("cell_id").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
+        items = self.by_cell(self.raw("lineitem").withColumnRenamed("l_orderkey", "cell_id")).select(
+            "cell_id", F.col("l_linenumber").cast("int").alias("label"),
             (1 + F.col("l_quantity") / 10).alias("length"), (F.lit(0.8) + F.col("l_tax")).alias("width"),
             (F.col("l_quantity") * 10).alias("area"), F.col("l_extendedprice").alias("fl_total"),
             (F.row_number().over(order) - 1).alias("i"))
