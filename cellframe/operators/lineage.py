@@ -245,10 +245,11 @@ def lineage_cells(cells: DataFrame) -> DataFrame:
 def lineage_export(cells: DataFrame, obs: DataFrame) -> DataFrame:
     """Observation rows along the exported lines, flagged at a cell's first and last observation."""
     line = lineage_cells(cells).select("cell_id", "fov", "channel_id", "replicative_age")
-    ends = obs.groupBy("cell_id").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    return obs.select("cell_id", "t", "length").join(ends, "cell_id").join(line, "cell_id").select(
+    # only rows on a line are looked at; a cell's frames from birth to division bound its window
+    cell = Window.partitionBy("cell_id")
+    return obs.select("cell_id", "t", "length").join(line, "cell_id").select(
         "fov", "channel_id", "cell_id", "replicative_age", "t", "length",
-        (F.col("t") == F.col("_b")).cast("int").alias("division"), (F.col("t") == F.col("_a")).cast("int").alias("birth"))
+        (F.col("t") == F.max("t").over(cell)).cast("int").alias("division"), (F.col("t") == F.min("t").over(cell)).cast("int").alias("birth"))
 
 
 def pole_age(cells: DataFrame) -> DataFrame:

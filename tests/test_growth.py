@@ -39,3 +39,14 @@ def test_pieces_change_no_result(spark, sf, monkeypatch, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     ok, note = compare(all_queries()[name](spark, sf), con, all_oracles()[name])
     assert ok, note
+
+
+def test_export_reads_observations_once(spark, tmp_path):
+    rows = [(1, None, 2, 3), (2, 1, 4, 5), (3, 1, 6, 7)]
+    cells = spark.createDataFrame(rows, "cell_id long, parent_id long, child1_id long, child2_id long").selectExpr(
+        "*", "1 AS fov", "0 AS peak", "cell_id AS birth_time")
+    spark.createDataFrame([(c, t, float(t)) for c in (1, 2, 3, 9) for t in (5, 6, 7)], "cell_id long, t long, length double").write.parquet(str(tmp_path / "o"))
+    out = l.lineage_export(cells, spark.read.parquet(str(tmp_path / "o")))
+    assert len(re.findall(r"Relation \[cell_id#\d+L,t#\d+L,length#\d+\]", _optimized(out))) == 1
+    assert sorted((r.cell_id, r.t, r.birth, r.division) for r in out.collect()) == [
+        (c, t, int(t == 5), int(t == 7)) for c in (1, 2) for t in (5, 6, 7)]
