@@ -18,7 +18,7 @@ OBS = "cells cell_obs"
 
 
 def wdiv(d):
-    return c.obs_with_division(d.cells, d.obs)
+    return d.by_cell(c.obs_with_division(d.cells, d.obs))
 
 
 @query("c1_order_daughters", "parent_id:l child1_id:l child2_id:l", _FIRST + """ ---- 

@@ -41,6 +41,12 @@ def test_pieces_change_no_result(spark, sf, monkeypatch, name):
     assert ok, note
 
 
+def test_fits_by_cell_keep_the_pieces(spark, sf, monkeypatch):
+    monkeypatch.setattr(source, "PIECE", 250)
+    plan = _optimized(all_queries()["c9_bilinear_fit"](spark, sf))
+    assert plan.index("Union") > plan.index("RepartitionByExpression")
+
+
 def test_export_reads_observations_once(spark, tmp_path):
     rows = [(1, None, 2, 3), (2, 1, 4, 5), (3, 1, 6, 7)]
     cells = spark.createDataFrame(rows, "cell_id long, parent_id long, child1_id long, child2_id long").selectExpr(
