@@ -182,15 +182,20 @@ def trace_points(cells: DataFrame, obs: DataFrame, profiles: DataFrame, focus: D
     place = cells.select("cell_id", "fov", "peak")
     hours = (F.col("t") * time_int / 60).alias("hours")
     none = F.lit(None).cast("double")
-    pts = profiles.select("cell_id", "t", F.posexplode("profile").alias("_i", "value"))
-    seen = obs.select("cell_id", "t", "length", "fl_total", "width")
-    lim = one_row(pts.join(seen.select("cell_id", "t"), ["cell_id", "t"], "left_semi"), a=F.min("value"), b=F.max("value"))
-    prof = pts.join(seen.select("cell_id", "t"), ["cell_id", "t"], "left_semi").select(
+    # profiles travel whole and are unfolded where they have their place
+    there = profiles.select("cell_id", "t", "profile").join(obs.select("cell_id", "t"), ["cell_id", "t"], "left_semi")
+    lim = one_row(there, a=F.min(F.array_min("profile")), b=F.max(F.array_max("profile")))
+    pts = there.join(place, "cell_id").select("cell_id", "t", "fov", "peak", F.posexplode("profile").alias("_i", "value"))
+    prof = pts.select(
         "cell_id", F.lit("profile").alias("part"), hours, ((F.col("_i") - y_adj) * px2um).alias("y"), F.col("value").cast("double").alias("value"),
-        safe_div(F.col("value") - lim["a"], lim["b"] - lim["a"]).alias("scaled"))
-    foc = focus.select("cell_id", "t", "disp_l", "foci_h").join(seen, ["cell_id", "t"]).select(
+        safe_div(F.col("value") - lim["a"], lim["b"] - lim["a"]).alias("scaled"), "fov", "peak")
+    # one row per cell serves the other parts; its frames from birth to division bound the array
+    seen = obs.groupBy("cell_id").agg(F.collect_list(F.struct("t", "length", "fl_total", "width")).alias("_o")).join(place, "cell_id")
+    spots = focus.select("cell_id", F.col("t").alias("_t"), "disp_l", "foci_h").join(seen, "cell_id")
+    foc = spots.select("cell_id", "fov", "peak", "disp_l", "foci_h", F.inline(F.filter("_o", lambda o: o["t"] == F.col("_t")))).select(
         "cell_id", F.lit("focus").alias("part"), hours, ((F.col("disp_l") + F.col("length") / 2) * px2um).alias("y"),
-        F.col("foci_h").cast("double").alias("value"), none.alias("scaled"))
-    conc = seen.select("cell_id", F.lit("concentration").alias("part"), hours, none.alias("y"),
-                       safe_div(F.col("fl_total"), volume("length", "width")).alias("value"), none.alias("scaled"))
-    return union_all([prof, foc, conc]).join(place, "cell_id")
+        F.col("foci_h").cast("double").alias("value"), none.alias("scaled"), "fov", "peak")
+    conc = seen.select("cell_id", "fov", "peak", F.inline("_o")).select(
+        "cell_id", F.lit("concentration").alias("part"), hours, none.alias("y"),
+        safe_div(F.col("fl_total"), volume("length", "width")).alias("value"), none.alias("scaled"), "fov", "peak")
+    return union_all([prof, foc, conc])

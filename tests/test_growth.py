@@ -56,3 +56,24 @@ def test_export_reads_observations_once(spark, tmp_path):
     assert len(re.findall(r"Relation \[cell_id#\d+L,t#\d+L,length#\d+\]", _optimized(out))) == 1
     assert sorted((r.cell_id, r.t, r.birth, r.division) for r in out.collect()) == [
         (c, t, int(t == 5), int(t == 7)) for c in (1, 2) for t in (5, 6, 7)]
+
+
+def test_trace_points_shuffle_no_unfolded_profiles(spark):
+    cells = spark.createDataFrame([(1, 1, 0)], "cell_id long, fov int, peak int")
+    # a time that occurs twice meets its focus twice
+    obs = spark.createDataFrame([(1, t, 2.0, 8.0, 1.0) for t in (5, 6, 6)], "cell_id long, t long, length double, fl_total double, width double")
+    profiles = spark.createDataFrame([(1, 5, [1.0, None, 3.0]), (1, 7, [9.0]), (2, 5, [9.0]), (1, 6, None)], "cell_id long, t long, profile array<double>")
+    focus = spark.createDataFrame([(1, 6, 0.5, 4.0), (1, 9, 0.5, 4.0), (3, 6, 0.5, 4.0)], "cell_id long, t long, disp_l double, foci_h double")
+    out = p.trace_points(cells, obs, profiles, focus)
+    lines = _optimized(out).splitlines()
+    depth = lambda s: len(s) - len(s.lstrip(" :+-"))
+    unfolded = next(i for i, s in enumerate(lines) if "Generate posexplode" in s)
+    above, at = [], depth(lines[unfolded])
+    for s in reversed(lines[:unfolded]):
+        if depth(s) < at:
+            above, at = [*above, s], depth(s)
+    assert not any("Join" in s for s in above)
+    got = sorted((r.part, round(r.hours * 60), r.value, r.scaled) for r in out.collect() if r.value is not None)
+    assert [g for g in got if g[0] != "concentration"] == [("focus", 6, 4.0, None)] * 2 + [("profile", 5, 1.0, 0.0), ("profile", 5, 3.0, 1.0)]
+    assert [g[:2] for g in got if g[0] == "concentration"] == [("concentration", t) for t in (5, 6, 6)]
+    assert out.where("part = 'profile'").count() == 3
