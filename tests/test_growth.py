@@ -77,3 +77,12 @@ def test_trace_points_shuffle_no_unfolded_profiles(spark):
     assert [g for g in got if g[0] != "concentration"] == [("focus", 6, 4.0, None)] * 2 + [("profile", 5, 1.0, 0.0), ("profile", 5, 3.0, 1.0)]
     assert [g[:2] for g in got if g[0] == "concentration"] == [("concentration", t) for t in (5, 6, 6)]
     assert out.where("part = 'profile'").count() == 3
+
+
+def test_json_records_are_compressed(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 2.0), (2, 3.0)], "cell_id long, sb double")
+    obs = spark.createDataFrame([(1, 5, 2.0), (1, 4, 1.0)], "cell_id long, t long, length double")
+    sinks.write_cells_json(cells, obs, str(tmp_path / "j"))
+    assert glob.glob(str(tmp_path / "j" / "*.json.gz")) and not glob.glob(str(tmp_path / "j" / "*.json"))
+    back = {r.cell_id: r.obs for r in spark.read.json(str(tmp_path / "j")).collect()}
+    assert [(o.t, o.length) for o in back[1]] == [(4, 1.0), (5, 2.0)] and back[2] is None
