@@ -4,7 +4,8 @@
     p(w | h) = p(class of w | h) * p(w | class, h)
 
 The input table holds each word's share of the three gates, so a step multiplies only the
-state. Ids below ``words`` have a class of their own choosing and a softmax inside it; each
+state. Lanes and tokens run along the last axis inside, so that every operation goes over long
+rows. Ids below ``words`` have a class of their own choosing and a softmax inside it; each
 later id is a class by itself (its members are told apart outside of the network).
 """
 
@@ -18,8 +19,10 @@ import numpy as np
 
 #: steps of a window, texts side by side, Adagrad's rate and what its sums of squares start from
 WINDOW, LANES, RATE, PAST = 16, 256, 0.1, 1e-5
-#: how many times longer windows of few lanes are
-LONGER = 16
+#: how many times longer windows of few lanes are, and windows that are laid out at a time
+LONGER, AHEAD = 16, 16
+#: tokens whose class probabilities, and whose gates, are worked on at a time, so that they stay in a core's cache
+TOKENS, GATED = 512, 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -30,6 +33,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _logs(weights: np.ndarray, s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log-probability of output ``own`` of each column of ``s``, which ends with a row of ones, as ``weights`` do with the bias."""
+    p = weights @ s
+    out = p[own, np.arange(len(own))]
+    np.exp(p, out=p)
+    return out - np.log(p.sum(axis=0))
+
+
+def _slopes(weights: np.ndarray, s: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the summed loss of ``_logs``: by the weights with the bias, and by each column without its one."""
+    p = weights @ s
+    np.exp(p, out=p)
+    total = p.sum(axis=0)
+    p.ravel()[np.arange(len(own)) + len(own) * own.astype(np.int64)] -= total
+    # columns are divided by their totals after the products, which are smaller
+    return p @ (s / total).T, (weights[:, :-1].T @ p) / total
+
+
 @dataclass
 class Network:
     G: np.ndarray          # (ids, 3 H) input shares of the gates z, r, n
@@ -57,33 +78,38 @@ class Network:
             p[...] = vector[at: at + p.size].reshape(p.shape)
             at += p.size
 
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of words, each with the bias as the last column."""
+        return np.column_stack([self.Wc.T, self.bc]), np.column_stack([self.Wo, self.bo])
+
+    def classes(self, cut: np.ndarray):
+        """(tokens, words) as slices for each class of several words, of tokens in the order of their classes from ``cut`` to ``cut``."""
+        for k in range(len(self.edge) - 1):
+            if self.edge[k + 1] - self.edge[k] > 1 and cut[k + 1] > cut[k]:
+                yield slice(cut[k], cut[k + 1]), slice(self.edge[k], self.edge[k + 1])
+
     def step(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        H = self.hidden
-        g, u = self.G[x], h @ self.U
-        zr = _sigmoid(g[:, : 2 * H] + u[:, : 2 * H])
-        n = np.tanh(g[:, 2 * H:] + zr[:, H:] * u[:, 2 * H:])
-        n += zr[:, :H] * (h - n)
-        return n
+        H, h = self.hidden, h.T
+        g, u = np.ascontiguousarray(self.G[x].T), self.U.T @ h
+        zr = _sigmoid(g[: 2 * H] + u[: 2 * H])
+        n = np.tanh(g[2 * H:] + zr[H:] * u[2 * H:])
+        n += zr[:H] * (h - n)
+        return n.T
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of ids ``y`` after states ``h``."""
         c = self.class_of[y]
-        logits = h @ self.Wc
-        logits += self.bc
-        out = logits[np.arange(len(y)), c]
-        np.exp(logits, out=logits)
-        out = out - np.log(logits.sum(axis=1))
         order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(len(self.edge)))
-        for k in range(len(self.edge) - 1):
-            a, b = self.edge[k], self.edge[k + 1]
-            rows = order[cut[k]: cut[k + 1]]
-            if b - a > 1 and len(rows):
-                inner = h[rows] @ self.Wo[a:b].T
-                inner += self.bo[a:b]
-                own = inner[np.arange(len(rows)), y[rows] - a]
-                np.exp(inner, out=inner)
-                out[rows] += own - np.log(inner.sum(axis=1))
+        c, y = c[order], y[order]
+        s = np.vstack([h.T.take(order, axis=1), np.ones((1, len(y)), h.dtype)])
+        of_classes, of_words = self.outputs()
+        logs = np.zeros(len(y), np.result_type(s, of_classes))
+        for a in range(0, len(y), TOKENS):
+            logs[a: a + TOKENS] = _logs(of_classes, s[:, a: a + TOKENS], c[a: a + TOKENS])
+        for rows, own in self.classes(np.searchsorted(c, np.arange(len(self.edge)))):
+            logs[rows] += _logs(of_words[own], s[:, rows], y[rows] - own.start)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
 
@@ -104,7 +130,7 @@ def build(counts: np.ndarray, single: np.ndarray, classes: int, hidden: int, see
     f = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return Network(f(words + len(single), 3 * hidden), f(hidden, 3 * hidden), f(hidden, k + len(single)) * 0.1, np.log(total / total.sum()).astype(np.float32),
                    f(words, hidden) * 0.1, np.log((counts + 0.5) / max(counts.sum(), 1)).astype(np.float32),
-                   np.concatenate([group, k + np.arange(len(single))]).astype(np.int32), edge)
+                   np.concatenate([group, k + np.arange(len(single))]).astype(np.min_scalar_type(k + len(single))), edge)
 
 
 def _windows(texts: Iterable[np.ndarray], start: int, lanes: int, window: int):
@@ -112,7 +138,7 @@ def _windows(texts: Iterable[np.ndarray], start: int, lanes: int, window: int):
 
     ``x`` is the id before ``y``, ``start`` where a text begins, there ``fresh``. A lane that runs
     short takes the next text, so windows are full until the texts end; then lanes drop out and
-    windows of few lanes grow longer, up to ``LONGER`` times.
+    windows of few lanes grow longer, up to ``LONGER`` times. ``AHEAD`` windows are laid out at a time.
     """
     source = (np.asarray(t) for t in texts if len(t))
     queue = []
@@ -122,51 +148,56 @@ def _windows(texts: Iterable[np.ndarray], start: int, lanes: int, window: int):
     short = window
     while queue:
         window = short * min(lanes // len(queue), LONGER)
-        x, y = np.full((len(queue), window), start, np.int64), np.zeros((len(queue), window), np.int64)
-        fresh, n = np.zeros((len(queue), window), bool), np.zeros(len(queue), np.int64)
+        room = window * AHEAD
+        x, y = np.full((len(queue), room), start, np.int64), np.zeros((len(queue), room), np.int64)
+        fresh, n = np.zeros((len(queue), room), bool), np.zeros(len(queue), np.int64)
         for k, (lane, a) in enumerate(zip(queue, at)):
             filled = 0
-            while filled < window:
+            while filled < room:
                 if a == len(lane[0]):
                     text = next(source, None)
                     if text is None:
                         break
                     lane[0], a = text, 0
-                piece = lane[0][a: a + window - filled]
+                piece = lane[0][a: a + room - filled]
                 end = filled + len(piece)
                 y[k, filled: end] = piece
                 fresh[k, filled] = a == 0
                 x[k, filled + (a == 0): end] = lane[0][max(a - 1, 0): a - 1 + len(piece) if a else len(piece) - 1]
                 a, filled = a + len(piece), end
             at[k], n[k] = a, filled
-        on = np.flatnonzero(n)
-        if not len(on):
+        if not n.any():
             return
-        queue, at = [queue[k] for k in on], [at[k] for k in on]
-        most = n.max()
-        yield on, x[on, :most].T, y[on, :most].T, fresh[on, :most].T, (np.arange(most) < n[on, None]).T
+        left = np.arange(len(queue))
+        for a in range(0, n.max(), window):
+            on = np.flatnonzero(n[left] > a)
+            left = left[on]
+            b = min(a + window, n[left].max())
+            yield on, x[left, a: b].T, y[left, a: b].T, fresh[left, a: b].T, (np.arange(a, b) < n[left, None]).T
+        queue, at = [queue[k] for k in left], [at[k] for k in left]
 
 
 def _forward(net: Network, h: np.ndarray, x: np.ndarray, fresh: np.ndarray):
-    """States after each step of a window, and before it; gates z and r, candidates n and their share of the state."""
+    """States before each step of a window, and after it; gates z and r with the state's share of n, and n. Lanes are last, in ``h`` too."""
     H, (steps, lanes) = net.hidden, x.shape
-    G = net.G[x]
-    before, after = np.empty((steps, lanes, H), np.float32), np.empty((steps, lanes, H), np.float32)
-    zr, n, share = np.empty((steps, lanes, 2 * H), np.float32), np.empty((steps, lanes, H), np.float32), np.empty((steps, lanes, H), np.float32)
+    U, keep, block = np.ascontiguousarray(net.U.T), (~fresh).astype(np.float32), max(GATED // lanes, 1)
+    before, after, n = (np.empty((steps, H, lanes), np.float32) for _ in range(3))
+    gates = np.empty((steps, 3 * H, lanes), np.float32)
     for t in range(steps):
-        np.multiply(h, ~fresh[t][:, None], out=before[t])
-        u = before[t] @ net.U
-        share[t] = u[:, 2 * H:]
-        np.add(G[t, :, : 2 * H], u[:, : 2 * H], out=zr[t])
-        _sigmoid(zr[t])
-        np.multiply(zr[t, :, H:], share[t], out=n[t])
-        n[t] += G[t, :, 2 * H:]
+        if t % block == 0:
+            G = np.ascontiguousarray(net.G[x[t: t + block]].transpose(0, 2, 1))
+        g = G[t % block]
+        np.multiply(h, keep[t], out=before[t])
+        u = np.matmul(U, before[t], out=gates[t])
+        u[: 2 * H] += g[: 2 * H]
+        _sigmoid(u[: 2 * H])
+        np.multiply(u[H: 2 * H], u[2 * H:], out=n[t])
+        n[t] += g[2 * H:]
         np.tanh(n[t], out=n[t])
-        h = after[t]
-        np.subtract(before[t], n[t], out=h)
-        h *= zr[t, :, :H]
+        h = np.subtract(before[t], n[t], out=after[t])
+        h *= u[:H]
         h += n[t]
-    return before, after, zr[:, :, :H], zr[:, :, H:], n, share
+    return before, after, gates, n
 
 
 def _gradients(net: Network, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray):
@@ -175,56 +206,60 @@ def _gradients(net: Network, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh:
     The gradient stops at the window's start: truncated backpropagation.
     """
     H, (steps, lanes) = net.hidden, x.shape
-    before, after, z, r, n, share = _forward(net, h, x, fresh)
-    place = np.flatnonzero(live.ravel())
-    c = net.class_of[y.ravel()[place]]
+    before, after, gates, n = _forward(net, h.T, x, fresh)
+    place = np.flatnonzero(live)
+    target = y.ravel()[place]
+    c = net.class_of[target]
     # tokens in the order of their classes, so that a class is a slice
     order = np.argsort(c, kind="stable")
-    place, c = place[order], c[order]
-    target, state = y.ravel()[place], after.reshape(-1, H)[place]
-    p = state @ net.Wc
-    p += net.bc
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(c)), c] -= 1
-    parts = [(net.Wc, slice(None), state.T @ p), (net.bc, slice(None), p.sum(axis=0))]
-    d = p @ net.Wc.T
-    cut = np.searchsorted(c, np.arange(len(net.edge)))
-    for k in range(len(net.edge) - 1):
-        rows, own = slice(cut[k], cut[k + 1]), slice(net.edge[k], net.edge[k + 1])
-        if own.stop - own.start > 1 and rows.stop > rows.start:
-            q = state[rows] @ net.Wo[own].T
-            q += net.bo[own]
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(q)), target[rows] - own.start] -= 1
-            parts += [(net.Wo, own, q.T @ state[rows]), (net.bo, own, q.sum(axis=0))]
-            d[rows] += q @ net.Wo[own]
-    out = np.zeros((steps * lanes, H), np.float32)
-    out[place] = d
-    out = out.reshape(steps, lanes, H)
-    # shares of the three gates in a state's gradient, for all steps at once
-    gate = np.empty((steps, lanes, 3, H), np.float32)
-    np.multiply(1 - z, 1 - n * n, out=gate[:, :, 2])
-    np.multiply(gate[:, :, 2], share * r * (1 - r), out=gate[:, :, 1])
-    np.multiply(before - n, z * (1 - z), out=gate[:, :, 0])
-    inner = gate.copy()
-    inner[:, :, 2] *= r
-    carry = np.zeros((lanes, H), np.float32)
-    for t in range(steps - 1, -1, -1):
-        carry += out[t]
-        out[t] = carry
-        inner[t] *= carry[:, None]
-        carry *= z[t]
-        carry += inner[t].reshape(lanes, 3 * H) @ net.U.T
-        carry *= ~fresh[t][:, None]
-    gate *= out[:, :, None]
-    parts.append((net.U, slice(None), before.reshape(-1, H).T @ inner.reshape(-1, 3 * H)))
-    ids = x.ravel()
+    place, target, c = place[order], target[order], c[order]
+    s = np.ones((H + 1, len(place)), np.float32)
+    s[:H] = after.transpose(1, 0, 2).reshape(H, -1).take(place, axis=1)
+    of_classes, of_words = net.outputs()
+    by_class, by_word, d = np.zeros_like(of_classes), np.zeros_like(of_words), np.empty((H, len(place)), np.float32)
+    for a in range(0, len(place), TOKENS):
+        part = slice(a, a + TOKENS)
+        g, d[:, part] = _slopes(of_classes, s[:, part], c[part])
+        by_class += g
+    for rows, own in net.classes(np.searchsorted(c, np.arange(len(net.edge)))):
+        by_word[own], e = _slopes(of_words[own], s[:, rows], target[rows] - own.start)
+        d[:, rows] += e
+    parts = [(net.Wc, slice(None), by_class[:, :H].T), (net.bc, slice(None), by_class[:, H]),
+             (net.Wo, slice(None), by_word[:, :H]), (net.bo, slice(None), by_word[:, H])]
+    out = np.zeros((H, steps * lanes), np.float32)
+    out[:, place] = d
+    out = np.ascontiguousarray(out.reshape(H, steps, lanes).transpose(1, 0, 2))
+    keep, block = (~fresh).astype(np.float32), max(GATED // lanes, 1)
+    carry, by_state, by_token = np.zeros((H, lanes), np.float32), np.zeros_like(net.U), np.empty((steps, lanes, 3 * H), np.float32)
+    for a in reversed(range(0, steps, block)):
+        part = slice(a, min(a + block, steps))
+        z, r, share = gates[part, :H], gates[part, H: 2 * H], gates[part, 2 * H:]
+        # shares of the three gates in a state's gradient, for all steps of the block at once
+        gate = np.empty((part.stop - a, 3, H, lanes), np.float32)
+        np.multiply(1 - z, 1 - n[part] * n[part], out=gate[:, 2])
+        np.multiply(gate[:, 2], share * r * (1 - r), out=gate[:, 1])
+        np.multiply(before[part] - n[part], z * (1 - z), out=gate[:, 0])
+        inner = gate.copy()
+        inner[:, 2] *= r
+        for t in reversed(range(a, part.stop)):
+            carry += out[t]
+            out[t] = carry
+            inner[t - a] *= carry
+            carry *= z[t - a]
+            carry += net.U @ inner[t - a].reshape(3 * H, lanes)
+            carry *= keep[t]
+        gate *= out[part, None]
+        by_token[part] = gate.reshape(-1, 3 * H, lanes).transpose(0, 2, 1)
+        by_state += np.matmul(before[part], inner.reshape(-1, 3 * H, lanes).transpose(0, 2, 1)).sum(axis=0)
+    parts.append((net.U, slice(None), by_state))
+    ids = x.ravel().astype(np.min_scalar_type(len(net.G)))
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
-    parts.append((net.G, ids[order[first]], np.add.reduceat(gate.reshape(-1, 3 * H)[order], first)))
-    return after[-1], parts
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    # two neighbours are added as one complex number, which halves the number of short sums
+    by_token = by_token.reshape(-1, 3 * H).view(np.complex64) if H % 2 == 0 else by_token.reshape(-1, 3 * H)
+    parts.append((net.G, ids[first], np.add.reduceat(by_token[order], first).view(np.float32)))
+    return after[-1].T, parts
 
 
 def train(net: Network, past: list[np.ndarray], texts: Iterable[np.ndarray], start: int, *, window: int = WINDOW, lanes: int = LANES, rate: float = RATE) -> int:
@@ -238,10 +273,12 @@ def train(net: Network, past: list[np.ndarray], texts: Iterable[np.ndarray], sta
     for on, x, y, fresh, live in _windows(texts, start, lanes, window):
         h, parts = _gradients(net, h[on], x, y, fresh, live)
         for p, rows, g in parts:
-            g *= scale
+            g = g * scale
             s = squares[id(p)]
             s[rows] += g * g
-            p[rows] -= np.float32(rate) * g / np.sqrt(s[rows])
+            g *= np.float32(rate)
+            g /= np.sqrt(s[rows])
+            p[rows] -= g
         total += int(live.sum())
     return total
 
@@ -254,26 +291,22 @@ def score(net: Network, ids: list[np.ndarray], start: int, *, window: int = 32,
     out = np.zeros(len(ids))
     length = np.array([len(s) for s in ids], np.int64)
     order = np.argsort(-length, kind="stable")
-    for at in range(0, len(order), width):
-        rows = order[at: at + width]
+    for k in range(0, len(order), width):
+        rows = order[k: k + width]
         n = length[rows]
-        h = np.zeros((len(rows), net.hidden), np.float32)
+        flat, at = np.concatenate([ids[row] for row in rows]).astype(np.int64), np.cumsum(n) - n
+        h = np.zeros((net.hidden, len(rows)), np.float32)
         last = np.full(len(rows), start, np.int64)
-        for t in range(0, int(n[0]) if len(n) else 0, window):
+        for t in range(0, int(n[0]), window):
             running = int(np.searchsorted(-n, -t, side="left"))
-            block = np.zeros((running, window), np.int64)
-            for j in range(running):
-                piece = ids[rows[j]][t: t + window]
-                block[j, : len(piece)] = piece
             states, targets, owners = [], [], []
-            steps = min(window, int(n[0]) - t)
-            for s in range(steps):
-                live = int(np.searchsorted(-n[:running], -(t + s), side="left"))
-                h[:live] = net.step(h[:live], last[:live])
-                last[:live] = block[:live, s]
-                states.append(h[:live].copy())
+            for s in range(t, min(t + window, int(n[0]))):
+                live = int(np.searchsorted(-n[:running], -s, side="left"))
+                states.append(net.step(h[:, :live].T, last[:live]).T)
+                h[:, :live] = states[-1]
+                last[:live] = flat[at[:live] + s]
                 targets.append(last[:live].copy())
                 owners.append(np.arange(live))
-            logs = net.log_probability(np.concatenate(states), np.concatenate(targets))
+            logs = net.log_probability(np.concatenate(states, axis=1).T, np.concatenate(targets))
             out[rows[:running]] += np.bincount(np.concatenate(owners), weights=logs, minlength=running)
     return out

@@ -17,6 +17,8 @@ Tokens are words (A to Z in lower case) and one end for each document. Words are
    frequent words are broadcast; the other words of a document are joined with the counts by
    hash, where no word can be hot.
 
+Texts are split into words twice, for the counts and for the ids; training and scoring read the ids.
+
 A null or empty text is one end. Rows with a null id are training rows; every row is scored.
 """
 
@@ -73,8 +75,10 @@ def _counted(docs: DataFrame) -> DataFrame:
             parts = []
             for w in words(batch.column("text")):
                 _, h, form = _tokens(w)
-                values, at, n = np.unique(h, return_index=True, return_counts=True)
-                parts.append((values, form[at], n))
+                of, values = pd.factorize(h)
+                kind = np.zeros(len(values), np.int32)
+                kind[of] = form
+                parts.append((values, kind, np.bincount(of, minlength=len(values))))
             if not parts:
                 continue
             values, at, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
@@ -115,23 +119,58 @@ def _start(head: Head) -> int:
     return int(head.ids(head.find(np.array([END], np.uint64)), np.zeros(1, np.int64))[0])
 
 
-def _encoded(docs: DataFrame, head: Head, parts: int) -> DataFrame:
-    """(part, h1, h2, ids): ids of each text's tokens as 16-bit numbers; texts are dealt to parts by row hashes."""
+def _encoded(docs: DataFrame, head: Head, parts: int, total: float, distinct: float, form_mass: np.ndarray) -> DataFrame:
+    """Each text once: ids of its tokens as 16-bit numbers, what the head's counts say, and the words that are not in the head with their number.
+
+    ``part``, ``h1`` and ``h2`` deal the texts to parts by row hashes.
+    """
     made = ship(docs.sparkSession, head)
-    named = docs.select(F.xxhash64("doc_id", "text").alias("h1"), F.hash("text").alias("h2"), "text")
-    dealt = named.select(F.pmod("h1", F.lit(parts)).cast("int").alias("part"), "h1", "h2", "text")
+    named = docs.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("h1"), F.hash("text").alias("h2"), "text")
+    dealt = named.select("doc_id", "held_out", F.pmod("h1", F.lit(parts)).cast("int").alias("part"), "h1", "h2", "text")
+    schema = T.StructType([*(dealt.schema[c] for c in ("doc_id", "held_out", "part", "h1", "h2")), *(T.StructField(c, t) for c, t in (
+        ("row", T.LongType()), ("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("extra", T.DoubleType()),
+        ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))))])
 
     def run(batches):
+        from pyspark import TaskContext
         table = unpack(made)
+        row = TaskContext.get().partitionId() << 33
+        below = np.log10(total + ALPHA * (distinct + 1))
+        known_log = np.log10(table.count + ALPHA)
         for batch in batches:
-            ids = []
+            ids, columns = [], []
             for w in words(batch.column("text")):
                 edges, h, form = _tokens(w)
-                row = table.ids(table.find(h), form).astype(np.int16)
-                ids += [row[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "h1", "h2")), pa.array(ids, pa.binary())], names=["part", "h1", "h2", "ids"])
+                of, values = pd.factorize(h)
+                place = table.find(values)[of]
+                inside = place < len(table.hash) - 1
+                ident = table.ids(place, form)
+                short = ident.astype(np.int16)
+                ids += [short[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                known = np.where(inside, known_log[place], 0.0)
+                # a word without an id of its own: its share of its form's counts
+                extra = np.where(ident < table.own, 0.0, known - form_mass[form])
+                owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+                rare = np.flatnonzero(~inside)
+                order = rare[np.lexsort((h[rare], owner[rare]))]
+                new = np.append(True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])) if len(order) else np.zeros(0, bool)
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(order)))
+                cuts = np.searchsorted(owner[order][first], np.arange(len(edges)))
+                sums = lambda x: np.add.reduceat(x, edges[:-1])  # noqa: E731  every row has an end, so none is empty
+                columns.append((np.diff(edges), sums(inside.astype(np.int64)), sums(known - below), sums(extra),
+                                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h[order][first].view(np.int64))),
+                                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times, pa.int32()))))
+            if not ids:
+                continue
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "held_out", "part", "h1", "h2")), pa.array(np.arange(row, row + n)), pa.array(ids, pa.binary()),
+                 *(pa.array(np.concatenate([c[k] for c in columns])) for k in range(4)), *(pa.concat_arrays([c[k] for c in columns]) for k in (4, 5))],
+                names=schema.names)
+            row += n
 
-    return dealt.mapInArrow(run, "part int, h1 long, h2 int, ids binary")
+    return dealt.mapInArrow(run, schema)
 
 
 def _trained(encoded: DataFrame, shards: int, head: Head, net: gru.Network, past: list[np.ndarray]) -> None:
@@ -175,55 +214,21 @@ def _trained(encoded: DataFrame, shards: int, head: Head, net: gru.Network, past
             s[...] = piece.reshape(s.shape)
 
 
-def _scored(docs: DataFrame, head: Head, net: gru.Network, total: float, distinct: float, form_mass: np.ndarray) -> DataFrame:
-    """Per row: what the network and the head's counts say, and the words that are not in the head with their number."""
-    made = ship(docs.sparkSession, (head, net))
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in (
-        ("held_out", T.BooleanType()), ("row", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("model", T.DoubleType()),
-        ("rare", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))))])
+def _scored(encoded: DataFrame, head: Head, net: gru.Network) -> DataFrame:
+    """Per row: what the head's counts and the network say."""
+    made = ship(encoded.sparkSession, (net, _start(head)))
+    kept = encoded.select("doc_id", "held_out", "row", "n_tokens", "n_known", "base", F.col("extra").alias("model"), "ids")
+    schema = T.StructType(kept.schema.fields[:-1])
 
     def run(batches):
-        from pyspark import TaskContext
-        table, model = unpack(made)
-        row = TaskContext.get().partitionId() << 33
-        below = np.log10(total + ALPHA * (distinct + 1))
-        known_log = np.log10(table.count + ALPHA)
-        start = _start(table)
+        model, start = unpack(made)
         for batch in batches:
-            ids, columns = [], []
-            for w in words(batch.column("text")):
-                edges, h, form = _tokens(w)
-                place = table.find(h)
-                inside = place < len(table.hash) - 1
-                ident = table.ids(place, form)
-                ids += [ident[a:b].astype(np.int32) for a, b in zip(edges[:-1], edges[1:])]
-                own = ident < table.own
-                base = np.where(inside, known_log[place], 0.0) - below
-                # a word without an id of its own: its share of its form's counts
-                extra = np.where(own, 0.0, np.where(inside, known_log[place], 0.0) - form_mass[form])
-                owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-                rare = np.flatnonzero(~inside)
-                order = rare[np.lexsort((h[rare], owner[rare]))]
-                new = np.append(True, (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])) if len(order) else np.zeros(0, bool)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
-                cuts = np.searchsorted(owner[order][first], np.arange(len(edges)))
-                sums = lambda x: np.add.reduceat(x, edges[:-1])  # noqa: E731  every row has an end, so none is empty
-                columns.append((np.diff(edges), sums(inside.astype(np.int64)), sums(base), sums(extra),
-                                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h[order][first].view(np.int64))),
-                                pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times, pa.int32()))))
-            if not ids:
-                continue
-            logs = gru.score(model, ids, start) / np.log(10)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.arange(row, row + n)), pa.array(np.concatenate([c[0] for c in columns])),
-                 pa.array(np.concatenate([c[1] for c in columns])), pa.array(np.concatenate([c[2] for c in columns])),
-                 pa.array(logs + np.concatenate([c[3] for c in columns])), pa.concat_arrays([c[4] for c in columns]), pa.concat_arrays([c[5] for c in columns])],
-                names=schema.names)
-            row += n
+            logs = gru.score(model, [np.frombuffer(ids, np.int16) for ids in batch.column("ids").to_pylist()], start) / np.log(10)
+            columns = {c: batch.column(c) for c in schema.names}
+            columns["model"] = pa.array(logs + columns["model"].to_numpy())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def log_likelihood(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,15 +254,16 @@ def log_likelihood(docs: DataFrame, held_out: Column, *, key: str = "doc_id", te
     net = gru.build(count[:OWN], mass, CLASSES, HIDDEN)
     past = [np.full_like(p, gru.PAST) for p in net.parameters()]
     shards = max(1, -(-int(total) // (ROUNDS * SHARD)))
-    encoded = cut(_encoded(learned, head, ROUNDS * shards))
+    encoded = cut(_encoded(named, head, ROUNDS * shards, total, distinct, np.log10(mass + ALPHA * (kinds + 1))))
+    texts = encoded.where(~F.col("held_out")).select("part", "h1", "h2", "ids")
     for k in range(ROUNDS):
-        _trained(encoded.where(F.col("part") % ROUNDS == k), shards, head, net, past)
-    scored = cut(_scored(named, head, net, total, distinct, np.log10(mass + ALPHA * (kinds + 1))))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
+        _trained(texts.where(F.col("part") % ROUNDS == k), shards, head, net, past)
+    scored = cut(_scored(encoded, head, net))
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     joined = rare.join(counts.select("h", "c"), "h", "left")
     found = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)).alias("logs"),
                                       F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"))
-    both = scored.drop("rare", "times").join(found, "row", "left")
+    both = scored.join(found, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
                        (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))

@@ -543,6 +543,30 @@ def test_gradients_of_the_network():
             assert got[at] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-4)
 
 
+def test_lanes_lie_side_by_side():
+    """States of a window have the lanes as their long last axis, and are those of single steps."""
+    rng = np.random.default_rng(6)
+    net = gru.build(np.arange(9, 0, -1).astype(float), np.array([3.0, 2.0]), 3, 4)
+    x, fresh, h = rng.integers(0, 11, (5, 70)), rng.random((5, 70)) < 0.2, rng.normal(0, 1, (4, 70)).astype(np.float32)
+    before, after, gates, n = gru._forward(net, h, x, fresh)
+    assert before.shape == after.shape == n.shape == (5, 4, 70) and gates.shape == (5, 12, 70)
+    assert all(a.flags.c_contiguous for a in (before, after, gates, n))
+    state = h.T
+    for t in range(5):
+        state = net.step(np.where(fresh[t][:, None], 0, state), x[t])
+        assert after[t].T == pytest.approx(state, abs=1e-5)
+
+
+def test_windows_are_laid_out_ahead_and_lanes_drop_out():
+    """Lanes that end inside of a layout leave its later windows; windows stay short while lanes are many."""
+    texts = [np.arange(1, n + 1) for n in (40, 9, 25)]
+    got = list(gru._windows(iter(texts), 0, 3, 8))
+    assert [len(on) for on, *_ in got[:4]] == [3, 3, 2, 2]
+    assert [on.tolist() for on, *_ in got[:3]] == [[0, 1, 2], [0, 1, 2], [0, 2]]
+    assert sum(int(live.sum()) for *_, live in got) == 74 and all(live[0].all() for *_, live in got)
+    assert max(len(x) for _, x, *_ in got) <= 8
+
+
 def test_windows_cover_every_token_once():
     """Lanes of texts hold each text once, in order, after the start id or the token before."""
     rng = np.random.default_rng(5)
