@@ -6,10 +6,12 @@ id. Strings are judged on the input, and never reach across documents.
 Copies of whole texts go by their hashes; of each text, the row of smallest id is read. Every
 window of ``least`` bytes is named by the smallest hash of the ``GRAM`` byte strings in it, so
 equal windows have equal names wherever they stand. Neighbouring windows of one name make a
-piece of a text. Names are counted over all texts first; a bitmap of fixed size of the repeated
-ones (two, of other bits) keeps the second reading small, and whatever it lets pass is decided exactly. Pieces are
-dealt by name to shards of some ``TARGET`` bytes; before that each task joins its equal ones,
-with the smallest and the largest id that has them, and packs them. A shard sorts its suffixes, keeps the
+piece of a text. Names are counted over all texts first: each task sorts its names and sends
+those of a bucket (a range of names) in one parcel. A bitmap of the repeated ones, two bits each and some
+``EACH`` in all, keeps the second reading small (beyond ``2 ** MOST`` bits it lets more pass), and whatever it lets pass is
+decided exactly. Pieces are dealt by name to buckets of some ``BUCKET`` bytes, at most ``BUCKETS``, in parcels
+with the places where they stand, so the number of parcels of a task does not follow the size of the table.
+A bucket joins its equal pieces and goes through them by shards of some ``TARGET`` bytes. A shard sorts its suffixes, keeps the
 Burrows-Wheeler transform as runs with the suffixes at both ends of each run, and streams the
 pieces backwards through it: matching statistics, all pieces abreast. A window whose match is
 ``least`` long lies in one range of suffixes, whose smallest id is known; it is marked for every
@@ -27,18 +29,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage_cut import cut, fresh_path
-from .bitmap import BITS, hits, of_hashes
+from .bitmap import hits, of_hashes
 from .shipping import ship, unpack
 
 #: bytes of a window, of the strings that name it, of a shard's pieces; windows of a piece, and of a stretch of text read at once
 LEAST, GRAM, TARGET, PIECE, STRETCH = 50, 24, 1 << 19, 64, 1 << 16
-#: pieces that a task joins and packs at once
-PACK = 1 << 17
+#: pieces that a task deals at once, bytes of pieces in a bucket, and most buckets
+PACK, BUCKET, BUCKETS = 1 << 18, 1 << 22, 1 << 12
+#: texts handled at once
+ROWS = 1 << 10
+#: bits of the bitmap for each repeated name, and most bits as a power of two: 128 MB
+EACH, MOST = 6, 30
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,57 +99,163 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def _counted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None) -> DataFrame:
-    """(name, n, pieces): in how many texts of a batch a name occurs, and how often; texts in the bitmap of copies are left out."""
+def _counted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None, top: int) -> DataFrame:
+    """(bucket, names, counts): the sorted names of some texts by their first ``top`` bits, in 8 bytes each, with how often they occur and, in the last bit,
+    whether in several texts, in 4; texts in the bitmap of copies are left out."""
     shipped = ship(docs.sparkSession, copies)
 
+    def parcels(name, row):
+        order = np.argsort(name)
+        name, row = name[order], row[order]
+        start, name = _ranges(name)
+        counts = np.diff(start).astype(np.uint32) << np.uint32(1)
+        counts |= np.minimum.reduceat(row, start[:-1]) != np.maximum.reduceat(row, start[:-1])
+        start, bucket = _ranges(name >> np.uint64(64 - top))
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), _chunks(name, start), _chunks(counts, start)], names=["bucket", "names", "counts"])
+
     def run(batches):
-        known = unpack(shipped)
-        for batch in batches:
-            data, offsets = _texts(_without(batch, known).column("text"))
-            found = [(name, np.searchsorted(offsets, start, "right")) for name, start, _ in pieces(data, offsets, least, gram)]
-            name, row = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-            order = np.lexsort((row, name))
-            name, row = name[order], row[order]
-            new = np.ones(len(name), bool)
-            new[1:] = name[1:] != name[:-1]
-            other = new.copy()
-            other[1:] |= row[1:] != row[:-1]
-            at = np.flatnonzero(new)
-            n = np.add.reduceat(other.astype(np.int64), at) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(n), pa.array(np.diff(np.append(at, len(name))))], names=["name", "n", "pieces"])
-
-    return docs.select("own", "text").mapInArrow(run, "name long, n long, pieces long")
-
-
-def _without(batch: pa.RecordBatch, copies: np.ndarray | None) -> pa.RecordBatch:
-    if copies is None or not batch.num_rows:
-        return batch
-    return batch.filter(pa.array(~hits(copies, batch.column("own").to_numpy())))
-
-
-def _emitted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None, repeated: tuple[np.ndarray, np.ndarray],
-             often: np.ndarray) -> DataFrame:
-    """(name, piece, doc, hash, at, often) of the pieces whose name is in both bitmaps of repeated ones."""
-    shipped = ship(docs.sparkSession, (copies, repeated, often))
-    schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("piece", T.BinaryType()), docs.schema["doc"], docs.schema["hash"],
-                           T.StructField("at", T.LongType()), T.StructField("often", T.BooleanType())])
+        held, n, texts = [], 0, 0
+        for batch in _slices(batches, unpack(shipped)):
+            data, offsets = _texts(batch.column("text"))
+            for name, start, _ in pieces(data, offsets, least, gram):
+                held.append((name.view(np.uint64), np.searchsorted(offsets, start, "right") + texts))
+                n += len(name)
+            texts += len(offsets)
+            if n >= PACK:
+                yield parcels(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield parcels(*map(np.concatenate, zip(*held)))
+
+    return docs.select("own", "text").mapInArrow(run, "bucket int, names binary, counts binary")
+
+
+def _ranges(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers start, with the end, and the numbers."""
+    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+    return np.append(at, len(sorted_)), sorted_[at]
+
+
+def _chunks(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """Bytes of the values from each start to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((start * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _repeated(parcels: DataFrame, limit: int) -> DataFrame:
+    """(bucket, names, n, pieces, often): names that occur in several texts, how many they are, how often they occur, and those that occur more than ``limit`` times."""
+    def run(table: pa.Table) -> pa.Table:
+        name = np.frombuffer(b"".join(table.column("names").to_pylist()), np.uint64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
+        order = np.argsort(name)
+        counts = counts[order]
+        start, name = _ranges(name[order])
+        n = np.add.reduceat(counts >> np.uint32(1), start[:-1], dtype=np.int64)
+        kept = (np.diff(start) > 1) | (counts[start[:-1]] & np.uint32(1)).astype(bool)
+        name, n = name[kept], n[kept]
+        return pa.table({"bucket": table.column("bucket")[:1], "names": pa.array([name.tobytes()], pa.binary()), "n": pa.array([len(name)]), "pieces": pa.array([int(n.sum())]),
+                         "often": pa.array([name[n > limit].tobytes()], pa.binary())})
+
+    return parcels.groupBy("bucket").applyInArrow(run, "bucket int, names binary, n long, pieces long, often binary")
+
+
+def filter_bits(n: int, top: int) -> int:
+    """Bits, as a power of two, of the bitmap of ``n`` names whose first ``top`` bits name a bucket."""
+    return max(min((max(n, 1) * EACH - 1).bit_length(), MOST), top + 10)
 
+
+def places(name: np.ndarray, bits: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each name, in the part of the bitmap that is its bucket's."""
+    name, rest = name.view(np.uint64), np.uint64(bits - top)
+    return name >> np.uint64(64 - bits), (name >> np.uint64(64 - top) << rest) | (name & ((np.uint64(1) << rest) - np.uint64(1)))
+
+
+def among(bitmap: np.ndarray, name: np.ndarray, bits: int, top: int) -> np.ndarray:
+    """Whether each name may be among those of the bitmap."""
+    one, two = ((bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in places(name, bits, top))
+    return (one & two).astype(bool)
+
+
+def part_of_bitmap(name: np.ndarray, bits: int, top: int) -> np.ndarray:
+    """A bucket's part of the bitmap."""
+    part = np.zeros(1 << bits - top, bool)
+    for p in places(name, bits, top):
+        part[p & np.uint64(len(part) - 1)] = True
+    return np.packbits(part, bitorder="little")
+
+
+def _bitmap(repeated: DataFrame, bits: int, top: int) -> np.ndarray:
+    """Bitmap of the repeated names; the driver gets its parts, of ``2 ** MOST`` bits in all at most."""
     def run(batches):
-        skipped, (known, turned), hot = unpack(shipped)
         for batch in batches:
-            batch = _without(batch, skipped)
+            parts = [part_of_bitmap(np.frombuffer(x, np.uint64), bits, top).tobytes() for x in batch.column("names").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(parts, pa.binary())], names=["bucket", "part"])
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    size = len(out) >> top
+    for batch in repeated.where("n > 0").select("bucket", "names").mapInArrow(run, "bucket int, part binary").toArrow().to_batches():
+        for bucket, part in zip(*batch.columns):
+            out[bucket.as_py() * size: (bucket.as_py() + 1) * size] = np.frombuffer(part.as_buffer(), np.uint8)
+    return out
+
+
+def _slices(batches, copies: np.ndarray | None):
+    """Some ``ROWS`` rows at a time, without those in the bitmap of copies."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(low, ROWS)
+            yield rows if copies is None else rows.filter(pa.array(~hits(copies, rows.column("own").to_numpy())))
+
+
+def _emitted(docs: DataFrame, least: int, gram: int, copies: np.ndarray | None, bitmap: Broadcast, bits: int, top: int, often: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, rows) of the pieces whose name is in the bitmap of repeated ones, in parcels; without a bucket, (name, piece, doc, hash, at) of those of frequent names."""
+    shipped = ship(docs.sparkSession, (copies, often))
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("name", T.LongType()),
+                           T.StructField("piece", T.BinaryType()), T.StructField("doc", docs.schema["doc"].dataType), T.StructField("hash", T.LongType()),
+                           T.StructField("at", T.LongType())])
+
+    def dealt(held, often):
+        table = pa.Table.from_batches(held).combine_chunks()
+        name = table.column("name").to_numpy().view(np.uint64)
+        hot = np.isin(name, often)
+        if hot.any():
+            for batch in table.filter(pa.array(hot)).to_batches():
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary()), *batch.columns], names=schema.names)
+        cold = np.flatnonzero(~hot)
+        order = cold[np.argsort(name[cold])]
+        table = table.take(pa.array(order))
+        start, bucket = _ranges((name[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32))
+        out = []
+        for a, b in zip(start[:-1], start[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.slice(a, b - a))
+            out.append(sink.getvalue().to_pybytes())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(out, pa.binary()), *(pa.nulls(len(out), f.type) for f in table.schema)], names=schema.names)
+
+    def run(batches):
+        (skipped, frequent), known = unpack(shipped), np.frombuffer(bitmap.value, np.uint8)
+        held, n = [], 0
+        for batch in _slices(batches, skipped):
             data, offsets = _texts(batch.column("text"))
             for name, start, count in pieces(data, offsets, least, gram):
-                hit = np.flatnonzero(hits(known, name) & hits(turned, name << BITS))
+                hit = np.flatnonzero(among(known, name, bits, top))
+                if not len(hit):
+                    continue
                 name, start, size = name[hit], start[hit], count[hit] + least - 1
                 ends = np.append(0, np.cumsum(size))
                 raw = data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
                 piece = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
                 row = np.searchsorted(offsets, start, "right") - 1
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(name), piece, batch.column("doc").take(rows), batch.column("hash").take(rows), pa.array(start - offsets[row]),
-                                                  pa.array(hits(hot, name))], names=schema.names)
+                held.append(pa.RecordBatch.from_arrays([pa.array(name), piece, batch.column("doc").take(rows), batch.column("hash").take(rows), pa.array(start - offsets[row])],
+                                                       names=schema.names[2:]))
+                n += len(hit)
+                if n >= PACK:
+                    yield from dealt(held, frequent)
+                    held, n = [], 0
+        if n:
+            yield from dealt(held, frequent)
 
     return docs.mapInArrow(run, schema)
 
@@ -277,59 +391,28 @@ class RunIndex:
             yield who, sizes[who] - t, length[:n], row[:n]
 
 
-def _joined(rows: pa.Table) -> pa.Table:
-    """Equal pieces as one row, with the smallest and the largest id."""
-    return rows.group_by(["name", "key"]).aggregate([("piece", "min"), ("lo", "min"), ("hi", "max")]).rename_columns(["name", "key", "piece", "lo", "hi"])
+def _ranked(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value in the order of those that occur, and these."""
+    column = pa.chunked_array(column.chunks, column.type).combine_chunks().dictionary_encode()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    order = pc.sort_indices(column.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[column.indices.to_numpy()], column.dictionary.take(pa.array(order))
 
 
-def _packed(pieces_: DataFrame, shards: int) -> DataFrame:
-    """(shard, rows): pieces in parcels, equal ones of a parcel joined; a parcel has the pieces of one shard that a task has met."""
-    def parcels(tables):
-        table = _joined(pa.Table.from_batches(tables))
-        shard = table.column("name").to_numpy().view(np.uint64) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
-        table, shard = table.take(pa.array(order)), shard[order]
-        start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        out = []
-        for a, b in zip(start, np.append(start[1:], len(shard))):
-            sink = pa.BufferOutputStream()
-            part = table.slice(a, b - a).combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(part)
-            out.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(shard[start].astype(np.int64)), pa.array(out, pa.binary())], names=["shard", "rows"])
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= PACK:
-                yield parcels(held)
-                held, n = [], 0
-        if n:
-            yield parcels(held)
-
-    return pieces_.mapInArrow(run, "shard long, rows binary")
-
-
-def _marks(rows: pa.Table, least: int) -> pa.Table:
-    """(name, key, first, last, least): windows of a shard's pieces with the smallest id that has them, where that is below the piece's largest."""
-    rows = rows.combine_chunks()
-    name = rows.column("name").to_numpy()
-    lo, hi = rows.column("lo").to_pylist(), rows.column("hi").to_pylist()
-    ids = {d: i for i, d in enumerate(sorted({*lo, *hi}))}
-    low, high = np.array([ids[d] for d in lo], np.int64), np.array([ids[d] for d in hi], np.int64)
+def _marked(name: np.ndarray, piece: pa.Array, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(piece, first, last, smallest): windows of pieces that differ, of smallest and largest id, with the smallest id that has them, where that is below the piece's largest."""
     _, group, number = np.unique(name, return_inverse=True, return_counts=True)
-    small, large = np.full(len(name), len(ids)), np.full(len(name), -1)
+    small, large = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), -1)
     np.minimum.at(small, group, low)
     np.maximum.at(large, group, high)
     # names of one id take nothing; those of several pieces go through the index, and first
     kept = np.flatnonzero(small[group] < large[group])
     kept = kept[np.argsort(number[group[kept]] == 1, kind="stable")]
     several = int((number[group[kept]] > 1).sum())
-    rows, low, high = rows.take(pa.array(kept)), low[kept], high[kept]
-    column = pa.chunked_array(rows.column("piece").chunks, pa.binary()).combine_chunks().cast(pa.large_binary())
+    low, high = low[kept], high[kept]
+    column = piece.take(pa.array(kept)).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
     windows = np.diff(offsets) - least + 1
@@ -346,17 +429,60 @@ def _marks(rows: pa.Table, least: int) -> pa.Table:
             inside = (at >= 0) & (row < index.high[at])
             to = base[who[inside]] + place[inside]
             best[to] = np.minimum(best[to], smallest[at[inside]])
-    piece = np.repeat(np.arange(len(kept)), windows)
+    owner = np.repeat(np.arange(len(kept)), windows)
     edge = np.ones(len(best), bool)
-    edge[1:] = (best[1:] != best[:-1]) | (piece[1:] != piece[:-1])
+    edge[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
     start = np.flatnonzero(edge)
     stop = np.append(start[1:], len(best)) - 1
-    marked = best[start] < high[piece[start]]
+    marked = best[start] < high[owner[start]]
     start, stop = start[marked], stop[marked]
-    who = piece[start]
-    values = pa.array(sorted(ids, key=ids.get), rows.schema.field("lo").type)
-    return pa.table({"name": rows.column("name").take(pa.array(who)), "key": rows.column("key").take(pa.array(who)), "first": pa.array(start - base[who]),
-                     "last": pa.array(stop - base[who]), "least": values.take(pa.array(best[start]))})
+    who = owner[start]
+    return kept[who], start - base[who], stop - base[who], best[start]
+
+
+def _covered(rows: pa.Table, least: int, target: int) -> pa.Table:
+    """(doc, hash, start, end): spans of a bucket's pieces (name, piece, doc, hash, at) that start in a smaller id too."""
+    doc, _ = _ranked(rows.column("doc"))
+    name = rows.column("name").to_numpy()
+    order = np.argsort(name)
+    start, _ = _ranges(name[order])
+    small, large = (f.reduceat(doc[order], start[:-1]) if len(order) else order for f in (np.minimum, np.maximum))
+    order = order[np.repeat(small < large, np.diff(start))]
+    rows, name, doc = rows.take(pa.array(order)).combine_chunks(), name[order], doc[order]
+    # equal pieces as one, in the order of their names
+    pieces_ = pa.chunked_array(rows.column("piece").chunks, pa.binary()).combine_chunks().dictionary_encode()
+    which, strings = pieces_.indices.to_numpy(), pieces_.dictionary
+    low, high, called = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), -1), np.zeros(len(strings), np.int64)
+    np.minimum.at(low, which, doc)
+    np.maximum.at(high, which, doc)
+    called[which] = name
+    first, _ = _ranges(called)
+    ends = np.append(0, np.cumsum(pc.binary_length(strings).to_numpy()))
+    shards, _ = _ranges(ends[first[:-1]] // target)
+    found = [(np.zeros(0, np.int64),) * 4]
+    for a, b in zip(first[shards[:-1]], first[shards[1:]]):
+        who, *rest = _marked(called[a:b], strings.slice(a, b - a), low[a:b], high[a:b], least)
+        found.append((who + a, *rest))
+    who, begin, last, smallest = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(who, kind="stable")
+    n = np.bincount(who, minlength=len(strings))
+    skip, n = (np.cumsum(n) - n)[which], n[which]
+    row = np.repeat(np.arange(len(which)), n)
+    mark = order[np.arange(len(row)) + np.repeat(skip - (np.cumsum(n) - n), n)]
+    larger = smallest[mark] < doc[row]
+    row, mark = row[larger], mark[larger]
+    at, taken = rows.column("at").to_numpy()[row], pa.array(row)
+    return pa.table({"doc": rows.column("doc").take(taken), "hash": rows.column("hash").take(taken), "start": pa.array(at + begin[mark]), "end": pa.array(at + last[mark] + least)})
+
+
+def _marks(rows: pa.Table, least: int) -> pa.Table:
+    """(name, key, first, last, least): what :func:`_marked` finds in pieces (name, key, piece, lo, hi)."""
+    rows = rows.combine_chunks()
+    rank, ids = _ranked(pa.chunked_array([*rows.column("lo").chunks, *rows.column("hi").chunks]))
+    piece = pa.chunked_array(rows.column("piece").chunks, pa.binary()).combine_chunks()
+    who, first, last, smallest = _marked(rows.column("name").to_numpy(), piece, rank[:len(rows)], rank[len(rows):], least)
+    taken = pa.array(who)
+    return pa.table({"name": rows.column("name").take(taken), "key": rows.column("key").take(taken), "first": pa.array(first), "last": pa.array(last), "least": ids.take(pa.array(smallest))})
 
 
 def _by_windows(strings: DataFrame, least: int) -> DataFrame:
@@ -368,22 +494,28 @@ def _by_windows(strings: DataFrame, least: int) -> DataFrame:
     return windows.join(smallest, "window").where("least < hi").select("name", "key", place.alias("first"), place.alias("last"), "least")
 
 
-def marks(emitted: DataFrame, *, least: int = LEAST, target: int = TARGET, shards: int = 1) -> DataFrame:
-    """(name, key, first, last, least) of pieces (name, key, piece, doc, often)."""
-    kind = emitted.schema["doc"].dataType
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("name", "key", "first", "last")] + [T.StructField("least", kind)])
-
-    def shard(parcels: pa.Table) -> pa.Table:
+def _by_parcels(emitted: DataFrame, *, least: int, target: int) -> DataFrame:
+    """(doc, hash, start, end) of the pieces in parcels."""
+    def run(parcels: pa.Table) -> pa.Table:
         tables = [pa.ipc.open_stream(x).read_all() for x in parcels.column("rows").to_pylist()]
-        return _marks(_joined(pa.concat_tables(tables)), least)
+        return _covered(pa.concat_tables(tables), least, target)
+
+    schema = T.StructType([emitted.schema["doc"], emitted.schema["hash"], T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    return emitted.where("bucket is not null").select("bucket", "rows").groupBy("bucket").applyInArrow(run, schema)
 
-    columns = ["name", "key", "piece", "lo", "hi"]
-    often = cut(emitted.where("often").groupBy("name", "key", "piece").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+
+def _by_marks(emitted: DataFrame, *, least: int, target: int, shards: int) -> DataFrame:
+    """(doc, hash, start, end) of the pieces of frequent names."""
+    emitted = emitted.where("bucket is null").select("name", F.xxhash64("piece").alias("key"), "piece", "doc", "hash", "at")
+    kind = emitted.schema["doc"].dataType
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("name", "key", "first", "last")] + [T.StructField("least", kind)])
+    often = cut(emitted.groupBy("name", "key", "piece").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
     hot = cut(often.groupBy("name").agg(F.sum(F.length("piece")).alias("bytes")).where(F.col("bytes") > target).select("name"))
-    few = emitted.where("NOT often").select("name", "key", "piece", F.col("doc").alias("lo"), F.col("doc").alias("hi"))
-    few = few.union(often.join(hot, "name", "left_anti").select(columns))
-    indexed = _packed(few, shards).groupBy("shard").applyInArrow(shard, schema)
-    return indexed.union(_by_windows(often.join(hot, "name", "left_semi").select(columns), least))
+    few = often.join(hot, "name", "left_anti").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)))
+    marks = few.groupBy("shard").applyInArrow(lambda rows: _marks(rows, least), schema)
+    marks = marks.union(_by_windows(often.join(hot, "name", "left_semi").select("name", "key", "piece", "lo", "hi"), least))
+    return emitted.select("name", "key", "doc", "hash", "at").join(marks, ["name", "key"]).where("least < doc").select(
+        "doc", "hash", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + least).alias("end"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -415,18 +547,21 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     # rows that the bitmap takes for copies, and that are none
     spared = cut(_maybe(narrow.select("doc", "hash", "own", "text"), skip).join(copies, ["doc", "hash"], "left_anti"))
     narrow = narrow.select("doc", "hash", "own", "text")
-    counts = _counted(narrow, least, gram, skip).union(_counted(spared, least, gram, None)).groupBy("name").agg(F.sum("n").alias("n"), F.sum("pieces").alias("pieces"))
-    repeated = cut(counts.where("n > 1").select("name", "pieces"))
-    turned = repeated.select(F.shiftleft("name", BITS).alias("name"))
-    bits = (of_hashes(repeated, "name"), of_hashes(turned, "name")), of_hashes(repeated.where(F.col("pieces") > target // (PIECE + least - 1)), "name")
-    total = repeated.agg(F.sum("pieces")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = max(min(8 * partitions, BUCKETS).bit_length() - 1, 1)
+    repeated = cut(_repeated(_counted(narrow, least, gram, skip, top).union(_counted(spared, least, gram, None, top)), target // (PIECE + least - 1)))
+    n, total = repeated.agg(F.sum("n"), F.sum("pieces")).first()
+    bits = filter_bits(n or 0, top)
+    bitmap = spark.sparkContext.broadcast(_bitmap(repeated, bits, top).tobytes())
+    often = np.frombuffer(b"".join(bytes(r[0]) for r in repeated.select("often").where("length(often) > 0").collect()), np.uint64)
+    buckets = min(max((total or 0) * least * 5 // 4 // BUCKET, min(2 * partitions, (total or 0) // 1000)) + 1, BUCKETS)
     path = fresh_path(spark, "step")
-    emitted = _emitted(narrow, least, gram, skip, *bits).union(_emitted(spared, least, gram, None, *bits))
+    emitted = _emitted(narrow, least, gram, skip, bitmap, bits, top, often, buckets).union(_emitted(spared, least, gram, None, bitmap, bits, top, often, buckets))
     emitted.write.option("compression", "zstd").parquet(path)  # neighbouring pieces overlap
-    emitted = spark.read.schema(emitted.schema).parquet(path).withColumn("key", F.xxhash64("piece"))
-    shards = max(total * 3 * least // 2 // target, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    covered = emitted.select("name", "key", "doc", "hash", "at").join(marks(emitted, least=least, target=target, shards=shards), ["name", "key"]).where("least < doc").select(
-        "doc", "hash", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + least).alias("end"))
+    emitted = spark.read.schema(emitted.schema).parquet(path)
+    covered = _by_parcels(emitted, least=least, target=target)
+    if len(often):
+        covered = covered.union(_by_marks(emitted, least=least, target=target, shards=min(len(often), max(2 * partitions, len(often) // 4))))
     covered = covered.union(copies.select("doc", "hash", F.lit(0).cast("long"), "size"))
     spans = covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return _cut_out(rows, cut(spans), key, text, removed, kept)
@@ -461,7 +596,7 @@ def _cut_out(rows: DataFrame, spans: DataFrame, key: str, text: str, removed: st
 
     def unpack_(batches):
         codec = pa.Codec("zstd")
-        for batch in batches:
+        for batch in _slices(batches, None):
             texts, out, left = [], [], []
             for size, packed, spans_ in zip(*(batch.column(c).to_pylist() for c in ("size", "packed", "spans"))):
                 raw = None if packed is None else codec.decompress(packed, size, asbytes=True) if size else b""

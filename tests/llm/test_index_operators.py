@@ -106,6 +106,33 @@ def test_pieces_of_long_texts_cover_every_window():
     assert (seen == want).all()
 
 
+def test_parcels_are_as_many_as_buckets_however_many_shards(docs_of, monkeypatch):
+    """Small targets make many shards; a task sent a parcel to each of them, often of a single piece."""
+    draw = random.Random(8)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(200)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[draw.randint(0, 400):][:700] + "x" * (i % 3)) for i, t in enumerate(texts)]
+    seen, by_parcels = [], runindex._by_parcels
+    monkeypatch.setattr(runindex, "BUCKET", 1)
+    monkeypatch.setattr(runindex, "BUCKETS", 7)
+    monkeypatch.setattr(runindex, "_by_parcels", lambda emitted, **how: seen.append(emitted.where("bucket is not null").select("bucket").collect()) or by_parcels(emitted, **how))
+    found = runindex.deduplicate(docs_of(rows).repartition(3), target=1000).collect()
+    assert sorted(((r.doc_id, r.text, bytes(r.kept)) for r in found), key=order) == sorted(left_by_brute_force(rows, runindex.LEAST), key=order)
+    (parcels,) = seen
+    assert {r.bucket for r in parcels} == set(range(7)) and len(parcels) <= 3 * 7
+
+
+def test_bitmap_of_repeated_names_grows_with_them():
+    """One of fixed size let a tenth of the other names pass here, and all of them on larger tables."""
+    draw, n, top = np.random.default_rng(4), 24_000_000, 4
+    name, others = np.sort(draw.integers(0, 2 ** 64, n, np.uint64)), draw.integers(0, 2 ** 64, 200_000, np.uint64)
+    bits = runindex.filter_bits(n, top)
+    parts = np.split(name, np.searchsorted(name, np.arange(1, 1 << top).astype(np.uint64) << np.uint64(64 - top)))
+    bitmap = np.concatenate([runindex.part_of_bitmap(x, bits, top) for x in parts])
+    assert runindex.among(bitmap, name[::9], bits, top).all()
+    assert runindex.among(bitmap, others, bits, top).mean() < 0.05
+    assert runindex.filter_bits(10 ** 12, top) == runindex.MOST and runindex.filter_bits(0, 12) >= 12 + 6
+
+
 # manifest
 
 def tree(hashes):
