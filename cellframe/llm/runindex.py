@@ -448,7 +448,7 @@ def _covered(rows: pa.Table, least: int, target: int) -> pa.Table:
     start, _ = _ranges(name[order])
     small, large = (f.reduceat(doc[order], start[:-1]) if len(order) else order for f in (np.minimum, np.maximum))
     order = order[np.repeat(small < large, np.diff(start))]
-    rows, name, doc = rows.take(pa.array(order)).combine_chunks(), name[order], doc[order]
+    rows, name, doc = rows.combine_chunks().take(pa.array(order)), name[order], doc[order]
     # equal pieces as one, in the order of their names
     pieces_ = pa.chunked_array(rows.column("piece").chunks, pa.binary()).combine_chunks().dictionary_encode()
     which, strings = pieces_.indices.to_numpy(), pieces_.dictionary
@@ -564,7 +564,10 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
         covered = covered.union(_by_marks(emitted, least=least, target=target, shards=min(len(often), max(2 * partitions, len(often) // 4))))
     covered = covered.union(copies.select("doc", "hash", F.lit(0).cast("long"), "size"))
     spans = covered.groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return _cut_out(rows, cut(spans), key, text, removed, kept)
+    spans = cut(spans)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)  # the spans have all that is needed of the pieces
+    return _cut_out(rows, spans, key, text, removed, kept)
 
 
 def _maybe(docs: DataFrame, bits: np.ndarray) -> DataFrame:

@@ -121,6 +121,18 @@ def test_parcels_are_as_many_as_buckets_however_many_shards(docs_of, monkeypatch
     assert {r.bucket for r in parcels} == set(range(7)) and len(parcels) <= 3 * 7
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(9,2)", "date", "timestamp", "binary"])
+def test_ids_of_other_kinds_keep_their_order(spark, docs_of, kind):
+    """Ids are 10 to 21; casts to these kinds keep their order."""
+    draw = random.Random(9)
+    texts = [" ".join("".join(draw.choices("abcé", k=6)) for _ in range(30)) for _ in range(4)]
+    rows = [(10 + i, texts[i % 4][draw.randint(0, 60):] + texts[(i + 1) % 4][:80]) for i in range(12)]
+    ids = F.col("doc_id").cast("string")
+    ids = F.concat(F.lit("2001-01-"), ids).cast(kind) if kind in ("date", "timestamp") else ids.cast(kind)
+    found = runindex.deduplicate(docs_of(rows).withColumns({"mine": F.col("doc_id"), "doc_id": ids})).collect()
+    assert sorted(((r.mine, r.text, bytes(r.kept)) for r in found), key=order) == sorted(left_by_brute_force(rows, runindex.LEAST), key=order)
+
+
 def test_bitmap_of_repeated_names_grows_with_them():
     """One of fixed size let a tenth of the other names pass here, and all of them on larger tables."""
     draw, n, top = np.random.default_rng(4), 24_000_000, 4
